@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of (id) that may be broadcast; beyond it joins shuffle. 2 million longs are 16 MB.
 BROADCAST_ROWS = 2_000_000
@@ -56,20 +59,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def once(key: tuple, make: Callable[[], object]) -> object:
+    """What make() gives, made once in each Python worker: tokenizers and memos outlive a task there."""
+    states = sys.__dict__.setdefault("_spanwarden_states", {})
+    if key not in states:
+        states[key] = make()
+    return states[key]
+
+
 def texts(df: DataFrame, *names: str) -> DataFrame:
     """The columns that an operator reads; others, whatever their names, stay behind."""
     return df.select(*(F.col(n) for n in names))
 
 
-def per_batch(df: DataFrame, schema: str, work: Callable[..., Iterable[dict | list]], start: Callable[[], tuple] | None = None) -> DataFrame:
+def per_batch(df: DataFrame, schema: str | StructType, work: Callable[..., Iterable[dict | list]], start: Callable[[], tuple] | None = None) -> DataFrame:
     """mapInArrow with one call of work(batch, *state) for each Arrow batch; start() makes a task's state.
 
     work returns a dict of column lists, or a pyarrow RecordBatch.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = start() if start else ()

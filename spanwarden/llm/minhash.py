@@ -131,9 +131,8 @@ def _alike(a: str, b: str, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (matches >= MATCHES)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id and s, the whole shingle set, of the documents in ids (doc_id)."""
     named = texts(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def work(batch: pa.RecordBatch, hashes: Hashes):
@@ -141,7 +140,13 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scrat
         ends = np.cumsum([0, *map(len, sets)])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["doc_id", "s"])
 
-    sets = scratch.keep(per_batch(named.join(small(ids), "doc_id", "left_semi"), "doc_id long, s array<long>", work, lambda: (Hashes(),)), f"{name}-sets")
+    return per_batch(named.join(small(ids), "doc_id", "left_semi"), "doc_id long, s array<long>", work, lambda: (Hashes(),))
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+    sets = scratch.keep(full_sets(docs, ids, width), f"{name}-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return scratch.keep(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(), name)
@@ -193,8 +198,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     longer = hubs.where(F.col("rank") == HUBS).select("key")
     placed = scratch.keep(lists.join(longer, "key", "left_semi").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id")).drop("root"), "longer-lists")
     largest = placed.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    outside = placed.join(largest, "key").where(F.col("part") != F.col("largest"))
-    left = outside.alias("x").join(placed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("x.largest")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & _alike("x", "y", percent)).select(*ends)
+    open_lists = placed.join(largest, "key")
+    # a pair meets in its first common list only, and there on its sets, cut to 32 bits: too many matches at most
+    common = scratch.keep(open_lists.groupBy("doc_id").agg(F.collect_list("key").alias("ks")), "left-keys")
+    common = scratch.keep(common.join(full_sets(docs, common.select("doc_id"), width).select("doc_id", F.transform("s", lambda h: h.cast("bigint").bitwiseAND(0x7FFFFFFF).cast("int")).alias("s")).dropDuplicates(["doc_id"]), "doc_id"), "left-sets")
+    open_lists = open_lists.join(common, "doc_id")
+    outside = open_lists.where(F.col("part") != F.col("largest"))
+    # 32-bit values of a set of n coincide n² / 2³³ times; twice that and a little more keeps the cut one-sided
+    slack = 4 + F.pow(F.col("x.n") + F.col("y.n"), F.lit(2.0)) / 2**31
+    shared = F.size(F.array_intersect("x.s", "y.s")) + slack
+    left = outside.alias("x").join(
+        open_lists.alias("y"),
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.part") != F.col("y.part"))
+        & ((F.col("y.part") == F.col("x.largest")) | (F.col("x.doc_id") < F.col("y.doc_id")))
+        & _alike("x", "y", percent)
+        & (F.array_min(F.array_intersect("x.ks", "y.ks")) == F.col("x.key"))
+        & (100 * shared >= percent * (F.col("x.n") + F.col("y.n") - shared)),
+    ).select(*ends)
     left = scratch.keep(left.distinct(), "left-pairs")
     if not left.isEmpty():
         more = confirmed(docs, left, width, percent, scratch, "left-links")

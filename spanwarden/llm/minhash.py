@@ -32,6 +32,8 @@ COORDINATES, POSTED = 64, 24
 MATCHES, POSTED_MATCHES = 36, 10
 PREFIX = POSTED - POSTED_MATCHES + 1
 HUBS = 8
+#: Components with more documents than FEW are faced on sets, in slices of about SLICE documents.
+FEW, SLICE = 32, 1024
 #: Keys that more than 1 / HOT_SHARE of all sets have count as frequent: POSTED * HOT_SHARE of them at most.
 HOT_SHARE = 4096
 PACKED = ("f0", "f1", "f2", "f3")
@@ -198,24 +200,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     longer = hubs.where(F.col("rank") == HUBS).select("key")
     placed = scratch.keep(lists.join(longer, "key", "left_semi").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id")).drop("root"), "longer-lists")
     largest = placed.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    open_lists = placed.join(largest, "key")
-    # a pair meets in its first common list only, and there on its sets, cut to 32 bits: too many matches at most
-    common = scratch.keep(open_lists.groupBy("doc_id").agg(F.collect_list("key").alias("ks")), "left-keys")
-    common = scratch.keep(common.join(full_sets(docs, common.select("doc_id"), width).select("doc_id", F.transform("s", lambda h: h.cast("bigint").bitwiseAND(0x7FFFFFFF).cast("int")).alias("s")).dropDuplicates(["doc_id"]), "doc_id"), "left-sets")
-    open_lists = open_lists.join(common, "doc_id")
-    outside = open_lists.where(F.col("part") != F.col("largest"))
+    outside = scratch.keep(placed.join(largest, "key").where(F.col("part") != F.col("largest")), "outside")
+    among = outside.alias("x").join(outside.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & _alike("x", "y", percent)).select(*ends)
+    # against the largest component itself: one row a document there, however many lists they share
+    aims = outside.select("doc_id", "n", *PACKED, F.col("largest").alias("part")).distinct()
+    members = placed.select("doc_id", "n", *PACKED, "part").distinct().join(aims.select("part").distinct(), "part", "left_semi")
+    sizes = members.groupBy("part").count()
+    few = sizes.where(F.col("count") <= FEW).select("part")
+    facing = (F.col("x.part") == F.col("y.part")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _alike("x", "y", percent)
+    to_few = aims.alias("x").join(members.join(few, "part", "left_semi").alias("y"), facing).select(*ends)
+    # a large component's members stay in slices and meet on their sets, cut to 32 bits, inside the join
+    many = scratch.keep(sizes.where(F.col("count") > FEW).select("part", F.ceil(F.col("count") / F.lit(float(SLICE))).cast("int").alias("slices")), "many")
+    aims, members = scratch.keep(aims.join(many, "part"), "aims"), scratch.keep(members.join(many, "part"), "members")
+    ids = aims.select("doc_id").union(members.select("doc_id")).distinct()
+    cut = F.transform("s", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    sets = scratch.keep(full_sets(docs, scratch.keep(ids, "facing-ids"), width).select("doc_id", cut.alias("s")).dropDuplicates(["doc_id"]), "facing-sets")
+    aims = aims.join(sets, "doc_id").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    members = members.join(sets, "doc_id").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
     # 32-bit values of a set of n coincide n² / 2³³ times; twice that and a little more keeps the cut one-sided
-    slack = 4 + F.pow(F.col("x.n") + F.col("y.n"), F.lit(2.0)) / 2**31
-    shared = F.size(F.array_intersect("x.s", "y.s")) + slack
-    left = outside.alias("x").join(
-        open_lists.alias("y"),
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.part") != F.col("y.part"))
-        & ((F.col("y.part") == F.col("x.largest")) | (F.col("x.doc_id") < F.col("y.doc_id")))
-        & _alike("x", "y", percent)
-        & (F.array_min(F.array_intersect("x.ks", "y.ks")) == F.col("x.key"))
-        & (100 * shared >= percent * (F.col("x.n") + F.col("y.n") - shared)),
-    ).select(*ends)
+    shared = F.size(F.array_intersect("x.s", "y.s")) + 4 + F.pow(F.col("x.n") + F.col("y.n"), F.lit(2.0)) / 2**31
+    close = 100 * shared >= percent * (F.col("x.n") + F.col("y.n") - shared)
+    to_many = aims.alias("x").join(members.alias("y"), (F.col("x.slice") == F.col("y.slice")) & facing & close).select(*ends)
+    left = among.union(to_few).union(to_many)
     left = scratch.keep(left.distinct(), "left-pairs")
     if not left.isEmpty():
         more = confirmed(docs, left, width, percent, scratch, "left-links")

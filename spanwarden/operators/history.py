@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_NEWEST = Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("id"))
+
+def _newest():
+    return Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("id"))
 
 
 def clamped(scans: DataFrame, now) -> DataFrame:
@@ -21,7 +23,7 @@ def latest(scans: DataFrame) -> DataFrame:
 
 def retained(scans: DataFrame, keep: int) -> DataFrame:
     """The newest `keep` scans of each project."""
-    return scans.withColumn("__k", F.row_number().over(_NEWEST)).where(F.col("__k") <= keep).drop("__k")
+    return scans.withColumn("__k", F.row_number().over(_newest())).where(F.col("__k") <= keep).drop("__k")
 
 
 def pruned(scans: DataFrame, findings: DataFrame, projects: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -29,7 +29,7 @@ from .common import Scratch, per_batch, small, texts, tune
 
 COORDINATES, POSTED = 64, 24
 #: Matches that a pair needs: at a similarity of 0.8 a pair falls short with odds below 1 in 10,000.
-MATCHES, POSTED_MATCHES = 36, 10
+MATCHES, POSTED_MATCHES = 39, 10
 PREFIX = POSTED - POSTED_MATCHES + 1
 HUBS = 8
 #: Components with more documents than FEW are faced on sets, in slices of about SLICE documents.
@@ -201,7 +201,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = scratch.keep(lists.join(longer, "key", "left_semi").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id")).drop("root"), "longer-lists")
     largest = placed.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     outside = scratch.keep(placed.join(largest, "key").where(F.col("part") != F.col("largest")), "outside")
-    among = outside.alias("x").join(outside.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & _alike("x", "y", percent)).select(*ends)
+    # two documents outside meet in their first common list only, and by sizes: a bucket holds a ratio of 100 / percent
+    low = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint") - 2**31
+    bucket = F.floor(F.log(F.col("n")) / (np.log(100 / percent) * 1.0001))
+    lean = outside.drop("largest").join(outside.groupBy("doc_id").agg(F.collect_list(low.cast("int")).alias("ks")), "doc_id").withColumn("low", low.cast("int")).withColumn("bucket", bucket)
+    among = lean.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1))).alias("x")
+    among = among.join(
+        lean.alias("y"),
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.bucket") == F.col("y.bucket"))
+        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id"))))
+        & (F.col("x.part") != F.col("y.part"))
+        & _alike("x", "y", percent)
+        & (F.array_min(F.array_intersect("x.ks", "y.ks")) == F.col("x.low")),
+    ).select(*ends)
     # against the largest component itself: one row a document there, however many lists they share
     aims = outside.select("doc_id", "n", *PACKED, F.col("largest").alias("part")).distinct()
     members = placed.select("doc_id", "n", *PACKED, "part").distinct().join(aims.select("part").distinct(), "part", "left_semi")

@@ -144,11 +144,12 @@ def cvss_score(vector: Column) -> Column:
     ease = F.lit(8.22) * _weight(metric("AV"), CVSS["AV"]) * _weight(metric("AC"), CVSS["AC"]) * privileges * _weight(metric("UI"), CVSS["UI"])
     iss = F.lit(1.0) - (F.lit(1.0) - _weight(metric("C"), CVSS["CIA"])) * (F.lit(1.0) - _weight(metric("I"), CVSS["CIA"])) * (F.lit(1.0) - _weight(metric("A"), CVSS["CIA"]))
     impact = F.when(changed, F.lit(7.52) * (iss - 0.029) - F.lit(3.25) * F.pow(F.greatest(iss - 0.02, F.lit(0.0)), F.lit(15.0))).otherwise(F.lit(6.42) * iss)
-    raw = F.least(F.lit(10.0), F.when(changed, F.lit(1.08) * (impact + ease)).otherwise(impact + ease))
+    total = F.when(changed, F.lit(1.08) * (impact + ease)).otherwise(impact + ease)
+    raw = F.when(total.isNotNull(), F.least(F.lit(10.0), total))  # least() alone would skip a null
     # the standard's round-up: to the next tenth, over integers
     scaled = F.round(raw * 100000, 0).cast("long")
     up = F.when(scaled % 10000 == 0, scaled / F.lit(100000.0)).otherwise((F.floor(scaled / F.lit(10000.0)) + 1) / F.lit(10.0))
-    return F.coalesce(F.when(impact <= 0, F.lit(0.0)).otherwise(up), F.trim(vector).try_cast("double"))
+    return F.coalesce(F.when((impact <= 0) & ease.isNotNull(), F.lit(0.0)).when(raw.isNotNull(), up), F.trim(vector).try_cast("double"))
 
 
 def cvss_band(score: Column) -> Column:

@@ -40,8 +40,8 @@ def inline_suppressed(findings: DataFrame, of_lines: DataFrame, today: Column, m
     expr = F.concat(opener, F.lit(body))
     content = F.col("content")
     marked = of_lines.where(F.contains(content, F.lit(marker))).where(F.rlike(content, expr))
-    until = F.regexp_extract(content, expr, F.lit(3))
-    marked = marked.withColumn("__until", F.when(until != "", F.try_to_date(until, "yyyy-MM-dd"))).withColumn("__dated", until != "").withColumn("__rule", F.regexp_extract(content, expr, F.lit(1)))
+    until = F.call_function("regexp_extract", content, expr, F.lit(3))
+    marked = marked.withColumn("__until", F.when(until != "", F.try_to_date(until, "yyyy-MM-dd"))).withColumn("__dated", until != "").withColumn("__rule", F.call_function("regexp_extract", content, expr, F.lit(1)))
     marked = marked.where(~F.col("__dated") | (F.col("__until") >= today)).select("path", F.col("line").alias("start_line"), "__rule")
     hidden = (F.col("f.path") == F.col("m.path")) & (F.col("f.start_line") == F.col("m.start_line")) & ((F.col("m.__rule") == "") | scoring.rule_matches(F.col("f.rule_id"), F.col("m.__rule")))
     return findings.alias("f").join(marked.alias("m"), hidden, "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.model import CRITICAL, HIGH, INFO, LOW, MEDIUM
-from ..sources.files import base_name, lines, suffix, windows
+from ..sources.files import LINE_END, MAX_LINE, base_name, suffix, windows
 
 PYTHON, JS = ("Python",), ("JavaScript", "TypeScript")
 CURL_PIPE = r"(?i)\b(?:curl|wget|fetch)\s+[^\s|][^\n|]*\|\s*(?:sudo\s+(?:-\S+\s+)*)?(?:ba|z)?sh\b"
@@ -38,7 +38,6 @@ class Rule:
     likelihood: int = 2
     suppress: str = ""
     absent: bool = False  # fires once a file where no line has the pattern
-    without: str = ""  # the line must not match this either (a check on another part)
 
     @property
     def scanner(self) -> str:
@@ -242,16 +241,16 @@ def match_rules(files: DataFrame, rules: Sequence[Rule] = ALL) -> DataFrame:
     Files of test code keep their findings one severity lower, at low confidence and tagged.
     """
     there = placed(files)
-    of_lines = windows(lines(there).join(there.select("project", "path", "suffix", "kind"), ["project", "path"]) if False else _lines_of(there))
+    of_lines = windows(_lines_of(there))
     found = [r for r in rules if not r.absent]
     hits = F.filter(F.array(*(_finding_of(r, F.col("segment"), F.col("offset")) for r in found)), lambda x: x.isNotNull())
     rows = of_lines.select("project", "path", "line", "offset", "content", F.explode(hits).alias("f"))
-    first = rows.groupBy("project", "path", "line", "f.rule_id").agg(F.min_by(F.struct("f", "content"), "offset").alias("r")) if rules else rows
+    first = rows.groupBy("project", "path", "line", "f.rule_id").agg(F.min_by(F.struct("f", "content"), "offset").alias("r")) 
     out = first.select("project", "path", F.col("line").alias("start_line"), F.col("line").alias("end_line"), "r.f.*", F.substring(F.trim(F.col("r.content")), 1, 200).alias("snippet"))
     absent = [r for r in rules if r.absent]
     if absent:
         lacking = F.filter(
-            F.array(*(F.when(_applies(r) & ~F.exists(F.split("text", "\n"), lambda x, p=r.pattern: F.rlike(x, F.lit(p))), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.scanner).alias("scanner"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), F.lit(r.likelihood).alias("likelihood"), F.array(*map(F.lit, r.cwe)).alias("cwe"))) for r in absent)),
+            F.array(*(F.when(_applies(r) & ~_somewhere(r.pattern), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.scanner).alias("scanner"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), F.lit(r.likelihood).alias("likelihood"), F.array(*map(F.lit, r.cwe)).alias("cwe"))) for r in absent)),
             lambda x: x.isNotNull(),
         )
         once = there.select("project", "path", F.explode(lacking).alias("f")).select("project", "path", "f.*", F.lit(1).alias("start_line"), F.lit("(directive absent)").alias("snippet"))
@@ -259,9 +258,12 @@ def match_rules(files: DataFrame, rules: Sequence[Rule] = ALL) -> DataFrame:
     return downgraded(out.withColumn("tags", F.array().cast("array<string>")))
 
 
-def _lines_of(there: DataFrame) -> DataFrame:
-    from ..sources.files import LINE_END
+def _somewhere(pattern: str) -> Column:
+    """Does any line of the text have the pattern?"""
+    return F.exists(F.split("text", "\n"), lambda x: F.rlike(F.substring(x, 1, MAX_LINE), F.lit(pattern)))
+
 
+def _lines_of(there: DataFrame) -> DataFrame:
     parts = F.split(F.col("text"), LINE_END)
     kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
     return there.select("project", "path", "language", "suffix", "kind", F.posexplode(kept).alias("__at", "content")).withColumn("line", F.col("__at") + 1).drop("__at")

@@ -53,18 +53,21 @@ def percent_encoded(path: Column) -> Column:
     return F.array_join(F.transform(chars, lambda c: F.when(F.rlike(c, F.lit(r"^[A-Za-z0-9_.~/-]$")), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "%$1"))), "")
 
 
-def sarif(findings: DataFrame, tool: str = "spanwarden", version: str = "1") -> DataFrame:
-    """One row, `sarif`: rules in first-seen order and results in ordinal order."""
-    first = findings.groupBy("rule_id").agg(F.min("ordinal").alias("first"), F.max("severity").alias("severity"))
-    first = first.withColumn("index", F.row_number().over(Window.orderBy("first")) - 1)  # a row a rule
+def sarif(findings: DataFrame, tool: str = "spanwarden", version: str = "1", by: list[str] | None = None) -> DataFrame:
+    """One row, `sarif`, or one for each group of `by`: rules in first-seen order and results in ordinal order."""
+    by = by or []
+    first = findings.groupBy(*by, "rule_id").agg(F.min("ordinal").alias("first"), F.max("severity").alias("severity"))
+    first = first.withColumn("index", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("first")) - 1)  # a row a rule
     levels, scores = F.array(*map(F.lit, LEVELS)), F.array(*map(F.lit, SCORES))
-    rules = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("index", F.struct(F.col("rule_id").alias("id"), F.struct(F.element_at(levels, F.col("severity") + 1).alias("level")).alias("defaultConfiguration"), F.struct(F.element_at(scores, F.col("severity") + 1).alias("security-severity")).alias("properties")).alias("rule")))), lambda x: x["rule"]).alias("rules"))
+    rule = F.struct(F.col("rule_id").alias("id"), F.struct(F.element_at(levels, F.col("severity") + 1).alias("level")).alias("defaultConfiguration"), F.struct(F.element_at(scores, F.col("severity") + 1).alias("security-severity")).alias("properties"))
+    rules = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("index", rule.alias("rule")))), lambda x: x["rule"]).alias("rules"))
     region = F.when(F.col("start_line").isNotNull(), F.struct(F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine")))
     place = F.array(F.struct(F.struct(F.struct(percent_encoded(F.col("path")).alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
     body = F.struct(F.col("rule_id").alias("ruleId"), F.col("index").alias("ruleIndex"), F.element_at(levels, F.col("severity") + 1).alias("level"), F.struct(F.coalesce("snippet", "rule_id").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"))
-    results = findings.drop("index").join(first.select("rule_id", "index"), "rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", body.alias("r")))), lambda x: x["r"]).alias("results"))
+    results = findings.join(first.select(*by, "rule_id", "index"), [*by, "rule_id"]).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", body.alias("r")))), lambda x: x["r"]).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))
-    return rules.join(results).select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
+    both = rules.join(results, by) if by else rules.join(results)
+    return both.select(*by, F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
 
 
 def gitlab(findings: DataFrame) -> DataFrame:
@@ -113,11 +116,12 @@ def vex(matches: DataFrame) -> DataFrame:
     return rows.groupBy("cve", "purl").agg(status.alias("status"))
 
 
-def cyclonedx(packages: DataFrame, serial: str) -> DataFrame:
-    """One row, `bom`: a CycloneDX 1.5 document of distinct packages; references are 32 hex digits of SHA-256."""
-    p = packages.select("ecosystem", "package", "version").distinct().withColumn("purl", scoring.purl(F.col("ecosystem"), F.col("package"), F.col("version")))
+def cyclonedx(packages: DataFrame, serial: str, by: list[str] | None = None) -> DataFrame:
+    """One row, `bom`, or one for each group of `by`: a CycloneDX 1.5 document of distinct packages; references are 32 hex digits of SHA-256."""
+    by = by or []
+    p = packages.select(*by, "ecosystem", "package", "version").distinct().withColumn("purl", scoring.purl(F.col("ecosystem"), F.col("package"), F.col("version")))
     part = F.struct(F.col("purl").alias("key"), F.struct(F.lit("library").alias("type"), F.substring(F.sha2("purl", 256), 1, 32).alias("bom-ref"), F.col("package").alias("name"), "version", "purl").alias("c"))
-    return p.agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["c"]).alias("components")).select(F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(serial).alias("serialNumber"), F.lit(1).alias("version"), "components")).alias("bom"))
+    return p.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["c"]).alias("components")).select(*by, F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(serial).alias("serialNumber"), F.lit(1).alias("version"), "components")).alias("bom"))
 
 
 def spdx(packages: DataFrame, namespace: str, created: datetime | None = None) -> DataFrame:

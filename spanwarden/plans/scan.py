@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import blocks, flows, rules, taint
+from ..operators import agent_config, blocks, flows, rules, taint
 from ..operators import findings as ops
 from ..sources.files import lines
 
@@ -38,6 +38,7 @@ DETECTORS: dict[str, Detector] = {
     "cloud": Detector(rules.CLOUD, (blocks.iam_wildcards,)),
     "business-logic": Detector(rules.LOGIC, (blocks.business_logic,)),
     "authz": Detector(more=(blocks.authorization,)),
+    "agent-config": Detector(more=(agent_config.agent_config,)),
     "llm": Detector(rules.LLM, (flows.language_models,)),
 }
 PROFILES = {

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from .common import once, per_batch, texts, tune
 
-#: Words and chunks that a worker remembers; at the bound it starts anew.
-REMEMBERED = 250_000
+#: Words and chunks that each half of a worker's memory holds.
+REMEMBERED = 350_000
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Blanks that str.split() leaves or takes beyond the class above.
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
@@ -63,6 +63,24 @@ def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return [s for s in alive if s]
 
 
+class Memory:
+    """A bounded memo in two halves: the younger takes what is used, and replaces the older when it is full."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key: str):
+        if (value := self.young.get(key)) is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value) -> None:
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class WordBpe:
     """Encoder and decoder of one vocabulary file: NFC, one blank for white space, lower case, a split pattern, bytes, word ends."""
 
@@ -78,25 +96,23 @@ class WordBpe:
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.letters = byte_letters()
-        self.word_ids: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.word_ids, self.chunks = Memory(), Memory()
 
     def word(self, word: str) -> list[int]:
         if (ids := self.word_ids.get(word)) is None:
-            if len(self.word_ids) >= REMEMBERED:
-                self.word_ids.clear()
             symbols = [self.letters[b] for b in word.encode()]
             symbols[-1] += self.end
-            ids = self.word_ids[word] = [self.vocab[s] for s in merged(symbols, self.ranks) if s in self.vocab]
+            ids = [self.vocab[s] for s in merged(symbols, self.ranks) if s in self.vocab]
+            self.word_ids.put(word, ids)
         return ids
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and strings, of normalised text without blanks."""
         if (got := self.chunks.get(chunk)) is None:
-            if len(self.chunks) >= REMEMBERED:
-                self.chunks.clear()
-            ids = [i for w in self.words.findall(chunk) for i in self.word(w)]
-            got = self.chunks[chunk] = (array("I", ids).tobytes(), " ".join(map(self.strings.__getitem__, ids)))
+            # a chunk of letters is one word of the split pattern
+            ids = self.word(chunk) if chunk.isalpha() else [i for w in self.words.findall(chunk) for i in self.word(w)]
+            got = (array("I", ids).tobytes(), " ".join(map(self.strings.__getitem__, ids)))
+            self.chunks.put(chunk, got)
         return got
 
     def normal(self, text: str) -> list[str]:
@@ -117,7 +133,7 @@ class WordBpe:
                 found.append((array("I", [self.special[part]]).tobytes(), part))
             elif part:
                 chunks = self.normal(part)
-                known = list(map(self.chunks.get, chunks))
+                known = list(map(self.chunks.young.get, chunks))
                 found += [k if k is not None else self.chunk(c) for k, c in zip(known, chunks, strict=True)] if None in known else known
         return b"".join([b for b, _ in found]), " ".join([s for b, s in found if b])
 

@@ -201,13 +201,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = scratch.keep(lists.join(longer, "key", "left_semi").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id")).drop("root"), "longer-lists")
     largest = placed.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     outside = scratch.keep(placed.join(largest, "key").where(F.col("part") != F.col("largest")), "outside")
-    # two documents outside meet in their first common list only, and by sizes: a bucket holds a ratio of 100 / percent
-    low = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint") - 2**31
+    aims = outside.select("doc_id", "n", *PACKED, F.col("largest").alias("part")).distinct()
+    members = placed.select("doc_id", "n", *PACKED, "part").distinct().join(aims.select("part").distinct(), "part", "left_semi")
+    sizes = scratch.keep(members.groupBy("part").count(), "sizes")
+    few = sizes.where(F.col("count") <= FEW).select("part")
+    many = sizes.where(F.col("count") > FEW)
+    facing = (F.col("x.part") == F.col("y.part")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _alike("x", "y", percent)
+    to_few = aims.alias("x").join(members.join(few, "part", "left_semi").alias("y"), facing).select(*ends)
+
+    # around a small component, two documents outside meet in their first common list only, and by sizes:
+    # a bucket holds a ratio of 100 / percent; lists with one such document alone give nothing
+    near = outside.join(few.withColumnRenamed("part", "largest"), "largest", "left_semi")
+    near = near.join(near.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").drop("largest")
+    low = (F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint") - 2**31).cast("int")
     bucket = F.floor(F.log(F.col("n")) / (np.log(100 / percent) * 1.0001))
-    lean = outside.drop("largest").join(outside.groupBy("doc_id").agg(F.collect_list(low.cast("int")).alias("ks")), "doc_id").withColumn("low", low.cast("int")).withColumn("bucket", bucket)
-    among = lean.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1))).alias("x")
+    near = near.join(near.groupBy("doc_id").agg(F.collect_list(low).alias("ks")), "doc_id").withColumn("low", low).withColumn("bucket", bucket)
+    among = near.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1))).alias("x")
     among = among.join(
-        lean.alias("y"),
+        near.alias("y"),
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.bucket") == F.col("y.bucket"))
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id"))))
@@ -215,25 +226,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         & _alike("x", "y", percent)
         & (F.array_min(F.array_intersect("x.ks", "y.ks")) == F.col("x.low")),
     ).select(*ends)
-    # against the largest component itself: one row a document there, however many lists they share
-    aims = outside.select("doc_id", "n", *PACKED, F.col("largest").alias("part")).distinct()
-    members = placed.select("doc_id", "n", *PACKED, "part").distinct().join(aims.select("part").distinct(), "part", "left_semi")
-    sizes = members.groupBy("part").count()
-    few = sizes.where(F.col("count") <= FEW).select("part")
-    facing = (F.col("x.part") == F.col("y.part")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _alike("x", "y", percent)
-    to_few = aims.alias("x").join(members.join(few, "part", "left_semi").alias("y"), facing).select(*ends)
-    # a large component's members stay in slices and meet on their sets, cut to 32 bits, inside the join
-    many = scratch.keep(sizes.where(F.col("count") > FEW).select("part", F.ceil(F.col("count") / F.lit(float(SLICE))).cast("int").alias("slices")), "many")
-    aims, members = scratch.keep(aims.join(many, "part"), "aims"), scratch.keep(members.join(many, "part"), "members")
-    ids = aims.select("doc_id").union(members.select("doc_id")).distinct()
+
+    # a large component's members, and the documents outside that face it, stay in slices and meet on their sets,
+    # cut to 32 bits, inside the join
+    slices = scratch.keep(many.select("part", F.ceil(F.col("count") / F.lit(float(SLICE))).cast("int").alias("slices")), "many")
+    aims = scratch.keep(aims.join(slices, "part"), "aims")
+    there = scratch.keep(members.join(slices, "part").select(*aims.columns).union(aims), "members")
     cut = F.transform("s", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    sets = scratch.keep(full_sets(docs, scratch.keep(ids, "facing-ids"), width).select("doc_id", cut.alias("s")).dropDuplicates(["doc_id"]), "facing-sets")
+    sets = scratch.keep(full_sets(docs, there.select("doc_id").distinct(), width).select("doc_id", cut.alias("s")).dropDuplicates(["doc_id"]), "facing-sets")
     aims = aims.join(sets, "doc_id").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    members = members.join(sets, "doc_id").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
+    there = there.join(sets, "doc_id").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
     # 32-bit values of a set of n coincide n² / 2³³ times; twice that and a little more keeps the cut one-sided
     shared = F.size(F.array_intersect("x.s", "y.s")) + 4 + F.pow(F.col("x.n") + F.col("y.n"), F.lit(2.0)) / 2**31
     close = 100 * shared >= percent * (F.col("x.n") + F.col("y.n") - shared)
-    to_many = aims.alias("x").join(members.alias("y"), (F.col("x.slice") == F.col("y.slice")) & facing & close).select(*ends)
+    to_many = aims.alias("x").join(there.alias("y"), (F.col("x.slice") == F.col("y.slice")) & facing & close).select(*ends)
     left = among.union(to_few).union(to_many)
     left = scratch.keep(left.distinct(), "left-pairs")
     if not left.isEmpty():

@@ -25,10 +25,11 @@ def sessions(events: DataFrame, gap: str, by: list[str]) -> DataFrame:
     return events.groupBy(*by, w.alias("w")).agg(F.count("*").alias("n")).select(*by, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def event_stream(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
-    """The events table as a stream with a watermark."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+def event_stream(spark: SparkSession, folder: str, files: str = "*.parquet", late: str = "1 hour") -> DataFrame:
+    """The events files of a folder, by a glob on their names, as a stream with a watermark."""
+    schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 def incremental(files: DataFrame, cache: DataFrame, scan: Callable[[DataFrame], DataFrame], version: str) -> tuple[DataFrame, DataFrame]:

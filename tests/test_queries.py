@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from spanwarden.plans import queries, report_queries  # noqa: F401
@@ -22,10 +23,10 @@ def sql():
 
 
 def plain(v):
-    if v is None or v != v:
-        return "null"
     if hasattr(v, "tolist"):
         v = v.tolist()
+    if not isinstance(v, list) and pd.isna(v):
+        return "null"
     return repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 

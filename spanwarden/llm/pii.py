@@ -307,7 +307,8 @@ def joined(spans: list[Span]) -> str:
 
 
 def _decoder(field: Field):
-    return lambda: (once(("pii", len(field.names)), lambda: Decoder(field)),)
+    key = hashlib.sha256(repr(sorted(field.names)).encode() + field.weights.tobytes() + field.steps.tobytes()).hexdigest()
+    return lambda: (once(("pii", key), lambda: Decoder(field)),)
 
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"

@@ -64,7 +64,11 @@ def _put(where: fs.FileSystem, path: str, data: bytes) -> None:
     draft = f"{path}.{uuid.uuid4().hex}"
     with where.open_output_stream(draft) as f:
         f.write(data)
-    where.move(draft, path)
+    try:
+        where.move(draft, path)
+    except OSError:  # not every store renames over what an earlier attempt of the task has left
+        where.delete_file(path)
+        where.move(draft, path)
 
 
 def _get(where: fs.FileSystem, path: str, dtype: str) -> np.ndarray:

@@ -204,19 +204,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     aims = outside.select("doc_id", "n", *PACKED, F.col("largest").alias("part")).distinct()
     members = placed.select("doc_id", "n", *PACKED, "part").distinct().join(aims.select("part").distinct(), "part", "left_semi")
     sizes = scratch.keep(members.groupBy("part").count(), "sizes")
-    few = sizes.where(F.col("count") <= FEW).select("part")
-    many = sizes.where(F.col("count") > FEW)
+    many = scratch.keep(sizes.where(F.col("count") > FEW), "large")
+    large = small(many.select("part"))
     facing = (F.col("x.part") == F.col("y.part")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _alike("x", "y", percent)
-    to_few = aims.alias("x").join(members.join(few, "part", "left_semi").alias("y"), facing).select(*ends)
+    to_few = aims.alias("x").join(members.join(large, "part", "left_anti").alias("y"), facing).select(*ends)
 
-    # around a small component, two documents outside meet in their first common list only, and by sizes:
-    # a bucket holds a ratio of 100 / percent; lists with one such document alone give nothing
-    near = outside.join(few.withColumnRenamed("part", "largest"), "largest", "left_semi")
-    near = near.join(near.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").drop("largest")
+    # around a small component, two documents outside meet in their first common list only, and by sizes: a bucket
+    # is a power of two, and a document whose larger partners may be in the next one looks there too
+    near = outside.join(large.withColumnRenamed("part", "largest"), "largest", "left_anti").drop("largest")
     low = (F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint") - 2**31).cast("int")
-    bucket = F.floor(F.log(F.col("n")) / (np.log(100 / percent) * 1.0001))
-    near = near.join(near.groupBy("doc_id").agg(F.collect_list(low).alias("ks")), "doc_id").withColumn("low", low).withColumn("bucket", bucket)
-    among = near.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1))).alias("x")
+    near = near.join(near.groupBy("doc_id").agg(F.collect_list(low).alias("ks")), "doc_id").withColumn("low", low).withColumn("bucket", F.floor(F.log2("n")))
+    farthest = F.floor(F.log2(F.col("n") * (100 / percent) * 1.0001))
+    among = near.withColumn("bucket", F.explode(F.sequence("bucket", farthest))).alias("x")
     among = among.join(
         near.alias("y"),
         (F.col("x.key") == F.col("y.key"))

@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # is a power of two, and a document whose larger partners may be in the next one looks there too
     near = outside.join(large.withColumnRenamed("part", "largest"), "largest", "left_anti").drop("largest")
     low = (F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint") - 2**31).cast("int")
-    near = near.join(near.groupBy("doc_id").agg(F.collect_list(low).alias("ks")), "doc_id").withColumn("low", low).withColumn("bucket", F.floor(F.log2("n")))
+    near = scratch.keep(near.join(near.groupBy("doc_id").agg(F.collect_list(low).alias("ks")), "doc_id").withColumn("low", low).withColumn("bucket", F.floor(F.log2("n"))), "near")  # both sides of the join read it
     farthest = F.floor(F.log2(F.col("n") * (100 / percent) * 1.0001))
     among = near.withColumn("bucket", F.explode(F.sequence("bucket", farthest))).alias("x")
     among = among.join(

@@ -37,6 +37,7 @@ STEMS = (4, 5, 6)
 SEEDS = ("clown", "disgusting", "dumb", "fool", "garbage", "hate", "idiot", "imbecile", "jerk", "kill", "loser", "moron", "pathetic", "pig", "scum", "shut", "stupid", "trash", "ugly", "worthless")
 SEED_NAMES = frozenset("=" + s for s in SEEDS)
 _WORD = re.compile(r"[^\W\d_]+")
+_ASCII_CAPITALS = bytes(range(65, 91))
 #: Words whose features a worker remembers; at the bound it starts anew.
 REMEMBERED = 300_000
 
@@ -46,12 +47,19 @@ def names_of(word: str) -> tuple[str, ...]:
     return ("=" + word, *("^" + word[:n] for n in STEMS if len(word) > n))
 
 
+def capitals(text: str) -> int:
+    """Upper-case characters of the whole text."""
+    if text.isascii():
+        return len(text) - len(text.encode().translate(None, _ASCII_CAPITALS))
+    return sum(map(str.isupper, text))
+
+
 def patterns(text: str, words: set[str]) -> list[str]:
     """Features of a text besides its words."""
     out = []
     if text.count("!") >= 3:
         out.append("p!")
-    if len(text) >= 40 and sum(map(str.isupper, text[:400])) * 2 > len(text[:400]):
+    if len(text) >= 40 and capitals(text) * 2 > len(text):
         out.append("pA")
     return out
 

@@ -306,6 +306,17 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and 950 < kept.count() < 1020
 
 
+def test_shouting_is_read_from_whole_texts():
+    calm, loud = "a calm word of many and more of them ", "SHOUTING ÄND LOUD "
+    for body, heading in ((loud, calm), (loud.replace("Ä", "A"), calm)):
+        late, headed = heading * 12 + body * 90, body * 23 + heading * 90
+        assert sum(map(str.isupper, late[:400])) * 2 <= 400 < sum(map(str.isupper, headed[:400])) * 2
+        assert "pA" in toxicity.found(late) and "pA" not in toxicity.found(headed)
+        assert all(toxicity.capitals(t) == sum(map(str.isupper, t)) for t in (late, headed, body, ""))
+        score = toxicity.Scorer({"weights": {"pA": 3.0}, "bias": -2.0}).score
+        assert score(late) > 0.5 > score(headed)
+
+
 def test_label_model_finds_accuracies():
     import numpy as np
 

@@ -2,7 +2,8 @@
 
 read_gif() decodes any GIF87a or GIF89a stream to composed RGB frames with their delays; frames() makes
 them a table of one row a frame. write_gif() stores 8-bit samples losslessly. The document query stores
-each text's bytes as palette indexes of a 192 samples wide picture and reads them back.
+each text's bytes as palette indexes of a 192 samples wide picture and reads them back from the colours of
+the composed frames.
 
 Defined results: a null or empty payload is one row of blanks; broken streams raise ValueError in
 read_gif() and give a row with an error and no frames in frames(). A null id stays null.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -170,8 +172,13 @@ def write_gif(samples: bytes, width: int = WIDTH, delay_ms: int = 100) -> bytes:
 
 
 def read_gif(data: bytes, compose: bool = True) -> list[Frame]:
-    """The frames of a GIF. With compose, each is the canvas after it: transparent samples keep what is
-    there; then disposal 2 clears the frame's box and disposal 3 restores what was there before it."""
+    """The frames of a GIF, as each_frame() gives them."""
+    return list(each_frame(data, compose))
+
+
+def each_frame(data: bytes, compose: bool = True) -> Iterator[Frame]:
+    """The frames of a GIF one by one. With compose, each is the canvas after it: transparent samples keep what
+    is there; then disposal 2 clears the frame's box and disposal 3 restores what was there before it."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     wide, high, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
@@ -199,7 +206,6 @@ def read_gif(data: bytes, compose: bool = True) -> list[Frame]:
 
     shared = palette(flags)
     canvas = np.zeros((high, wide, 3), np.uint8) if compose else None
-    found: list[Frame] = []
     delay = disposal = 0
     clear = None
     while at < len(data) and data[at] != 0x3B:
@@ -234,21 +240,24 @@ def read_gif(data: bytes, compose: bool = True) -> list[Frame]:
                     colours = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
                 before = canvas.copy() if disposal == 3 else None
                 index = np.frombuffer(samples, np.uint8).reshape(h, w)[: max(0, high - y), : max(0, wide - x)]
-                seen = np.ones(index.shape, bool) if clear is None else index != clear
                 box = canvas[y : y + index.shape[0], x : x + index.shape[1]]
-                box[seen] = colours[np.minimum(index[seen], len(colours) - 1)]
-                found.append(Frame(delay, disposal, canvas.copy(), samples, (x, y, w, h)))
+                shown = colours.take(index, axis=0, mode="clip")
+                if clear is None:
+                    box[:] = shown
+                else:
+                    seen = index != clear
+                    box[seen] = shown[seen]
+                yield Frame(delay, disposal, canvas.copy(), samples, (x, y, w, h))
                 if disposal == 2:
                     box[:] = 0
                 elif disposal == 3:
                     canvas = before
             else:
-                found.append(Frame(delay, disposal, np.zeros((0, 0, 3), np.uint8), samples, (x, y, w, h)))
+                yield Frame(delay, disposal, np.zeros((0, 0, 3), np.uint8), samples, (x, y, w, h))
             delay = disposal = 0
             clear = None
         elif kind:
             raise ValueError("an unknown block")
-    return found
 
 
 def histogram(rgb: np.ndarray) -> list[int]:
@@ -257,6 +266,16 @@ def histogram(rgb: np.ndarray) -> list[int]:
     return np.bincount(q[:, 0] << 4 | q[:, 1] << 2 | q[:, 2], minlength=64).tolist()
 
 
+def payload(frame: Frame) -> bytes:
+    """The samples that write_gif() stored, from the colours in the frame's box: each is a level of grey."""
+    x, y, w, h = frame.box
+    box = frame.rgb[y : y + h, x : x + w]
+    level = box[..., 0]
+    if not (np.array_equal(level, box[..., 1]) and np.array_equal(level, box[..., 2])):
+        raise ValueError("a colour that is not grey")
+    return level.tobytes()
+
+
 FRAMES = "media_id long, frame int, start_ms long, delay_ms int, disposal int, width int, height int, rgb binary, histogram array<long>, error string"
 
 
@@ -284,8 +303,8 @@ COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def stored(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """Every text of docs (doc_id, text) as a GIF: what was stored and read back, with a histogram of the
-    samples in 16 bins and the frames' durations as feature. keep_media adds the GIF itself."""
+    """Every text of docs (doc_id, text) as a GIF: what was stored and read back from the composed frames, with
+    each frame's start, delay and colour histogram (64 bins) as feature. keep_media adds the GIF itself."""
     tune(docs.sparkSession)
 
     def work(batch: pa.RecordBatch):
@@ -293,10 +312,12 @@ def stored(docs: DataFrame, keep_media: bool = False) -> DataFrame:
         for text in batch.column(1).to_pylist():
             raw = (text or "").encode()
             gif = write_gif(raw + b" " * (max(1, -(-len(raw) // WIDTH)) * WIDTH - len(raw)))
-            found = read_gif(gif, compose=False)
-            back = b"".join(f.indexes for f in found)
-            levels = np.bincount(np.frombuffer(back, np.uint8) >> 4, minlength=16)
-            feature = f"{len(found)}x{sum(f.delay_ms for f in found)}ms:" + ",".join(map(str, levels.tolist()))
+            parts, timed, start = [], [], 0
+            for f in each_frame(gif):
+                parts.append(payload(f))
+                timed.append(f"{start}+{f.delay_ms}ms:" + ",".join(map(str, histogram(f.rgb))))
+                start += f.delay_ms
+            back, feature = b"".join(parts), ";".join(timed)
             rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(gif), hashlib.sha256(gif).hexdigest(), feature, gif))
         names = [c.split()[0] for c in COLUMNS.split(", ")][1:] + ["media"]
         return {"doc_id": ids} | {n: [r[i] for r in rows] for i, n in enumerate(names)}

@@ -197,6 +197,24 @@ def test_stored_payloads(docs):
     assert Counter((r.doc_id, r.n_bytes) for r in media.stored(docs).collect()) == want
 
 
+def test_stored_reads_composed_colours(spark):
+    """The feature is the frames' times and colour histograms, and the payload comes from colours, not from raw samples."""
+    long = "Grey äöü ~ " * 80_000
+    docs = spark.createDataFrame([(1, "Ab é~"), (2, None), (3, long)], "doc_id long, text string")
+    for r in media.stored(docs, keep_media=True).collect():
+        start, want = 0, []
+        for f in media.read_gif(bytes(r.media)):
+            want.append(f"{start}+{f.delay_ms}ms:" + ",".join(map(str, media.histogram(f.rgb))))
+            start += f.delay_ms
+        assert r.feature == ";".join(want) and len(want) == (2 if r.doc_id == 3 else 1)
+        raw = ({1: "Ab é~", 3: long}.get(r.doc_id) or "").encode()
+        assert hashlib.sha256(raw.ljust(r.payload_bytes)).hexdigest() == r.payload_sha256
+    whole = media.write_gif(b"a" * 192)
+    painted = whole[:13] + bytes([9, 8, 7]) * 256 + whole[13 + 768 :]
+    with pytest.raises(ValueError):
+        media.payload(media.read_gif(painted)[0])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href=/>no</a></ul></nav><!-- no -->
 <div class="ad">no</div><article class="post-1"><h1>Head &amp; more</h1><p><b>One   two<br>three<p>Four &eacute;<div class="comments">no</div></article><aside>no</aside><footer>&copy; no</footer>"""
 

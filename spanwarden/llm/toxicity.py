@@ -2,8 +2,8 @@
 
 Many voters (seed words, word stems and patterns that training labels point to, and their absence) vote
 on texts. A generative label model estimates each voter's accuracies by expectation maximisation without
-using labels, after folding voters that agree far more often than their accuracies explain into one
-(correlations). A linear classifier over words, stems and patterns is then trained on the posterior
+using labels. It estimates no correlations: voters whose votes overlap by a fixed share are folded into one,
+and the rest are taken as independent given the class (README has figures). A linear classifier over words, stems and patterns is then trained on the posterior
 labels, and gives the score of every text.
 
 Training takes a bounded sample, SAMPLE texts of the labelled training rows in a fixed random order;

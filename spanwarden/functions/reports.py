@@ -1,12 +1,13 @@
 """Report formats from findings. Texts of one file are assembled in Spark as far as they are tables (JSON,
-CSV, SARIF, SBOM) and on the driver only for what a person reads, over rows that a limit bounds."""
+CSV, SARIF, SBOM); JUnit, Markdown and HTML are made of one text row a finding, and hold every finding."""
 
 from __future__ import annotations
 
 import html as escaping
+from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from . import scoring
@@ -16,8 +17,6 @@ from .model import CONFIDENCES, SEVERITIES, label
 CSV = ("id", "rule_id", "scanner", "severity", "confidence", "likelihood", "risk_score", "title", "path", "start_line", "cwe", "owasp", "tags", "fingerprint")
 LEVELS = ("note", "note", "warning", "error", "error")
 SCORES = ("0.0", "3.0", "5.5", "8.0", "9.5")
-#: Findings that readable reports show.
-SHOWN = 500
 
 
 def _named(findings: DataFrame) -> DataFrame:
@@ -78,10 +77,26 @@ def gitlab(findings: DataFrame) -> DataFrame:
     return findings.withColumn("__key", key).select(F.sha2("__key", 256).alias("id"), F.lit("sast").alias("category"), F.col("rule_id").alias("name"), name.alias("severity"), F.col("path").alias("file"), "start_line", "end_line")
 
 
+def _lines(findings: DataFrame, line: Callable[[Row], str], order: tuple[str, ...], *columns: str) -> DataFrame:
+    return _named(findings).select(*order, F.udf(line, "string")(F.struct(*columns)).alias("text"))
+
+
+def _joined(lines: DataFrame) -> str:
+    return "".join(r.text for r in lines.select("text").toLocalIterator())
+
+
+def junit_lines(findings: DataFrame) -> DataFrame:
+    """A row for each finding in ordinal order: its test case as text, with the columns that order it."""
+
+    def case(r: Row) -> str:
+        return f'<testcase classname="{escaping.escape(r.scanner)}" name="{escaping.escape(r.rule_id)}"><failure message="{escaping.escape(r.severity_name)}">{escaping.escape(f"{r.path}:{r.start_line}")}</failure></testcase>'
+
+    return _lines(findings, case, ("ordinal",), "scanner", "rule_id", "severity_name", "path", "start_line").orderBy("ordinal")
+
+
 def junit(findings: DataFrame) -> str:
-    rows = _named(findings).orderBy("ordinal").limit(SHOWN).collect()
-    cases = "".join(f'<testcase classname="{escaping.escape(r.scanner)}" name="{escaping.escape(r.rule_id)}"><failure message="{escaping.escape(r.severity_name)}">{escaping.escape(f"{r.path}:{r.start_line}")}</failure></testcase>' for r in rows)
-    return f'<?xml version="1.0" encoding="UTF-8"?><testsuite name="security" tests="{len(rows)}" failures="{len(rows)}">{cases}</testsuite>'
+    n = findings.count()
+    return f'<?xml version="1.0" encoding="UTF-8"?><testsuite name="security" tests="{n}" failures="{n}">{_joined(junit_lines(findings))}</testsuite>'
 
 
 def md_escaped(text: str) -> str:
@@ -89,16 +104,31 @@ def md_escaped(text: str) -> str:
     return "".join("\\" + c if c in "\\`*_{}[]<>()#+-.!|" else c for c in " ".join(text.split()) if c.isprintable())
 
 
+def markdown_lines(findings: DataFrame) -> DataFrame:
+    """A row for each finding, the worst first: its table row as text, with the columns that order it."""
+
+    def row(r: Row) -> str:
+        return f"| {r.severity_name} | {md_escaped(r.rule_id)} | {md_escaped(r.path)}:{r.start_line or ''} | {r.risk_score} |\n"
+
+    return _lines(findings, row, ("severity", "risk_score", "ordinal"), "severity_name", "rule_id", "path", "start_line", "risk_score").orderBy(F.desc("severity"), F.desc("risk_score"), "ordinal")
+
+
 def markdown(findings: DataFrame, target: str = "") -> str:
-    rows = _named(findings).orderBy(F.desc("severity"), F.desc("risk_score"), "ordinal").limit(SHOWN).collect()
     head = f"# Security report {md_escaped(target)}\n\n| severity | rule | place | risk |\n|---|---|---|---|\n"
-    return head + "".join(f"| {r.severity_name} | {md_escaped(r.rule_id)} | {md_escaped(r.path)}:{r.start_line or ''} | {r.risk_score} |\n" for r in rows)
+    return head + _joined(markdown_lines(findings))
+
+
+def html_lines(findings: DataFrame) -> DataFrame:
+    """A row for each finding, the worst first: its table row as text, with the columns that order it."""
+
+    def row(r: Row) -> str:
+        return f"<tr><td>{r.severity_name}</td><td>{escaping.escape(r.rule_id)}</td><td>{escaping.escape(r.path)}:{r.start_line or ''}</td><td>{r.risk_score}</td></tr>"
+
+    return _lines(findings, row, ("severity", "risk_score", "ordinal"), "severity_name", "rule_id", "path", "start_line", "risk_score").orderBy(F.desc("severity"), F.desc("risk_score"), "ordinal")
 
 
 def html(findings: DataFrame, target: str = "") -> str:
-    rows = _named(findings).orderBy(F.desc("severity"), F.desc("risk_score"), "ordinal").limit(SHOWN).collect()
-    body = "".join(f"<tr><td>{r.severity_name}</td><td>{escaping.escape(r.rule_id)}</td><td>{escaping.escape(r.path)}:{r.start_line or ''}</td><td>{r.risk_score}</td></tr>" for r in rows)
-    return f"<!DOCTYPE html><title>Security report</title><h1>{escaping.escape(target)}</h1><table>{body}</table>"
+    return f"<!DOCTYPE html><title>Security report</title><h1>{escaping.escape(target)}</h1><table>{_joined(html_lines(findings))}</table>"
 
 
 def badge(findings: DataFrame) -> DataFrame:

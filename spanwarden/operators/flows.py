@@ -1,7 +1,8 @@
 """Data flow between the lines of a file by joins: names assigned from a source, through further assignments,
 to lines where a sink takes them. Serves JavaScript and language-model code, where no parser is at hand.
 
-Names are as wide as a file; a value that a sanitizer has touched on its way is clean. Hops are bounded.
+Names are as wide as a file; a value that a sanitizer has touched on its way is clean. Chains have any
+length: the assignments of one file are followed in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +18,22 @@ from .blocks import finding
 
 ASSIGN = r"^\s*(?:export\s+)?(?:const\s+|let\s+|var\s+)?([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=(?!=)\s*(.+)$"
 NAME = r"(?<![\w$.])([A-Za-z_$][\w$]*)"
-HOPS = 3
+
+
+def reached(assigned: list) -> list[str]:
+    """The names that a source reaches through a file's assignments: rows of name, direct (holds a source), names (that it takes)."""
+    takers: dict[str, list[str]] = {}
+    for a in assigned:
+        for n in a.names:
+            takers.setdefault(n, []).append(a.name)
+    todo = [a.name for a in assigned if a.direct]
+    seen = set(todo)
+    while todo:
+        for name in takers.get(todo.pop(), ()):
+            if name not in seen:
+                seen.add(name)
+                todo.append(name)
+    return sorted(seen)
 
 
 @dataclass(frozen=True)
@@ -29,16 +45,15 @@ class Sink:
     clean: str = ""
 
 
-def flow(files: DataFrame, source: str, sinks: tuple[Sink, ...], scanner: str, clean: str, confidence: int = 1, hops: int = HOPS) -> DataFrame:
+def flow(files: DataFrame, source: str, sinks: tuple[Sink, ...], scanner: str, clean: str, confidence: int = 1) -> DataFrame:
     """Findings of sinks whose arguments hold a source or a name that one reached."""
     of = lines(files).where(F.length("content") <= MAX_LINE)
     key = ["project", "path"]
     value = F.regexp_extract("content", ASSIGN, 2)
     assigned = of.where(F.rlike("content", F.lit(ASSIGN))).select(*key, F.regexp_extract("content", ASSIGN, 1).alias("name"), value.alias("value")).where(~F.rlike("value", F.lit(clean)))
-    tainted = assigned.where(F.rlike("value", F.lit(source))).select(*key, "name").distinct()
-    uses = assigned.select(*key, F.col("name").alias("to"), F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(NAME), F.lit(1)))).alias("name"))
-    for _ in range(hops):
-        tainted = tainted.union(uses.join(tainted, [*key, "name"], "left_semi").select(*key, F.col("to").alias("name"))).distinct()
+    steps = assigned.select(*key, "name", F.rlike("value", F.lit(source)).alias("direct"), F.array_distinct(F.regexp_extract_all("value", F.lit(NAME), F.lit(1))).alias("names"))
+    steps = steps.groupBy(*key).agg(F.collect_list(F.struct("name", "direct", "names")).alias("steps")).where(F.exists("steps", lambda x: x["direct"]))
+    tainted = steps.select(*key, F.explode(F.udf(reached, "array<string>")("steps")).alias("name"))
     out = None
     for s in sinks:
         opened = F.regexp_extract("content", f"(?:{s.pattern})(.*)$", 1)

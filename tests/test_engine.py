@@ -208,6 +208,12 @@ def test_flows(spark):
     assert ids(flows.language_models(f)) == [("llm.insecure-output-handling", "c.py", 3)]
 
 
+def test_flows_of_any_length(spark):
+    chain = ["const n0 = req.query.q;", *(f"const n{i} = 'x' + n{i - 1};" for i in range(1, 12)), "const other = 1;"]
+    f = corpus(spark, {"a.js": "\n".join([*chain, "db.query(n11);", "db.query(other);"]), "loop.js": "a = b;\nb = a;\ndb.query(a);\n"})
+    assert ids(flows.javascript(f)) == [("ast-js.ast-sql-injection", "a.js", 14)]
+
+
 def test_dedupe_folds_against_the_last_kept(spark):
     rows = [("a.x" if i % 2 else "b.x", "a" if i % 2 else "b", "f.py", line, 3, 1 if line in (3, 10) else 0, ["CWE-89"]) for i, line in enumerate([1, 3, 5, 9, 10])]
     assert sorted(n for *_, n in ids(findings.deduplicated(found(spark, *rows)))) == [3, 10]
@@ -287,6 +293,18 @@ def test_sarif_import(spark):
     assert sorted(r.path for r in sarif.refused(f).collect()) == ["b.sarif", "c.sarif", "d.sarif"]
 
 
+def test_readable_reports_hold_every_finding(spark):
+    f = findings.with_scores(found(spark, *(("a.x", "a", f"f{i}.py", i + 1, i % 5, 1, ["CWE-1"]) for i in range(620))))
+    text = reports.junit(f)
+    assert 'tests="620" failures="620"' in text and text.count("<testcase") == text.count("</testcase>") == 620
+    places = [r.text.split(">")[2].split("<")[0] for r in reports.junit_lines(f).collect()]
+    assert places == [f"{r.path}:{r.start_line}" for r in f.orderBy("ordinal").collect()]
+    assert reports.markdown(f).count("\n| ") == 621 and reports.html(f).count("<tr>") == 620
+    assert [r.severity for r in reports.html_lines(f).collect()] == sorted((i % 5 for i in range(620)), reverse=True)
+    none = f.where("false")
+    assert 'tests="0"' in reports.junit(none) and reports.html(none).endswith("<table></table>")
+
+
 def test_reports(spark):
     f = findings.with_scores(found(spark, ("a.x", "a", "d/a b.py", 1, 3, 1, ["CWE-1", "CWE-2"]), ("a.x", "a", "c.py", 2, 4, 1, ["CWE-1"]), ("b|y", "b", "e.py", 1, 0, 1, [])))
     run = json.loads(reports.sarif(f).first().sarif)["runs"][0]

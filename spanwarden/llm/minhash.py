@@ -1,23 +1,32 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
-Each document's set of word shingles gets a MinHash signature. Documents are posted under
-(coordinate, value) pairs; two documents whose signatures agree in at least T coordinates share one
-of the K - T + 1 rarest pairs of either (prefix). The longer lists outside the prefix are skipped:
-their collisions are counted from a packed copy of the signature, four bits a coordinate, by XOR and
-a bit count inside the join condition. Pairs above the match threshold are confirmed on full sets.
+Each document's set of word shingles gets a MinHash signature. Documents are posted under their
+(coordinate, value) pairs, and a distributed count tells how many documents hold each pair. Two documents
+whose signatures agree in at least MATCHES of COORDINATES places share one of the PREFIX rarest pairs of
+either, so only these are joined; pairs that one document alone holds never leave it. The longer lists
+outside the prefix are skipped: their collisions are counted from a packed copy of the signature, four bits
+a coordinate, by XOR and a bit count inside the join condition. Pairs above the match threshold are
+confirmed on full sets.
 
 Equal sets fold into their smallest id first. A list gives pairs with its few hubs only; components
-follow, and a second join takes what the hubs left: members outside a list's largest component
-against all of the list. So every pair that the threshold retains is either inside one component
-already or confirmed by itself, while a large group of near copies costs few rows a member.
-
-Defined results: null or blank text has an empty set and links with nothing; a null id is a
-component of its own (null) and kept; rows that share an id are one document when linking.
+follow, and a second join takes what the hubs left: members of a list that lie in different components.
+So every pair that the threshold retains is either inside one component already or confirmed by itself,
+while a large group of near copies costs few rows a member. Long lists meet in blocks of bounded size.
+
+The threshold is on signatures: a pair at a similarity of exactly 0.8 falls short of it with odds of about
+3 in 100,000, one at 0.85 with odds below 1 in 10 million. Nothing else loses a pair.
+
+Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer words
+than a shingle is one shingle; texts of any length are read whole. A null id is a component of its own
+(null) and kept. Rows that share an id are one document: it links where any of its texts does, and all its
+rows with words get one component. Repeated rows stay as rows; ties go to the smallest id; an empty table gives an
+empty result; columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, per_batch, small, texts, tune
 
-COORDINATES, POSTED = 64, 24
-#: Matches that a pair needs: at a similarity of 0.8 a pair falls short with odds below 1 in 10,000.
-MATCHES, POSTED_MATCHES = 39, 10
-PREFIX = POSTED - POSTED_MATCHES + 1
+COORDINATES = 64
+#: Matches that a pair needs.
+MATCHES = 38
+PREFIX = COORDINATES - MATCHES + 1
 HUBS = 8
-#: Components with more documents than FEW are faced on sets, in slices of about SLICE documents.
-FEW, SLICE = 32, 1024
-#: Keys that more than 1 / HOT_SHARE of all sets have count as frequent: POSTED * HOT_SHARE of them at most.
-HOT_SHARE = 4096
+#: Components with more documents than FEW are faced on sets, in slices of about SLICE documents; lists without such
+#: a component meet in blocks of about BLOCK documents.
+FEW, SLICE, BLOCK = 32, 1024, 256
 PACKED = ("f0", "f1", "f2", "f3")
 _SEEDS = np.random.default_rng(20240611).integers(1, 2**63, (3, COORDINATES), dtype=np.uint64)
 _XOR, _ODD = _SEEDS[0], _SEEDS[1] | np.uint64(1)
@@ -79,7 +87,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, digest of the set, packed signature and the posted keys of each document."""
+    """doc_id, n, digest of the set, packed signature and the keys of each document, one a coordinate."""
 
     def work(batch: pa.RecordBatch, hashes: Hashes):
         ids, bodies = batch.column(0), batch.column(1).to_pylist()
@@ -90,34 +98,27 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             if len(s):
                 sigs[i] = signature(s)
-        keys = _mix(sigs[:, :POSTED] + np.arange(1, POSTED + 1, dtype=np.uint64) * _P)
+        keys = _mix(sigs + np.arange(1, COORDINATES + 1, dtype=np.uint64) * _P)
         nibbles = (_mix(sigs) >> np.uint64(60)).reshape(len(bodies), 4, 16)
         packed = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bodies) * POSTED + 1, POSTED), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bodies) * COORDINATES + 1, COORDINATES), pa.int32()), pa.array(keys.view(np.int64).ravel()))
         return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *(pa.array(packed[:, j].copy()) for j in range(4)), lists], names=["doc_id", "n", "digest", *PACKED, "keys"])
 
     schema = "doc_id long, n long, digest binary, " + ", ".join(f"{f} long" for f in PACKED) + ", keys array<long>"
     return per_batch(texts(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), schema, work, lambda: (Hashes(),))
 
 
-def postings(sets: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """A row for each of a set's PREFIX rarest keys. hot: the frequent keys' counts; others are all rare."""
-    spark = sets.sparkSession
-    keys = np.array(sorted(hot), np.int64)
-    shared = spark.sparkContext.broadcast((keys, np.array([hot[k] for k in keys.tolist()], np.int64)))
-
-    def work(batch: pa.RecordBatch):
-        hot_keys, counts = shared.value
-        m = batch.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, POSTED)
-        weight = np.zeros(m.shape, np.int64)
-        if len(hot_keys):
-            at = np.minimum(np.searchsorted(hot_keys, m), len(hot_keys) - 1)
-            weight = np.where(hot_keys[at] == m, counts[at], 0)
-        chosen = np.take_along_axis(m, np.lexsort((m, weight), axis=1)[:, :PREFIX], axis=1)
-        rows = pa.array(np.repeat(np.arange(len(m)), PREFIX))
-        return pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), *(batch.column(c).take(rows) for c in ("doc_id", "n", *PACKED))], names=["key", "doc_id", "n", *PACKED])
+def postings(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """A row for each of a set's PREFIX rarest keys that another set holds too: key, doc_id, n and packed signature.
 
-    return per_batch(sets.select("doc_id", "n", *PACKED, "keys"), "key long, doc_id long, n long, " + ", ".join(f"{f} long" for f in PACKED), work)
+    Keys are ordered by how many sets hold them, then by value; those of one set alone come first and need no row.
+    """
+    keys = sets.select("doc_id", "other", F.explode("keys").alias("key"))
+    counts = scratch.keep(keys.groupBy("key").agg(F.count("*").cast("int").alias("held")).where("held > 1"), "counts")
+    shared = keys.join(counts.hint("shuffle_hash"), "key").groupBy("doc_id", "other").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("__keys"))
+    rarest = F.slice("__keys", 1, F.greatest(F.lit(0), PREFIX - COORDINATES + F.size("__keys")))
+    lists = shared.select("doc_id", "other", rarest.alias("__keys")).where(F.size("__keys") > 0).join(sets.drop("keys"), ["doc_id", "other"])
+    return lists.select(F.explode("__keys.key").alias("key"), "doc_id", "n", *PACKED)
 
 
 def _alike(a: str, b: str, percent: int):
@@ -155,22 +156,36 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scrat
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, root) of every node of edges (a, b): alternating large-star and small-star rounds."""
+    """(node, root) of every node of edges (a, b): alternating large-star and small-star rounds until nothing changes."""
     e = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), f"{name}-0")
     before = None
-    for k in range(1, 60):
+    for k in itertools.count(1):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         e = scratch.keep(large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct(), f"{name}-{k}")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if k > 1:
-            scratch.drop(f"{name}-{k - 1}")
+        scratch.drop(f"{name}-{k - 1}")
         if now == before:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def sets_of(sig: DataFrame, least: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct sets of at least `least` shingles; the smallest id of each digest; ids whose rows hold several sets, as links.
+
+    Sets have (doc_id, other) as their name: other is 0 but for further sets of an id that stands for several.
+    """
+    some = sig.where("n > 0 AND doc_id IS NOT NULL").withColumn("d", F.xxhash64("digest"))
+    owners = scratch.keep(some.groupBy("digest", "d").agg(F.min("doc_id").alias("rep")), "owners")
+    crowded = owners.groupBy("rep").agg(F.min("d").alias("first"), F.count("*").alias("sets")).where("sets > 1").select("rep", "first")
+    other = F.when(F.coalesce(F.col("first"), F.col("d")) == F.col("d"), F.lit(0).cast("long")).otherwise(F.col("d"))
+    named = owners.join(crowded, "rep", "left").select("digest", F.col("rep").alias("doc_id"), other.alias("other"))
+    sets = sig.where(F.col("n") >= least).join(named, ["digest", "doc_id"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "other", "n", *PACKED, "keys")
+    several = some.groupBy("doc_id").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x <> y").select("doc_id")
+    links = some.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(owners, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    return scratch.keep(sets, "sets"), owners, scratch.keep(links, "same-id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -179,68 +194,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tune(spark)
     scratch = Scratch(spark, "near-duplicates")
     sig = scratch.keep(signatures(docs, width), "signatures")
-    owners = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # sets of less than 4 shingles that differ are less similar than 0.8 for certain
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
-    sets = scratch.keep(sig.where(F.col("n") >= least).join(owners.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "n", *PACKED, "keys"), "sets")
-    total = sets.count()
-    hot = sets.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > max(HUBS + 1, total // HOT_SHARE))
-    lists = postings(sets, {r[0]: r[1] for r in hot.collect()})
+    sets, owners, same = sets_of(sig, least, scratch)
+    lists = scratch.keep(postings(sets, scratch), "lists")
+    for done in ("sets", "counts"):
+        scratch.drop(done)
 
     # a list's hubs: its first members in a fixed random order; row_number <= HUBS is limited before the shuffle
     order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
     hubs = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS)
-    hubs = scratch.keep(hubs.withColumn("members", F.max("rank").over(Window.partitionBy("key"))).where("members > 1"), "hubs")
+    hubs = scratch.keep(hubs.withColumn("members", F.max("rank").over(Window.partitionBy("key"))).where("members > 1").drop("rank", "members"), "hubs")
     ends = (F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
     pairs = lists.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _alike("x", "y", percent)).select(*ends)
-    edges = confirmed(docs, scratch.keep(pairs.distinct(), "hub-pairs"), width, percent, scratch, "hub-links")
+    edges = confirmed(docs, scratch.keep(pairs.distinct(), "hub-pairs"), width, percent, scratch, "hub-links").union(same)
     found = components(edges, scratch, "first")
 
-    # what the hubs left: in lists that have further members, those outside the largest component against all
-    longer = hubs.where(F.col("rank") == HUBS).select("key")
+    # what the hubs left: in lists that have further members, those of different components
+    longer = lists.groupBy("key").count().where(F.col("count") > HUBS).select("key")
     placed = scratch.keep(lists.join(longer, "key", "left_semi").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id")).drop("root"), "longer-lists")
-    largest = placed.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    outside = scratch.keep(placed.join(largest, "key").where(F.col("part") != F.col("largest")), "outside")
-    aims = outside.select("doc_id", "n", *PACKED, F.col("largest").alias("part")).distinct()
-    members = placed.select("doc_id", "n", *PACKED, "part").distinct().join(aims.select("part").distinct(), "part", "left_semi")
-    sizes = scratch.keep(members.groupBy("part").count(), "sizes")
-    many = scratch.keep(sizes.where(F.col("count") > FEW), "large")
-    large = small(many.select("part"))
-    facing = (F.col("x.part") == F.col("y.part")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _alike("x", "y", percent)
-    to_few = aims.alias("x").join(members.join(large, "part", "left_anti").alias("y"), facing).select(*ends)
-
-    # around a small component, two documents outside meet in their first common list only, and by sizes: a bucket
-    # is a power of two, and a document whose larger partners may be in the next one looks there too
-    near = outside.join(large.withColumnRenamed("part", "largest"), "largest", "left_anti").drop("largest")
-    low = (F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint") - 2**31).cast("int")
-    near = scratch.keep(near.join(near.groupBy("doc_id").agg(F.collect_list(low).alias("ks")), "doc_id").withColumn("low", low).withColumn("bucket", F.floor(F.log2("n"))), "near")  # both sides of the join read it
+    sizes = scratch.keep(placed.select("part", "doc_id").distinct().groupBy("part").count(), "sizes")
+    tops = placed.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("largest"), F.sum("count").alias("members"), F.count("*").alias("parts")).where("parts > 1")
+    tops = scratch.keep(tops.join(sizes.select(F.col("part").alias("largest"), (F.col("count") > FEW).alias("many")), "largest"), "tops")
+
+    # lists without a large component: two documents meet in their first common list only, and by sizes: a bucket is
+    # a power of two, and a document whose larger partners may be in the next one looks there too; in blocks
+    near = placed.join(tops.where("NOT many").select("key", F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "key")
+    near = scratch.keep(near.join(near.groupBy("doc_id").agg(F.collect_list("key").alias("ks")), "doc_id").withColumn("bucket", F.floor(F.log2("n"))), "near")  # both sides of the join read it
     farthest = F.floor(F.log2(F.col("n") * (100 / percent) * 1.0001))
-    among = near.withColumn("bucket", F.explode(F.sequence("bucket", farthest))).alias("x")
+    among = near.withColumn("bucket", F.explode(F.sequence("bucket", farthest))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
     among = among.join(
-        near.alias("y"),
+        near.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).alias("y"),
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.bucket") == F.col("y.bucket"))
+        & (F.col("x.block") == F.col("y.block"))
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id"))))
         & (F.col("x.part") != F.col("y.part"))
         & _alike("x", "y", percent)
-        & (F.array_min(F.array_intersect("x.ks", "y.ks")) == F.col("x.low")),
+        & (F.array_min(F.array_intersect("x.ks", "y.ks")) == F.col("x.key")),
     ).select(*ends)
 
     # a large component's members, and the documents outside that face it, stay in slices and meet on their sets,
-    # cut to 32 bits, inside the join
-    slices = scratch.keep(many.select("part", F.ceil(F.col("count") / F.lit(float(SLICE))).cast("int").alias("slices")), "many")
-    aims = scratch.keep(aims.join(slices, "part"), "aims")
+    # cut to 31 bits, inside the join
+    slices = scratch.keep(sizes.where(F.col("count") > FEW).select("part", F.ceil(F.col("count") / F.lit(float(SLICE))).cast("int").alias("slices")), "many")
+    aims = placed.join(tops.where("many").select("key", "largest"), "key").where(F.col("part") != F.col("largest"))
+    aims = scratch.keep(aims.select("doc_id", "n", *PACKED, F.col("largest").alias("part")).distinct().join(slices, "part"), "aims")
+    members = placed.select("doc_id", "n", *PACKED, "part").distinct().join(aims.select("part").distinct(), "part", "left_semi")
     there = scratch.keep(members.join(slices, "part").select(*aims.columns).union(aims), "members")
     cut = F.transform("s", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    sets = scratch.keep(full_sets(docs, there.select("doc_id").distinct(), width).select("doc_id", cut.alias("s")).dropDuplicates(["doc_id"]), "facing-sets")
+    sets = scratch.keep(full_sets(docs, there.select("doc_id").distinct(), width).select("doc_id", cut.alias("s")).distinct(), "facing-sets")
     aims = aims.join(sets, "doc_id").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     there = there.join(sets, "doc_id").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
-    # 32-bit values of a set of n coincide n² / 2³³ times; twice that and a little more keeps the cut one-sided
-    shared = F.size(F.array_intersect("x.s", "y.s")) + 4 + F.pow(F.col("x.n") + F.col("y.n"), F.lit(2.0)) / 2**31
-    close = 100 * shared >= percent * (F.col("x.n") + F.col("y.n") - shared)
+    facing = (F.col("x.part") == F.col("y.part")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _alike("x", "y", percent)
+    # 31-bit values of a set of n coincide n² / 2³² times; four times that and a little more keeps the cut one-sided
+    nx, ny = F.size("x.s"), F.size("y.s")
+    shared = F.size(F.array_intersect("x.s", "y.s")) + 4 + F.pow(nx + ny, F.lit(2.0)) / 2**30
+    close = 100 * shared >= percent * (nx + ny - shared)
     to_many = aims.alias("x").join(there.alias("y"), (F.col("x.slice") == F.col("y.slice")) & facing & close).select(*ends)
-    left = among.union(to_few).union(to_many)
-    left = scratch.keep(left.distinct(), "left-pairs")
+    left = scratch.keep(among.union(to_many).distinct(), "left-pairs")
     if not left.isEmpty():
         more = confirmed(docs, left, width, percent, scratch, "left-links")
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch, "second")
@@ -248,7 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     own = F.coalesce("root", "rep", "doc_id")
     return (
         sig.select("doc_id", "n", "digest")
-        .join(owners, "digest", "left")
+        .join(owners.drop("d"), "digest", "left")
         .join(found, F.col("rep") == F.col("node"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, own).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))

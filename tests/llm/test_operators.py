@@ -39,49 +39,74 @@ def rows_of(docs):
     return [(r.doc_id, r.text) for r in docs.collect()]
 
 
+def shingle_set(t, width):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+    return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates_brute_force(docs, width):
-    sets = {}
-    for i, t in rows_of(docs):
-        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
-        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
-    top = {i: i for i in sets}
+    sets = [(i, shingle_set(t, width)) for i, t in rows_of(docs)]
+    top = {i: i for i, _ in sets}
 
     def root(x):
         while top[x] != x:
             x = top[x]
         return x
 
-    ids = sorted(i for i in sets if i is not None)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            n = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * n >= 80 * len(sets[a] | sets[b]):
+    rows = [(i, s) for i, s in sets if i is not None and s]
+    for k, (a, s) in enumerate(rows):
+        for b, other in rows[k + 1 :]:
+            if 100 * len(s & other) >= 80 * len(s | other):
                 x, y = sorted((root(a), root(b)))
                 top[y] = x
-    got = minhash.near_duplicates(docs, width).collect()
-    assert len(got) == docs.count()
-    for r in got:
-        if r.doc_id is None:
-            assert (r.component_id, r.kept) == (None, True)
-        else:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root(r.doc_id), root(r.doc_id) == r.doc_id)
-
-
-def test_large_near_copy_group_meets_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "FEW", 4)
-    monkeypatch.setattr(minhash, "SLICE", 8)
-    monkeypatch.setattr(minhash, "HUBS", 2)
-    base = [f"w{i}" for i in range(100)]
-    rows = []
-    for k in range(80):
-        words = list(base)
-        for _ in range(rng.randint(0, 14)):
-            words[rng.randrange(100)] = f"n{rng.randrange(999)}"
-        rows.append((k, " ".join(words)))
+    want = Counter((i, len(s), None if i is None else root(i) if s else i, i is None or not s or root(i) == i) for i, s in sets)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, width).collect()) == want
+
+
+def near_copies(n, size, edits, base="w", start=0):
+    words = [f"{base}{i}" for i in range(size)]
+    out = []
+    for k in range(n):
+        own = list(words)
+        for _ in range(rng.randint(0, edits)):
+            own[rng.randrange(size)] = f"n{rng.randrange(999)}"
+        out.append((start + k, " ".join(own)))
+    return out
+
+
+def test_large_groups_meet_in_slices_and_blocks(spark, monkeypatch):
+    """Near copies in one large group; documents that share most of a passage and little else; both kinds in one list."""
+    for name, value in (("FEW", 4), ("SLICE", 8), ("HUBS", 2), ("BLOCK", 8)):
+        monkeypatch.setattr(minhash, name, value)
+    rows = near_copies(80, 100, 14)
+    passage = [f"p{i}" for i in range(100)]
+    for k in range(60):  # similarities around the threshold, without a common centre
+        rows.append((500 + k, " ".join([*passage, *(f"o{k // 3}x{i}" for i in range(rng.randint(10, 30)))])))
     test_near_duplicates_brute_force(spark.createDataFrame(rows, "doc_id long, text string"), 2)
 
 
+def test_one_id_with_several_texts(spark):
+    """An id's texts are one document: it links where any of them does, and chains through it."""
+    a, b, c = (near_copies(1, 60, 0, x)[0][1] for x in "abc")
+    rows = [(5, a), (302, a + " end"), (302, b), (400, b), (401, c), (401, None), (7, c + " end"), (7, c + " end"), (302, ""), (8, None), (None, a), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    test_near_duplicates_brute_force(docs, 2)
+    assert {r.doc_id for r in minhash.deduplicated(docs, 2).where("length(text) > 0").collect()} == {5, 7, None}
+
+
+def test_components_of_long_chains(spark, tmp_path):
+    """Rounds go on until nothing changes, however long a chain is."""
+    from spanwarden.llm.common import Scratch
+
+    n = 700
+    order = list(range(n))
+    rng.shuffle(order)
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(n, n + 1), (n + 2, n + 1)], "a long, b long")
+    got = {r.node: r.root for r in minhash.components(edges, Scratch(spark, "chains"), "chain").collect()}
+    assert got == {i: 0 if i < n else n for i in range(n + 3) if i not in (0, n)} | {i: i for i in (0, n) if i in got}
+
+
 def test_deduplicated_keeps_columns(docs):
     out = minhash.deduplicated(docs)
     assert out.columns == docs.columns

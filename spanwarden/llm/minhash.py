@@ -147,12 +147,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """The pairs (a, b) whose full shingle sets are similar enough. No aggregate follows the joins, so Spark can split a hub's pairs."""
     ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
     sets = scratch.keep(full_sets(docs, ids, width), f"{name}-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return scratch.keep(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(), name)
+    return scratch.keep(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), name)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -222,9 +222,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     near = placed.join(tops.where("NOT many").select("key", F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "key")
     near = scratch.keep(near.join(near.groupBy("doc_id").agg(F.collect_list("key").alias("ks")), "doc_id").withColumn("bucket", F.floor(F.log2("n"))), "near")  # both sides of the join read it
     farthest = F.floor(F.log2(F.col("n") * (100 / percent) * 1.0001))
-    among = near.withColumn("bucket", F.explode(F.sequence("bucket", farthest))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    unit, spread = ("key", "bucket", "block"), int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    among = near.withColumn("bucket", F.explode(F.sequence("bucket", farthest))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition(spread, *unit).alias("x")
     among = among.join(
-        near.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).alias("y"),
+        near.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).repartition(spread, *unit).alias("y"),
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.bucket") == F.col("y.bucket"))
         & (F.col("x.block") == F.col("y.block"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import sys
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,14 +16,20 @@ from pyspark.sql.types import StructType
 
 #: Rows of (id) that may be broadcast; beyond it joins shuffle. 2 million longs are 16 MB.
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as spark.checkpoint.dir names it.
 
-    Only where the setting is absent (single-machine tests) a local folder stands in.
+    Only a session whose executors are threads of the driver may leave it unset; a temporary folder stands in.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}/checkpoints"
+    return found.rstrip("/")
 
 
 def tune(spark: SparkSession) -> None:
@@ -54,9 +61,13 @@ class Scratch:
             pass
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves that it has few rows, else df for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, width=None) -> DataFrame:
+    """df with a broadcast hint if it proves to have few rows, else df for a shuffled join.
+
+    width: a column of each row's bytes where rows hold more than a few numbers; together they may be BROADCAST_BYTES.
+    """
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.lit(8) if width is None else width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
 
 def once(key: tuple, make: Callable[[], object]) -> object:

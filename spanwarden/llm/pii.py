@@ -2,16 +2,23 @@
 
 The field reads the shapes of a line's tokens (runs of letters and digits, with their neighbours' shapes),
 is trained by gradient ascent from the small labelled table below, and decodes all lines of a batch at
-once by Viterbi in numpy. A field span that overlaps a pattern's span, or has none of its kind's digits,
-is left out; pattern spans all stay.
+once by Viterbi in numpy. A field span that overlaps a pattern's span, or hasn't the digits or signs of its
+kind, is left out; pattern spans all stay.
 
-Defined results: null and empty texts have no spans. A null id stays null. Offsets are code points.
+All work on a text is linear in its length: patterns look at each character a bounded number of times, so
+long runs of digits, letters or signs cost no more than prose.
+
+Defined results: null, empty and blank texts have no spans; texts of any length are read whole. A null id
+stays null, repeated rows and ids each give a row, and an empty table gives an empty result. Offsets are code
+points. Columns other than doc_id and text are not read by personal_data() and pass through redacted().
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +29,13 @@ from .common import once, per_batch, texts, tune
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", "email", "ip", "B-card", "I-card", "B-phone", "I-phone")
-#: Fixed patterns.
-PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-}
+#: Fixed patterns, stated so that no position starts a second search through the same run: an e-mail is found from
+#: its @, an ip within a whole chain of numbers and dots.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: Tokens that a worker remembers the class of; at the bound it starts anew.
 REMEMBERED = 300_000
@@ -239,13 +246,38 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _valid(kind: str, found: str) -> bool:
-    if kind == "email":
-        return True
-    if kind == "ip":
-        return all(int(p) <= 255 for p in found.split("."))
-    digits = "".join(_DIGIT.findall(found))
-    return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
+def emails(text: str) -> list[tuple[int, int]]:
+    """Spans of local@label.label..., leftmost and non-overlapping."""
+    out, free = [], 0  # free: the first character that no earlier @ or span has taken
+    at = text.find("@")
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(_LOCAL))
+        free = at + 1
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            out.append((start, m.end()))
+            free = m.end()
+        at = text.find("@", free)
+    return out
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Spans of four numbers of at most 255 with dots between; a longer chain is taken in fours."""
+    out = []
+    for m in _CHAIN.finditer(text):
+        if m[0].count(".") >= 3:
+            parts, at = m[0].split("."), m.start()
+            for i in range(0, len(parts) - 3, 4):
+                four = parts[i : i + 4]
+                size = sum(map(len, four)) + 3
+                if all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in four):
+                    out.append((at, at + size))
+                at += size + 1
+    return out
+
+
+def numbers(text: str, pattern: re.Pattern, least: int, most: int, valid=lambda digits: True) -> list[tuple[int, int]]:
+    """Spans of a pattern with the given number of digits, which are valid."""
+    return [m.span() for m in pattern.finditer(text) if least <= len(d := "".join(_DIGIT.findall(m[0]))) <= most and valid(d)]
 
 
 Span = tuple[str, int, int]
@@ -253,12 +285,22 @@ Span = tuple[str, int, int]
 
 def base_spans(text: str) -> list[Span]:
     """The patterns' spans (kind, start, end), by kind and start."""
-    if "@" not in text and not _DIGIT.search(text):
-        return []
-    return [(k, m.start(), m.end()) for k, p in PATTERNS.items() if k != "email" or "@" in text for m in p.finditer(text) if _valid(k, m[0])]
+    found = {"email": emails(text) if "@" in text else []}
+    if _DIGIT.search(text):
+        found |= {"ip": addresses(text) if "." in text else [], "card": numbers(text, _CARD, 13, 19, luhn), "phone": numbers(text, _PHONE, 9, 15) if "+" in text else []}
+    return [(k, a, b) for k in KINDS for a, b in found.get(k, ())]
+
+
+_STARTS = re.compile(r"[\w(+]")
 
 
-_EDGE = re.compile(r"^[^\w(+]*(.*?)[^\w]*$", re.S)
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A span without leading signs but ( and +, and without trailing signs."""
+    m = _STARTS.search(text, a, b)
+    a = m.start() if m else b
+    while b > a and not (text[b - 1].isalnum() or text[b - 1] == "_"):
+        b -= 1
+    return a, b
 
 
 def field_spans(text: str, labels: np.ndarray, base: list[Span]) -> list[Span]:
@@ -273,15 +315,17 @@ def field_spans(text: str, labels: np.ndarray, base: list[Span]) -> list[Span]:
             out[-1] = (kind, out[-1][1], places[i][1])
         else:
             out.append((kind, *places[i]))
-    trimmed = []
+    ordered = sorted((x, y) for _, x, y in base)
+    starts, reach = [x for x, _ in ordered], list(accumulate((y for _, y in ordered), max))
+    added = []
     for kind, a, b in out:
-        m = _EDGE.match(text[a:b])
-        a, b = a + m.start(1), a + m.end(1)
-        digits = len(_DIGIT.findall(text[a:b]))
-        enough = {"email": "@" in text[a:b], "ip": digits >= 4, "card": 13 <= digits <= 19 and luhn("".join(_DIGIT.findall(text[a:b]))), "phone": 7 <= digits <= 15}[kind]
-        if enough and not any(a < y and x < b for _, x, y in base):
-            trimmed.append((kind, a, b))
-    return trimmed
+        a, b = trimmed(text, a, b)
+        digits = "".join(_DIGIT.findall(text[a:b]))
+        enough = {"email": "." in text[a:b].partition("@")[2], "ip": 4 <= len(digits) <= 12, "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 7 <= len(digits) <= 15}[kind]
+        before = bisect_left(starts, b)  # base spans that start before the end
+        if enough and not (before and reach[before - 1] > a):
+            added.append((kind, a, b))
+    return added
 
 
 def all_spans(bodies: list[str | None], decoder: Decoder) -> list[tuple[list[Span], list[Span]]]:

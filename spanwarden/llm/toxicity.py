@@ -1,16 +1,22 @@
 """Toxicity by weak supervision.
 
-Many voters (seed words, word stems and patterns that training labels point to, and their absence) vote
-on texts. A generative label model estimates each voter's accuracies by expectation maximisation without
-using labels. It estimates no correlations: voters whose votes overlap by a fixed share are folded into one,
-and the rest are taken as independent given the class (README has figures). A linear classifier over words, stems and patterns is then trained on the posterior
-labels, and gives the score of every text.
+Many voters (seed words, words and stems that training labels point to, and patterns) vote on texts. A
+generative label model estimates their accuracies and correlations: voters that agree within a class of the
+sample beyond chance are dependent, and each set of dependent voters becomes one voter whose vote is how many
+of them are there (none, one, more). Expectation maximisation then gives, without labels, every such voter's
+rates in either class and the posterior labels. A vote speaks for its class as its rates tell; a voter that
+is silent says nothing, for a text of another language has none of its words; that all are silent counts
+once. A linear classifier over words, stems and patterns is trained on the posteriors, and gives every
+text's score.
 
 Training takes a bounded sample, SAMPLE texts of the labelled training rows in a fixed random order;
-the labels there choose the candidate words and fix the classifier's class balance. Every text is scored.
+the labels there choose the names that may vote and fix the class balance. Every text is scored whole.
 
-Defined results: null and empty texts get the score of a text without any feature. A null id is in no
-training sample and not held out. With no positive training label the seed words alone vote.
+Defined results: null, empty and blank texts get the score of a text without any feature. A null id is in no
+training sample and not held out; of rows that repeat an id the least text trains, of its labels the
+greatest; every row is scored. Names of equal evidence rank by name. With no positive training label the
+seed words alone vote. An empty table gives an empty result, and very long texts are read whole. Columns
+other than doc_id, text and toxic are not read by scored() and pass through filtered().
 """
 
 from __future__ import annotations
@@ -27,9 +33,13 @@ from .common import per_batch, texts, tune
 
 #: Labelled texts that voters and classifier are made from, at most.
 SAMPLE = 20_000
-FEATURES, VOTERS, THRESHOLD = 2000, 400, 0.3
-#: Weights below this are taken for noise and left out.
-LEAST = 0.25
+THRESHOLD = 0.3
+#: Correlation within a class from which two voters count as dependent.
+DEPENDENT = 0.5
+#: Texts of label 1 that a voter needs in the sample: so many, and this share of them.
+SEEN, SUPPORT = 5, 0.015
+#: Texts of label 1 to one other that have a name which votes.
+PURE = 19
 #: G² that a name needs: chance passes 1 in 10,000.
 EVIDENCE = 15.1
 STEMS = (4, 5, 6)
@@ -80,7 +90,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text and toxic of the training sample."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).where("__id IS NOT NULL AND __toxic IS NOT NULL")
     chosen = chosen.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("__toxic").alias("__toxic")).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
-    return docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == F.col("__id")).select("text", F.col("__toxic").alias("toxic"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("__doc"), "text").join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    return rows.groupBy("__id").agg(F.min("text").alias("text"), F.max("__toxic").alias("toxic")).select("text", "toxic")
 
 
 def likelihood_ratio(yes, no, n1: int, n0: int):
@@ -94,7 +105,7 @@ def likelihood_ratio(yes, no, n1: int, n0: int):
 
 
 def candidates(rows: DataFrame) -> list[tuple[str, int, int]]:
-    """The FEATURES names that tell most about the labels, with positive and other texts that have each."""
+    """The names that tell about the labels, most telling first, with positive and other texts that have each. The sample bounds them."""
 
     def work(batch: pa.RecordBatch):
         counts: dict[str, list[int]] = {}
@@ -107,8 +118,7 @@ def candidates(rows: DataFrame) -> list[tuple[str, int, int]]:
     total = rows.agg(F.count_if(F.col("toxic") == 1).alias("yes"), F.count_if(F.col("toxic") != 1).alias("no")).first()
     n1, n0 = max(1, total["yes"]), max(1, total["no"])
     top = per.where(F.col("yes") + F.col("no") >= 3).withColumn("g", likelihood_ratio(F.col("yes"), F.col("no"), n1, n0)).where(F.col("g") >= EVIDENCE)
-    top = top.orderBy(F.desc("g"), "f").limit(FEATURES)
-    return [(r["f"], r["yes"], r["no"]) for r in top.collect()]
+    return [(r["f"], r["yes"], r["no"]) for r in top.orderBy(F.desc("g"), "f").collect()]
 
 
 def feature_matrix(rows: DataFrame, names: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -122,31 +132,64 @@ def feature_matrix(rows: DataFrame, names: list[str]) -> tuple[list[np.ndarray],
     return [np.array(r["at"], np.int64) for r in got], np.array([r["toxic"] == 1 for r in got], float)
 
 
-def folded(votes: np.ndarray, rate: float = 0.8) -> np.ndarray:
-    """Voters without the copies of another: a pair whose votes overlap beyond `rate` counts once, the more frequent one."""
-    order = np.argsort(-votes.sum(axis=0), kind="stable")
-    both = votes.T @ votes
-    n = np.diag(both).copy()
-    keep: list[int] = []
-    for v in order:
-        if n[v] and all(both[v, k] < rate * (n[v] + n[k] - both[v, k]) for k in keep):
-            keep.append(int(v))
-    return np.array(keep, np.int64)
+def dependent_sets(votes: np.ndarray, classes: np.ndarray) -> list[list[int]]:
+    """The voters in sets that depend on each other within a class.
+
+    votes: texts by voters, 0 or 1; classes: each text's. A pair's correlation is the greatest that a class shows in
+    which both have SEEN votes. Sets grow along the most correlated pairs first, while half of their pairs are dependent.
+    """
+    n = votes.shape[1]
+    most = np.zeros((n, n))
+    for c in (0, 1):
+        own = votes[classes == c]
+        seen = own.sum(axis=0)
+        if len(own):
+            mean = seen / len(own)
+            spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
+            corr = ((own.T @ own) / len(own) - np.outer(mean, mean)) / np.outer(spread, spread)
+            most = np.maximum(most, np.where(np.minimum.outer(seen, seen) >= SEEN, corr, 0))
+    np.fill_diagonal(most, 0)
+    where = {i: [i] for i in range(n)}
+    for at in np.argsort(-most, axis=None, kind="stable").tolist():
+        i, j = divmod(at, n)
+        if most[i, j] < DEPENDENT:
+            break
+        if i < j and where[i] is not where[j] and (most[np.ix_(where[i], where[j])] >= DEPENDENT).mean() >= 0.5:
+            joined = where[i] + where[j]
+            for k in joined:
+                where[k] = joined
+    return sorted({id(x): sorted(x) for x in where.values()}.values())
 
 
-def label_model(votes: np.ndarray, prior: np.ndarray, share: float, strength: float = 30.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors of texts, and each voter's rate of votes in either class, by expectation maximisation.
+def label_model(votes: np.ndarray, sets: list[list[int]], prior: np.ndarray, share: float, strength: float = 30.0, rounds: int = 100, silence: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Posteriors of texts, and for each set of voters the rates (2 by 3) of none, one or more votes in either class.
 
-    A vote is presence; voters are independent given the class, after folded(). prior: rates expected
-    beforehand (2 by voters), which weigh as `strength` texts and keep the classes' meaning fixed.
+    By expectation maximisation; the sets are independent given the class. silence: does a voter without a vote
+    speak for a class too, as voters do that could vote on any text? Else only the silence of all does, as a last
+    set (0: some vote, 1: none). prior: a voter's rates expected beforehand (2 by voters), which weigh as
+    `strength` texts and keep the classes' meaning fixed.
     """
-    rates = prior.copy()
+    levels = [np.minimum(votes[:, s].sum(axis=1), 2).astype(int) for s in sets]
+    expected = []
+    for s in sets:
+        none = 1 - prior[:, s].max(axis=1)
+        some = (1 - none) * (1.0 if len(s) == 1 else 0.5)
+        expected.append(np.clip(np.stack([none, some, 1 - none - some], axis=1), 1e-5, 1))
+    if not silence:
+        levels.append((np.max(levels, axis=0) == 0).astype(int))
+        expected.append(np.array([[0.1, 0.9, 1e-5], [0.9, 0.1, 1e-5]]))
+    rates = [e.copy() for e in expected]
     post = np.full(len(votes), share)
     for _ in range(rounds):
-        odds = np.log(share / (1 - share)) + votes @ (np.log(rates[1]) - np.log(rates[0])) + (1 - votes) @ (np.log1p(-rates[1]) - np.log1p(-rates[0]))
+        odds = np.full(len(votes), np.log(share / (1 - share)))
+        for level, r in zip(levels, rates, strict=True):
+            ratio = np.log(r[1]) - np.log(r[0])
+            ratio[0] *= silence
+            odds += ratio[level]
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        for c, w in ((1, new), (0, 1 - new)):
-            rates[c] = np.clip((w @ votes + strength * prior[c]) / (w.sum() + strength), 1e-5, 1 - 1e-5)
+        for level, r, e in zip(levels, rates, expected, strict=True):
+            for c, w in ((1, new), (0, 1 - new)):
+                r[c] = np.clip((np.bincount(level, w, 3) + strength * e[c]) / (w.sum() + strength * e[c].sum()), 1e-5, 1)
         if np.abs(new - post).max() < 1e-6:
             break
         post = new
@@ -184,30 +227,25 @@ def model_from(chosen: list[tuple[str, int, int]], x: list[np.ndarray], gold: np
     """The model from names with their counts and the sample's rows of name numbers; seeds that have no count stand last."""
     known = {f: (y, n) for f, y, n in chosen}
     names = [f for f, _, _ in chosen] + sorted(SEED_NAMES.difference(known))
-    n1, n0 = max(1.0, gold.sum()), max(1.0, len(gold) - gold.sum())
-    # voters: names that few texts but those of label 1 have, and the seed lexicon
-    voters = [i for i, f in enumerate(names) if f in SEED_NAMES or known[f][0] >= 5 and known[f][0] >= 4 * known[f][1]][: VOTERS + len(SEED_NAMES)]
-    votes = np.zeros((len(x), len(voters)))
+    # voters: names that few texts but those of label 1 have, and the seed lexicon; their accuracies come from votes alone
+    voters = [i for i, f in enumerate(names) if f in SEED_NAMES or known[f][0] >= max(SEEN, SUPPORT * gold.sum()) and known[f][0] >= PURE * known[f][1]]
+    votes = np.zeros((len(x), len(voters)), np.float32)
     place = {v: k for k, v in enumerate(voters)}
     for i, r in enumerate(x):
         for v in r.tolist():
             if v in place:
                 votes[i, place[v]] = 1
-    prior = np.empty((2, len(voters)))
-    for k, v in enumerate(voters):
-        y, n = known.get(names[v], (0, 0))
-        seed = names[v] in SEED_NAMES
-        prior[:, k] = (n + 0.1 + 0.2 * seed) / (n0 + 20), (y + 0.5 + 2 * seed) / (n1 + 20)
-    kept = folded(votes)
+    kept = np.flatnonzero(votes.sum(axis=0))
     if not len(kept):
         return {"weights": dict.fromkeys(SEED_NAMES, 2.0), "bias": -3.0}
     share = min(0.5, max(0.02, float(gold.mean()) if len(gold) else 0.1))
-    post, _ = label_model(votes[:, kept], prior[:, kept], share)
+    prior = np.tile([[0.003], [0.05]], (1, len(kept)))  # every voter's alike: a vote is rare, and rarer in class 0
+    post, _ = label_model(votes[:, kept], dependent_sets(votes[:, kept], gold), prior, share)
     w, b = linear(x, post, len(names))
     for i, f in enumerate(names):  # seeds that no text of the sample has keep a weight of their own
         if f in SEED_NAMES and not any(known.get(f, (0, 0))):
             w[i] = 2.0
-    return {"weights": {f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > LEAST}, "bias": float(b)}
+    return {"weights": {f: float(v) for f, v in zip(names, w, strict=True) if v}, "bias": float(b)}
 
 
 class Scorer:

@@ -11,8 +11,13 @@ manifest (one row a part). Files appear under their final names by a rename when
 task that runs again writes the same files again. Readers map the files into memory where the folder
 is a mounted one and read them through the file system's client elsewhere.
 
-Defined results: null and empty texts have the end id alone. Rows that share an id follow each other
-by text. A null id sorts first and reads back as null (stored as the least 64-bit integer).
+A part takes about PART_BYTES of text, a range of doc_id and, where many rows share an id, of their texts;
+its ids go to the file batch by batch, so a task holds one batch.
+
+Defined results: null and empty texts have the end id alone; texts of any length are written whole. Rows
+that share an id follow each other by text, rows that are alike in any order. A null id sorts first and
+reads back as null (stored as the least 64-bit integer). An empty table gives no part and an empty result.
+Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, once, per_batch, shared_dir, texts, tune
+from .common import Scratch, once, per_batch, texts, tune
 
 NULL_ID = -(2**63)
 #: Bytes of text that a part takes, about.
@@ -37,8 +43,8 @@ PART_BYTES = 48 << 20
 class ByteBpe:
     """Byte-level BPE ids as the tokenizers library gives them for its file.
 
-    The same merges as tiktoken ranks run four times as fast and give the same ids (tests hold both
-    against each other). Special tokens' strings inside texts are those tokens, the library's default.
+    The same merges as tiktoken ranks run four times as fast and give the same ids: tests hold both against
+    each other on every vocabulary string and every code point in several surroundings. Special tokens' strings inside texts are those tokens, the library's default.
     """
 
     def __init__(self, file: str, ranks_file: str, pattern: str, special: dict[str, int]):
@@ -60,10 +66,7 @@ def folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def _put(where: fs.FileSystem, path: str, data: bytes) -> None:
-    draft = f"{path}.{uuid.uuid4().hex}"
-    with where.open_output_stream(draft) as f:
-        f.write(data)
+def _publish(where: fs.FileSystem, draft: str, path: str) -> None:
     try:
         where.move(draft, path)
     except OSError:  # not every store renames over what an earlier attempt of the task has left
@@ -87,26 +90,33 @@ def write(docs: DataFrame, uri: str, bpe: dict, end: int = 0) -> DataFrame:
     plain = texts(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
-    sliced = plain.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    sliced = plain.repartitionByRange(parts, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         coder = once(("byte-bpe", bpe["file"]), lambda: ByteBpe(**bpe))
         kind = np.dtype("<u2" if coder.size <= 1 << 16 else "<u4")
-        ids, ends, keys = [], [np.zeros(1, np.int64)], []
-        for batch in batches:
-            found = [[*coder.ids(t or ""), end] for t in batch.column(1).to_pylist()]
-            ids.append(np.array([i for f in found for i in f], kind))
-            ends.append(np.array([len(f) for f in found], np.int64))
-            keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-        if not keys:
+        part, (store, base), own = TaskContext.get().partitionId(), folder(uri), uuid.uuid4().hex
+        names = {x: f"{base}/part-{part:05d}.{x}" for x in ("ids", "off", "doc")}
+        n_docs = n_ids = 0
+        with ExitStack() as stack:
+            files = {}
+            for batch in batches:
+                if not files:
+                    files = {x: stack.enter_context(store.open_output_stream(f"{path}.{own}")) for x, path in names.items()}
+                    files["off"].write(np.zeros(1, "<i8").tobytes())
+                found = [[*coder.ids(t or ""), end] for t in batch.column(1).to_pylist()]
+                offsets = n_ids + np.cumsum([len(f) for f in found])
+                files["ids"].write(np.array([i for f in found for i in f], kind).tobytes())
+                files["off"].write(offsets.astype("<i8").tobytes())
+                files["doc"].write(batch.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                n_docs, n_ids = n_docs + len(found), int(offsets[-1])
+        if not n_docs:
             return
-        part, (store, base) = TaskContext.get().partitionId(), folder(uri)
-        offsets = np.cumsum(np.concatenate(ends))
-        for name, data in (("ids", np.concatenate(ids)), ("off", offsets.astype("<i8")), ("doc", np.concatenate(keys).astype("<i8"))):
-            _put(store, f"{base}/part-{part:05d}.{name}", data.tobytes())
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part]), "n_docs": pa.array([len(offsets) - 1]), "n_ids": pa.array([int(offsets[-1])]), "bits": pa.array([kind.itemsize * 8])})
+        for path in names.values():
+            _publish(store, f"{path}.{own}", path)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part]), "n_docs": pa.array([n_docs]), "n_ids": pa.array([n_ids]), "bits": pa.array([kind.itemsize * 8])})
 
     manifest = sliced.mapInArrow(run, "part long, n_docs long, n_ids long, bits long")
     manifest = Scratch(spark, "token-ids-manifest").keep(manifest, "parts")
@@ -136,5 +146,5 @@ def read(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:
 def token_ids(docs: DataFrame, bpe: dict, end: int = 0) -> DataFrame:
     """Writes docs to a new folder in the shared one and reads every document's row back from the files."""
     spark = docs.sparkSession
-    uri = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    uri = Scratch(spark, "token-ids").path("files")  # goes with the session
     return read(spark, uri, write(docs, uri, bpe, end))

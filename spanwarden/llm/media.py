@@ -5,8 +5,10 @@ them a table of one row a frame. write_gif() stores 8-bit samples losslessly. Th
 each text's bytes as palette indexes of a 192 samples wide picture and reads them back from the colours of
 the composed frames.
 
-Defined results: a null or empty payload is one row of blanks; broken streams raise ValueError in
-read_gif() and give a row with an error and no frames in frames(). A null id stays null.
+Defined results: a null or empty payload is one row of blanks; texts of any length are stored whole, in
+frames of at most ROWS lines. Broken streams raise ValueError in read_gif() and give a row with an error and
+no frames in frames(). A null id stays null, repeated rows and ids each give a row of equal values, and an
+empty table gives an empty result. Columns other than doc_id and text (media_id and gif) are not read.
 """
 
 from __future__ import annotations

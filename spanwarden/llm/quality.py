@@ -5,7 +5,10 @@ cost, highest first, and a text leaves the cascade at its first rejection. The o
 only: the verdict is that no rule rejects.
 
 Words are runs of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
-Defined results: null and empty texts have no words and fail the base. A null id stays null.
+Defined results: null, empty and blank texts have no words and fail the base; texts of any length are read
+whole. A null id stays null, repeated rows and ids each give a row, rules of equal gain run by name, and an
+empty table gives an empty result. Columns other than doc_id and text are not read by quality() and pass
+through filtered().
 """
 
 from __future__ import annotations

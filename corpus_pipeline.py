@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next stage's docs. All but the last return the columns of documents.
+
+Defined results: null, empty and blank texts have no words, so the quality rules reject them; rows with a null
+id pass every stage by their text alone and near_duplicates keeps them; rows that repeat an id are judged each,
+and near_duplicates keeps all of them or none; ties keep the smallest id. Texts of any length are read whole.
+Columns beyond those of documents pass through all stages but the last, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -177,7 +177,7 @@ def openapi(specs: DataFrame) -> DataFrame:
 
 
 def attestations(docs: DataFrame) -> DataFrame:
-    """Provenance documents (project, path, text) without a builder id or signature, and projects without any."""
+    """Provenance documents (project, path, text) without a builder id or signature."""
     builder = F.coalesce(F.get_json_object("text", "$.predicate.builder.id"), F.get_json_object("text", "$.predicate.runDetails.builder.id"), F.get_json_object("text", "$.builder.id"))
     signed = F.coalesce(F.get_json_object("text", "$.signatures"), F.get_json_object("text", "$.payload"), F.lit("[]")) != "[]"
     rows = docs.select(*_FILE, F.lit(1).alias("line"), F.substring("text", 1, 80).alias("content"), builder.alias("builder"), signed.alias("signed"))
@@ -185,6 +185,13 @@ def attestations(docs: DataFrame) -> DataFrame:
     return out.unionByName(finding(rows.where("NOT signed"), "provenance.unsigned", "provenance", LOW, ("CWE-345",)))
 
 
+def without_attestations(files: DataFrame, docs: DataFrame) -> DataFrame:
+    """A finding for each project of files that has no provenance document among docs."""
+    bare = files.select("project").distinct().join(docs.select("project").distinct(), "project", "left_anti")
+    rows = bare.select("project", F.lit(".").alias("path"), F.lit(None).cast("int").alias("line"), F.lit("no attestation").alias("content"))
+    return finding(rows, "provenance.missing", "provenance", LOW, ("CWE-345",))
+
+
 def all_blocks(files: DataFrame) -> DataFrame:
     """Findings of every multi-line detector."""
     out = capability_blocks(files)

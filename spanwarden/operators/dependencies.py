@@ -10,9 +10,10 @@ from ..functions.model import SEVERITIES, rank
 
 
 def inventory(packages: DataFrame) -> DataFrame:
-    """ecosystem, package, version, manifest: of each version the first manifest, parsers in their order."""
-    w = Window.partitionBy("ecosystem", "package", "version").orderBy("parser_rank", "manifest")
-    return packages.withColumn("__k", F.row_number().over(w)).where("__k = 1").select("ecosystem", "package", "version", "manifest")
+    """project (where packages have one), ecosystem, package, version, manifest: of each version the first manifest, parsers in their order."""
+    on = [*(["project"] if "project" in packages.columns else []), "ecosystem", "package", "version"]
+    first = packages.groupBy(*on).agg(F.min(F.struct("parser_rank", "manifest")).alias("__first"))
+    return first.select(*on, "__first.manifest")
 
 
 def vulnerable(packages: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -88,9 +89,10 @@ def symbol_reachability(matches: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def advisory_findings(matches: DataFrame, places: DataFrame) -> DataFrame:
-    """Findings of vulnerable packages in their manifests: places has (ecosystem, package, version, manifest)."""
+    """Findings of vulnerable packages in their manifests: places has (ecosystem, package, version, manifest), and may have project."""
     level = F.coalesce(rank(F.col("severity"), SEVERITIES), F.lit(2))
-    return matches.join(places, ["ecosystem", "package", "version"]).select(F.concat(F.lit("dependencies."), "id").alias("rule_id"), F.lit("dependencies").alias("scanner"), F.col("manifest").alias("path"), level.alias("severity"), F.lit(2).alias("confidence"), F.concat_ws("==", "package", "version").alias("snippet"), "cve")
+    project = ["project"] if "project" in places.columns else []
+    return matches.join(places, ["ecosystem", "package", "version"]).select(*project, F.concat(F.lit("dependencies."), "id").alias("rule_id"), F.lit("dependencies").alias("scanner"), F.col("manifest").alias("path"), level.alias("severity"), F.lit(2).alias("confidence"), F.concat_ws("==", "package", "version").alias("snippet"), "cve")
 
 
 #: Lifecycle hooks of npm manifests, and what makes their scripts suspicious: fixed values.
@@ -99,10 +101,11 @@ SUSPICIOUS = r"(?i)curl|wget|eval|base64|node\s+-e|powershell|https?://|\|\s*(?:
 
 
 def lifecycle_scripts(manifests: DataFrame) -> DataFrame:
-    """Findings of install hooks in package.json texts (path, text) that fetch or run something."""
+    """Findings of install hooks in package.json texts (path, text; a project stays) that fetch or run something."""
     scripts = F.from_json(F.get_json_object("text", "$.scripts"), "map<string,string>")
-    rows = manifests.select("path", F.explode(scripts).alias("hook", "script")).where(F.col("hook").isin(*HOOKS) & F.rlike("script", F.lit(SUSPICIOUS)))
-    return rows.select("path", F.lit("supply-chain.npm-lifecycle-script").alias("rule_id"), F.lit(3).alias("severity"), F.lit(1).alias("confidence"), F.concat_ws(": ", "hook", "script").alias("snippet"))
+    project = ["project"] if "project" in manifests.columns else []
+    rows = manifests.select(*project, "path", F.explode(scripts).alias("hook", "script")).where(F.col("hook").isin(*HOOKS) & F.rlike("script", F.lit(SUSPICIOUS)))
+    return rows.select(*project, "path", F.lit("supply-chain.npm-lifecycle-script").alias("rule_id"), F.lit(3).alias("severity"), F.lit(1).alias("confidence"), F.concat_ws(": ", "hook", "script").alias("snippet"))
 
 
 def reevaluated(deployed: DataFrame, advisories: DataFrame, seen: DataFrame) -> DataFrame:

@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 
 def keyed(findings: DataFrame) -> DataFrame:
     """findings with a key: the fingerprint, and from its second occurrence in line order on #n."""
-    n = F.row_number().over(Window.partitionBy("fingerprint").orderBy(F.coalesce("start_line", F.lit(0)), "ordinal"))
+    own = ["project"] if "project" in findings.columns else []
+    n = F.row_number().over(Window.partitionBy(*own, "fingerprint").orderBy(F.coalesce("start_line", F.lit(0)), "ordinal"))
     return findings.withColumn("__n", n).withColumn("key", F.when(F.col("__n") == 1, F.col("fingerprint")).otherwise(F.concat_ws("#", "fingerprint", F.col("__n").cast("string")))).drop("__n")
 
 
 def scan_drift(before: DataFrame, after: DataFrame) -> DataFrame:
-    """key, change (added, removed, severity_changed or unchanged), before_severity, after_severity, rule_id, path."""
-    side = ("key", "severity", "rule_id", "path")
+    """key, change (added, removed, severity_changed or unchanged), before_severity, after_severity, rule_id, path; after
+    the project where both states have one."""
+    project = ["project"] if "project" in before.columns and "project" in after.columns else []
+    side = (*project, "key", "severity", "rule_id", "path")
     b, a = keyed(before).select(*side).alias("b"), keyed(after).select(*side).alias("a")
     change = F.when(F.col("b.key").isNull(), "added").when(F.col("a.key").isNull(), "removed").when(F.col("a.severity") != F.col("b.severity"), "severity_changed").otherwise("unchanged")
-    both = b.join(a, F.col("a.key") == F.col("b.key"), "full")
-    return both.select(F.coalesce("a.key", "b.key").alias("key"), change.alias("change"), F.col("b.severity").alias("before_severity"), F.col("a.severity").alias("after_severity"), F.coalesce("a.rule_id", "b.rule_id").alias("rule_id"), F.coalesce("a.path", "b.path").alias("path"))
+    same = F.col("a.key") == F.col("b.key")
+    for p in project:
+        same = same & (F.col(f"a.{p}") == F.col(f"b.{p}"))
+    both = b.join(a, same, "full")
+    return both.select(*(F.coalesce(f"a.{p}", f"b.{p}").alias(p) for p in project), F.coalesce("a.key", "b.key").alias("key"), change.alias("change"), F.col("b.severity").alias("before_severity"), F.col("a.severity").alias("after_severity"), F.coalesce("a.rule_id", "b.rule_id").alias("rule_id"), F.coalesce("a.path", "b.path").alias("path"))
 
 
 def package_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

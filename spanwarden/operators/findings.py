@@ -1,13 +1,17 @@
 """What happens to findings after detection: suppression, de-duplication, context, policies, filters, scores.
 
-Every function takes and returns DataFrames. Small side tables (allow entries, policies, context rows) are
-parameters of a run, so joins with them are theta joins for which Spark broadcasts the side it can prove
-small. Findings carry an `ordinal`, their place in scan order, which settles ties.
+Every function takes and returns DataFrames. Small side tables (allow entries, policies, context rows) come
+from a run's configuration; they become one expression over findings, not a join, and SIDE_ROWS bounds them.
+Findings carry an `ordinal`, their place in scan order, which settles ties. A file is (project, path): where
+both sides of a step have a project, it is part of every key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -18,6 +22,10 @@ from ..sources.files import suffix
 DEDUPE_LINES, MERGE_LINES = 3, 2
 AST_CWES = ("CWE-89", "CWE-79", "CWE-22", "CWE-95")
 AST_SUFFIXES = {"ast-python": (".py",), "ast-js": (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts")}
+#: Rows that a side table of a run may have.
+SIDE_ROWS = 2000
+#: Characters of a path that findings are numbered by in one task.
+SLICE = 16
 #: Rules whose lines have a rewrite.
 REWRITES = ("patterns.python-yaml-load", "patterns.tls-verify-disabled", "patterns.flask-debug-true", "patterns.weak-hash-md5-sha1", "patterns.python-shell-true", "patterns.python-xml-resolve-entities", "patterns.python-weak-random-token")
 EXPOSURE = {"internal": -1, "partner": 0, "internet": 1, "public": 1}
@@ -25,6 +33,24 @@ EXPOSURE = {"internal": -1, "partner": 0, "internet": 1, "public": 1}
 OPENERS = {"--": (".sql", ".lua", ".hs"), "<!--": (".html", ".htm", ".xhtml", ".xml", ".md", ".markdown"), ";": (".ini", ".lisp", ".lsp", ".el", ".clj")}
 
 
+def keys(*sides: DataFrame, of: tuple[str, ...] = ("path",)) -> list[str]:
+    """of, after the project where all sides have one."""
+    return [*(["project"] if all("project" in s.columns for s in sides) else []), *of]
+
+
+def side_rows(entries: DataFrame, *order: str) -> list[Row]:
+    """The rows of a side table in order; ValueError beyond SIDE_ROWS, for such a table is no configuration."""
+    rows = (entries.orderBy(*order) if order else entries).limit(SIDE_ROWS + 1).collect()
+    if len(rows) > SIDE_ROWS:
+        raise ValueError(f"a side table of a run may have {SIDE_ROWS} rows")
+    return rows
+
+
+def _either(conditions: list[Column]) -> Column:
+    """Is any of the conditions true? Unknown ones are not."""
+    return F.coalesce(reduce(lambda a, b: a | b, (F.coalesce(c, F.lit(False)) for c in conditions), F.lit(False)), F.lit(False))
+
+
 def with_scores(findings: DataFrame) -> DataFrame:
     """findings with risk_score and fingerprint."""
     c = F.col
@@ -42,8 +68,9 @@ def inline_suppressed(findings: DataFrame, of_lines: DataFrame, today: Column, m
     marked = of_lines.where(F.contains(content, F.lit(marker))).where(F.rlike(content, expr))
     until = F.call_function("regexp_extract", content, expr, F.lit(3))
     marked = marked.withColumn("__until", F.when(until != "", F.try_to_date(until, "yyyy-MM-dd"))).withColumn("__dated", until != "").withColumn("__rule", F.call_function("regexp_extract", content, expr, F.lit(1)))
-    marked = marked.where(~F.col("__dated") | (F.col("__until") >= today)).select("path", F.col("line").alias("start_line"), "__rule")
-    hidden = (F.col("f.path") == F.col("m.path")) & (F.col("f.start_line") == F.col("m.start_line")) & ((F.col("m.__rule") == "") | scoring.rule_matches(F.col("f.rule_id"), F.col("m.__rule")))
+    on = keys(findings, of_lines, of=("path", "start_line"))
+    marked = marked.where(~F.col("__dated") | (F.col("__until") >= today)).withColumnRenamed("line", "start_line").select(*on, "__rule")
+    hidden = reduce(lambda a, b: a & b, (F.col(f"f.{k}") == F.col(f"m.{k}") for k in on)) & ((F.col("m.__rule") == "") | scoring.rule_matches(F.col("f.rule_id"), F.col("m.__rule")))
     return findings.alias("f").join(marked.alias("m"), hidden, "left_anti")
 
 
@@ -54,9 +81,9 @@ def active(entries: DataFrame, today: Column) -> DataFrame:
 
 def allowlisted(findings: DataFrame, entries: DataFrame, today: Column) -> DataFrame:
     """findings without those that an active allow entry matches."""
-    e = active(entries, today).alias("e")
-    match = (F.col("e.rule").isNull() | scoring.rule_matches(F.col("f.rule_id"), F.col("e.rule"))) & (F.col("e.path").isNull() | scoring.path_matches(F.col("f.path"), F.col("e.path")))
-    return findings.alias("f").join(e, match, "left_anti")
+    yes = F.lit(True)
+    hits = [(yes if e.rule is None else scoring.rule_matches(F.col("rule_id"), F.lit(e.rule))) & (yes if e.path is None else scoring.path_matches(F.col("path"), F.lit(e.path))) for e in side_rows(active(entries, today))]
+    return findings.where(~_either(hits))
 
 
 def with_exceptions(findings: DataFrame, exceptions: DataFrame, today: Column) -> DataFrame:
@@ -64,9 +91,9 @@ def with_exceptions(findings: DataFrame, exceptions: DataFrame, today: Column) -
 
     The last entry of a fingerprint counts; an expired one does not.
     """
-    last = Window.partitionBy("fingerprint").orderBy(F.desc("ordinal"))
-    live = exceptions.where(F.col("expires_at").isNull() | (F.col("expires_at") >= today)).withColumn("__n", F.row_number().over(last)).where("__n = 1").select("fingerprint", F.col("status").alias("__status"))
-    joined = findings.join(live, "fingerprint", "left").where(F.coalesce(F.col("__status") != "suppress", F.lit(True)))
+    on = keys(findings, exceptions, of=("fingerprint",))
+    live = exceptions.where(F.col("expires_at").isNull() | (F.col("expires_at") >= today)).groupBy(*on).agg(F.max_by("status", "ordinal").alias("__status"))
+    joined = findings.join(live, on, "left").where(F.coalesce(F.col("__status") != "suppress", F.lit(True)))
     state = F.when(F.col("__status") == "accept", "accepted").when(F.col("__status") == "false_positive", "false_positive")
     old = F.col("verification") if "verification" in findings.columns else F.lit(None).cast("string")
     return joined.withColumn("verification", F.coalesce(state, old)).drop("__status")
@@ -84,14 +111,14 @@ def prefer_ast(findings: DataFrame, ran: list[str]) -> DataFrame:
 def deduplicated(findings: DataFrame) -> DataFrame:
     """One of the reports of a weakness by several scanners within DEDUPE_LINES of the last one kept.
 
-    The fold runs within (path, CWEs): the higher confidence, severity, rewrite, syntax tier stays, on a
+    The fold runs within (project, path, CWEs): the higher confidence, severity, rewrite, syntax tier stays, on a
     tie the lower rule id. A group's rows are those of one file and weakness, which a file's size bounds.
     """
     names = findings.columns
     loose = F.col("start_line").isNull() | (F.size("cwe") <= 0)
     row = F.struct(*names)
     merge = F.struct(F.col("start_line").alias("at"), F.col("ordinal").alias("place"), "confidence", "severity", F.col("rule_id").isin(*REWRITES).cast("int").alias("rewrite"), F.startswith("scanner", F.lit("ast-")).cast("int").alias("ast"), F.col("rule_id").alias("rule"), F.col("scanner").alias("tool"), row.alias("row"))
-    groups = findings.where(~loose).groupBy("path", F.array_sort("cwe").alias("__cwes")).agg(F.array_sort(F.collect_list(merge)).alias("rows"))
+    groups = findings.where(~loose).groupBy(*keys(findings), F.array_sort("cwe").alias("__cwes")).agg(F.array_sort(F.collect_list(merge)).alias("rows"))
 
     def better(x: Column, y: Column) -> Column:
         """Does x beat y?"""
@@ -110,7 +137,7 @@ def deduplicated(findings: DataFrame) -> DataFrame:
 
 
 def merged(native: DataFrame, imported: DataFrame) -> DataFrame:
-    """imported findings joined to native ones that report the same issue: same path, another scanner, a shared
+    """imported findings joined to native ones that report the same issue: same file, another scanner, a shared
     CWE within MERGE_LINES or a shared CVE; the nearest, then the earliest. Lines meet in buckets of
     MERGE_LINES + 1 and their neighbours, so the band join is an equi join.
 
@@ -118,11 +145,13 @@ def merged(native: DataFrame, imported: DataFrame) -> DataFrame:
     A match between two imported findings is left to deduplicated().
     """
     wide = MERGE_LINES + 1
-    n = native.select(F.col("ordinal").alias("n_ordinal"), F.col("scanner").alias("n_scanner"), F.col("path").alias("n_path"), F.col("start_line").alias("n_line"), F.col("cwe").alias("n_cwe"), F.col("cve").alias("n_cve"))
+    on = keys(native, imported)
+    n = native.select(*(F.col(k).alias(f"n_{k}") for k in on if k != "path"), F.col("ordinal").alias("n_ordinal"), F.col("scanner").alias("n_scanner"), F.col("path").alias("n_path"), F.col("start_line").alias("n_line"), F.col("cwe").alias("n_cwe"), F.col("cve").alias("n_cve"))
     near = n.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("n_line") / wide) + d)))
     own = imported.withColumn("bucket", F.floor(F.col("start_line") / wide))
-    band = own.join(near, (F.col("path") == F.col("n_path")) & (own["bucket"] == near["bucket"])).where((F.abs(F.col("start_line") - F.col("n_line")) <= MERGE_LINES) & F.arrays_overlap("cwe", "n_cwe"))
-    same_cve = imported.join(n, (F.col("path") == F.col("n_path")) & (F.upper("cve") == F.upper("n_cve")))
+    same_file = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"n_{k}") for k in on))
+    band = own.join(near, same_file & (own["bucket"] == near["bucket"])).where((F.abs(F.col("start_line") - F.col("n_line")) <= MERGE_LINES) & F.arrays_overlap("cwe", "n_cwe"))
+    same_cve = imported.join(n, same_file & (F.upper("cve") == F.upper("n_cve")))
     columns = ["ordinal", "n_ordinal", "scanner", "n_scanner", "rule_id", "severity", "start_line", "n_line"]
     pairs = band.select(*columns).union(same_cve.select(*columns)).where("scanner <> n_scanner").withColumn("distance", F.coalesce(F.abs(F.col("start_line") - F.col("n_line")), F.lit(0)))
     first = Window.partitionBy("ordinal").orderBy("distance", "n_ordinal")
@@ -140,23 +169,24 @@ def regraded(findings: DataFrame, classes: DataFrame | None = None, internal: Da
     Adds original_severity and changes."""
     out = findings.withColumn("original_severity", F.col("severity")).withColumn("changes", F.array().cast("array<string>"))
 
-    def first_match(rows: DataFrame, entries: DataFrame, what: Column) -> DataFrame:
-        """rows with __m: what of the first entry whose path matches; one row each as before."""
-        hit = rows.select("ordinal", F.col("path").alias("__path")).join(entries.withColumnRenamed("path", "__glob").withColumnRenamed("ordinal", "__order"), scoring.path_matches(F.col("__path"), F.col("__glob")))
-        best = hit.groupBy("ordinal").agg(F.min_by(what, "__order").alias("__m"))
-        return rows.join(best, "ordinal", "left")
+    def first_match(rows: DataFrame, entries: DataFrame, what: Callable[[Row], str]) -> DataFrame:
+        """rows with __m: what of the first entry whose path matches, as one ladder of cases."""
+        ladder = F.lit(None).cast("string")
+        for e in reversed(side_rows(entries, "ordinal")):
+            ladder = F.when(scoring.path_matches(F.col("path"), F.lit(e.path)), F.lit(what(e))).otherwise(ladder)
+        return rows.withColumn("__m", ladder)
 
     if classes is not None:
-        out = first_match(out, classes, F.array_join("classes", ","))
+        out = first_match(out, classes, lambda e: ",".join(e.classes or ()))
         up = F.col("__m").isNotNull() & (F.col("severity") >= LOW)
         out = out.withColumn("severity", F.when(up, F.least(F.col("severity") + 1, F.lit(CRITICAL))).otherwise(F.col("severity")))
         out = out.withColumn("changes", F.when(F.col("__m").isNotNull(), F.array_append("changes", F.concat(F.lit("sensitive-data:"), F.col("__m")))).otherwise(F.col("changes"))).drop("__m")
     if internal is not None:
-        out = first_match(out, internal, F.col("__glob"))
+        out = first_match(out, internal, lambda e: e.path)
         out = out.withColumn("severity", F.when(F.col("__m").isNotNull(), F.greatest(F.col("severity") - 1, F.lit(INFO))).otherwise(F.col("severity")))
         out = out.withColumn("changes", F.when(F.col("__m").isNotNull(), F.array_append("changes", F.lit("internal"))).otherwise(F.col("changes"))).drop("__m")
     if exposure is not None:
-        out = first_match(out, exposure, F.col("level"))
+        out = first_match(out, exposure, lambda e: e.level)
         step = F.lit(0)
         for level, by in EXPOSURE.items():
             step = F.when(F.col("__m") == level, by).otherwise(step)
@@ -172,37 +202,42 @@ def at_least(findings: DataFrame, floor: int) -> DataFrame:
 
 
 def in_diff(findings: DataFrame, changed: DataFrame, manifests: list[str] | None = None) -> DataFrame:
-    """Findings on changed lines (path, line), file-level ones on changed files, and all where nothing changed.
+    """Findings on changed lines (project, path, line; the project may be absent), file-level ones on changed files,
+    and all where nothing changed. A finding meets the lines of its own file only, without a row for each line.
 
     Dependency findings stay if their manifest changed.
     """
     if changed.isEmpty():
         return findings
-    paths = changed.select("path").distinct()
-    whole = findings.where(F.col("start_line").isNull() | F.col("scanner").isin(*(manifests or ["dependencies", "supply-chain", "dependency-diff"]))).join(paths, "path", "left_semi")
-    lined = findings.where(F.col("start_line").isNotNull() & ~F.col("scanner").isin(*(manifests or ["dependencies", "supply-chain", "dependency-diff"])))
-    spread = lined.withColumn("__line", F.explode(F.sequence("start_line", F.greatest("start_line", F.coalesce("end_line", "start_line")))))
-    near = spread.join(changed.select("path", F.col("line").alias("__line")).distinct(), ["path", "__line"], "left_semi").select("ordinal").distinct()
-    return whole.unionByName(lined.join(near, "ordinal", "left_semi").select(*whole.columns))
+    on = keys(findings, changed)
+    whole = F.col("f.start_line").isNull() | F.col("f.scanner").isin(*(manifests or ["dependencies", "supply-chain", "dependency-diff"]))
+    within = F.col("c.line").between(F.col("f.start_line"), F.greatest("f.start_line", F.coalesce("f.end_line", "f.start_line")))
+    same_file = reduce(lambda a, b: a & b, (F.col(f"f.{k}") == F.col(f"c.{k}") for k in on))
+    return findings.alias("f").join(changed.select(*on, "line").distinct().alias("c"), same_file & (whole | within), "left_semi")
 
 
 def new_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """current without the fingerprints of baseline."""
-    return current.join(baseline.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    on = keys(current, baseline, of=("fingerprint",))
+    return current.join(baseline.select(*on).distinct(), on, "left_anti")
 
 
 def policy_violations(findings: DataFrame, policies: DataFrame) -> DataFrame:
     """(policy, action, findings' columns) for each policy (id, action, severity, scanner, rule, tag, cwe) and finding that meets all it names."""
-    p = policies.select(*(F.col(c).alias(f"p_{c}") for c in ("id", "action", "severity", "scanner", "rule", "tag", "cwe")))
-    level = rank(F.col("p_severity"), SEVERITIES)
-    meets = (
-        (F.col("p_severity").isNull() | (F.col("severity") >= level))
-        & (F.col("p_scanner").isNull() | (F.col("scanner") == F.col("p_scanner")))
-        & (F.col("p_rule").isNull() | scoring.rule_matches(F.col("rule_id"), F.col("p_rule")))
-        & (F.col("p_tag").isNull() | F.array_contains("tags", F.col("p_tag")))
-        & (F.col("p_cwe").isNull() | F.array_contains("cwe", F.col("p_cwe")))
-    )
-    return findings.join(p, meets).withColumnRenamed("p_id", "policy").withColumnRenamed("p_action", "action").drop("p_severity", "p_scanner", "p_rule", "p_tag", "p_cwe")
+    tests: dict[str, Callable[[str], Column]] = {
+        "severity": lambda v: F.col("severity") >= rank(F.lit(v), SEVERITIES),
+        "scanner": lambda v: F.col("scanner") == v,
+        "rule": lambda v: scoring.rule_matches(F.col("rule_id"), F.lit(v)),
+        "tag": lambda v: F.array_contains("tags", v),
+        "cwe": lambda v: F.array_contains("cwe", v),
+    }
+    met = []
+    for p in side_rows(policies):
+        meets = reduce(lambda a, b: a & b, (test(p[c]) for c, test in tests.items() if p[c] is not None), F.lit(True))
+        met.append(F.when(meets, F.struct(F.lit(p.id).alias("policy"), F.lit(p.action).alias("action"))))
+    none = F.struct(F.lit(None).cast("string").alias("policy"), F.lit(None).cast("string").alias("action"))
+    hits = F.filter(F.array(*met) if met else F.array(F.when(F.lit(False), none)), lambda x: x.isNotNull())
+    return findings.withColumn("__p", F.explode(hits)).select("*", "__p.policy", "__p.action").drop("__p")
 
 
 def gate(findings: DataFrame, fail_on: int | None, errors: int = 0) -> DataFrame:
@@ -265,7 +300,10 @@ def chains(findings: DataFrame, kev_reachable: bool = True) -> DataFrame:
 
 def top_for_review(findings: DataFrame, k: int = 25, by: list[str] | None = None) -> DataFrame:
     """findings with `reviewed`: are they among the k riskiest (of their group)?"""
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("risk_score"), "ordinal")
+    if not by:  # no task ranks all findings: each partition gives its k
+        top = findings.orderBy(F.desc("risk_score"), "ordinal").limit(k).select("ordinal", F.lit(True).alias("reviewed"))
+        return findings.join(F.broadcast(top), "ordinal", "left").withColumn("reviewed", F.coalesce("reviewed", F.lit(False)))
+    order = Window.partitionBy(*by).orderBy(F.desc("risk_score"), "ordinal")
     return findings.withColumn("reviewed", F.row_number().over(order) <= k)
 
 
@@ -275,9 +313,17 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 
 def numbered(findings: DataFrame) -> DataFrame:
-    """findings with an id: scanner, rule and a number in (path, line, rule) order."""
-    w = Window.partitionBy("scanner", "rule_id").orderBy("path", F.col("start_line").asc_nulls_first(), "ordinal")
-    return findings.withColumn("id", F.concat_ws(":", "scanner", "rule_id", F.row_number().over(w).cast("string")))
+    """findings with an id: scanner, rule and a number in (path, line, rule) order.
+
+    A rule's findings are ranked in slices, the paths that share their first SLICE characters; a slice starts after
+    the findings of those before it, a prefix sum over one row a slice.
+    """
+    sliced = findings.withColumn("__slice", F.substring("path", 1, SLICE))
+    within = Window.partitionBy("scanner", "rule_id", "__slice").orderBy("path", F.col("start_line").asc_nulls_first(), "ordinal")
+    before = Window.partitionBy("scanner", "rule_id").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = sliced.groupBy("scanner", "rule_id", "__slice").count().withColumn("__base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    ranked = sliced.withColumn("__n", F.row_number().over(within)).join(base, ["scanner", "rule_id", "__slice"])
+    return ranked.withColumn("id", F.concat_ws(":", "scanner", "rule_id", (F.col("__n") + F.col("__base")).cast("string"))).drop("__slice", "__n", "__base")
 
 
 def finished(findings: DataFrame, *, of_lines: DataFrame | None = None, allow: DataFrame | None = None, ran: list[str] | None = None, context: dict | None = None, floor: int = INFO, exceptions: DataFrame | None = None, today: Column | None = None, exposed: bool = False, production: bool = False) -> DataFrame:

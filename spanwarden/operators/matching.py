@@ -12,17 +12,17 @@ PROBE = 48
 def containing(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, item_id for each document (doc_id, text) that contains a known text (item_id, known).
 
-    Every known text is posted under the PROBE characters after its first blank; documents under the
-    PROBE characters after each of theirs, kept only where a known text has them. An equi join and a check
-    take the place of searching each document for each text. Texts without so much after a blank are
-    searched for directly.
+    Every known text is posted under the hash of the PROBE characters after its first blank; documents under the
+    hashes of the PROBE characters after each of theirs, ids alone. What meets is checked on the whole texts, which
+    are fetched by id. Texts without so much after a blank are searched for directly, in one pass over documents.
     """
     at = F.instr("known", " ")
-    posted = known.withColumn("probe", F.when((at > 0) & (F.char_length("known") >= at + PROBE), F.substring(F.col("known"), at + 1, F.lit(PROBE))))
+    posted = known.withColumn("probe", F.when((at > 0) & (F.char_length("known") >= at + PROBE), F.xxhash64(F.substring(F.col("known"), at + 1, F.lit(PROBE)))))
     short = posted.where("probe IS NULL AND known <> ''")
     long = posted.where("probe IS NOT NULL")
     after_blank = F.regexp_extract_all("text", F.lit(f"(?s) (?=(.{{{PROBE}}}))"), F.lit(1))  # the look-ahead keeps every blank a start
-    probes = docs.select("doc_id", "text", F.explode(F.array_distinct(after_blank)).alias("probe"))
-    near = probes.join(long, "probe").where(F.contains(F.col("text"), F.col("known"))).select("doc_id", "item_id")
+    probes = docs.select("doc_id", F.explode(F.array_distinct(F.transform(after_blank, lambda p: F.xxhash64(p)))).alias("probe"))
+    met = probes.join(long.select("probe", "item_id"), "probe").select("doc_id", "item_id").distinct()
+    near = met.join(docs.select("doc_id", "text"), "doc_id").join(long.select("item_id", "known"), "item_id").where(F.contains(F.col("text"), F.col("known"))).select("doc_id", "item_id")
     rest = docs.join(short, F.contains(F.col("text"), F.col("known"))).select("doc_id", "item_id")
     return near.union(rest).distinct()

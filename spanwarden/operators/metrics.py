@@ -38,14 +38,15 @@ def recall(cases: DataFrame) -> DataFrame:
 
 
 def in_window(changed: DataFrame, findings: DataFrame, window: int, labels: DataFrame | None = None) -> DataFrame:
-    """case_id, detected: does a finding lie within `window` lines of one of the case's changed lines (case_id, path, line)?
+    """case_id, detected: does a finding lie within `window` lines of one of the case's changed lines (case_id, project, path, line; the project may be absent)?
 
     Lines meet in buckets of window + 1, neighbours included. labels (case_id, cwe) ask for a CWE as well.
     """
     wide = window + 1
+    file = ["project", "path"] if "project" in changed.columns and "project" in findings.columns else ["path"]
     near = changed.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("line") / wide) + k)))
-    own = findings.where("start_line IS NOT NULL").select("path", "start_line", "cwe", F.floor(F.col("start_line") / wide).alias("bucket"))
-    hits = near.join(own, ["path", "bucket"]).where(F.abs(F.col("start_line") - F.col("line")) <= window)
+    own = findings.where("start_line IS NOT NULL").select(*file, "start_line", "cwe", F.floor(F.col("start_line") / wide).alias("bucket"))
+    hits = near.join(own, [*file, "bucket"]).where(F.abs(F.col("start_line") - F.col("line")) <= window)
     if labels is not None:
         hits = hits.withColumn("cwe", F.explode("cwe")).join(labels, ["case_id", "cwe"], "left_semi")
     found = hits.select("case_id").distinct().withColumn("__hit", F.lit(True))

@@ -18,7 +18,7 @@ from ..functions.model import CRITICAL, HIGH, INFO, LOW, MEDIUM, SEVERITIES
 from ..operators import dependencies, drift, history, metrics
 from ..operators import findings as ops
 from ..operators.rules import PLACEHOLDER, Rule, match_rules
-from ..sources.files import documents_as_files, language_summary, lines
+from ..sources.files import documents_as_files, language_summary, lines, spread
 
 DOC_RULES = (
     Rule("secrets.generic-credential", HIGH, ("CWE-798",), r"(?i)(?:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*['\"]?([A-Za-z0-9_/+=-]{8,})"),
@@ -37,7 +37,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return documents_as_files(table(spark, d, "documents"))
+    return spread(documents_as_files(table(spark, d, "documents")))
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,11 +110,12 @@ def finding_risk_score(spark, d):
     return found(spark, d).select("ordinal", "risk_score", "fingerprint")
 
 
-@query("""WITH v AS (SELECT doc_id, regexp_extract(text, '(?i)(?:token|password)\\s*=\\s*"?([0-9a-f]{16,})', 1) AS value FROM documents), c AS (SELECT doc_id, value, unnest(string_split(value, '')) AS ch FROM v WHERE value <> ''), g AS (SELECT doc_id, value, ch, count(*) AS n FROM c GROUP BY ALL)
+@query("""WITH v AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '(?i)(?:token|password)\\s*=\\s*"?([0-9a-f]{16,})', 1))) AS value FROM documents), c AS (SELECT doc_id, value, unnest(string_split(value, '')) AS ch FROM v WHERE value <> ''), g AS (SELECT doc_id, value, ch, count(*) AS n FROM c GROUP BY ALL)
 SELECT doc_id, value, round(-sum(n / length(value)::DOUBLE * log2(n / length(value)::DOUBLE)), 6) AS entropy FROM g GROUP BY doc_id, value HAVING round(-sum(n / length(value)::DOUBLE * log2(n / length(value)::DOUBLE)), 6) >= 3.5""")
 def high_entropy_tokens(spark, d):
-    """Credential values of 3.5 bits a character and more."""
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_extract("text", r'(?i)(?:token|password)\s*=\s*"?([0-9a-f]{16,})', 1).alias("value")).where("value <> ''")
+    """Credential values of 3.5 bits a character and more, all of a document's, each once."""
+    values = F.array_distinct(F.regexp_extract_all("text", F.lit(r'(?i)(?:token|password)\s*=\s*"?([0-9a-f]{16,})'), F.lit(1)))
+    docs = table(spark, d, "documents").select("doc_id", F.explode(values).alias("value")).where("value <> ''")
     return docs.withColumn("entropy", F.round(scoring.entropy(F.col("value")), 6)).where("entropy >= 3.5")
 
 

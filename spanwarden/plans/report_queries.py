@@ -190,10 +190,10 @@ def audit_once(spark, d):
     return audit.once(audit.filtered(e, "2024-01-05", "2024-01-20"), ["actor", "action"]).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {SCANS}, k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS k FROM scans WHERE id % 2 = 0) SELECT project_id, id, risk_score FROM k WHERE k = 1 AND risk_score >= 25")
+@query(f"WITH {SCANS}, k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS k FROM scans) SELECT project_id, id, risk_score FROM k WHERE k = 1 AND risk_score >= 25")
 def projects_by_risk(spark, d):
     """Latest scans of projects from a risk of 25 on, riskiest first."""
-    return history.by_risk(scans(spark, d).where("id % 2 = 0")).where("risk_score >= 25").select("project_id", "id", "risk_score")
+    return history.by_risk(scans(spark, d)).where("risk_score >= 25").select("project_id", "id", "risk_score")
 
 
 @query(f"""WITH {FOUND}, b AS (SELECT project, path, sum(least(length(coalesce(text, '')), 20000)) OVER (PARTITION BY project ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, least(length(coalesce(text, '')), 20000) AS n FROM (SELECT source AS project, 'docs/' || lang || '/' || doc_id || '.txt' AS path, text FROM documents)) SELECT project, count(*) AS files, sum(least(n, 1500000 - coalesce(before, 0)))::BIGINT AS chars FROM b WHERE coalesce(before, 0) < 1500000 GROUP BY project""")

@@ -8,19 +8,87 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import agent_config, blocks, flows, rules, taint
+from ..functions.model import CRITICAL, HIGH
+from ..operators import agent_config, blocks, dependencies, drift, flows, probes, rules, taint
 from ..operators import findings as ops
-from ..sources.files import lines
+from ..sources import manifests
+from ..sources.files import base_name, lines, spread
 
 API_VERSION = 1
 
 
 @dataclass(frozen=True)
 class Detector:
-    """Line rules, which all detectors of a scan share one pass for, and functions from files to findings."""
+    """Line rules, which all detectors of a scan share one pass for, and functions from files to findings.
+
+    with_tables: functions that read side tables too (see TABLES), each with the names it needs; where one is not
+    given, the function does not run.
+    """
 
     rules: tuple[rules.Rule, ...] = ()
     more: tuple[Callable[[DataFrame], DataFrame], ...] = ()
+    with_tables: tuple[tuple[tuple[str, ...], Callable[..., DataFrame]], ...] = ()
+
+
+#: Side tables that detectors read: name and columns.
+TABLES = {
+    "advisories": "id, ecosystem, package, vulnerable, severity, cve",
+    "malicious": "ecosystem, name",
+    "popular": "ecosystem, name",
+    "previous_packages": "project, ecosystem, manifest, package, version",
+    "commits": "target, seq, email, paths",
+    "tracked": "target, path",
+    "images": "target, user, privileged, ports",
+    "answers": "target, url, marker, body, headers",
+}
+PROVENANCE = r"(?i)(?:\.intoto\.jsonl?|provenance[^/]*\.json|attestation[^/]*\.json)$"
+
+
+def vulnerable_packages(files: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Packages of the files' manifests with the advisories that hold their versions."""
+    own = manifests.packages(files)
+    return dependencies.advisory_findings(dependencies.one_per_cve(dependencies.vulnerable(own, advisories)), dependencies.inventory(own)).withColumn("cwe", F.array(F.lit("CWE-1104")))
+
+
+def named_packages(files: DataFrame, of: DataFrame, rule: str, severity: int, pick: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Findings on the first manifest of the packages that pick() chooses by a list of names."""
+    places = dependencies.inventory(manifests.packages(files))
+    chosen = pick(places.select("ecosystem", "package").distinct(), of).select("ecosystem", "package").distinct()
+    rows = places.join(chosen, ["ecosystem", "package"])
+    return rows.select("project", F.col("manifest").alias("path"), F.lit(rule).alias("rule_id"), F.lit("supply-chain").alias("scanner"), F.lit(severity).alias("severity"), F.concat_ws("==", "package", "version").alias("snippet"), F.array(F.lit("CWE-506")).alias("cwe"))
+
+
+def lifecycle_scripts(files: DataFrame) -> DataFrame:
+    return dependencies.lifecycle_scripts(files.where(base_name(F.col("path")) == "package.json")).withColumn("scanner", F.lit("supply-chain"))
+
+
+def provenance(files: DataFrame) -> DataFrame:
+    """Attestations of the files, and projects with packages but without any."""
+    docs = files.where(F.rlike("path", F.lit(PROVENANCE)))
+    packaged = files.where(base_name(F.col("path")).isin(*(n for n, _ in manifests.FORMATS)))
+    return blocks.attestations(docs).unionByName(blocks.without_attestations(packaged, docs))
+
+
+def interfaces(files: DataFrame) -> DataFrame:
+    """OpenAPI texts in JSON."""
+    return blocks.openapi(files.where(F.rlike("path", F.lit(r"(?i)(?:openapi|swagger)[^/]*\.json$"))))
+
+
+def package_changes(files: DataFrame, previous: DataFrame) -> DataFrame:
+    """Differences between the packages of the files' manifests and those of an earlier state."""
+    key = ["project", "ecosystem", "manifest", "package"]
+    old, new = (p.withColumn("ordinal", F.col("version")) for p in (previous, manifests.packages(files)))
+    changes = drift.package_diff(old, new, key)
+    return drift.diff_findings(changes)
+
+
+def probed(check: Callable[..., DataFrame], scanner: str) -> Callable[..., DataFrame]:
+    """Findings of a check over probe tables, as those of files: the target is the path."""
+
+    def run(files: DataFrame, *tables: DataFrame) -> DataFrame:
+        return check(*tables).select(F.lit(None).cast("string").alias("project"), F.col("target").alias("path"), "rule_id", F.lit(scanner).alias("scanner"), "severity", "confidence", "cwe", F.col("detail").alias("snippet"))
+
+    return run
 
 
 #: In the order in which scanners run, which settles ties between findings.
@@ -37,17 +105,32 @@ DETECTORS: dict[str, Detector] = {
     "cicd": Detector(rules.CICD, (blocks.permission_blocks,)),
     "cloud": Detector(rules.CLOUD, (blocks.iam_wildcards,)),
     "business-logic": Detector(rules.LOGIC, (blocks.business_logic,)),
+    "dependencies": Detector(with_tables=((("advisories",), vulnerable_packages),)),
+    "dependency-diff": Detector(with_tables=((("previous_packages",), package_changes),)),
+    "supply-chain": Detector(
+        more=(lifecycle_scripts,),
+        with_tables=(
+            (("malicious",), lambda files, bad: named_packages(files, bad, "supply-chain.known-malicious", CRITICAL, dependencies.malicious)),
+            (("popular",), lambda files, popular: named_packages(files, popular, "supply-chain.typosquat", HIGH, dependencies.typosquats)),
+        ),
+    ),
+    "provenance": Detector(more=(provenance,)),
+    "api": Detector(more=(interfaces,)),
+    "git-security": Detector(with_tables=((("commits", "tracked"), probed(probes.repositories, "git-security")),)),
+    "container-image": Detector(with_tables=((("images",), probed(probes.container_images, "container-image")),)),
+    "dast": Detector(with_tables=((("answers",), probed(probes.dast, "dast")),)),
     "authz": Detector(more=(blocks.authorization,)),
     "agent-config": Detector(more=(agent_config.agent_config,)),
     "llm": Detector(rules.LLM, (flows.language_models,)),
 }
+#: Detectors by use: fixed values. A detector whose side tables are not given, or whose files are not there, adds nothing.
 PROFILES = {
-    "fast": ("secrets", "patterns", "iac"),
-    "standard": ("secrets", "patterns", "ast-python", "lang-sast", "malware", "iac", "container", "cicd", "cloud", "llm"),
-    "deep": tuple(DETECTORS),
-    "supply-chain": ("malware", "cicd", "secrets"),
-    "ci": ("secrets", "patterns", "ast-python", "iac", "cicd"),
-    "production": tuple(d for d in DETECTORS if d != "business-logic"),
+    "fast": ("secrets", "patterns", "malware", "dependencies"),
+    "standard": tuple(DETECTORS),
+    "deep": ("secrets", "patterns", "malware", "ast-python", "ast-python-xfile", "ast-js", "lang-sast", "dependencies", "dependency-diff", "supply-chain", "provenance", "authz", "api", "business-logic", "git-security", "iac", "cicd", "container", "container-image", "cloud", "llm", "agent-config", "dast"),
+    "supply-chain": ("dependencies", "dependency-diff", "supply-chain", "provenance"),
+    "ci": ("secrets", "patterns", "dependencies", "cicd", "iac"),
+    "production": ("secrets", "dependencies", "supply-chain", "iac", "container", "cloud", "cicd"),
 }
 #: What a detector can find in: it is left out of a plan where no file has one of these languages.
 NEEDS = {"ast-python": ("Python",), "ast-python-xfile": ("Python",), "ast-js": ("JavaScript", "TypeScript"), "llm": ("Python", "JavaScript", "TypeScript")}
@@ -62,19 +145,25 @@ def register(name: str, detector: Detector, api_version: int = API_VERSION) -> N
     DETECTORS[name] = detector
 
 
-def detect(files: DataFrame, scanners: Iterable[str] | None = None, profile: str = "standard") -> DataFrame:
-    """Findings of the chosen detectors with an ordinal in detector, path, line and rule order."""
+def detect(files: DataFrame, scanners: Iterable[str] | None = None, profile: str = "standard", tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Findings of the chosen detectors with an ordinal in file, detector, line and rule order. tables: see TABLES."""
     names = list(scanners or PROFILES[profile])
+    tables = tables or {}
     if unknown := [n for n in names if n not in DETECTORS]:
         raise ValueError(f"no such detector: {', '.join(unknown)}")
+    if unknown := [t for t in tables if t not in TABLES]:
+        raise ValueError(f"no such table: {', '.join(unknown)}")
+    files = spread(files)
     there = {r[0] for r in files.select("language").distinct().collect()}
     names = [n for n in names if n not in NEEDS or there.intersection(NEEDS[n])]
     chosen = [DETECTORS[n] for n in names]
-    parts = [f(files) for d in chosen for f in d.more]
+    flow = flows.language_models(files) if "llm" in names else None
+    parts = [flow if f is flows.language_models else f(files) for d in chosen for f in d.more]
+    parts += [f(files, *(tables[t] for t in needed)) for d in chosen for needed, f in d.with_tables if all(t in tables for t in needed)]
     if line_rules := tuple(r for d in chosen for r in d.rules):
         hits = rules.match_rules(files, line_rules)
-        if "llm" in names:  # flows replace what line rules say about the same line
-            covered = flows.language_models(files).select("project", "path", "start_line", F.lit("llm").alias("scanner")).distinct()
+        if flow is not None:  # flows replace what line rules say about the same line
+            covered = flow.select("project", "path", "start_line", F.lit("llm").alias("scanner")).distinct()
             hits = hits.join(covered, ["project", "path", "start_line", "scanner"], "left_anti")
         parts.append(hits)
     if not parts:
@@ -82,14 +171,18 @@ def detect(files: DataFrame, scanners: Iterable[str] | None = None, profile: str
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    out = out.withColumn("__at", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), F.col("scanner")), F.lit(len(names))))
-    # the rank of a finding in its file, after its file's rank among files: no task ranks all findings
-    own = Window.partitionBy("project", "path").orderBy("__at", F.col("start_line").asc_nulls_first(), "rule_id")
-    place = files.select("project", "path").distinct().withColumn("__file", F.xxhash64("project", "path").bitwiseAND(F.lit((1 << 42) - 1)))
-    return out.join(place, ["project", "path"]).withColumn("ordinal", F.col("__file") * (1 << 20) + F.row_number().over(own)).drop("__at", "__file")
-
-
-def scan(files: DataFrame, scanners: Iterable[str] | None = None, profile: str = "standard", **finish) -> DataFrame:
+    none = F.array().cast("array<string>")
+    defaults = {"start_line": F.lit(None).cast("int"), "end_line": F.col("start_line"), "confidence": F.lit(1), "likelihood": F.lit(2), "cwe": none, "tags": none}
+    for c, value in defaults.items():
+        out = out.withColumn(c, F.coalesce(c, value) if c in out.columns else value)
+    at = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), F.col("scanner")), F.lit(len(names)))
+    # unique by file and rank in it, and sorted like them: no task ranks all findings, and no two files can clash
+    own = Window.partitionBy("project", "path").orderBy("__at", F.col("start_line").asc_nulls_first(), "rule_id", "snippet")
+    place = F.concat_ws("\u0001", F.coalesce("project", F.lit("")), "path", F.lpad(F.row_number().over(own).cast("string"), 10, "0"))
+    return out.withColumn("__at", at).withColumn("ordinal", place).drop("__at")
+
+
+def scan(files: DataFrame, scanners: Iterable[str] | None = None, profile: str = "standard", tables: dict[str, DataFrame] | None = None, **finish) -> DataFrame:
     """detect() and all that follows it (see findings.finished), inline suppressions included."""
     names = list(scanners or PROFILES[profile])
-    return ops.finished(detect(files, names), of_lines=lines(files), ran=[n for n in names if n.startswith("ast-")], **finish)
+    return ops.finished(detect(files, names, tables=tables), of_lines=lines(files), ran=[n for n in names if n.startswith("ast-")], **finish)

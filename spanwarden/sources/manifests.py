@@ -1,4 +1,4 @@
-"""Package manifests to packages(ecosystem, manifest, package, version, parser_rank).
+"""Package manifests to packages(project, ecosystem, manifest, package, version, parser_rank).
 
 JSON formats are read with Spark's JSON functions, line formats with split and regular expressions; nested
 npm v1 locks are the one tree that a small per-file Python function walks. A malformed file gives no rows.
@@ -24,7 +24,7 @@ FORMATS = (
 
 def _rows(files: DataFrame, name: str, pairs, ecosystem: str, rank: int) -> DataFrame:
     """pairs: an array column of (package, version) structs."""
-    return files.where(base_name(F.col("path")) == name).select("path", F.explode(pairs).alias("p")).where("p.package <> '' AND p.version <> ''").select(F.lit(ecosystem).alias("ecosystem"), F.col("path").alias("manifest"), "p.package", "p.version", F.lit(rank).alias("parser_rank"))
+    return files.where(base_name(F.col("path")) == name).select("project", "path", F.explode(pairs).alias("p")).where("p.package <> '' AND p.version <> ''").select("project", F.lit(ecosystem).alias("ecosystem"), F.col("path").alias("manifest"), "p.package", "p.version", F.lit(rank).alias("parser_rank"))
 
 
 def _pairs(found, package, version):
@@ -58,7 +58,7 @@ def _npm_v1(files: DataFrame, rank: int) -> DataFrame:
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
+            for project, path, text in zip(batch["project"], batch["path"], batch["text"], strict=True):
                 try:
                     stack = [json.loads(text).get("dependencies") or {}]
                 except (ValueError, AttributeError, RecursionError):
@@ -68,16 +68,18 @@ def _npm_v1(files: DataFrame, rank: int) -> DataFrame:
                     for name, entry in level.items() if isinstance(level, dict) else ():
                         if isinstance(entry, dict):
                             if isinstance(entry.get("version"), str):
-                                rows.append(("npm", path, name, entry["version"], rank))
+                                rows.append((project, "npm", path, name, entry["version"], rank))
                             stack.append(entry.get("dependencies") or {})
-            yield pd.DataFrame(rows, columns=["ecosystem", "manifest", "package", "version", "parser_rank"])
+            yield pd.DataFrame(rows, columns=["project", "ecosystem", "manifest", "package", "version", "parser_rank"])
 
     v1 = files.where((base_name(F.col("path")) == "package-lock.json") & F.get_json_object("text", "$.packages").isNull())
-    return v1.select("path", "text").mapInPandas(walk, "ecosystem string, manifest string, package string, version string, parser_rank int")
+    return v1.select("project", "path", "text").mapInPandas(walk, "project string, ecosystem string, manifest string, package string, version string, parser_rank int")
 
 
 def packages(files: DataFrame) -> DataFrame:
-    """Packages of all manifests in files(path, text)."""
+    """Packages of all manifests in files(project, path, text); the project is null where files have none."""
+    if "project" not in files.columns:
+        files = files.withColumn("project", F.lit(None).cast("string"))
     known = files.where(base_name(F.col("path")).isin(*(n for n, _ in FORMATS)))
     node = r"^.*node_modules/"
     version = lambda v: F.get_json_object(v, "$.version")

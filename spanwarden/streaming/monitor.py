@@ -32,12 +32,13 @@ def event_stream(spark: SparkSession, folder: str, files: str = "*.parquet", lat
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def incremental(files: DataFrame, cache: DataFrame, scan: Callable[[DataFrame], DataFrame], version: str) -> tuple[DataFrame, DataFrame]:
+def incremental(files: DataFrame, cache: DataFrame, scan: Callable[[DataFrame], DataFrame], version: str, options: str = "") -> tuple[DataFrame, DataFrame]:
     """Findings of files, scanning only those whose content no cache row (file_key, findings) has; and the new cache.
 
-    The key holds the engine's version, the path and the content; files without findings are remembered too.
+    The key holds the engine's version, the options of the scan, the project, the path and the content; files without
+    findings are remembered too.
     """
-    keyed = files.withColumn("file_key", F.sha2(F.concat_ws("\u0001", F.lit(version), "path", "text"), 256))
+    keyed = files.withColumn("file_key", F.sha2(F.concat_ws("\u0001", F.lit(version), F.lit(options), F.coalesce("project", F.lit("")), "path", "text"), 256))
     fresh = keyed.join(cache.select("file_key"), "file_key", "left_anti")
     found = scan(fresh.drop("file_key")).groupBy("project", "path").agg(F.collect_list(F.struct("*")).alias("findings"))
     rows = fresh.select("file_key", "project", "path").join(found, ["project", "path"], "left").select("file_key", "findings")
@@ -49,20 +50,22 @@ def drift_loop(snapshots: DataFrame, state: str, push: Callable[[DataFrame, int]
     """A query over a stream of findings that pushes each batch's drift against the state table of its target.
 
     The new state is written, under the batch's number, only after push() returned: a batch that fails is
-    pushed again with the same number, for which the receiver can be idempotent.
+    pushed again with the same number, for which the receiver can be idempotent. A batch compares itself with the
+    state of the last batch before it, so one that runs again after its state was written gives the same drift and
+    writes the same state; older states go.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        try:
-            before = spark.read.parquet(f"{state}/current")
-            latest = before.agg(F.max("batch")).first()[0]
-            before = before.where(F.col("batch") == latest).drop("batch")
-        except Exception as e:  # no state yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            before = df.limit(0)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/current")
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        kept = [s.getPath() for s in store.listStatus(folder)] if store.exists(folder) else []
+        kept = {int(p.getName().split("=")[1]): p for p in kept if p.getName().startswith("batch=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+        earlier = [n for n in kept if n < number]
+        before = spark.read.schema(df.schema).parquet(f"{state}/current/batch={max(earlier)}") if earlier else df.limit(0)
         push(drift.scan_drift(before, df), number)
-        df.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{state}/current")
+        df.write.mode("overwrite").parquet(f"{state}/current/batch={number}")
+        for n in sorted(earlier)[:-1]:  # the state before this one stays for a batch that runs again
+            store.delete(kept[n], True)
 
     return snapshots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -52,11 +52,25 @@ def percent_encoded(path: Column) -> Column:
     return F.array_join(F.transform(chars, lambda c: F.when(F.rlike(c, F.lit(r"^[A-Za-z0-9_.~/-]$")), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "%$1"))), "")
 
 
+#: Results of a SARIF document, about.
+RESULTS = 20_000
+
+
 def sarif(findings: DataFrame, tool: str = "spanwarden", version: str = "1", by: list[str] | None = None) -> DataFrame:
-    """One row, `sarif`, or one for each group of `by`: rules in first-seen order and results in ordinal order."""
+    """`part` and `sarif`, after the columns of `by`: documents of about RESULTS results, each a whole run with the rules
+    it needs in first-seen order and its results in ordinal order. A file's results are in one part; a group of few
+    has part 0 alone.
+    """
     by = by or []
+    if by:
+        parts = findings.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(float(RESULTS))).alias("__parts"))
+        findings = findings.join(parts, by)
+    else:
+        findings = findings.withColumn("__parts", F.lit(max(1, -(-findings.count() // RESULTS))))
+    findings = findings.withColumn("part", F.pmod(F.xxhash64("path"), F.col("__parts")).cast("int")).drop("__parts")
+    by = [*by, "part"]
     first = findings.groupBy(*by, "rule_id").agg(F.min("ordinal").alias("first"), F.max("severity").alias("severity"))
-    first = first.withColumn("index", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("first")) - 1)  # a row a rule
+    first = first.withColumn("index", F.row_number().over(Window.partitionBy(*by).orderBy("first")) - 1)  # a row a rule
     levels, scores = F.array(*map(F.lit, LEVELS)), F.array(*map(F.lit, SCORES))
     rule = F.struct(F.col("rule_id").alias("id"), F.struct(F.element_at(levels, F.col("severity") + 1).alias("level")).alias("defaultConfiguration"), F.struct(F.element_at(scores, F.col("severity") + 1).alias("security-severity")).alias("properties"))
     rules = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("index", rule.alias("rule")))), lambda x: x["rule"]).alias("rules"))
@@ -65,8 +79,7 @@ def sarif(findings: DataFrame, tool: str = "spanwarden", version: str = "1", by:
     body = F.struct(F.col("rule_id").alias("ruleId"), F.col("index").alias("ruleIndex"), F.element_at(levels, F.col("severity") + 1).alias("level"), F.struct(F.coalesce("snippet", "rule_id").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"))
     results = findings.join(first.select(*by, "rule_id", "index"), [*by, "rule_id"]).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", body.alias("r")))), lambda x: x["r"]).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))
-    both = rules.join(results, by) if by else rules.join(results)
-    return both.select(*by, F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
+    return rules.join(results, by).select(*by, F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
 
 
 def gitlab(findings: DataFrame) -> DataFrame:

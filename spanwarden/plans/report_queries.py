@@ -63,7 +63,7 @@ def report_gitlab(spark, d):
 
 @query()
 def report_sarif(spark, d):
-    """A SARIF document for each project."""
+    """SARIF documents of each project, in parts of bounded size."""
     return reports.sarif(found(spark, d), by=["project"])
 
 

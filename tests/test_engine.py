@@ -410,3 +410,54 @@ def test_read_files(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r.path: r.text for r in src.read_files(spark, f"file://{tmp_path}", exclude=["skip/**"]).collect()}
     assert got == {"a.py": "x\ny\nz", "bin": "", "bad.txt": "\ufffd!"}
+
+
+def test_findings_of_two_projects_do_not_meet(spark):
+    """Equal paths, lines and weaknesses in two projects: suppression, the fold, and the last one kept at lines 1, 3, 5, 9, 10."""
+    files = spark.createDataFrame([(p, "a.py", "Python", 9, "yaml.load(f)" + note) for p, note in (("A", "  # spanwarden-ignore reason='x'"), ("B", ""))], "project string, path string, language string, size long, text string")
+    got = scan.scan(files, ["patterns"], today=F.to_date(F.lit("2024-06-01"))).collect()
+    assert [(r.project, r.rule_id) for r in got] == [("B", "patterns.python-yaml-load")]
+    rows = [(f"{p}{line}", p, "r", f"tool{k % 2}", "a.py", line, line, 3, 1, 2, ["CWE-89"], "s", []) for p in "AB" for k, line in enumerate((1, 3, 5, 9, 10))]
+    f = spark.createDataFrame(rows, FINDING.replace("ordinal long, rule_id", "ordinal string, project string, rule_id"))
+    kept = sorted((r.project, r.start_line) for r in findings.deduplicated(f).collect())
+    assert kept == [(p, x) for p in "AB" for x in sorted(fold((1, 3, 5, 9, 10)))]
+
+
+def fold(at):
+    """Reports by two tools in turn, all else alike: the earlier stays, another tool's within three lines of it goes."""
+    kept = []
+    for k, line in enumerate(at):
+        if not (kept and kept[-1][1] != k % 2 and line - kept[-1][0] <= 3):
+            kept.append((line, k % 2))
+    return [line for line, _ in kept]
+
+
+def test_side_tables_have_a_bound(spark):
+    many = spark.range(findings.SIDE_ROWS + 1).select(F.col("id").cast("string").alias("rule"), F.lit("*").alias("path"), F.lit("r").alias("reason"), F.lit(None).cast("date").alias("until"))
+    f = spark.createDataFrame([], FINDING)
+    with pytest.raises(ValueError):
+        findings.allowlisted(f, many, F.current_date())
+    assert findings.allowlisted(f, many.limit(0), F.current_date()).count() == 0
+    assert findings.policy_violations(f, spark.createDataFrame([], "id string, action string, severity string, scanner string, rule string, tag string, cwe string")).count() == 0
+
+
+def test_numbers_and_reviews_of_many_slices(spark):
+    rows = [(k, "s.r", "s", f"{'d' * (k % 40)}/{k}.py", k, k, 3, 1, 2, ["CWE-1"], "s", []) for k in range(300)]
+    f = findings.with_scores(spark.createDataFrame(rows, FINDING))
+    numbers = {r.id: r.path for r in findings.numbered(f).collect()}
+    assert [numbers[f"s:s.r:{i + 1}"] for i in range(300)] == sorted(r[3] for r in rows)
+    assert sorted(r.ordinal for r in findings.top_for_review(f, 7).where("reviewed").collect()) == list(range(7))
+
+
+def test_detectors_with_side_tables(spark):
+    f = corpus(spark, {"requirements.txt": "reqests==1.0\nevil==2.0\nold==1.0\n"})
+    tables = {
+        "advisories": spark.createDataFrame([("A-1", "PyPI", "old", "<2", "HIGH", "CVE-1")], "id string, ecosystem string, package string, vulnerable string, severity string, cve string"),
+        "malicious": spark.createDataFrame([("pypi", "evil")], "ecosystem string, name string"),
+        "popular": spark.createDataFrame([("PyPI", "requests")], "ecosystem string, name string"),
+        "previous_packages": manifests.packages(corpus(spark, {"requirements.txt": "old==0.9\n"})),
+    }
+    got = {r.rule_id for r in scan.scan(f, profile="supply-chain", tables=tables).collect()}
+    assert {"dependencies.A-1", "supply-chain.known-malicious", "supply-chain.typosquat", "dependency-diff.added", "dependency-diff.changed", "provenance.missing"} <= got
+    with pytest.raises(ValueError):
+        scan.detect(f, ["dependencies"], tables={"nonsense": f})

@@ -71,9 +71,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, width=None) -> DataFrame:
 
 
 def once(key: tuple, make: Callable[[], object]) -> object:
-    """What make() gives, made once in each Python worker: tokenizers and memos outlive a task there."""
+    """What make() gives, made once in each Python worker: tokenizers and memos outlive a task there.
+
+    A worker holds one such state: that of another operator, run before, goes first.
+    """
     states = sys.__dict__.setdefault("_spanwarden_states", {})
     if key not in states:
+        states.clear()
         states[key] = make()
     return states[key]
 

@@ -22,7 +22,7 @@ from .common import once, per_batch, texts, tune
 
 OVER = 4096
 #: Pre-tokens that a worker remembers besides the proven ones; at the bound it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 MARK = "▁"
 _RUNS = regex.compile(f"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+")
 

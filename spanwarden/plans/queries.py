@@ -359,12 +359,12 @@ def exploit_signals(spark, d):
     return dependencies.with_signals(dependencies.vulnerable(packages(spark, d), advisories(spark, d)), signals).select("package", "version", "id", "epss", "kev")
 
 
-@query("""WITH names AS (SELECT DISTINCT p_name AS name FROM part), popular AS (SELECT DISTINCT regexp_replace(p_name, 'e', '') AS popular FROM part WHERE p_partkey % 3 = 0 UNION SELECT DISTINCT p_name FROM part WHERE p_partkey % 7 = 0) SELECT name, min(popular) AS popular FROM names, popular WHERE levenshtein(lower(name), lower(popular)) <= 1 AND lower(name) <> lower(popular) AND lower(name) NOT IN (SELECT lower(popular) FROM popular) GROUP BY name""")
+@query("""WITH names AS (SELECT DISTINCT p_name AS name FROM part), popular AS (SELECT DISTINCT p_name || 's' AS popular FROM part WHERE length(p_name) % 2 = 0 UNION SELECT DISTINCT p_name FROM part WHERE length(p_name) % 3 = 0) SELECT name, min(popular) AS popular FROM names, popular WHERE levenshtein(lower(name), lower(popular)) <= 1 AND lower(name) <> lower(popular) AND lower(name) NOT IN (SELECT lower(popular) FROM popular) GROUP BY name""")
 def typosquat(spark, d):
-    """Names one edit from a popular one (names of which the first e is gone, and some as they are), through deletion neighbourhoods: an equi join, not a product."""
+    """Names one edit from a popular one (some names in the plural, and some as they are), through deletion neighbourhoods: an equi join, not a product."""
     part = table(spark, d, "part")
     names = part.select(F.lit("npm").alias("ecosystem"), F.col("p_name").alias("package")).distinct()
-    popular = part.where("p_partkey % 3 = 0").select(F.regexp_replace("p_name", "^([^e]*)e", "$1").alias("name")).union(part.where("p_partkey % 7 = 0").select("p_name")).distinct().select(F.lit("npm").alias("ecosystem"), "name")
+    popular = part.where("length(p_name) % 2 = 0").select(F.concat("p_name", F.lit("s")).alias("name")).union(part.where("length(p_name) % 3 = 0").select("p_name")).distinct().select(F.lit("npm").alias("ecosystem"), "name")
     return dependencies.typosquats(names, popular).select(F.col("package").alias("name"), F.col("lookalike").alias("popular"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.model import CRITICAL, HIGH, LOW, MEDIUM
-from ..sources.files import MAX_LINE, lines, suffix
+from ..sources.files import MAX_LINE, lines, pieces, suffix
 from .rules import COMPOSE, WORKFLOW
 
 _FILE = ("project", "path")
@@ -20,11 +20,11 @@ def _w():
     return Window.partitionBy(*_FILE).orderBy("line")
 
 
-def finding(rows: DataFrame, rule: str, scanner: str, severity: int, cwe: tuple[str, ...], confidence: int = 1, likelihood: int = 2) -> DataFrame:
+def finding(rows: DataFrame, rule: str | Column, scanner: str, severity: int | Column, cwe: tuple[str, ...] | Column, confidence: int | Column = 1, likelihood: int = 2) -> DataFrame:
     """Findings on the lines of rows (project, path, line, content)."""
     return rows.select(
         *_FILE, F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.lit(rule).alias("rule_id"), F.lit(scanner).alias("scanner"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"),
-        F.lit(likelihood).alias("likelihood"), F.array(*map(F.lit, cwe)).alias("cwe"), F.substring(F.trim("content"), 1, 200).alias("snippet"), F.array().cast("array<string>").alias("tags"),
+        F.lit(likelihood).alias("likelihood"), (cwe if isinstance(cwe, Column) else F.array(*map(F.lit, cwe))).alias("cwe"), F.substring(F.trim("content"), 1, 200).alias("snippet"), F.array().cast("array<string>").alias("tags"),
     )
 
 
@@ -135,12 +135,19 @@ def authorization(files: DataFrame) -> DataFrame:
         ("authz.cookie-missing-httponly", LOW, "CWE-1004", 1, r"(?i)set_cookie\(", r"(?i)httponly\s*=\s*True"),
         ("authz.oauth-missing-state", HIGH, "CWE-352", 1, r"(?i)(?:authorize|oauth)[^\s'\"]*\?[^\s'\"]*response_type=code", r"(?i)state="),
     )
-    for rule, severity, cwe, confidence, pattern, unless in single:
-        hit = of.where(F.rlike("content", F.lit(pattern)))
-        if unless:
-            hit = hit.where(~F.rlike("content", F.lit(unless)))
-        out = out.unionByName(finding(hit, rule, "authz", severity, (cwe,), confidence))
-    return out
+
+    def in_window(w: Column) -> Column:
+        hits = []
+        for rule, severity, cwe, confidence, pattern, unless in single:
+            hit = F.rlike(w["segment"], F.lit(pattern))
+            if unless:
+                hit = hit & ~F.rlike(w["segment"], F.lit(unless))
+            hits.append(F.when(hit, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.array(F.lit(cwe)).alias("cwe"), F.lit(confidence).alias("confidence"))))
+        return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+    found = F.array_distinct(F.flatten(F.transform(pieces(F.col("content")), in_window)))
+    rows = of.select(*_FILE, "line", "content", F.explode(found).alias("f")).select(*_FILE, "line", "content", "f.*")
+    return out.unionByName(finding(rows, F.col("rule"), "authz", F.col("severity"), F.col("cwe"), F.col("confidence")))
 
 
 #: Sources, assignments, sinks and sanitizers of the path-traversal pass: fixed values.
@@ -152,7 +159,7 @@ SANITIZER = r"secure_filename|os\.path\.basename|werkzeug|safe_join"
 
 def path_traversal(files: DataFrame) -> DataFrame:
     """File operations on a variable that the same file assigns from input: an equi join on (file, name)."""
-    of = lines(files.where("language = 'Python'")).where(F.length("content") <= MAX_LINE)
+    of = lines(files.where("language = 'Python'"))
     value = F.regexp_extract("content", ASSIGN, 2)
     tainted = of.where(F.rlike("content", F.lit(ASSIGN)) & F.rlike(value, F.lit(TAINT_SOURCE)) & ~F.rlike(value, F.lit(SANITIZER)))
     tainted = tainted.select(*_FILE, F.regexp_extract("content", ASSIGN, 1).alias("name")).distinct()

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.model import CRITICAL, HIGH, MEDIUM
-from ..sources.files import MAX_LINE, lines
+from ..sources.files import has, lines, pieces, text_has
 from .blocks import finding
 
 ASSIGN = r"^\s*(?:export\s+)?(?:const\s+|let\s+|var\s+)?([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=(?!=)\s*(.+)$"
@@ -46,25 +46,30 @@ class Sink:
 
 
 def flow(files: DataFrame, source: str, sinks: tuple[Sink, ...], scanner: str, clean: str, confidence: int = 1) -> DataFrame:
-    """Findings of sinks whose arguments hold a source or a name that one reached."""
-    of = lines(files).where(F.length("content") <= MAX_LINE)
+    """Findings of sinks whose arguments hold a source or a name that one reached.
+
+    All sinks are looked for in one pass over windows of lines; one join tells which of the names in their arguments
+    a source reaches.
+    """
     key = ["project", "path"]
+    of = lines(files).select(*key, "line", "content")
     value = F.regexp_extract("content", ASSIGN, 2)
     assigned = of.where(F.rlike("content", F.lit(ASSIGN))).select(*key, F.regexp_extract("content", ASSIGN, 1).alias("name"), value.alias("value")).where(~F.rlike("value", F.lit(clean)))
-    steps = assigned.select(*key, "name", F.rlike("value", F.lit(source)).alias("direct"), F.array_distinct(F.regexp_extract_all("value", F.lit(NAME), F.lit(1))).alias("names"))
+    steps = assigned.select(*key, "name", has(F.col("value"), source).alias("direct"), F.array_distinct(F.regexp_extract_all("value", F.lit(NAME), F.lit(1))).alias("names"))
     steps = steps.groupBy(*key).agg(F.collect_list(F.struct("name", "direct", "names")).alias("steps")).where(F.exists("steps", lambda x: x["direct"]))
-    tainted = steps.select(*key, F.explode(F.udf(reached, "array<string>")("steps")).alias("name"))
-    out = None
-    for s in sinks:
-        opened = F.regexp_extract("content", f"(?:{s.pattern})(.*)$", 1)
-        at = of.withColumn("rest", opened).where(F.rlike("content", F.lit(s.pattern)) & ~F.rlike("content", F.lit(clean)))
+    tainted = steps.select(*key, F.explode(F.udf(reached, "array<string>")("steps")).alias("name"), F.lit(True).alias("reached"))
+
+    def opened(s: Sink, text: Column) -> Column:
+        hit = F.rlike(text, F.lit(s.pattern)) & ~F.rlike(text, F.lit(clean))
         if s.clean:
-            at = at.where(~F.rlike("content", F.lit(s.clean)))
-        direct = at.where(F.rlike("rest", F.lit(source))).drop("rest")
-        named = at.withColumn("name", F.explode(F.array_distinct(F.regexp_extract_all("rest", F.lit(NAME), F.lit(1))))).join(tainted, [*key, "name"], "left_semi").drop("rest", "name")
-        found = finding(direct.unionByName(named.select(*direct.columns)).distinct(), s.rule, scanner, s.severity, s.cwe, confidence)
-        out = found if out is None else out.unionByName(found)
-    return out
+            hit = hit & ~F.rlike(text, F.lit(s.clean))
+        return F.when(hit, F.struct(F.lit(s.rule).alias("rule"), F.lit(s.severity).alias("severity"), F.array(*map(F.lit, s.cwe)).alias("cwe"), F.regexp_extract(text, f"(?:{s.pattern})(.*)$", 1).alias("rest")))
+
+    at = F.flatten(F.transform(pieces(F.col("content")), lambda w: F.filter(F.array(*(opened(s, w["segment"]) for s in sinks)), lambda x: x.isNotNull())))
+    hits = of.select(*key, "line", "content", F.explode(at).alias("s")).select(*key, "line", "content", "s.*").withColumn("direct", F.rlike("rest", F.lit(source)))
+    names = F.when(~F.col("direct"), F.array_distinct(F.regexp_extract_all("rest", F.lit(NAME), F.lit(1))))
+    met = hits.withColumn("name", F.explode_outer(names)).join(tainted, [*key, "name"], "left").where("direct OR reached")
+    return finding(met, F.col("rule"), scanner, F.col("severity"), F.col("cwe"), confidence).distinct()
 
 
 JS_SOURCE = r"\breq(?:uest)?\.(?:query|params|body|headers|cookies|url)\b|\blocation\.(?:hash|search|href)\b|\bprocess\.argv\b|document\.(?:cookie|referrer)"
@@ -77,7 +82,7 @@ JS_SINKS = (
     Sink("ast-js.ast-xss", r"\.(?:innerHTML|outerHTML)\s*=|document\.write\(|\bres\.(?:send|write)\(", MEDIUM, ("CWE-79",)),
 )
 
-MODEL_CALL = r"(?i)\b(?:client|openai|anthropic|llm|model|chain|agent|completion|chat)\w*(?:\.\w+)*\.(?:create|invoke|generate\w*|predict|run|complete|call)\(|\b(?:llm|chain|agent)\("
+MODEL_CALL = r"(?i)\b(?:client|openai|anthropic|llm|model|chain|agent|completion|chat)[\w.]*\.(?:create|invoke|generate\w*|predict|run|complete|call)\(|\b(?:llm|chain|agent)\("
 LLM_CLEAN = r"(?i)ast\.literal_eval|json\.loads|html\.escape|shlex\.quote|bleach\.clean|sanitize|allowlist|DOMPurify"
 LLM_SINKS = (
     Sink("llm.insecure-output-handling", r"\b(?:eval|exec)\(", CRITICAL, ("CWE-95",)),
@@ -100,7 +105,7 @@ def javascript(files: DataFrame) -> DataFrame:
 
 def language_models(files: DataFrame) -> DataFrame:
     """Model output in dangerous sinks, and outside input in prompts, in files that call a model at all."""
-    code = files.where(F.col("language").isin("Python", "JavaScript", "TypeScript") & F.rlike("text", F.lit(MODEL_CALL)))
+    code = files.where(F.col("language").isin("Python", "JavaScript", "TypeScript") & text_has(F.col("text"), MODEL_CALL))
     return flow(code, MODEL_CALL, LLM_SINKS, "llm", LLM_CLEAN).unionByName(flow(code, USER_INPUT, PROMPT_SINKS, "llm", LLM_CLEAN, 0))
 
 

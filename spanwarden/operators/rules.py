@@ -7,14 +7,16 @@ length. The literal patterns are fixed values.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.model import CRITICAL, HIGH, INFO, LOW, MEDIUM
-from ..sources.files import LINE_END, MAX_LINE, base_name, suffix, windows
+from ..sources.files import LINE_END, MAX_LINE, base_name, pieces, suffix, text_has
 
 PYTHON, JS = ("Python",), ("JavaScript", "TypeScript")
 CURL_PIPE = r"(?i)\b(?:curl|wget|fetch)\s+[^\s|][^\n|]*\|\s*(?:sudo\s+(?:-\S+\s+)*)?(?:ba|z)?sh\b"
@@ -199,35 +201,43 @@ def file_kind(path: Column, text: Column) -> Column:
     )
 
 
-def _applies(rule: Rule) -> Column:
-    out = F.lit(True)
+def _applies(rule: Rule) -> Column | None:
+    """Where a rule looks, by language and file class; None for everywhere."""
+    tests = []
     if rule.languages:
-        out = F.col("language").isin(*rule.languages)
+        tests.append(F.col("language").isin(*rule.languages))
     elif rule.scanner == "patterns":
-        out = F.col("language").isNotNull() & ~F.col("language").isin(*QUIET)
+        tests.append(F.col("language").isNotNull() & ~F.col("language").isin(*QUIET))
     if rule.suffixes:
-        out = out & F.col("suffix").isin(*rule.suffixes)
+        tests.append(F.col("suffix").isin(*rule.suffixes))
     if rule.kind:
-        out = out & (F.col("kind") == rule.kind)
-    return out
-
-
-def _finding_of(rule: Rule, segment: Column, offset: Column) -> Column:
-    """A struct of what a rule finds in a segment, null if nothing. The column is where the match starts."""
-    hit = _applies(rule) & F.rlike(segment, F.lit(rule.pattern))
-    if rule.suppress:
-        hit = hit & ~F.rlike(segment, F.lit(rule.suppress))
-    value = F.regexp_extract(segment, rule.pattern, 1 if rule.scanner == "secrets" else 0)
-    if rule.scanner == "secrets":
-        hit = hit & ~F.rlike(value, F.lit(PLACEHOLDER))
-    start = F.instr(segment, value) + offset
-    return F.when(
-        hit,
-        F.struct(
-            F.lit(rule.id).alias("rule_id"), F.lit(rule.scanner).alias("scanner"), F.lit(rule.severity).alias("severity"), F.lit(rule.confidence).alias("confidence"), F.lit(rule.likelihood).alias("likelihood"),
-            F.array(*map(F.lit, rule.cwe)).alias("cwe"), start.cast("int").alias("start_column"), (start + F.length(value)).cast("int").alias("end_column"), value.alias("value"),
-        ),
-    )
+        tests.append(F.col("kind") == rule.kind)
+    return reduce(lambda a, b: a & b, tests) if tests else None
+
+
+def _about(rules: Sequence[Rule]) -> Column:
+    """A constant array of what findings of the rules say, in their order."""
+    rows = [{"rule_id": r.id, "scanner": r.scanner, "severity": r.severity, "confidence": r.confidence, "likelihood": r.likelihood, "cwe": list(r.cwe)} for r in rules]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<rule_id:string,scanner:string,severity:int,confidence:int,likelihood:int,cwe:array<string>>>")
+
+
+def _matches(rules: Sequence[Rule], segment: Column) -> Column:
+    """An array of the numbers of the rules that match a segment and the values that they found."""
+    where: dict = {}
+    hits = []
+    for i, r in enumerate(rules, 1):
+        place = (r.languages, r.scanner == "patterns", r.suffixes, r.kind)
+        if place not in where:
+            where[place] = _applies(r)
+        hit = F.rlike(segment, F.lit(r.pattern))
+        hit = hit if where[place] is None else where[place] & hit
+        if r.suppress:
+            hit = hit & ~F.rlike(segment, F.lit(r.suppress))
+        value = F.regexp_extract(segment, r.pattern, 1 if r.scanner == "secrets" else 0)
+        if r.scanner == "secrets":
+            hit = hit & ~F.rlike(value, F.lit(PLACEHOLDER))
+        hits.append(F.when(hit, F.struct(F.lit(i).alias("rule"), value.alias("value"))))
+    return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
 def placed(files: DataFrame) -> DataFrame:
@@ -241,28 +251,30 @@ def match_rules(files: DataFrame, rules: Sequence[Rule] = ALL) -> DataFrame:
     Files of test code keep their findings one severity lower, at low confidence and tagged.
     """
     there = placed(files)
-    of_lines = windows(_lines_of(there))
     found = [r for r in rules if not r.absent]
-    hits = F.filter(F.array(*(_finding_of(r, F.col("segment"), F.col("offset")) for r in found)), lambda x: x.isNotNull())
-    rows = of_lines.select("project", "path", "line", "offset", "content", F.explode(hits).alias("f"))
-    first = rows.groupBy("project", "path", "line", "f.rule_id").agg(F.min_by(F.struct("f", "content"), "offset").alias("r")) 
-    out = first.select("project", "path", F.col("line").alias("start_line"), F.col("line").alias("end_line"), "r.f.*", F.substring(F.trim(F.col("r.content")), 1, 200).alias("snippet"))
+
+    about = _about(found)
+
+    def in_window(w: Column) -> Column:
+        return F.transform(_matches(found, w["segment"]), lambda x: F.struct(x["rule"].alias("rule"), x["value"].alias("value"), w["offset"].alias("offset")))
+
+    rows = _lines_of(there).withColumn("windows", pieces(F.col("content")))
+    rows = rows.select("project", "path", "line", "content", F.flatten(F.transform("windows", in_window)).alias("hits"))
+    # a rule that several windows of a line match counts in the first; no shuffle
+    names = F.transform("hits", lambda x: F.element_at(about, x["rule"])["rule_id"])
+    first = F.when(F.size("hits") < 2, F.col("hits")).otherwise(F.filter("hits", lambda x, i: F.array_position(names, F.element_at(about, x["rule"])["rule_id"]) == i + 1))
+    rows = rows.select("project", "path", "line", "content", F.explode(first).alias("f")).select("project", "path", "line", "content", F.element_at(about, F.col("f.rule")).alias("about"), "f.value", "f.offset")
+    start = F.instr(F.substring("content", F.col("offset") + 1, F.lit(MAX_LINE)), F.col("value")) + F.col("offset")
+    out = rows.select("project", "path", F.col("line").alias("start_line"), F.col("line").alias("end_line"), "about.*", start.cast("int").alias("start_column"), (start + F.length("value")).cast("int").alias("end_column"), "value", F.substring(F.trim("content"), 1, 200).alias("snippet"))
     absent = [r for r in rules if r.absent]
     if absent:
-        lacking = F.filter(
-            F.array(*(F.when(_applies(r) & ~_somewhere(r.pattern), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.scanner).alias("scanner"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), F.lit(r.likelihood).alias("likelihood"), F.array(*map(F.lit, r.cwe)).alias("cwe"))) for r in absent)),
-            lambda x: x.isNotNull(),
-        )
-        once = there.select("project", "path", F.explode(lacking).alias("f")).select("project", "path", "f.*", F.lit(1).alias("start_line"), F.lit("(directive absent)").alias("snippet"))
+        tests = [~text_has(F.col("text"), r.pattern) if (place := _applies(r)) is None else place & ~text_has(F.col("text"), r.pattern) for r in absent]
+        lacking = F.filter(F.array(*(F.when(lacks, F.lit(i)) for i, lacks in enumerate(tests, 1))), lambda x: x.isNotNull())
+        once = there.select("project", "path", F.explode(lacking).alias("__rule")).select("project", "path", F.element_at(_about(absent), F.col("__rule")).alias("f")).select("project", "path", "f.*", F.lit(1).alias("start_line"), F.lit("(directive absent)").alias("snippet"))
         out = out.unionByName(once, allowMissingColumns=True)
     return downgraded(out.withColumn("tags", F.array().cast("array<string>")))
 
 
-def _somewhere(pattern: str) -> Column:
-    """Does any line of the text have the pattern?"""
-    return F.exists(F.split("text", "\n"), lambda x: F.rlike(F.substring(x, 1, MAX_LINE), F.lit(pattern)))
-
-
 def _lines_of(there: DataFrame) -> DataFrame:
     parts = F.split(F.col("text"), LINE_END)
     kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)

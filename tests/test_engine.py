@@ -214,6 +214,19 @@ def test_flows_of_any_length(spark):
     assert ids(flows.javascript(f)) == [("ast-js.ast-sql-injection", "a.js", 14)]
 
 
+def test_long_lines_are_read_in_windows(spark):
+    pad = ";".join(f"var v{i}=1" for i in range(2000))
+    f = corpus(spark, {"a.js": f"const q = req.query.q;\n{pad};db.query('x' + q);{pad}\n", "b.py": f"p = request.args\nx = '{pad}'; open(p)\n", "Dockerfile": f"FROM a:1\nRUN echo {pad}\nUSER app\n"})
+    assert ids(flows.javascript(f)) == [("ast-js.ast-sql-injection", "a.js", 2)]
+    assert ids(blocks.path_traversal(f)) == [("patterns.path-traversal-taint", "b.py", 2)]
+    twice = corpus(spark, {"a.py": f"TODO = '{pad}' # TODO"})
+    (r,) = rules.match_rules(twice, rules.custom_rules([{"id": "todo", "pattern": "TODO"}])).collect()
+    assert (r.start_line, r.start_column, r.value, r.severity) == (1, 1, "TODO", 2)
+    late = corpus(spark, {"a.py": f"x = '{pad}' # LATE"})
+    (r,) = rules.match_rules(late, rules.custom_rules([{"id": "late", "pattern": "LATE"}])).collect()
+    assert r.start_column == len(pad) + 10 and r.end_column == r.start_column + 4
+
+
 def test_dedupe_folds_against_the_last_kept(spark):
     rows = [("a.x" if i % 2 else "b.x", "a" if i % 2 else "b", "f.py", line, 3, 1 if line in (3, 10) else 0, ["CWE-89"]) for i, line in enumerate([1, 3, 5, 9, 10])]
     assert sorted(n for *_, n in ids(findings.deduplicated(found(spark, *rows)))) == [3, 10]

@@ -65,10 +65,17 @@ def _values(rows) -> str:
 
 
 PLANTED = f"""planted(k, name, rule_id, line) AS (VALUES {_values((k, p, rule, line) for k, (p, _, found) in enumerate(PLANTS) for rule, line in found)})"""
+
+
+def _plants(name: str) -> str:
+    """SQL for documents that make a file of the name."""
+    return f"doc_id % {len(PLANTS)} IN ({', '.join(str(k) for k, (p, *_) in enumerate(PLANTS) if p == name)})"
+
+
 CATALOGUE = ["secrets", "patterns", "lang-sast", "malware", "iac", "container", "cicd", "cloud", "supply-chain", "provenance", "api"]
 
 
-@query(f"WITH {PLANTED} SELECT source AS project, 'd' || doc_id || '/' || name AS path, rule_id, line AS start_line FROM documents JOIN planted ON doc_id % {len(PLANTS)} = k")
+@query(f"WITH {PLANTED} SELECT source AS project, 'd' || doc_id || '/' || name AS path, rule_id, line AS start_line FROM documents JOIN planted ON doc_id % {len(PLANTS)} = k UNION ALL SELECT source, '.', 'provenance.missing', NULL FROM documents GROUP BY source HAVING bool_or({_plants("package.json")}) AND NOT bool_or({_plants("provenance.json")})")
 def catalogue_rules(spark, d):
     """Line rules, block walks and document checks of eleven detectors over planted files and their clean twins."""
     return scan.detect(_files(spark, d, PLANTS), CATALOGUE).select("project", "path", "rule_id", "start_line")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, media, minhash, packing, pii, quality, token_counts, token_ids, toxicity
+from . import bpe, conversations, html_text, language, media, minhash, packing, pii, quality, token_counts, token_ids, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,15 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_html_text, op3_token_counts, op4_pii, op5_packing, op6_toxicity, op7_token_ids, op8_quality, op9_bpe, op10_gif)}
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_html_text, op3_token_counts, op4_pii, op5_packing, op6_toxicity, op7_token_ids, op8_quality, op9_bpe, op10_gif, op12_language, op13_prefix_trie)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 

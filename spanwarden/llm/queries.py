@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, html_text, language, media, minhash, packing, pii, quality, token_counts, token_ids, toxicity
+from . import alignment, bpe, conversations, html_text, language, media, minhash, packing, pii, quality, token_counts, token_ids, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,13 @@ def byte_bpe() -> dict:
     return {"file": tokenizer("byte_bpe_50k.json"), "ranks_file": tokenizer("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": {"<|endoftext|>": 50256}}
 
 
+def byte_and_piece() -> dict:
+    """What alignment needs of byte_bpe_50k.json and piece_bpe_32k.model."""
+    import public_tokenizers
+
+    return {"ranks_file": tokenizer("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "model": tokenizer("piece_bpe_32k.model")}
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -67,6 +74,10 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), byte_and_piece())
+
+
 def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
@@ -75,7 +86,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_html_text, op3_token_counts, op4_pii, op5_packing, op6_toxicity, op7_token_ids, op8_quality, op9_bpe, op10_gif, op12_language, op13_prefix_trie)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_html_text, op3_token_counts, op4_pii, op5_packing, op6_toxicity, op7_token_ids, op8_quality, op9_bpe, op10_gif, op11_alignment, op12_language, op13_prefix_trie)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 

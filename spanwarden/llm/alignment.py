@@ -27,8 +27,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +43,22 @@ CHUNK = 65_536
 #: Fragments that a node of the tree takes.
 FAN = 16
 #: Units that a worker remembers; at the bound it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Units that are encoded as one text.
+LEARNT = 20_000
 MARK = "▁"
 #: What may be white space to one of the tokenizers.
 _BLANK = r"\s\x1c-\x1f\x85᠎​﻿▁"
-_ENDS_BLANK = re.compile(f"[{_BLANK}]\\Z")
+_ODD_BLANKS = "\u180e\u200b\ufeff" + MARK
 #: Places where a tokenizer surely begins a token: A before white space, B before blanks and line feeds.
 _CUTS = (re.compile(rf"(?<=[^{_BLANK}])(?=[ \t\r\n])"), re.compile(r"(?<=[^ ▁\n])(?=[ \n])"))
 
 
+def ends_blank(word: str) -> bool:
+    """Does a word end with what may be white space to one of the tokenizers, or is it empty?"""
+    return not word or word[-1].isspace() or word[-1] in _ODD_BLANKS
+
+
 class Coder:
     """Ids and byte lengths of tokens of both vocabularies."""
 
@@ -68,15 +76,15 @@ class Coder:
         pieces = self.b.id_to_piece(list(range(self.b.get_piece_size())))
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
+        self.a_shown = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in (",", "|")]
+        self.b_shown = [f"{i}{end}" for i in range(len(self.b_bytes)) for end in (",", ";", "")]
         self.clear()
 
     def clear(self) -> None:
         self.units: dict[str, int] = {}
-        self.n_a: list[int] = []
-        self.n_b: list[int] = []
-        self.n_groups: list[int] = []
+        self.n_a, self.n_b, self.n_groups = array("i"), array("i"), array("i")
         self.text: list[str] = []
-        self.pairs: list[list[int]] = []
+        self.pairs: list[bytes] = []
 
     def a_ids(self, text: str) -> list[int]:
         return self.a.encode_ordinary(text)
@@ -92,18 +100,55 @@ class Coder:
 
     def learn(self, words: list[str]) -> None:
         """Remembers units, each a word after one blank. A word whose bytes B changes has no groups."""
-        bare = [w[1:] if _ENDS_BLANK.search(w) else w for w in words]
+        plain = [w for w in words if MARK not in w and not ends_blank(w)]
+        for at in range(0, len(plain), LEARNT):
+            part = plain[at : at + LEARNT]
+            if not self._learn_together(part):
+                self._learn_each(part)
+        if len(plain) < len(words):
+            self._learn_each([w for w in words if w not in self.units])
+
+    def _learn_each(self, words: list[str]) -> None:
+        bare = [w[1:] if ends_blank(w) else w for w in words]
         for key, word, b in zip(words, bare, self.b.encode(bare, num_threads=1), strict=True):
             a, b = self.a.encode_ordinary(" " + word), b if word else self.b_ids(" ")
-            self.units[key] = len(self.text)
-            if not self.same(b, b" " + word.encode()) or b"".join(map(self.a_bytes.__getitem__, a)) != b" " + word.encode():
+            if not self.same(b, b" " + word.encode()):
                 a = b = []
             found = grouped(a, list(accumulate(map(len, map(self.a_bytes.__getitem__, a)))), b, list(accumulate(map(len, map(self.b_bytes.__getitem__, b)))))
-            self.n_a.append(len(a))
-            self.n_b.append(len(b))
-            self.n_groups.append(len(found[0]))
-            self.text.append(";".join(found[0]))
-            self.pairs.append(found[1])
+            self._add([key], [len(a)], [len(b)], [len(found[0])], [";".join(found[0])], [array("q", found[1]).tobytes()])
+
+    def _add(self, words: list[str], n_a, n_b, n_groups, text: list[str], pairs: list[bytes]) -> None:
+        self.units.update(zip(words, range(len(self.text), len(self.text) + len(words)), strict=True))
+        for have, new in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups), (self.text, text), (self.pairs, pairs)):
+            have.extend(new)
+
+    def _learn_together(self, words: list[str]) -> bool:
+        """All words as one text, which is each word's tokens in turn; False if its bytes say otherwise."""
+        text = " " + " ".join(words)
+        a, b = np.array(self.a.encode_ordinary(text)), np.array(self.b.encode(text[1:], num_threads=1))
+        if not self.same(b.tolist(), text.encode()):
+            return False
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        bounds = np.searchsorted(common, ends)
+        if bounds[-1] >= len(common) or (common[bounds] != ends).any():
+            return False
+        group_a, group_b = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        last_a, last_b = a_ends == common[group_a], b_ends == common[group_b]
+        pairs = (a[last_a].astype(np.int64) << 32 | b[last_b]).tobytes()
+        until = bounds + 1
+        sizes = [np.diff(x, prepend=0) for x in (np.searchsorted(a_ends, ends, "right"), np.searchsorted(b_ends, ends, "right"), until)]
+        # a token's text and what follows it, in order of groups and A before B
+        of_b = b * 3 + last_b + np.isin(b_ends, ends, assume_unique=True)
+        shown = list(map(self.a_shown.__getitem__, (a * 2 + last_a).tolist())) + list(map(self.b_shown.__getitem__, of_b.tolist()))
+        order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
+        shown = list(map(shown.__getitem__, order.tolist()))
+        stops = np.cumsum(sizes[0] + sizes[1]).tolist()
+        texts_ = ["".join(shown[i:j]) for i, j in zip([0, *stops], stops, strict=False)]
+        cuts = (until * 8).tolist()
+        self._add(words, *(x.tolist() for x in sizes), texts_, [pairs[i:j] for i, j in zip([0, *cuts], cuts, strict=False)])
+        return True
 
 
 def grouped(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[str], list[int]]:
@@ -129,7 +174,7 @@ def units_of(text: str) -> list[str]:
     out, open_ = [], []
     for word in text.split(" "):
         open_.append(word)
-        if word and not _ENDS_BLANK.search(word):
+        if not ends_blank(word):
             out.append(" ".join(open_))
             open_ = []
     return [*out, " " + " ".join(open_)] if open_ else out
@@ -176,12 +221,12 @@ def _short(bpe: dict):
             bodies = [t or "" for t in batch.column(1).to_pylist()]
             words = [t.split(" ") if t else [] for t in bodies]
             new = set().union(*words).difference(coder.units)
-            odd = {w for w in new if not w or _ENDS_BLANK.search(w)}  # never remembered so: no units
+            odd = set(filter(ends_blank, new))  # never remembered so: no units
             if odd:
                 words = [units_of(t) if t and not odd.isdisjoint(w) else w for t, w in zip(bodies, words, strict=True)]
                 new = set().union(*words).difference(coder.units)
-            coder.learn(list(new))
-            n_a, n_b, n_groups = map(np.array, (coder.n_a, coder.n_b, coder.n_groups))
+            coder.learn(sorted(new))
+            n_a, n_b, n_groups = (np.array(x, np.int64) for x in (coder.n_a, coder.n_b, coder.n_groups))
             out, units = ([], [], [], []), []
             for w in words:
                 u = np.fromiter(map(coder.units.__getitem__, w), np.int64, len(w))
@@ -193,9 +238,7 @@ def _short(bpe: dict):
                 out[3].append(hashlib.sha256(";".join(map(coder.text.__getitem__, u.tolist())).encode()).hexdigest() if len(u) else "")
 
             def pairs_of(used: np.ndarray):
-                lists = list(map(coder.pairs.__getitem__, used.tolist()))
-                n = np.array(list(map(len, lists)), np.int64)
-                return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
+                return np.frombuffer(b"".join(map(coder.pairs.__getitem__, used.tolist())), np.int64), n_groups[used].astype(np.int64)
 
             yield block_row(f"{part}-{k}", True, batch.column(0).to_pylist(), *out, units, pairs_of)
 

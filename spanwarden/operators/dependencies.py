@@ -9,6 +9,16 @@ from ..functions import scoring
 from ..functions.model import SEVERITIES, rank
 
 
+#: Distributions whose modules have other names: fixed values.
+ALIASES = {
+    "pyyaml": ("yaml",), "pillow": ("PIL",), "beautifulsoup4": ("bs4",), "scikit-learn": ("sklearn",), "scikit-image": ("skimage",), "opencv-python": ("cv2",), "opencv-python-headless": ("cv2",),
+    "python-dateutil": ("dateutil",), "python-dotenv": ("dotenv",), "python-jose": ("jose",), "python-multipart": ("multipart",), "pycryptodome": ("Crypto",), "pycryptodomex": ("Cryptodome",), "pycrypto": ("Crypto",),
+    "psycopg2-binary": ("psycopg2",), "mysqlclient": ("MySQLdb",), "pymongo": ("pymongo", "bson", "gridfs"), "protobuf": ("google.protobuf",), "google-cloud-storage": ("google.cloud.storage",), "attrs": ("attr", "attrs"),
+    "setuptools": ("setuptools", "pkg_resources"), "pyjwt": ("jwt",), "pyopenssl": ("OpenSSL",), "pyserial": ("serial",), "pysocks": ("socks",), "msgpack-python": ("msgpack",), "django-cors-headers": ("corsheaders",),
+    "djangorestframework": ("rest_framework",), "flask-sqlalchemy": ("flask_sqlalchemy",), "gitpython": ("git",), "grpcio": ("grpc",), "ipython": ("IPython",), "markupsafe": ("markupsafe",), "tensorflow-gpu": ("tensorflow",), "torch": ("torch",),
+}
+
+
 def inventory(packages: DataFrame) -> DataFrame:
     """project (where packages have one), ecosystem, package, version, manifest: of each version the first manifest, parsers in their order."""
     on = [*(["project"] if "project" in packages.columns else []), "ecosystem", "package", "version"]
@@ -92,7 +102,29 @@ def advisory_findings(matches: DataFrame, places: DataFrame) -> DataFrame:
     """Findings of vulnerable packages in their manifests: places has (ecosystem, package, version, manifest), and may have project."""
     level = F.coalesce(rank(F.col("severity"), SEVERITIES), F.lit(2))
     project = ["project"] if "project" in places.columns else []
-    return matches.join(places, ["ecosystem", "package", "version"]).select(*project, F.concat(F.lit("dependencies."), "id").alias("rule_id"), F.lit("dependencies").alias("scanner"), F.col("manifest").alias("path"), level.alias("severity"), F.lit(2).alias("confidence"), F.concat_ws("==", "package", "version").alias("snippet"), "cve")
+    more = [c for c in ("cwe", "fixed", "epss", "kev", "tags") if c in matches.columns]
+    out = matches.join(places, ["ecosystem", "package", "version"]).select(*project, F.concat(F.lit("dependencies."), "id").alias("rule_id"), F.lit("dependencies").alias("scanner"), F.col("manifest").alias("path"), level.alias("severity"), F.lit(2).alias("confidence"), F.concat_ws("==", "package", "version").alias("snippet"), "cve", *more, "ecosystem", "package")
+    return out.withColumn("likelihood", F.when(F.col("kev"), 4).otherwise(2)) if "kev" in more else out.withColumn("likelihood", F.lit(2))
+
+
+def imported(rows: DataFrame, modules: DataFrame) -> DataFrame:
+    """Findings (project, ecosystem, package) with reachability: does their project's code import the package?
+
+    modules: project, ecosystem, module. Of ecosystems other than PyPI and npm nothing is said, and where a project
+    imports nothing it is unknown. A package that is not imported is unlikely to be met, unless it is known exploited.
+    """
+    names = F.when(F.col("ecosystem") == "PyPI", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for d, m in ALIASES.items() for x in (d, list(m))]), F.lower("package")), F.array(scoring.import_name(F.col("package")), F.lower("package")))).otherwise(F.array(F.lower("package")))
+    asked = rows.select("project", "ecosystem", "package").distinct().where(F.col("ecosystem").isin("PyPI", "npm"))
+    asked = asked.withColumn("module", F.explode(F.transform(names, lambda n: F.lower(F.when(F.col("ecosystem") == "PyPI", F.element_at(F.split(n, r"\."), 1)).otherwise(n)))))
+    known = modules.select("project", "ecosystem", "module").distinct()
+    some = known.select("project", "ecosystem").distinct().withColumn("__some", F.lit(True))
+    same = F.col("a.project").eqNullSafe(F.col("b.project")) & (F.col("a.ecosystem") == F.col("b.ecosystem"))
+    seen = asked.alias("a").join(known.withColumn("__seen", F.lit(True)).alias("b"), same & (F.col("a.module") == F.col("b.module")), "left").groupBy("a.project", "a.ecosystem", "a.package").agg(F.coalesce(F.bool_or("__seen"), F.lit(False)).alias("__seen"))
+    verdict = F.when(F.col("__seen"), "imported").when(F.col("__some"), "not_imported").otherwise("unknown")
+    seen = seen.alias("a").join(some.alias("b"), same, "left").select("a.project", "a.ecosystem", "a.package", verdict.alias("reachability"))
+    out = rows.alias("a").join(seen.alias("b"), same & (F.col("a.package") == F.col("b.package")), "left").select("a.*", "reachability")
+    exploited = F.coalesce(F.col("kev"), F.lit(False)) if "kev" in rows.columns else F.lit(False)
+    return out.withColumn("likelihood", F.when((F.col("reachability") == "not_imported") & ~exploited, 1).otherwise(F.col("likelihood"))).drop("ecosystem", "package")
 
 
 #: Lifecycle hooks of npm manifests, and what makes their scripts suspicious: fixed values.

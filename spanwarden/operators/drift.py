@@ -22,7 +22,7 @@ def scan_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     change = F.when(F.col("b.key").isNull(), "added").when(F.col("a.key").isNull(), "removed").when(F.col("a.severity") != F.col("b.severity"), "severity_changed").otherwise("unchanged")
     same = F.col("a.key") == F.col("b.key")
     for p in project:
-        same = same & (F.col(f"a.{p}") == F.col(f"b.{p}"))
+        same = same & F.col(f"a.{p}").eqNullSafe(F.col(f"b.{p}"))
     both = b.join(a, same, "full")
     return both.select(*(F.coalesce(f"a.{p}", f"b.{p}").alias(p) for p in project), F.coalesce("a.key", "b.key").alias("key"), change.alias("change"), F.col("b.severity").alias("before_severity"), F.col("a.severity").alias("after_severity"), F.coalesce("a.rule_id", "b.rule_id").alias("rule_id"), F.coalesce("a.path", "b.path").alias("path"))
 

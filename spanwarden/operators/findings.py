@@ -8,14 +8,16 @@ both sides of a step have a project, it is part of every key.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.model import CRITICAL, HIGH, INFO, LOW, SEVERITIES, rank
+from ..functions.store import keep
 from ..sources.files import suffix
 
 #: Lines within which two scanners' reports of one weakness are one: fixed values.
@@ -29,6 +31,11 @@ SLICE = 16
 #: Rules whose lines have a rewrite.
 REWRITES = ("patterns.python-yaml-load", "patterns.tls-verify-disabled", "patterns.flask-debug-true", "patterns.weak-hash-md5-sha1", "patterns.python-shell-true", "patterns.python-xml-resolve-entities", "patterns.python-weak-random-token")
 EXPOSURE = {"internal": -1, "partner": 0, "internet": 1, "public": 1}
+#: Verdicts by which first-party code uses a dependency: fixed values.
+REACHABLE = ("imported", "REACHABLE", "VERIFIED")
+#: Secrets that open a cloud, by rule and by what stands around one of another rule: fixed values.
+CLOUD_SECRETS = ("aws-access-key-id", "aws-secret-access-key", "google-api-key")
+CLOUD_HINT = r"(?i)(AWS_|aws_secret|gcp|azure|metadata\.google)"
 #: Comment openers by suffix besides # and //: fixed values.
 OPENERS = {"--": (".sql", ".lua", ".hs"), "<!--": (".html", ".htm", ".xhtml", ".xml", ".md", ".markdown"), ";": (".ini", ".lisp", ".lsp", ".el", ".clj")}
 
@@ -38,6 +45,11 @@ def keys(*sides: DataFrame, of: tuple[str, ...] = ("path",)) -> list[str]:
     return [*(["project"] if all("project" in s.columns for s in sides) else []), *of]
 
 
+def same(on: list[str], left: str, right: str) -> Column:
+    """Are the keys of two aliased sides equal? Findings of no project belong to the same one, none."""
+    return reduce(lambda a, b: a & b, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in on))
+
+
 def side_rows(entries: DataFrame, *order: str) -> list[Row]:
     """The rows of a side table in order; ValueError beyond SIDE_ROWS, for such a table is no configuration."""
     rows = (entries.orderBy(*order) if order else entries).limit(SIDE_ROWS + 1).collect()
@@ -70,7 +82,7 @@ def inline_suppressed(findings: DataFrame, of_lines: DataFrame, today: Column, m
     marked = marked.withColumn("__until", F.when(until != "", F.try_to_date(until, "yyyy-MM-dd"))).withColumn("__dated", until != "").withColumn("__rule", F.call_function("regexp_extract", content, expr, F.lit(1)))
     on = keys(findings, of_lines, of=("path", "start_line"))
     marked = marked.where(~F.col("__dated") | (F.col("__until") >= today)).withColumnRenamed("line", "start_line").select(*on, "__rule")
-    hidden = reduce(lambda a, b: a & b, (F.col(f"f.{k}") == F.col(f"m.{k}") for k in on)) & ((F.col("m.__rule") == "") | scoring.rule_matches(F.col("f.rule_id"), F.col("m.__rule")))
+    hidden = same(on, "f", "m") & ((F.col("m.__rule") == "") | scoring.rule_matches(F.col("f.rule_id"), F.col("m.__rule")))
     return findings.alias("f").join(marked.alias("m"), hidden, "left_anti")
 
 
@@ -93,7 +105,7 @@ def with_exceptions(findings: DataFrame, exceptions: DataFrame, today: Column) -
     """
     on = keys(findings, exceptions, of=("fingerprint",))
     live = exceptions.where(F.col("expires_at").isNull() | (F.col("expires_at") >= today)).groupBy(*on).agg(F.max_by("status", "ordinal").alias("__status"))
-    joined = findings.join(live, on, "left").where(F.coalesce(F.col("__status") != "suppress", F.lit(True)))
+    joined = findings.alias("f").join(live.alias("e"), same(on, "f", "e"), "left").select("f.*", "__status").where(F.coalesce(F.col("__status") != "suppress", F.lit(True)))
     state = F.when(F.col("__status") == "accept", "accepted").when(F.col("__status") == "false_positive", "false_positive")
     old = F.col("verification") if "verification" in findings.columns else F.lit(None).cast("string")
     return joined.withColumn("verification", F.coalesce(state, old)).drop("__status")
@@ -111,29 +123,44 @@ def prefer_ast(findings: DataFrame, ran: list[str]) -> DataFrame:
 def deduplicated(findings: DataFrame) -> DataFrame:
     """One of the reports of a weakness by several scanners within DEDUPE_LINES of the last one kept.
 
-    The fold runs within (project, path, CWEs): the higher confidence, severity, rewrite, syntax tier stays, on a
-    tie the lower rule id. A group's rows are those of one file and weakness, which a file's size bounds.
+    The fold runs within (project, path, CWEs), in line and then scan order: the higher confidence, severity, rewrite,
+    syntax tier stays, on a tie the lower rule id. Findings without a line or a CWE all stay. Each depends on the last
+    one kept, so the rows of a group stream through one task in order; it holds one of them.
     """
-    names = findings.columns
+    place = F.struct(*keys(findings), F.array_sort("cwe").alias("cwes")).alias("group")
     loose = F.col("start_line").isNull() | (F.size("cwe") <= 0)
-    row = F.struct(*names)
-    merge = F.struct(F.col("start_line").alias("at"), F.col("ordinal").alias("place"), "confidence", "severity", F.col("rule_id").isin(*REWRITES).cast("int").alias("rewrite"), F.startswith("scanner", F.lit("ast-")).cast("int").alias("ast"), F.col("rule_id").alias("rule"), F.col("scanner").alias("tool"), row.alias("row"))
-    groups = findings.where(~loose).groupBy(*keys(findings), F.array_sort("cwe").alias("__cwes")).agg(F.array_sort(F.collect_list(merge)).alias("rows"))
-
-    def better(x: Column, y: Column) -> Column:
-        """Does x beat y?"""
-        a, b = (F.struct(r["confidence"], r["severity"], r["rewrite"], r["ast"]) for r in (x, y))
-        return (a > b) | ((a == b) & (y["rule"] > x["rule"]))
-
-    def step(kept: Column, r: Column) -> Column:
-        last = F.element_at(kept, -1)
-        near = (F.size(kept) > 0) & (F.try_element_at(kept, F.lit(-1))["tool"] != r["tool"]) & (r["at"] - F.try_element_at(kept, F.lit(-1))["at"] <= DEDUPE_LINES)
-        swapped = F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(r))
-        return F.when(near, F.when(better(r, last), swapped).otherwise(kept)).otherwise(F.array_append(kept, r))
-
-    empty = F.filter(F.col("rows"), lambda _: F.lit(False))
-    folded = groups.select(F.explode(F.aggregate("rows", empty, step)).alias("r")).select("r.row.*")
-    return findings.where(loose).unionByName(folded.select(*names))
+    rewrite, ast = F.col("rule_id").isin(*REWRITES).cast("int"), F.startswith("scanner", F.lit("ast-")).cast("int")
+    merit = F.struct("confidence", "severity", rewrite.alias("rewrite"), ast.alias("ast"))
+    asked = F.struct(loose.alias("loose"), F.xxhash64(place).alias("group"), F.to_json(place).alias("key"), F.col("start_line").alias("line"), merit.alias("merit"), F.col("rule_id").alias("rule"), F.col("scanner").alias("tool"))
+    rows = findings.withColumn("__asked", asked).repartition("__asked.group").sortWithinPartitions("__asked.group", "__asked.key", "start_line", "ordinal")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None  # the last row kept of the present group, and the batch of one row that it is
+        for batch in batches:
+            kept: list[int] = []
+            at = None  # its place in this batch
+            own = batch.drop_columns(["__asked"])
+            for i, row in enumerate(batch.column("__asked").to_pylist()):
+                if row["loose"]:
+                    kept.append(i)
+                    continue
+                near = last is not None and last["key"] == row["key"] and last["tool"] != row["tool"] and row["line"] - last["line"] <= DEDUPE_LINES
+                mine, other = (tuple(r["merit"].values()) for r in (row, last or row))
+                if near and not (mine > other or mine == other and row["rule"] < last["rule"]):
+                    continue
+                if not near and last is not None:
+                    if at is None:
+                        yield held
+                    else:
+                        kept.append(at)
+                last, at = row, i
+            yield own.take(pa.array(sorted(kept), pa.int64()))
+            if at is not None:
+                held = own.slice(at, 1)
+        if last is not None:
+            yield held
+
+    return rows.mapInArrow(fold, findings.schema)
 
 
 def merged(native: DataFrame, imported: DataFrame) -> DataFrame:
@@ -149,7 +176,7 @@ def merged(native: DataFrame, imported: DataFrame) -> DataFrame:
     n = native.select(*(F.col(k).alias(f"n_{k}") for k in on if k != "path"), F.col("ordinal").alias("n_ordinal"), F.col("scanner").alias("n_scanner"), F.col("path").alias("n_path"), F.col("start_line").alias("n_line"), F.col("cwe").alias("n_cwe"), F.col("cve").alias("n_cve"))
     near = n.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("n_line") / wide) + d)))
     own = imported.withColumn("bucket", F.floor(F.col("start_line") / wide))
-    same_file = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"n_{k}") for k in on))
+    same_file = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"n_{k}")) for k in on))
     band = own.join(near, same_file & (own["bucket"] == near["bucket"])).where((F.abs(F.col("start_line") - F.col("n_line")) <= MERGE_LINES) & F.arrays_overlap("cwe", "n_cwe"))
     same_cve = imported.join(n, same_file & (F.upper("cve") == F.upper("n_cve")))
     columns = ["ordinal", "n_ordinal", "scanner", "n_scanner", "rule_id", "severity", "start_line", "n_line"]
@@ -212,14 +239,13 @@ def in_diff(findings: DataFrame, changed: DataFrame, manifests: list[str] | None
     on = keys(findings, changed)
     whole = F.col("f.start_line").isNull() | F.col("f.scanner").isin(*(manifests or ["dependencies", "supply-chain", "dependency-diff"]))
     within = F.col("c.line").between(F.col("f.start_line"), F.greatest("f.start_line", F.coalesce("f.end_line", "f.start_line")))
-    same_file = reduce(lambda a, b: a & b, (F.col(f"f.{k}") == F.col(f"c.{k}") for k in on))
-    return findings.alias("f").join(changed.select(*on, "line").distinct().alias("c"), same_file & (whole | within), "left_semi")
+    return findings.alias("f").join(changed.select(*on, "line").distinct().alias("c"), same(on, "f", "c") & (whole | within), "left_semi")
 
 
 def new_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """current without the fingerprints of baseline."""
     on = keys(current, baseline, of=("fingerprint",))
-    return current.join(baseline.select(*on).distinct(), on, "left_anti")
+    return current.alias("c").join(baseline.select(*on).distinct().alias("b"), same(on, "c", "b"), "left_anti")
 
 
 def policy_violations(findings: DataFrame, policies: DataFrame) -> DataFrame:
@@ -260,7 +286,8 @@ def risk_by(findings: DataFrame, by: list[str]) -> DataFrame:
 
 
 def chains(findings: DataFrame, kev_reachable: bool = True) -> DataFrame:
-    """Attack chains: (chain, path, severity, first ordinal, members, cwe) from findings that occur together.
+    """Attack chains: (chain, project, path, start_line, severity, first_ordinal, members, cwe) from findings that occur
+    together; the first two make a chain, and it has their CWEs.
 
     Per file: prompt injection with a way to execute; a secret with an injection. Per project: a server-side
     request with a cloud credential; an exploited dependency that is imported; a malicious one in a diff; a
@@ -274,28 +301,45 @@ def chains(findings: DataFrame, kev_reachable: bool = True) -> DataFrame:
     injection = F.endswith(rule, F.lit("prompt-injection"))
     executes = (F.contains(rule, F.lit("insecure-output")) | F.contains(rule, F.lit("agent-shell")) | F.contains(rule, F.lit("unrestricted-tool")) | any_cwe("CWE-78", "CWE-95")) & ~injection
     secret = (F.col("scanner") == "secrets") & ~F.contains(rule, F.lit(".history"))
-    cloud = secret & F.rlike(rule, F.lit("aws-|google-api-key"))
-    kev = F.col("kev") if "kev" in findings.columns else F.lit(False)
+    hint = F.rlike(F.coalesce(F.col("snippet") if "snippet" in findings.columns else F.lit(""), F.lit("")), F.lit(CLOUD_HINT))
+    cloud = (F.col("scanner") == "secrets") & (F.element_at(F.split(rule, r"\."), -1).isin(*CLOUD_SECRETS) | hint)
+    kev = (F.col("scanner") == "dependencies") & (F.col("kev") if "kev" in findings.columns else F.lit(False))
     reach = F.col("reachability") if "reachability" in findings.columns else F.lit(None)
     per_file = [("llm-injection-to-execution", injection, executes, CRITICAL), ("secret-plus-injection", secret, any_cwe("CWE-78", "CWE-89", "CWE-95"), HIGH)]
     whole = [
         ("ssrf-to-cloud-credentials", any_cwe("CWE-918"), cloud, CRITICAL),
         ("kev-reachable-dependency", kev & (reach == "imported"), kev & (reach == "imported"), CRITICAL),
-        ("malicious-dependency-in-diff", F.endswith(rule, F.lit("known-malicious")), F.col("scanner") == "dependency-diff", CRITICAL),
-        ("exposed-service-unauthenticated", (F.col("scanner") == "iac") & F.contains(rule, F.lit("public")), F.contains(rule, F.lit("missing-authentication")), CRITICAL),
+        ("malicious-dependency-in-diff", F.col("scanner") == "dependency-diff", rule == "supply-chain.known-malicious", CRITICAL),
+        ("exposed-service-unauthenticated", (F.col("scanner") == "iac") & F.contains(F.lower(rule), F.lit("public")), rule == "authz.missing-authentication", CRITICAL),
     ]
     groups: list[DataFrame] = []
-    for keys, specs in ((["project", "path"], per_file), (["project"], whole)):
-        flags = []
+    for own, specs in ((["project", "path"], per_file), (["project"], whole)):
+        firsts = []
         for i, (_, a, b, _) in enumerate(specs):
-            flags += [F.min(F.when(a, F.col("ordinal"))).alias(f"a{i}"), F.min(F.when(b, F.col("ordinal"))).alias(f"b{i}"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(a | b, cwe))))).alias(f"c{i}"), F.min_by(F.col("path"), F.when(a, F.col("ordinal"))).alias(f"p{i}")]
-        g = findings.groupBy(*keys).agg(*flags)
+            member = F.struct("path", "start_line", "cwe")
+            firsts += [F.min(F.when(x, F.col("ordinal"))).alias(f"{side}{i}") for side, x in (("a", a), ("b", b))]
+            firsts += [F.min_by(member, F.when(x, F.col("ordinal"))).alias(f"m{side}{i}") for side, x in (("a", a), ("b", b))]
+        g = findings.groupBy(*own).agg(*firsts)
+        each = []
         for i, (name, _, _, severity) in enumerate(specs):
-            groups.append(g.where(F.col(f"a{i}").isNotNull() & F.col(f"b{i}").isNotNull()).select(F.lit(name).alias("chain"), "project", F.col(f"p{i}").alias("path"), F.lit(severity).alias("severity"), F.col(f"a{i}").alias("first_ordinal"), F.array(F.col(f"a{i}"), F.col(f"b{i}")).alias("members"), F.col(f"c{i}").alias("cwe")))
-    out = groups[0]
-    for g in groups[1:]:
-        out = out.unionByName(g)
-    return out
+            both = F.col(f"a{i}").isNotNull() & F.col(f"b{i}").isNotNull()
+            cwes = F.array_sort(F.array_union(f"ma{i}.cwe", f"mb{i}.cwe"))
+            row = F.struct(F.lit(name).alias("chain"), F.col(f"ma{i}.path").alias("path"), F.col(f"ma{i}.start_line").alias("start_line"), F.lit(severity).alias("severity"), F.col(f"a{i}").alias("first_ordinal"), F.array(f"a{i}", f"b{i}").alias("members"), cwes.alias("cwe"))
+            each.append(F.when(both, row))
+        found = F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("c")
+        groups.append(g.select("project", found).select("c.chain", "project", "c.path", "c.start_line", "c.severity", "c.first_ordinal", "c.members", "c.cwe"))
+    return groups[0].unionByName(groups[1])
+
+
+def with_chains(findings: DataFrame) -> DataFrame:
+    """findings and one more for each attack chain, on the place of its first member, with its members' ordinals."""
+    numeric = dict(findings.dtypes)["ordinal"] in ("int", "bigint")
+    key = ("chain", F.coalesce("project", F.lit("")), "path")
+    place = F.xxhash64(*key).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62) if numeric else F.concat_ws("\u0001", F.lit("\uffff"), *key)
+    found = chains(findings).withColumn("ordinal", place).drop("first_ordinal")
+    about = {"rule_id": F.concat(F.lit("chains."), F.col("chain")), "scanner": F.lit("chains"), "end_line": F.col("start_line"), "confidence": F.lit(1), "likelihood": F.lit(3), "tags": F.array(F.lit("attack-chain"), F.col("chain")), "original_severity": F.col("severity"), "changes": F.array().cast("array<string>")}
+    found = found.withColumns({c: v for c, v in about.items() if c in findings.columns or c in ("rule_id", "scanner", "confidence", "likelihood", "tags")}).drop("chain")
+    return findings.unionByName(found, allowMissingColumns=True)
 
 
 def top_for_review(findings: DataFrame, k: int = 25, by: list[str] | None = None) -> DataFrame:
@@ -334,13 +378,15 @@ def finished(findings: DataFrame, *, of_lines: DataFrame | None = None, allow: D
         out = inline_suppressed(out, of_lines, today)
     if allow is not None:
         out = allowlisted(out, allow, today)
-    out = deduplicated(prefer_ast(out, ran or []))
-    out = at_least(regraded(out, **(context or {})), floor)
+    out = keep(deduplicated(prefer_ast(out, ran or [])), "findings")
+    out = at_least(with_chains(regraded(out, **(context or {}))), floor)
     out = with_scores(out)
     none = F.lit(None).cast("string")
     out = out.withColumn("verification", scoring.verification_state(F.col("scanner"), F.col("confidence"), none, F.lit(False), F.lit(False), F.lit(False)))
+    reachable = F.array_contains("tags", "reachable") | F.col("reachability").isin(*REACHABLE) if "reachability" in out.columns else F.array_contains("tags", "reachable")
+    chained = F.array_contains("tags", "attack-chain") | (F.col("scanner") == "chains")
     tagged = F.arrays_overlap("tags", F.array(F.lit("kev"), F.lit("epss-high")))
-    out = out.withColumn("contextual_risk", scoring.contextual_risk(F.col("risk_score"), F.col("severity"), F.array_contains("tags", "reachable"), F.array_contains("tags", "attack-chain"), F.lit(exposed), F.lit(production), tagged, F.col("verification") == "verified"))
+    out = out.withColumn("contextual_risk", scoring.contextual_risk(F.col("risk_score"), F.col("severity"), F.coalesce(reachable, F.lit(False)), chained, F.lit(exposed), F.lit(production), tagged, F.col("verification") == "verified"))
     if exceptions is not None:
         out = with_exceptions(out, exceptions, today)
     return ordered(out)

@@ -111,6 +111,8 @@ MALWARE = (
     Rule("malware.suspicious-postinstall", HIGH, ("CWE-506",), r"(?i)\"(?:preinstall|install|postinstall|prepare)\"\s*:\s*\"(?:[^\"\\]|\\.)*(?:curl|wget|eval|base64|node\s+-e|powershell|https?://|\|\s*sh)(?:[^\"\\]|\\.)*\"", ("JSON",), confidence=2, suppress=_COMMENT),
 )
 
+INSTALL_SCRIPT = "malware.suspicious-postinstall"
+
 IAC = (
     Rule("iac.docker-user-root", MEDIUM, ("CWE-250",), r"(?i)^\s*USER\s", kind="dockerfile", absent=True),
     Rule("iac.docker-latest-tag", LOW, ("CWE-1104",), r"(?i)^\s*FROM\s+\S+:latest\b|^\s*FROM\s+[^:@\s]+\s*$", kind="dockerfile"),
@@ -240,6 +242,19 @@ def _matches(rules: Sequence[Rule], segment: Column) -> Column:
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
+def _install_alone(rules: Sequence[Rule], hits: Column) -> Column:
+    """Hits of a window where a suspicious install script is the one malware finding: it says what the others would."""
+    install = [i for i, r in enumerate(rules, 1) if r.id == INSTALL_SCRIPT]
+    others = [i for i, r in enumerate(rules, 1) if r.scanner == "malware" and r.id != INSTALL_SCRIPT]
+    if not install or not others:
+        return hits
+
+    def alone(h: Column) -> Column:
+        return F.when(F.exists(h, lambda x: x["rule"].isin(*install)), F.filter(h, lambda x: ~x["rule"].isin(*others))).otherwise(h)
+
+    return F.flatten(F.transform(F.array(hits), alone))
+
+
 def placed(files: DataFrame) -> DataFrame:
     """files with suffix and kind."""
     return files.withColumn("suffix", suffix(F.col("path"))).withColumn("kind", file_kind(F.col("path"), F.col("text")))
@@ -256,7 +271,7 @@ def match_rules(files: DataFrame, rules: Sequence[Rule] = ALL) -> DataFrame:
     about = _about(found)
 
     def in_window(w: Column) -> Column:
-        return F.transform(_matches(found, w["segment"]), lambda x: F.struct(x["rule"].alias("rule"), x["value"].alias("value"), w["offset"].alias("offset")))
+        return F.transform(_install_alone(found, _matches(found, w["segment"])), lambda x: F.struct(x["rule"].alias("rule"), x["value"].alias("value"), w["offset"].alias("offset")))
 
     rows = _lines_of(there).withColumn("windows", pieces(F.col("content")))
     rows = rows.select("project", "path", "line", "content", F.flatten(F.transform("windows", in_window)).alias("hits"))

@@ -1,0 +1,96 @@
+"""Registered queries over intelligence and scans: advisory records, exploit signals, chains, findings without a project."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import drift
+from ..operators import findings as ops
+from ..sources import osv
+from .queries import FOUND, PACKAGES, found, packages, query, table
+
+
+def _json(**fields):
+    return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+
+
+def osv_texts(spark, d):
+    """A record for each part: events out of order in one range or two, a commit range, single versions, all forms of severity, and texts that are none."""
+    p, n = table(spark, d, "part"), F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    event = lambda kind, v: F.create_map(F.lit(kind), v)
+    low = F.concat_ws(".", text(F.col("p_size") % 4), text(n % 20))
+    fix = F.concat_ws(".", text(F.col("p_size") % 4 + 1), text(n % 30), F.lit("0"))
+    first = F.array(event("fixed", fix), event("introduced", low))
+    late = F.when(n % 3 == 0, F.array(event("last_affected", F.concat(F.lit("6."), text(n % 50))), event("introduced", F.lit("6")))).otherwise(F.array().cast("array<map<string,string>>"))
+    one = lambda kind, events: F.struct(F.lit(kind).alias("type"), events.alias("events"))
+    commits = one("GIT", F.array(event("introduced", F.lit("0"))))
+    ranges = F.when(n % 2 == 0, F.array(one("SEMVER", F.concat(late, first)), commits)).otherwise(F.array(one("ECOSYSTEM", first), one("ECOSYSTEM", late), commits))
+    affected = F.array(F.struct(F.struct(F.col("p_type").alias("ecosystem"), F.col("p_brand").alias("name")).alias("package"), ranges.alias("ranges"), F.when(n % 5 == 0, F.array(F.lit("5.7"))).alias("versions")))
+    scores = F.when(n % 4 == 1, F.array(F.struct(F.lit("CVSS_V3").alias("type"), F.lit("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H").alias("score")))).when(n % 4 == 2, F.array(F.struct(F.lit("x").alias("type"), F.lit("odd").alias("score")), F.struct(F.lit("x").alias("type"), F.lit("2.5").alias("score"))))
+    record = _json(id=F.concat(F.lit("OSV-"), text(n)), aliases=F.when(n % 2 == 0, F.array(F.lit("GHSA-1"), F.concat(F.lit("CVE-"), text(n % 40)))), severity=scores, affected=affected, database_specific=F.when(n % 4 == 0, F.struct(F.lit("moderate").alias("severity"))))
+    return p.select(F.when(n % 11 == 10, F.lit('{"id": ')).otherwise(record).alias("text"))
+
+
+OSV = f"""{PACKAGES}, r AS (SELECT p_partkey AS n, p_type AS ecosystem, p_brand AS package, p_size % 4 AS low, p_size % 4 + 1 AS fix FROM part WHERE p_partkey % 11 <> 10),
+pk AS (SELECT DISTINCT ecosystem, package, version, l_linenumber AS major, minor FROM packages),
+osv AS (SELECT pk.*, n, CASE WHEN (major, minor) < (fix, n % 30) THEN fix || '.' || (n % 30) || '.0' END AS fixed FROM pk JOIN r USING (ecosystem, package)
+WHERE ((major, minor) >= (low, n % 20) AND (major, minor) < (fix, n % 30)) OR (n % 3 = 0 AND major = 6 AND minor <= n % 50) OR (n % 5 = 0 AND major = 5 AND minor = 7))"""
+
+
+@query(f"WITH {OSV} SELECT ecosystem, package, version, 'OSV-' || n AS id, CASE n % 4 WHEN 0 THEN 'MEDIUM' WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'LOW' ELSE 'MEDIUM' END AS severity, CASE WHEN n % 2 = 0 THEN 'CVE-' || (n % 40) ELSE '' END AS cve, fixed FROM osv")
+def osv_vulnerable(spark, d):
+    """Packages in the version intervals of advisory records, with severity, CVE and the least fixed version above their own."""
+    return osv.vulnerable(packages(spark, d), osv.records(osv_texts(spark, d))).select("ecosystem", "package", "version", "id", "severity", "cve", "fixed")
+
+
+@query(f"""WITH {OSV}, i AS (SELECT n, ecosystem, package, low || '.' || (n % 20) AS introduced, fix || '.' || (n % 30) || '.0' AS until, false AS inclusive FROM r UNION ALL SELECT n, ecosystem, package, '6', '6.' || (n % 50), true FROM r WHERE n % 3 = 0 UNION ALL SELECT n, ecosystem, package, '5.7', '5.7', true FROM r WHERE n % 5 = 0)
+SELECT 'OSV-' || n AS id, ecosystem, package, introduced, until, inclusive FROM i""")
+def osv_intervals(spark, d):
+    """Version events of advisory records swept into intervals."""
+    return osv.intervals(osv.records(osv_texts(spark, d))).select("id", "ecosystem", "package", "introduced", "until", "inclusive")
+
+
+@query("""SELECT p_type AS ecosystem, p_brand AS package, '1.' || p_size AS version, 'OSV-' || p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'MEDIUM' WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'LOW' ELSE 'MEDIUM' END AS severity FROM part WHERE p_partkey % 11 <> 10 GROUP BY ALL""")
+def osv_lookup(spark, d):
+    """Advisory ids of a look-up joined to their records; ids without a record are dropped, repeated ones count once."""
+    p = table(spark, d, "part")
+    own, other = (F.concat(F.lit(prefix), F.col("p_partkey").cast("string")) for prefix in ("OSV-", "GONE-"))
+    results = p.select(F.col("p_type").alias("ecosystem"), F.col("p_brand").alias("package"), F.concat(F.lit("1."), F.col("p_size").cast("string")).alias("version"), F.array(own, other, own).alias("ids"))
+    return osv.resolved(results, osv.records(osv_texts(spark, d))).select("ecosystem", "package", "version", "id", "severity")
+
+
+# ---- findings of no project
+
+
+def _homeless(f):
+    """Findings of every third document have no project, as those of images and answers have none."""
+    return f.withColumn("project", F.when(F.floor(F.col("ordinal") / 4294967296) % 3 != 0, F.col("project")))
+
+
+NOWHERE = FOUND + ", homeless AS (SELECT * EXCLUDE (project), CASE WHEN (ordinal // 4294967296) % 3 <> 0 THEN project END AS project FROM found)"
+
+
+@query(f"WITH {NOWHERE} SELECT ordinal FROM homeless WHERE start_line > 2 AND NOT EXISTS (SELECT 1 FROM homeless b WHERE b.start_line <= 2 AND b.fingerprint = homeless.fingerprint AND b.project IS NOT DISTINCT FROM homeless.project)")
+def null_project_baseline(spark, d):
+    """What a baseline of the first two lines doesn't know, findings of no project included."""
+    f = _homeless(found(spark, d))
+    return ops.new_findings(f.where("start_line > 2"), f.where("start_line <= 2")).select("ordinal")
+
+
+@query(f"WITH {NOWHERE} SELECT ordinal, CASE WHEN b.fingerprint IS NOT NULL THEN 'accepted' END AS verification FROM homeless LEFT JOIN (SELECT DISTINCT project, fingerprint FROM homeless WHERE ordinal % 64 % 3 = 1) b ON b.fingerprint = homeless.fingerprint AND b.project IS NOT DISTINCT FROM homeless.project WHERE NOT EXISTS (SELECT 1 FROM homeless s WHERE s.ordinal % 64 % 3 = 0 AND s.fingerprint = homeless.fingerprint AND s.project IS NOT DISTINCT FROM homeless.project)")
+def null_project_exceptions(spark, d):
+    """Exceptions on findings of a project and of none: rules of every third number are suppressed, the next accepted."""
+    f = _homeless(found(spark, d))
+    rows = f.where("ordinal % 64 % 3 < 2").select("project", "fingerprint", F.when(F.col("ordinal") % 64 % 3 == 0, "suppress").otherwise("accept").alias("status"), F.lit(None).cast("date").alias("expires_at"), "ordinal")
+    return ops.with_exceptions(f, rows, F.to_date(F.lit("2024-06-01"))).select("ordinal", "verification")
+
+
+@query(f"""WITH {NOWHERE}, k AS (SELECT project, rule_id, path, severity, fingerprint || CASE WHEN n = 1 THEN '' ELSE '#' || n END AS key FROM (SELECT *, row_number() OVER (PARTITION BY project, fingerprint ORDER BY start_line, ordinal) AS n FROM homeless))
+SELECT project, path, count(*) AS findings, count(*) FILTER (rule_id = 'pii.email') AS graded FROM k GROUP BY project, path""")
+def null_project_drift(spark, d):
+    """A scan against itself with one rule graded up: nothing is added or removed, whatever project findings have."""
+    f = _homeless(found(spark, d))
+    up = f.withColumn("severity", F.when(F.col("rule_id") == "pii.email", F.col("severity") + 1).otherwise(F.col("severity")))
+    changes = drift.scan_drift(f, up).groupBy("project", "path")
+    return changes.agg(F.count_if(F.col("change").isin("unchanged", "severity_changed")).alias("findings"), F.count_if(F.col("change") == "severity_changed").alias("graded"))

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.model import CRITICAL, HIGH
+from ..functions.store import keep
 from ..operators import agent_config, blocks, dependencies, drift, flows, probes, rules, taint
 from ..operators import findings as ops
-from ..sources import manifests
+from ..sources import imports, manifests, osv
 from ..sources.files import base_name, lines, spread
 
 API_VERSION = 1
@@ -22,7 +23,7 @@ class Detector:
     """Line rules, which all detectors of a scan share one pass for, and functions from files to findings.
 
     with_tables: functions that read side tables too (see TABLES), each with the names it needs; where one is not
-    given, the function does not run.
+    given, the function does not run. A name with a question mark is passed only if it is given.
     """
 
     rules: tuple[rules.Rule, ...] = ()
@@ -33,6 +34,8 @@ class Detector:
 #: Side tables that detectors read: name and columns.
 TABLES = {
     "advisories": "id, ecosystem, package, vulnerable, severity, cve",
+    "osv": "text",
+    "signals": "cve, epss, percentile, kev",
     "malicious": "ecosystem, name",
     "popular": "ecosystem, name",
     "previous_packages": "project, ecosystem, manifest, package, version",
@@ -44,10 +47,20 @@ TABLES = {
 PROVENANCE = r"(?i)(?:\.intoto\.jsonl?|provenance[^/]*\.json|attestation[^/]*\.json)$"
 
 
-def vulnerable_packages(files: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Packages of the files' manifests with the advisories that hold their versions."""
+def vulnerable_packages(files: DataFrame, advisories: DataFrame | None = None, records: DataFrame | None = None, signals: DataFrame | None = None) -> DataFrame:
+    """Packages of the files' manifests with the advisories that hold their versions, one for each CVE.
+
+    advisories have a clause each, records are OSV texts. Findings say whether the project's code imports the package;
+    with signals they have epss and kev too, and an exploited one is almost certain to be met.
+    """
     own = manifests.packages(files)
-    return dependencies.advisory_findings(dependencies.one_per_cve(dependencies.vulnerable(own, advisories)), dependencies.inventory(own)).withColumn("cwe", F.array(F.lit("CWE-1104")))
+    places = dependencies.inventory(own)
+    found = dependencies.vulnerable(own, advisories).withColumn("cwe", F.array(F.lit("CWE-1104"))) if advisories is not None else osv.vulnerable(own, osv.records(records))
+    found = dependencies.one_per_cve(found.withColumn("cve", F.nullif("cve", F.lit(""))))
+    if signals is not None:
+        found = dependencies.with_signals(found, signals)
+    rows = dependencies.advisory_findings(found, places)
+    return dependencies.imported(rows, imports.modules(files))
 
 
 def named_packages(files: DataFrame, of: DataFrame, rule: str, severity: int, pick: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
@@ -105,7 +118,7 @@ DETECTORS: dict[str, Detector] = {
     "cicd": Detector(rules.CICD, (blocks.permission_blocks,)),
     "cloud": Detector(rules.CLOUD, (blocks.iam_wildcards,)),
     "business-logic": Detector(rules.LOGIC, (blocks.business_logic,)),
-    "dependencies": Detector(with_tables=((("advisories",), vulnerable_packages),)),
+    "dependencies": Detector(with_tables=((("advisories", "signals?"), lambda files, a, s=None: vulnerable_packages(files, a, signals=s)), (("osv", "signals?"), lambda files, r, s=None: vulnerable_packages(files, records=r, signals=s)))),
     "dependency-diff": Detector(with_tables=((("previous_packages",), package_changes),)),
     "supply-chain": Detector(
         more=(lifecycle_scripts,),
@@ -157,15 +170,10 @@ def detect(files: DataFrame, scanners: Iterable[str] | None = None, profile: str
     there = {r[0] for r in files.select("language").distinct().collect()}
     names = [n for n in names if n not in NEEDS or there.intersection(NEEDS[n])]
     chosen = [DETECTORS[n] for n in names]
-    flow = flows.language_models(files) if "llm" in names else None
-    parts = [flow if f is flows.language_models else f(files) for d in chosen for f in d.more]
-    parts += [f(files, *(tables[t] for t in needed)) for d in chosen for needed, f in d.with_tables if all(t in tables for t in needed)]
+    parts = [f(files) for d in chosen for f in d.more]
+    parts += [f(files, *(tables[t.rstrip("?")] for t in needed if t.rstrip("?") in tables)) for d in chosen for needed, f in d.with_tables if all(t in tables or t.endswith("?") for t in needed)]
     if line_rules := tuple(r for d in chosen for r in d.rules):
-        hits = rules.match_rules(files, line_rules)
-        if flow is not None:  # flows replace what line rules say about the same line
-            covered = flow.select("project", "path", "start_line", F.lit("llm").alias("scanner")).distinct()
-            hits = hits.join(covered, ["project", "path", "start_line", "scanner"], "left_anti")
-        parts.append(hits)
+        parts.append(rules.match_rules(files, line_rules).withColumn("__line_rule", F.lit(True)))
     if not parts:
         raise ValueError("nothing to run")
     out = parts[0]
@@ -175,6 +183,15 @@ def detect(files: DataFrame, scanners: Iterable[str] | None = None, profile: str
     defaults = {"start_line": F.lit(None).cast("int"), "end_line": F.col("start_line"), "confidence": F.lit(1), "likelihood": F.lit(2), "cwe": none, "tags": none}
     for c, value in defaults.items():
         out = out.withColumn(c, F.coalesce(c, value) if c in out.columns else value)
+    if "__line_rule" in out.columns:
+        # one pass over the files makes all findings; flows then replace what line rules say about the same line
+        out = keep(out, "detected")
+        if "llm" in names:
+            on = ["project", "path", "start_line", "scanner"]
+            flow = out.where("scanner = 'llm' AND __line_rule IS NULL").select(*on).distinct()
+            covered = F.col("__line_rule") & (F.col("scanner") == "llm") & F.col("__flow").isNotNull()
+            out = out.alias("f").join(flow.withColumn("__flow", F.lit(1)).alias("c"), ops.same(on, "f", "c"), "left").select("f.*", "__flow").where(~F.coalesce(covered, F.lit(False))).drop("__flow")
+        out = out.drop("__line_rule")
     at = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), F.col("scanner")), F.lit(len(names)))
     # unique by file and rank in it, and sorted like them: no task ranks all findings, and no two files can clash
     own = Window.partitionBy("project", "path").orderBy("__at", F.col("start_line").asc_nulls_first(), "rule_id", "snippet")

@@ -22,11 +22,6 @@ FORMATS = (
 )
 
 
-def _rows(files: DataFrame, name: str, pairs, ecosystem: str, rank: int) -> DataFrame:
-    """pairs: an array column of (package, version) structs."""
-    return files.where(base_name(F.col("path")) == name).select("project", "path", F.explode(pairs).alias("p")).where("p.package <> '' AND p.version <> ''").select("project", F.lit(ecosystem).alias("ecosystem"), F.col("path").alias("manifest"), "p.package", "p.version", F.lit(rank).alias("parser_rank"))
-
-
 def _pairs(found, package, version):
     return F.transform(found, lambda x: F.struct(package(x).alias("package"), version(x).alias("version")))
 
@@ -98,7 +93,10 @@ def packages(files: DataFrame) -> DataFrame:
         "Gemfile.lock": _matches(r"(?m)^ {4}([A-Za-z0-9._-]+) \(([^)\s]+)\)$"),
         "composer.lock": _pairs(php, lambda x: x["name"], lambda x: F.regexp_replace(x["version"], "^v", "")),
     }
-    out = _npm_v1(known, 3)
-    for rank, (name, ecosystem) in enumerate(FORMATS):
-        out = out.unionByName(_rows(known, name, columns[name], ecosystem, rank))
-    return out
+    # one pass: each file's pairs by its name
+    name, none = base_name(F.col("path")), F.array().cast("array<struct<package:string,version:string>>")
+    pairs, ecosystem, rank = none, F.lit(None).cast("string"), F.lit(None).cast("int")
+    for at, (n, e) in enumerate(FORMATS):
+        pairs, ecosystem, rank = F.when(name == n, columns[n]).otherwise(pairs), F.when(name == n, e).otherwise(ecosystem), F.when(name == n, at).otherwise(rank)
+    out = known.select("project", "path", ecosystem.alias("ecosystem"), rank.alias("parser_rank"), F.explode(pairs).alias("p")).where("p.package <> '' AND p.version <> ''")
+    return _npm_v1(known, 3).unionByName(out.select("project", "ecosystem", F.col("path").alias("manifest"), "p.package", "p.version", "parser_rank"))

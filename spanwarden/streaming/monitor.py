@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift
+from ..operators.findings import same
 
 
 def tumbling(events: DataFrame, width: str) -> DataFrame:
@@ -39,9 +40,10 @@ def incremental(files: DataFrame, cache: DataFrame, scan: Callable[[DataFrame],
     findings are remembered too.
     """
     keyed = files.withColumn("file_key", F.sha2(F.concat_ws("\u0001", F.lit(version), F.lit(options), F.coalesce("project", F.lit("")), "path", "text"), 256))
-    fresh = keyed.join(cache.select("file_key"), "file_key", "left_anti")
+    fresh = keyed.dropDuplicates(["file_key"]).join(cache.select("file_key"), "file_key", "left_anti")
     found = scan(fresh.drop("file_key")).groupBy("project", "path").agg(F.collect_list(F.struct("*")).alias("findings"))
-    rows = fresh.select("file_key", "project", "path").join(found, ["project", "path"], "left").select("file_key", "findings")
+    own = fresh.select("file_key", "project", "path").alias("r").join(found.alias("f"), same(["project", "path"], "r", "f"), "left")
+    rows = own.select("file_key", "findings")
     kept = cache.join(keyed.select("file_key"), "file_key", "left_semi").unionByName(rows)
     return kept.select(F.explode("findings").alias("f")).select("f.*"), kept
 

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from spanwarden.plans import detection_queries, queries, report_queries  # noqa: F401
+from spanwarden.plans import detection_queries, intelligence_queries, queries, report_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

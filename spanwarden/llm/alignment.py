@@ -391,22 +391,24 @@ FOUND = "id long, whole boolean, n_a long, n_b long, n_groups long, groups_sha25
 
 
 def _looked_up(batch: pa.RecordBatch) -> dict:
-    """Texts of blocks with the sums over their links."""
+    """Texts of blocks with the sums over their links. news: twice a pair's count, and one more if it is its B id's highest."""
     out: dict[str, list] = {f.split()[0]: [] for f in FOUND.split(", ")}
-    for r in batch.to_pylist():
-        count, best = np.zeros(len(r["news"] or []), np.int64), np.zeros(len(r["news"] or []), np.int64)
-        for x in r["news"] or []:
-            count[x["pos"]], best[x["pos"]] = x["n"], x["best"]
-        at, unit, pair_at, pair_of = (np.frombuffer(r[c], k) for c, k in (("at", "<i8"), ("unit", "<i4"), ("pair_at", "<i8"), ("pair_of", "<i4")))
-        n = len(r["id"])
-        for name, values in (("count_sum", count), ("n_best", best)):
+
+    def numbers(name: str, i: int) -> np.ndarray:
+        value = batch.column(name)[i]
+        return value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, np.int64)
+
+    for i in range(batch.num_rows):
+        news = numbers("news", i)
+        at, unit, pair_at, pair_of = (np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in (("at", "<i8"), ("unit", "<i4"), ("pair_at", "<i8"), ("pair_of", "<i4")))
+        for name, values in (("count_sum", news >> 1), ("n_best", news & 1)):
             of_unit = np.diff(np.concatenate([[0], np.cumsum(values[pair_of])])[pair_at])
             out[name] += np.diff(np.concatenate([[0], np.cumsum(of_unit[unit])])[at]).tolist()
-        out["id"] += r["id"]
-        out["whole"] += [r["whole"]] * n
+        out["id"] += batch.column("id")[i].as_py()
+        out["whole"] += [batch.column("whole")[i].as_py()] * (len(at) - 1)
         for c in ("n_a", "n_b", "n_groups"):
-            out[c] += r[c]
-        out["groups_sha256"] += r["sha"]
+            out[c] += numbers(c, i).tolist()
+        out["groups_sha256"] += batch.column("sha")[i].as_py()
     return out
 
 
@@ -438,7 +440,8 @@ def long_parts(long: DataFrame, bpe: dict, chunk: int, scratch: Scratch) -> tupl
     for level in levels:
         closed = closed.unionByName(level.where("text IS NOT NULL"))
     keys = pieces.where("at = 0").select("key", "doc_id").join(top.select("key", "good"), "key")
-    return scratch.keep(closed.join(keys.where("good").select("key"), "key", "left_semi"), "closed"), keys
+    closed = closed.join(keys.where("good").select("key"), "key", "left_semi").coalesce(max(spark.sparkContext.defaultParallelism, n // 64))
+    return scratch.keep(closed, "closed"), keys
 
 
 def aligned(docs: DataFrame, bpe: dict, chunk: int = CHUNK) -> DataFrame:
@@ -455,16 +458,16 @@ def aligned(docs: DataFrame, bpe: dict, chunk: int = CHUNK) -> DataFrame:
     blocks = plain.where(~is_long).mapInArrow(_short(bpe), BLOCK).unionByName(closed.select("key", "n_a", "n_b", "n_groups", "pairs").mapInArrow(_parts, BLOCK))
     blocks = scratch.keep(blocks, "blocks")
     linked = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "links"))).select("block", "pos", F.col("col.pairs").alias("pair"), F.col("col.links").alias("links"))
-    counts = linked.groupBy("pair").agg(F.sum("links").alias("n"))
-    counts = scratch.keep(counts.withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))), "counts")
+    counts = linked.groupBy("pair").agg(F.sum("links").alias("n")).withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
     highest = counts.groupBy("b").agg(F.max("n").alias("most"))
     counts = counts.join(highest, "b").select("pair", "n", (F.col("n") == F.col("most")).cast("int").alias("best"))
-    news = linked.join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("pos", "n", "best")).alias("news"))  # a batch's pairs
-    found = per_batch(blocks.drop("pairs", "links").join(news, "block", "left"), FOUND, _looked_up)
-    found = scratch.keep(found, "found")
+    news = linked.join(counts, "pair").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "best"))).alias("news"))  # a batch's pairs
+    news = news.select("block", F.transform("news", lambda x: x["n"] * 2 + x["best"]).alias("news"))
+    joined_ = blocks.drop("pairs", "links").join(news, "block", "left")
+    whole, parts = (per_batch(joined_.where(F.col("whole") == F.lit(w)), FOUND, _looked_up) for w in (True, False))
     numbers = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
     hashes = closed.select("key", "at", "seam", "text").repartition("key").sortWithinPartitions("key", "at", "seam").mapInArrow(_hashes, "key long, groups_sha256 string")
-    sums = found.where("NOT whole").groupBy(F.col("id").alias("key")).agg(*(F.sum(c).alias(c) for c in numbers))
+    sums = parts.groupBy(F.col("id").alias("key")).agg(*(F.sum(c).alias(c) for c in numbers))
     long = keys.join(sums.join(hashes, "key"), "key", "left").select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in numbers), F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
-    both = found.where("whole").select(F.col("id").alias("doc_id"), *numbers, "groups_sha256").unionByName(long)
+    both = whole.select(F.col("id").alias("doc_id"), *numbers, "groups_sha256").unionByName(long)
     return both.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")

@@ -62,9 +62,12 @@ def typosquats(packages: DataFrame, popular: DataFrame, distance: int = 1) -> Da
     pop = popular.select("ecosystem", F.col("name").alias("lookalike"), scoring.package_name(F.col("ecosystem"), F.col("name")).alias("__q"))
 
     def neighbours(name, k: int):
+        def cuts(s):
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.char_length(s))))
+
         here = F.array(name)
         for _ in range(k):
-            cut = F.flatten(F.transform(here, lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s), F.lit(1))), lambda i, s=s: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.char_length(s))))))
+            cut = F.flatten(F.transform(here, cuts))
             here = F.array_distinct(F.concat(here, cut))
         return here
 

@@ -94,3 +94,60 @@ def null_project_drift(spark, d):
     up = f.withColumn("severity", F.when(F.col("rule_id") == "pii.email", F.col("severity") + 1).otherwise(F.col("severity")))
     changes = drift.scan_drift(f, up).groupBy("project", "path")
     return changes.agg(F.count_if(F.col("change").isin("unchanged", "severity_changed")).alias("findings"), F.count_if(F.col("change") == "severity_changed").alias("graded"))
+
+
+# ---- commits
+
+
+def _patches(spark, d):
+    """A commit for each document: one file that loses a line and gets the document's text, with lines that look like heads, and a deleted file."""
+    doc = table(spark, d, "documents").where("text IS NOT NULL")
+    lines = F.split("text", "\n")
+    body = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("+"), x)), "\n")
+    n = F.size(lines).cast("string")
+    path = F.concat(F.lit("d"), (F.col("doc_id") % 50).cast("string"), F.lit(".txt"))
+    text = F.concat(
+        F.lit("commit "), F.col("doc_id").cast("string"), F.lit("\n\ndiff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path,
+        F.lit("\n@@ -3 +3,3 @@ head\n--- old\n+++ new\n+password = hunter2hunter2\n+@@ -1 +1 @@\n@@ -8,2 +10,"), (F.size(lines) + 2).cast("string"), F.lit(" @@\n kept\n"), body, F.lit("\n kept too\n\\ No newline at end of file\ndiff --git a/gone.py b/gone.py\n--- a/gone.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-token = abcdefgh12345678\n"),
+    )
+    return doc.select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("commit"), F.col("doc_id").alias("seq"), text.alias("text"))
+
+
+#: The rules of operators.rules.SECRETS in expressions that the SQL engine has.
+HISTORY_RULES = (
+    ("aws-access-key-id", r"(?:^|[^A-Z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?:[^A-Z0-9]|$)"), ("aws-secret-access-key", r"(?i)aws_?secret_?(?:access_?)?key\s*[:=]\s*['\"]?([A-Za-z0-9/+]{40})\b"),
+    ("private-key-block", r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)"), ("github-token", r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b"), ("google-api-key", r"\b(AIza[0-9A-Za-z_-]{35})"),
+    ("json-web-token", r"\b(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"), ("url-credentials", r"[a-z][a-z0-9+]*://[^\s/:@'\"]+:([^\s/@'\"]{3,})@"),
+    ("generic-credential", r"(?i)(?:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*['\"]?([A-Za-z0-9_/+=-]{8,})"),
+)
+_VALUES = " UNION ALL ".join(f"SELECT project, seq, path, line, '{rule}' AS rule, unnest(regexp_extract_all(content, '{pattern.replace(chr(39), chr(39) * 2)}', 1)) AS value FROM added" for rule, pattern in HISTORY_RULES)
+ADDED = """added AS (SELECT source AS project, doc_id AS seq, 'd' || (doc_id % 50) || '.txt' AS path, 10 + unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS content FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT source, doc_id, 'd' || (doc_id % 50) || '.txt', l, c FROM documents, (VALUES (3, '++ new'), (4, 'password = hunter2hunter2'), (5, '@@ -1 +1 @@')) v(l, c) WHERE text IS NOT NULL)"""
+
+
+@query(f"WITH {ADDED} SELECT project, seq, path, line AS new_line, content FROM added")
+def diff_added_lines(spark, d):
+    """Lines that patches add, with their numbers; lines inside hunks that look like heads are content."""
+    from ..sources.diffs import diff_lines
+
+    return diff_lines(_patches(spark, d)).where("change = '+'").select("project", "seq", "path", "new_line", "content")
+
+
+@query(f"""WITH {ADDED}, v AS ({_VALUES}), u AS (SELECT * FROM v WHERE value <> '' AND NOT regexp_matches(value, '(?i)example|placeholder|changeme|your[_-]|xxxx|<[^>]+>|\\$\\{{|dummy|redacted|sample')),
+k AS (SELECT *, row_number() OVER (PARTITION BY project, rule, value ORDER BY seq, path, line) AS k FROM u) SELECT project, 'secrets.history.' || rule AS rule_id, sha256(value) AS digest, seq::VARCHAR AS commit, path, line AS start_line FROM k WHERE k = 1""")
+def secret_history(spark, d):
+    """Secrets of all commits, each once, where it came first."""
+    from ..operators.secrets_history import history_secrets
+
+    return history_secrets(_patches(spark, d)).select("project", "rule_id", "digest", "commit", "path", "start_line")
+
+
+@query(f"""WITH {FOUND}, c AS (SELECT 'docs/' || lang || '/' || doc_id || '.txt' AS path, source AS project FROM documents WHERE doc_id % 2 = 0) SELECT ordinal FROM found WHERE start_line BETWEEN 2 AND 3 AND (project, path) IN (SELECT project, path FROM c)""")
+def diff_text_scope(spark, d):
+    """Findings on the lines that the text of a diff adds: the second and third of every other document."""
+    from ..sources.diffs import changed_lines
+
+    path = F.concat(F.lit("docs/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    text = F.concat(F.lit("--- a/x\n+++ b/"), path, F.lit("\t2024-01-01\n@@ -1,2 +1,3 @@\n-one\n same\n+two\n+three\n"))
+    patches = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("source").alias("project"), F.lit("c").alias("commit"), F.col("doc_id").alias("seq"), text.alias("text"))
+    return ops.in_diff(found(spark, d), changed_lines(patches), manifests=["none"]).select("ordinal")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.model import CRITICAL, HIGH
 from ..functions.store import keep
-from ..operators import agent_config, blocks, dependencies, drift, flows, probes, rules, taint
+from ..operators import agent_config, blocks, dependencies, drift, flows, probes, rules, secrets_history, taint
 from ..operators import findings as ops
 from ..sources import imports, manifests, osv
 from ..sources.files import base_name, lines, spread
@@ -39,6 +39,7 @@ TABLES = {
     "malicious": "ecosystem, name",
     "popular": "ecosystem, name",
     "previous_packages": "project, ecosystem, manifest, package, version",
+    "patches": "project, commit, seq, text",
     "commits": "target, seq, email, paths",
     "tracked": "target, path",
     "images": "target, user, privileged, ports",
@@ -106,7 +107,7 @@ def probed(check: Callable[..., DataFrame], scanner: str) -> Callable[..., DataF
 
 #: In the order in which scanners run, which settles ties between findings.
 DETECTORS: dict[str, Detector] = {
-    "secrets": Detector(rules.SECRETS),
+    "secrets": Detector(rules.SECRETS, with_tables=((("patches",), lambda files, patches: secrets_history.history_secrets(patches)),)),
     "patterns": Detector(rules.PATTERNS, (blocks.path_traversal,)),
     "ast-python": Detector(more=(taint.python_taint,)),
     "ast-python-xfile": Detector(more=(taint.cross_file,)),

@@ -43,7 +43,9 @@ CHUNK = 65_536
 #: Fragments that a node of the tree takes.
 FAN = 16
 #: Units that a worker remembers; at the bound it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
+#: Bytes of text that a block takes, about.
+SLICE = 2 << 20
 #: Units that are encoded as one text.
 LEARNT = 20_000
 MARK = "▁"
@@ -207,6 +209,15 @@ def _bytes(values, kind: str) -> bytes:
     return np.asarray(values).astype(kind).tobytes()
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about SLICE bytes of text, so that a worker holds the units of few texts at once."""
+    for batch in batches:
+        if batch.num_rows:
+            ends = np.cumsum(np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)]))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), batch.num_rows]
+            yield from (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False))
+
+
 def _short(bpe: dict):
     """Batches of doc_id and text to blocks."""
 
@@ -215,7 +226,7 @@ def _short(bpe: dict):
 
         part = TaskContext.get().partitionId()
         coder = once(("alignment", bpe["model"]), lambda: Coder(**bpe))
-        for k, batch in enumerate(b for b in batches if b.num_rows):
+        for k, batch in enumerate(sliced(batches)):
             if len(coder.text) > REMEMBERED:
                 coder.clear()
             bodies = [t or "" for t in batch.column(1).to_pylist()]

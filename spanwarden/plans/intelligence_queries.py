@@ -151,3 +151,41 @@ def diff_text_scope(spark, d):
     text = F.concat(F.lit("--- a/x\n+++ b/"), path, F.lit("\t2024-01-01\n@@ -1,2 +1,3 @@\n-one\n same\n+two\n+three\n"))
     patches = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("source").alias("project"), F.lit("c").alias("commit"), F.col("doc_id").alias("seq"), text.alias("text"))
     return ops.in_diff(found(spark, d), changed_lines(patches), manifests=["none"]).select("ordinal")
+
+
+# ---- agents
+
+
+def _agent_files(spark, d):
+    """A Python file for each document, its text in the prompt over as many lines as it has: a page or a secret reaches a model, or a look-alike, or a system prompt holds a password."""
+    from ..sources.files import spread
+
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    body = F.concat(F.lit('"""'), F.translate("text", '"\\', "'/"), F.lit('"""'))
+    head = "import os, requests, subprocess\nfrom openai import OpenAI\nclient = OpenAI()\ndef look(u):\n"
+    call = ("    r = client.chat.completions.create(\n        model='m',\n        messages=[{'role': 'user', 'content': ", " + extra}],\n    )\n    order = r.choices[0].message.content\n")
+    page, key, act, calm = "    extra = requests.get(u).text\n", "    extra = os.getenv('SHOP_SECRET_KEY')\n", "    subprocess.run(order, shell=True)\n", "    subprocess.run(['ls', u])\n"
+    texts = [F.concat(F.lit(head + source + call[0]), body, F.lit(call[1] + end)) for source, end in ((page, act), (page, calm), (key, calm))]
+    texts.append(F.concat(F.lit("# prompts of an agent\nsystem_prompt = "), body, F.lit(" + 'password = hunter2hunter2'\n")))
+    kind = (F.col("doc_id") % 4).cast("int") + 1
+    text = F.element_at(F.array(*texts), kind)
+    return spread(docs.select(F.col("source").alias("project"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("Python").alias("language"), F.length(text).cast("long").alias("size"), text.alias("text")))
+
+
+AGENT_DOCS = "docs AS (SELECT source AS project, 'd' || doc_id || '.py' AS path, doc_id % 4 AS k, len(string_split(text, chr(10))) - 1 AS breaks, text FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"WITH {AGENT_DOCS} SELECT project, path, CASE k WHEN 0 THEN 'llm.indirect-prompt-injection' ELSE 'llm.secret-sent-to-model' END AS rule_id, 6 AS start_line, 9 + breaks AS end_line FROM docs WHERE k IN (0, 2)")
+def agent_rules(spark, d):
+    """Model calls whose extent holds a document's text: external content and a shell, a secret, and a look-alike of each."""
+    from ..operators.agent_calls import agent_calls
+
+    return agent_calls(_agent_files(spark, d)).select("project", "path", "rule_id", "start_line", "end_line")
+
+
+@query(f"WITH {AGENT_DOCS} SELECT project, path, 'llm.secret-in-system-prompt' AS rule_id, 2 AS start_line, 2 + breaks AS end_line FROM docs WHERE k = 3 UNION ALL SELECT project, path, 'llm.internal-address-in-prompt', 2, 2 + breaks FROM docs WHERE k = 3 AND regexp_matches(text, '(?i)\\b(?:10\\.\\d{{1,3}}|192\\.168|172\\.(?:1[6-9]|2\\d|3[01]))\\.\\d{{1,3}}\\.\\d{{1,3}}\\b|\\b[\\w-]+\\.(?:internal|corp|intranet|local)\\b')")
+def system_prompt_secrets(spark, d):
+    """String literals over many lines, joined with the next one: a password and internal addresses in system prompts."""
+    from ..operators.agent_calls import prompt_literals
+
+    return prompt_literals(_agent_files(spark, d)).select("project", "path", "rule_id", "start_line", "end_line")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.model import CRITICAL, HIGH
 from ..functions.store import keep
-from ..operators import agent_config, blocks, dependencies, drift, flows, probes, rules, secrets_history, taint
+from ..operators import agent_calls, agent_config, blocks, dependencies, drift, flows, probes, rules, secrets_history, taint
 from ..operators import findings as ops
 from ..sources import imports, manifests, osv
 from ..sources.files import base_name, lines, spread
@@ -135,7 +135,7 @@ DETECTORS: dict[str, Detector] = {
     "dast": Detector(with_tables=((("answers",), probed(probes.dast, "dast")),)),
     "authz": Detector(more=(blocks.authorization,)),
     "agent-config": Detector(more=(agent_config.agent_config,)),
-    "llm": Detector(rules.LLM, (flows.language_models,)),
+    "llm": Detector(rules.LLM, (flows.language_models, agent_calls.agent_calls, agent_calls.prompt_literals)),
 }
 #: Detectors by use: fixed values. A detector whose side tables are not given, or whose files are not there, adds nothing.
 PROFILES = {

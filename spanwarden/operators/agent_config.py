@@ -8,9 +8,10 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -22,6 +23,11 @@ FILES = (".mcp.json", ".cursor/mcp.json", ".vscode/mcp.json", ".roo/mcp.json", "
 ENTROPY, LENGTH = 3.5, 12
 SECRET_KEY = r"(?i)key|token|secret|passw|credential|auth"
 REFERENCE = r"\$\{[^}]{1,200}\}|^\$[A-Za-z_]\w*$|%[A-Za-z_]\w*%"
+#: Programs that fetch and run packages; packages that are places, pinned ones, and roots that are too broad: fixed values.
+RUNNERS = ("npx", "bunx", "pnpm", "uvx", "pipx", "docker", "podman")
+LOCAL = r"^(?:\.{1,2}[/\\]|/|~|[A-Za-z]:[/\\]|file:|git\+|github:|https?://)|\$\{"
+PINNED = r"[^@]@v?\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.\-]+)?$|===?\s*[\w.\-+!]+$|@sha256:"
+ROOTS = r"^(?:/|~/?|\$HOME|[A-Za-z]:[\\/]?|/home(?:/[^/\\]+)?|/Users(?:/[^/\\]+)?|/root|[A-Za-z]:[\\/]Users(?:[\\/][^/\\]+)?)$"
 _COMMENT_OR_STRING = re.compile(r'"(?:[^"\\]|\\.)*"|//[^\n]*|/\*.*?(?:\*/|\Z)', re.S)
 _TRAILING = re.compile(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', re.S)
 
@@ -80,35 +86,33 @@ def servers(files: DataFrame) -> DataFrame:
 
 def agent_config(files: DataFrame) -> DataFrame:
     """Findings: hardcoded secrets, unpinned packages, plain HTTP to other hosts, broad file roots, automatic approval."""
-    s = servers(files)
+    none = F.array().cast("array<struct<rule:string,severity:int,confidence:int,cwe:array<string>,detail:string>>")
 
-    def finding(rows: DataFrame, rule: str, severity, confidence, cwe: tuple[str, ...]) -> DataFrame:
-        return rows.select("project", "path", F.lit(None).cast("int").alias("start_line"), F.lit(f"agent-config.{rule}").alias("rule_id"), F.lit("agent-config").alias("scanner"), severity.cast("int").alias("severity"), confidence.cast("int").alias("confidence"), F.lit(2).alias("likelihood"), F.array(*map(F.lit, cwe)).alias("cwe"), F.col("detail").alias("snippet"), F.array(F.lit("agent")).alias("tags"))
+    def said(rule: str, severity, confidence, cwe: tuple[str, ...], detail) -> Column:
+        return F.struct(F.lit(f"agent-config.{rule}").alias("rule"), severity.cast("int").alias("severity"), confidence.cast("int").alias("confidence"), F.array(*map(F.lit, cwe)).alias("cwe"), detail.alias("detail"))
 
-    p = s.select("project", "path", "server", F.explode("pairs").alias("p")).select("project", "path", "server", "p.key", "p.value")
-    signed = F.lit(False)
-    for r in SECRETS[:-1]:
-        signed = signed | F.rlike("value", F.lit(r.pattern))
-    likely = F.rlike("key", F.lit(SECRET_KEY)) & (F.length("value") >= LENGTH) & (scoring.entropy(F.col("value")) >= ENTROPY)
-    p = p.where(~F.rlike("value", F.lit(REFERENCE)) & ~F.rlike("value", F.lit(PLACEHOLDER))).withColumn("signed", signed).where(F.col("signed") | likely)
-    p = p.withColumn("detail", F.concat_ws(":", "server", "key", scoring.redacted(F.col("value"))))
-    out = finding(p, "mcp-hardcoded-secret", F.when(F.col("signed"), CRITICAL).otherwise(HIGH), F.when(F.col("signed"), 2).otherwise(1), ("CWE-798",))
+    def secret(p: Column) -> Column:
+        value = p["value"]
+        signed = reduce(lambda a, b: a | b, (F.rlike(value, F.lit(r.pattern)) for r in SECRETS[:-1]))
+        likely = F.rlike(p["key"], F.lit(SECRET_KEY)) & (F.length(value) >= LENGTH) & (scoring.entropy(value) >= ENTROPY)
+        open_ = ~F.rlike(value, F.lit(REFERENCE)) & ~F.rlike(value, F.lit(PLACEHOLDER)) & (signed | likely)
+        return F.when(open_, said("mcp-hardcoded-secret", F.when(signed, CRITICAL).otherwise(HIGH), F.when(signed, 2).otherwise(1), ("CWE-798",), F.concat_ws(":", "server", p["key"], scoring.redacted(value))))
 
     runner = F.regexp_replace(F.lower(F.element_at(F.split("command", r"[\\/]"), -1)), r"\.(?:cmd|exe|bat|ps1)$", "")
-    plain = F.filter("args", lambda a: ~F.startswith(a, F.lit("-")) & ~a.isin("run", "dlx", "exec"))
-    spec = F.try_element_at(plain, F.lit(1))
-    local = F.rlike(spec, F.lit(r"^(?:\.{1,2}[/\\]|/|~|[A-Za-z]:[/\\]|file:|git\+|github:|https?://)|\$\{"))
-    pinned = F.rlike(spec, F.lit(r"[^@]@v?\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.\-]+)?$|===?\s*[\w.\-+!]+$|@sha256:"))
-    u = s.where(runner.isin("npx", "bunx", "pnpm", "uvx", "pipx", "docker", "podman")).withColumn("detail", F.concat_ws(" ", runner, spec)).where(spec.isNotNull() & ~local & ~pinned)
-    out = out.unionByName(finding(u, "mcp-unpinned-package", F.lit(MEDIUM), F.lit(2), ("CWE-1357", "CWE-829")))
-
-    urls = s.select("project", "path", F.explode("urls").alias("detail")).where(F.rlike("detail", F.lit(r"(?i)^http://")) & ~F.rlike("detail", F.lit(r"(?i)^http://(?:localhost|127\.|\[::1\]|0\.0\.0\.0)")))
-    out = out.unionByName(finding(urls, "mcp-plaintext-http", F.lit(MEDIUM), F.lit(2), ("CWE-319",)))
-
+    spec = F.try_element_at(F.filter("args", lambda a: ~F.startswith(a, F.lit("-")) & ~a.isin("run", "dlx", "exec")), F.lit(1))
+    unpinned = runner.isin(*RUNNERS) & spec.isNotNull() & ~F.rlike(spec, F.lit(LOCAL)) & ~F.rlike(spec, F.lit(PINNED))
+    package = F.when(unpinned, said("mcp-unpinned-package", F.lit(MEDIUM), F.lit(2), ("CWE-1357", "CWE-829"), F.concat_ws(" ", runner, spec)))
+    far = lambda u: F.rlike(u, F.lit(r"(?i)^http://")) & ~F.rlike(u, F.lit(r"(?i)^http://(?:localhost|127\.|\[::1\]|0\.0\.0\.0)"))
     serves = F.exists(F.array_append("args", F.col("command")), lambda a: F.rlike(a, F.lit("(?i)filesystem")))
-    roots = s.where(serves).select("project", "path", F.explode("args").alias("detail")).where(F.rlike("detail", F.lit(r"^(?:/|~/?|\$HOME|[A-Za-z]:[\\/]?|/home(?:/[^/\\]+)?|/Users(?:/[^/\\]+)?|/root|[A-Za-z]:[\\/]Users(?:[\\/][^/\\]+)?)$")))
-    whole = F.rlike("detail", F.lit(r"^(?:/|[A-Za-z]:[\\/]?)$"))
-    out = out.unionByName(finding(roots, "mcp-broad-filesystem-root", F.when(whole, HIGH).otherwise(MEDIUM), F.lit(2), ("CWE-732", "CWE-552")))
 
-    auto = s.select("project", "path", "server", F.explode("approved").alias("what")).withColumn("detail", F.concat_ws(":", "server", "what"))
-    return out.unionByName(finding(auto, "agent-auto-approve", F.when(F.col("what").isin("Bash", "Bash(*)", "*"), HIGH).otherwise(MEDIUM), F.lit(2), ("CWE-862",)))
+    def root(a: Column) -> Column:
+        whole = F.rlike(a, F.lit(r"^(?:/|[A-Za-z]:[\\/]?)$"))
+        return F.when(serves & F.rlike(a, F.lit(ROOTS)), said("mcp-broad-filesystem-root", F.when(whole, HIGH).otherwise(MEDIUM), F.lit(2), ("CWE-732", "CWE-552"), a))
+
+    hits = [
+        F.transform("pairs", secret), F.array(package), F.transform("urls", lambda u: F.when(far(u), said("mcp-plaintext-http", F.lit(MEDIUM), F.lit(2), ("CWE-319",), u))), F.transform("args", root),
+        F.transform("approved", lambda w: said("agent-auto-approve", F.when(w.isin("Bash", "Bash(*)", "*"), HIGH).otherwise(MEDIUM), F.lit(2), ("CWE-862",), F.concat_ws(":", "server", w))),
+    ]
+    found = F.filter(F.concat(*(F.coalesce(h, none) for h in hits)), lambda x: x.isNotNull())
+    rows = servers(files).select("project", "path", F.explode(found).alias("h"))
+    return rows.select("project", "path", F.lit(None).cast("int").alias("start_line"), F.col("h.rule").alias("rule_id"), F.lit("agent-config").alias("scanner"), "h.severity", "h.confidence", F.lit(2).alias("likelihood"), "h.cwe", F.col("h.detail").alias("snippet"), F.array(F.lit("agent")).alias("tags"))

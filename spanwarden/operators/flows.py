@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.model import CRITICAL, HIGH, MEDIUM
-from ..sources.files import has, lines, pieces, text_has
+from ..sources.files import has, line_array, pieces, text_has
 from .blocks import finding
 
 ASSIGN = r"^\s*(?:export\s+)?(?:const\s+|let\s+|var\s+)?([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=(?!=)\s*(.+)$"
@@ -48,16 +48,14 @@ class Sink:
 def flow(files: DataFrame, source: str, sinks: tuple[Sink, ...], scanner: str, clean: str, confidence: int = 1) -> DataFrame:
     """Findings of sinks whose arguments hold a source or a name that one reached.
 
-    All sinks are looked for in one pass over windows of lines; one join tells which of the names in their arguments
-    a source reaches.
+    A file's lines are an array of its row: assignments and sinks are read from it in one pass, without a shuffle.
     """
     key = ["project", "path"]
-    of = lines(files).select(*key, "line", "content")
-    value = F.regexp_extract("content", ASSIGN, 2)
-    assigned = of.where(F.rlike("content", F.lit(ASSIGN))).select(*key, F.regexp_extract("content", ASSIGN, 1).alias("name"), value.alias("value")).where(~F.rlike("value", F.lit(clean)))
-    steps = assigned.select(*key, "name", has(F.col("value"), source).alias("direct"), F.array_distinct(F.regexp_extract_all("value", F.lit(NAME), F.lit(1))).alias("names"))
-    steps = steps.groupBy(*key).agg(F.collect_list(F.struct("name", "direct", "names")).alias("steps")).where(F.exists("steps", lambda x: x["direct"]))
-    tainted = steps.select(*key, F.explode(F.udf(reached, "array<string>")("steps")).alias("name"), F.lit(True).alias("reached"))
+
+    def assigned(line: Column) -> Column:
+        value = F.regexp_extract(line, ASSIGN, 2)
+        takes = F.rlike(line, F.lit(ASSIGN)) & ~F.rlike(value, F.lit(clean))
+        return F.when(takes, F.struct(F.regexp_extract(line, ASSIGN, 1).alias("name"), has(value, source).alias("direct"), F.array_distinct(F.regexp_extract_all(value, F.lit(NAME), F.lit(1))).alias("names")))
 
     def opened(s: Sink, text: Column) -> Column:
         hit = F.rlike(text, F.lit(s.pattern)) & ~F.rlike(text, F.lit(clean))
@@ -65,10 +63,17 @@ def flow(files: DataFrame, source: str, sinks: tuple[Sink, ...], scanner: str, c
             hit = hit & ~F.rlike(text, F.lit(s.clean))
         return F.when(hit, F.struct(F.lit(s.rule).alias("rule"), F.lit(s.severity).alias("severity"), F.array(*map(F.lit, s.cwe)).alias("cwe"), F.regexp_extract(text, f"(?:{s.pattern})(.*)$", 1).alias("rest")))
 
-    at = F.flatten(F.transform(pieces(F.col("content")), lambda w: F.filter(F.array(*(opened(s, w["segment"]) for s in sinks)), lambda x: x.isNotNull())))
-    hits = of.select(*key, "line", "content", F.explode(at).alias("s")).select(*key, "line", "content", "s.*").withColumn("direct", F.rlike("rest", F.lit(source)))
-    names = F.when(~F.col("direct"), F.array_distinct(F.regexp_extract_all("rest", F.lit(NAME), F.lit(1))))
-    met = hits.withColumn("name", F.explode_outer(names)).join(tainted, [*key, "name"], "left").where("direct OR reached")
+    def sunk(line: Column, at: Column) -> Column:
+        found = F.flatten(F.transform(pieces(line), lambda w: F.filter(F.array(*(opened(s, w["segment"]) for s in sinks)), lambda x: x.isNotNull())))
+        return F.transform(found, lambda x: F.struct((at + 1).alias("line"), line.alias("content"), x["rule"].alias("rule"), x["severity"].alias("severity"), x["cwe"].alias("cwe"), x["rest"].alias("rest")))
+
+    of = files.select(*key, line_array(F.col("text")).alias("lines"))
+    of = of.select(*key, F.flatten(F.transform("lines", sunk)).alias("hits"), "lines").where(F.size("hits") > 0)
+    of = of.select(*key, "hits", F.filter(F.transform("lines", assigned), lambda x: x.isNotNull()).alias("steps"))
+    of = of.withColumn("reached", F.udf(reached, "array<string>")(F.when(F.exists("steps", lambda x: x["direct"]), F.col("steps")).otherwise(F.slice("steps", 1, 0))))
+    met = of.select(*key, "reached", F.explode("hits").alias("h")).select(*key, "reached", "h.*")
+    names = F.regexp_extract_all("rest", F.lit(NAME), F.lit(1))
+    met = met.where(F.rlike("rest", F.lit(source)) | F.arrays_overlap(names, "reached"))
     return finding(met, F.col("rule"), scanner, F.col("severity"), F.col("cwe"), confidence).distinct()
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.model import CRITICAL, HIGH, INFO, LOW, MEDIUM
-from ..sources.files import LINE_END, MAX_LINE, base_name, pieces, suffix, text_has
+from ..sources.files import MAX_LINE, base_name, line_array, pieces, suffix, text_has
 
 PYTHON, JS = ("Python",), ("JavaScript", "TypeScript")
 CURL_PIPE = r"(?i)\b(?:curl|wget|fetch)\s+[^\s|][^\n|]*\|\s*(?:sudo\s+(?:-\S+\s+)*)?(?:ba|z)?sh\b"
@@ -291,9 +291,7 @@ def match_rules(files: DataFrame, rules: Sequence[Rule] = ALL) -> DataFrame:
 
 
 def _lines_of(there: DataFrame) -> DataFrame:
-    parts = F.split(F.col("text"), LINE_END)
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return there.select("project", "path", "language", "suffix", "kind", F.posexplode(kept).alias("__at", "content")).withColumn("line", F.col("__at") + 1).drop("__at")
+    return there.select("project", "path", "language", "suffix", "kind", F.posexplode(line_array(F.col("text"))).alias("__at", "content")).withColumn("line", F.col("__at") + 1).drop("__at")
 
 
 def downgraded(findings: DataFrame) -> DataFrame:

@@ -78,14 +78,14 @@ def lifecycle_scripts(files: DataFrame) -> DataFrame:
 
 def provenance(files: DataFrame) -> DataFrame:
     """Attestations of the files, and projects with packages but without any."""
-    docs = files.where(F.rlike("path", F.lit(PROVENANCE)))
-    packaged = files.where(base_name(F.col("path")).isin(*(n for n, _ in manifests.FORMATS)))
-    return blocks.attestations(docs).unionByName(blocks.without_attestations(packaged, docs))
+    attests = F.rlike("path", F.lit(PROVENANCE))
+    packaged = base_name(F.col("path")).isin(*(n for n, _ in manifests.FORMATS))
+    return blocks.attestations(files.where(attests)).unionByName(blocks.without_attestations(files, packaged, attests))
 
 
 def interfaces(files: DataFrame) -> DataFrame:
-    """OpenAPI texts in JSON."""
-    return blocks.openapi(files.where(F.rlike("path", F.lit(r"(?i)(?:openapi|swagger)[^/]*\.json$"))))
+    """OpenAPI texts in JSON and YAML."""
+    return blocks.openapi(files.where(F.rlike("path", F.lit(r"(?i)(?:openapi|swagger)[^/]*\.(?:json|ya?ml)$"))))
 
 
 def package_changes(files: DataFrame, previous: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.model import CRITICAL, HIGH, INFO, LOW, SEVERITIES, rank
+from ..functions.prefix import with_sum_before
 from ..functions.store import keep
 from ..sources.files import suffix
 
@@ -26,8 +27,6 @@ AST_CWES = ("CWE-89", "CWE-79", "CWE-22", "CWE-95")
 AST_SUFFIXES = {"ast-python": (".py",), "ast-js": (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts")}
 #: Rows that a side table of a run may have.
 SIDE_ROWS = 2000
-#: Characters of a path that findings are numbered by in one task.
-SLICE = 16
 #: Rules whose lines have a rewrite.
 REWRITES = ("patterns.python-yaml-load", "patterns.tls-verify-disabled", "patterns.flask-debug-true", "patterns.weak-hash-md5-sha1", "patterns.python-shell-true", "patterns.python-xml-resolve-entities", "patterns.python-weak-random-token")
 EXPOSURE = {"internal": -1, "partner": 0, "internet": 1, "public": 1}
@@ -357,17 +356,9 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 
 def numbered(findings: DataFrame) -> DataFrame:
-    """findings with an id: scanner, rule and a number in (path, line, rule) order.
-
-    A rule's findings are ranked in slices, the paths that share their first SLICE characters; a slice starts after
-    the findings of those before it, a prefix sum over one row a slice.
-    """
-    sliced = findings.withColumn("__slice", F.substring("path", 1, SLICE))
-    within = Window.partitionBy("scanner", "rule_id", "__slice").orderBy("path", F.col("start_line").asc_nulls_first(), "ordinal")
-    before = Window.partitionBy("scanner", "rule_id").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = sliced.groupBy("scanner", "rule_id", "__slice").count().withColumn("__base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    ranked = sliced.withColumn("__n", F.row_number().over(within)).join(base, ["scanner", "rule_id", "__slice"])
-    return ranked.withColumn("id", F.concat_ws(":", "scanner", "rule_id", (F.col("__n") + F.col("__base")).cast("string"))).drop("__slice", "__n", "__base")
+    """findings with an id: scanner, rule and a number in (path, line, rule) order, by prefix sums over ranges."""
+    rows = with_sum_before(findings, ["scanner", "rule_id"], ["path", F.col("start_line").asc_nulls_first(), "ordinal"], F.lit(1), "__n")
+    return rows.withColumn("id", F.concat_ws(":", "scanner", "rule_id", (F.col("__n") + 1).cast("string"))).drop("__n")
 
 
 def finished(findings: DataFrame, *, of_lines: DataFrame | None = None, allow: DataFrame | None = None, ran: list[str] | None = None, context: dict | None = None, floor: int = INFO, exceptions: DataFrame | None = None, today: Column | None = None, exposed: bool = False, production: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from ..functions.model import CRITICAL, HIGH, INFO, LOW, MEDIUM
 
 #: Headers whose absence is reported, with severity; paths that must not answer: fixed values.
 HEADERS = {"strict-transport-security": MEDIUM, "content-security-policy": MEDIUM, "x-content-type-options": LOW, "referrer-policy": LOW}
-EXPOSED = ("/.git/config", "/.env", "/server-status", "/phpinfo.php", "/.aws/credentials", "/backup.sql")
-MANIFESTS = ("package.json", "package-lock.json", "requirements.txt", "poetry.lock", "Pipfile.lock", "go.mod", "Cargo.lock", "Gemfile.lock", "composer.lock", "yarn.lock")
-DANGEROUS = r"(?i)(^|/)(\.env(\.\w+)?|id_rsa|id_dsa|id_ed25519|.*\.(pem|p12|pfx|key|jks|keystore|kdbx))$"
+EXPOSED = (".env", ".git/config", ".git/HEAD", ".aws/credentials", "actuator/env", "server-status", "phpinfo.php", "config.json")
+#: Manifests whose changes are reported, and ends of files that must not be tracked: fixed values.
+MANIFESTS = ("requirements.txt", "package.json", "go.mod", "Cargo.toml")
+DANGEROUS = (".pem", ".key", ".p12", ".env", "id_rsa")
+_OPEN = "|".join("/" + p.replace(".", r"\.") + "$" for p in EXPOSED)
 
 
 def _finding(rows: DataFrame, rule: Column | str, severity: Column | int, confidence: int = 2, cwe: tuple[str, ...] = ()) -> DataFrame:
@@ -24,7 +28,7 @@ def http_posture(answers: DataFrame) -> DataFrame:
     """answers(target, url, status, headers map in lower case, cookies array of header values): transport, headers, cookies, versions, exposed paths."""
     a = answers.withColumn("detail", F.col("url"))
     ok = a.where("status IS NOT NULL")
-    root = ok.where(~F.rlike("url", F.lit("|".join(p.replace(".", r"\.") + "$" for p in EXPOSED))))
+    root = ok.where(~F.rlike("url", F.lit(_OPEN)))
     out = _finding(a.where("status IS NULL"), "posture.unreachable", INFO)
     out = out.union(_finding(root.where(F.startswith("url", F.lit("http://"))), "posture.no-https", HIGH, 2, ("CWE-319",)))
     for name, severity in HEADERS.items():
@@ -39,7 +43,7 @@ def http_posture(answers: DataFrame) -> DataFrame:
     for name in ("server", "x-powered-by"):
         value = F.try_element_at("headers", F.lit(name))
         out = out.union(_finding(root.where(F.rlike(value, F.lit(r"\d"))).withColumn("detail", value), f"posture.version-disclosure-{name}", LOW))
-    open_paths = ok.where((F.col("status") == 200) & F.rlike("url", F.lit("|".join(p.replace(".", r"\.") + "$" for p in EXPOSED))))
+    open_paths = ok.where((F.col("status") == 200) & F.rlike("url", F.lit(_OPEN)))
     return out.union(_finding(open_paths, "posture.exposed-path", HIGH, 2, ("CWE-538",)))
 
 
@@ -93,7 +97,9 @@ def repositories(commits: DataFrame, tracked: DataFrame) -> DataFrame:
     newest = commits.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("seq")))).where("k <= 20")
     domains = newest.groupBy("target").agg(F.count_distinct(F.lower(F.element_at(F.split("email", "@"), -1))).alias("n")).where("n > 4").withColumn("detail", F.col("n").cast("string"))
     out = _finding(domains, "git.author-diversity", LOW, 0)
-    touched = newest.select("target", F.explode("paths").alias("detail")).where(F.element_at(F.split("detail", "/"), -1).isin(*MANIFESTS)).distinct()
-    out = out.union(_finding(touched, "git.dependency-manifest-change", LOW))
-    bad = tracked.where(F.rlike("path", F.lit(DANGEROUS))).withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("path"))).where("k <= 10").withColumn("detail", F.col("path"))
+    # a manifest's own last commits: each is reported once a target
+    touched = newest.select("target", F.explode("paths").alias("detail")).where(F.col("detail").isin(*MANIFESTS)).distinct()
+    out = out.union(_finding(touched, "git.dependency-manifest-change", MEDIUM))
+    ends = reduce(lambda a, b: a | b, (F.endswith("path", F.lit(e)) for e in DANGEROUS))
+    bad = tracked.where(ends).withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("path"))).where("k <= 10").withColumn("detail", F.col("path"))
     return out.union(_finding(bad, "git.dangerous-tracked-file", HIGH))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reports, scoring
 from ..functions.model import SEVERITIES
+from ..functions.prefix import with_sum_before
 from ..operators import analysis, audit, dependencies, drift, history, metrics, probes
 from ..operators import findings as ops
 from ..sources.files import lines, windows
@@ -214,5 +215,5 @@ def page_inventory(spark, d):
     """Pages of hosts by size, with their links."""
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
     p = table(spark, d, "pages").withColumn("host", host)
-    w = Window.partitionBy("host").orderBy(F.desc(F.length("html")), "page_id")
-    return p.select("page_id", "host", F.size(F.regexp_extract_all("html", F.lit('<a href="/'), F.lit(0))).alias("relative_links"), F.row_number().over(w).alias("size_rank"))
+    p = with_sum_before(p.select("page_id", "host", F.length("html").alias("size"), F.size(F.regexp_extract_all("html", F.lit('<a href="/'), F.lit(0))).alias("relative_links")), ["host"], [F.desc("size"), "page_id"], F.lit(1), "before")
+    return p.select("page_id", "host", "relative_links", (F.col("before") + 1).cast("int").alias("size_rank"))

@@ -395,7 +395,7 @@ def test_project_analysis(spark):
     f = corpus(spark, {"requirements.txt": "flask==1.0\npsycopg2==2\n", "a.py": "import boto3\n@app.get('/x')\ndef f(): jwt.encode()\n", "Dockerfile": "FROM a:1\n"})
     assert {(r.kind, r.label) for r in analysis.stack(f).collect()} == {("framework", "Flask"), ("datastore", "PostgreSQL"), ("service", "AWS")}
     row = analysis.flags(f).first()
-    assert (row.files, row.dockerfile, row.api_kinds, row.auth_kinds) == (3, 1, ["REST"], ["JWT"])
+    assert (row.files, row.dockerfile, row.api_kinds, row.auth_kinds) == (3, 1, ["REST/HTTP"], ["JWT"])
 
 
 def test_rewrites_verify_themselves(spark):

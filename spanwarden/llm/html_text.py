@@ -2,8 +2,8 @@
 
 Every page's containers are scored by the running text below them: blocks that are mostly links, and
 elements whose tag, role or class marks them as no article text, don't count. From the body down the
-smallest container that still holds nearly all of that text votes for its path, the tags and classes from
-the body down with numbers made alike, among the pages of its host. Votes are counted in Spark; each page
+smallest container that still holds every paragraph and heading, and all other running text of some length,
+votes for its path, the tags and classes from the body down with numbers made alike, among the pages of its host. Votes are counted in Spark; each page
 is then read again by the path that won on its host, if that holds as much as the page's own container,
 and by its own container else. All text of the container that isn't marked is the result: headings,
 sections, columns, lists, tables and quotes alike.
@@ -33,8 +33,10 @@ from .common import Scratch, per_batch, small, texts, tune
 
 #: Paths that a host keeps, best first.
 WINNERS = 3
-#: Share of a container's running text that a smaller one needs to be taken for it; of the own container's that a host's path needs.
-NEARLY, ENOUGH = 0.9, 0.9
+#: Share of the own container's running text that a host's path needs, besides all its paragraphs and headings.
+ENOUGH = 0.9
+#: Characters from which running text outside of paragraphs and headings counts as part of the article.
+SOME = 40
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 #: The rest of a tag: > inside a quoted value does not end it.
 _REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
@@ -51,8 +53,8 @@ ENDED_BY_NEXT = frozenset("li dt dd tr td th option p".split())
 DROPPED = frozenset("head nav footer aside form button select option dialog menu object audio video canvas map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words that mark such elements as a class or id of their own or with words of HELPERS only ...
-MARKS = frozenset("ad ads adv banner disclaimer footer header login menu modal nav navigation notice notices popup promo promoted promotion related replies reply respond share sharing signup skip social subscribe toolbar widget widgets recommended trending".split())
-HELPERS = frozenset("site page global main top bottom left right primary secondary bar box wrap wrapper container list links link section area block inner outer unit slot buttons icons icon items item posts articles content user inline fixed sticky mobile desktop".split())
+MARKS = frozenset("ad ads adv banner disclaimer footer header login menu modal nav navigation notice notices popup promo promoted promotion related replies reply respond responses share sharing signup skip social subscribe toolbar widget widgets recommended trending".split())
+HELPERS = frozenset("site page global main top bottom left right primary secondary bar box wrap wrapper container list links link section area block inner outer unit slot buttons icons icon items item posts articles content user users reader readers thread threads feed body text inline fixed sticky mobile desktop".split())
 #: ... and those that mark them beside any other word, but for the words of DENIALS.
 STRONG = frozenset("advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies consent disqus masthead navbar newsletter pagination sidebar sponsor sponsored".split())
 DENIALS = frozenset("no not has have with without is hide".split())
@@ -61,11 +63,11 @@ CONTAINERS = frozenset("body main article div section td center".split())
 
 
 class Node:
-    __slots__ = ("tag", "step", "parent", "drop", "good", "titles")
+    __slots__ = ("tag", "step", "parent", "drop", "good", "must")
 
     def __init__(self, tag: str, step: str, parent: Node | None, drop: bool):
         self.tag, self.step, self.parent, self.drop = tag, step, parent, drop
-        self.good = self.titles = 0  # characters of running text, and first-order headings, in and below
+        self.good = self.must = 0  # characters of running text, and its blocks that an article can't lose, in and below
 
     def path(self) -> str:
         steps, n = [], self
@@ -75,9 +77,20 @@ class Node:
         return ">".join(reversed(steps))
 
 
+def known_words(word: str) -> tuple[str, ...]:
+    """A word as the two that it is written of together, if it is: commentlist, sitefooter."""
+    if word in STRONG or word in MARKS or word in HELPERS:
+        return (word,)
+    for i in range(4, len(word) - 3):
+        a, b = word[:i], word[i:]
+        if a in STRONG and b in HELPERS or a in HELPERS and b in STRONG or a in MARKS and b in HELPERS or a in HELPERS and b in MARKS:
+            return (a, b)
+    return (word,)
+
+
 def marked(token: str) -> bool:
     """Does a class or id say that its element is no article text?"""
-    words = [w.lower() for w in _WORD.findall(token)]
+    words = [part for w in _WORD.findall(token) for part in known_words(w.lower())]
     if not words or not DENIALS.isdisjoint(words):
         return False
     if not STRONG.isdisjoint(words):
@@ -134,9 +147,10 @@ def walk(page: str, marks: bool = True) -> tuple[list[Node], list[Block]]:
             words = "".join(run).split()
             if words:
                 good = plain if plain >= linked else 0
-                blocks.append((" ".join(words), stack[-1], good))
+                text = " ".join(words)
+                blocks.append((text, stack[-1], good))
                 stack[-1].good += good
-                stack[-1].titles += heading == "h1"
+                stack[-1].must += bool(good) and (heading != "" or len(text) >= SOME)
             run.clear()
         linked = plain = 0
 
@@ -185,7 +199,7 @@ def walk(page: str, marks: bool = True) -> tuple[list[Node], list[Block]]:
                 continue
             if not dropped:
                 close_block()
-            heading = "" if tag in HEADINGS else heading
+            heading = "" if tag in HEADINGS or tag == "p" else heading
             if opened[tag]:
                 while stack[-1].tag != tag:
                     pop()
@@ -210,11 +224,12 @@ def walk(page: str, marks: bool = True) -> tuple[list[Node], list[Block]]:
         if tag in ENDED_BY_NEXT and stack[-1].tag == tag:
             pop()
         if tag in HEADINGS or tag == "p":
-            heading = tag if tag in HEADINGS else ""
+            heading = tag
             if not drop:
                 continue
         if source.endswith("/") and tag not in CONTAINERS:
             continue
+        heading = ""
         node = Node(tag, _step(tag, found.get("class")), stack[-1], drop)
         dropped += drop
         in_article += tag in ("article", "main")
@@ -224,14 +239,14 @@ def walk(page: str, marks: bool = True) -> tuple[list[Node], list[Block]]:
     close_block()
     for n in reversed(nodes[1:]):
         n.parent.good += n.good
-        n.parent.titles += n.titles
+        n.parent.must += n.must
     return nodes, blocks
 
 
 def own_container(nodes: list[Node]) -> Node:
-    """The smallest container that holds nearly all running text of the one around it, from the body down.
+    """The smallest container that holds all paragraphs, headings and longer texts of the one around it, from the body down.
 
-    It goes no further down than an article element, and not where a page's only first-order headings would be lost.
+    What stays outside are links and short texts between containers. It goes no further down than an article element.
     """
     inside: dict[int, Node] = {}  # a container's child, or nearest container below, with most running text
     for n in nodes[1:]:
@@ -242,7 +257,7 @@ def own_container(nodes: list[Node]) -> Node:
             if id(up) not in inside or n.good > inside[id(up)].good:
                 inside[id(up)] = n
     now = nodes[0]
-    while now.tag != "article" and (n := inside.get(id(now))) is not None and n.good and n.good >= NEARLY * now.good and (n.titles or not now.titles):
+    while now.tag != "article" and (n := inside.get(id(now))) is not None and n.good and n.must == now.must and (now.must or n.good >= ENOUGH * now.good):
         now = n
     return now
 
@@ -278,10 +293,12 @@ def extract(page: str | None, paths: list[str] | None) -> str:
                 level[id(n)] = k + 1
                 if k + 1 == len(steps):
                     hits.append(n)
-        if hits and sum(n.good for n in hits) >= max(1, ENOUGH * own.good):
+        if hits and sum(n.good for n in hits) >= max(1, ENOUGH * own.good) and sum(n.must for n in hits) >= own.must:
             chosen = {id(n) for n in hits}
             break
     inside = below(nodes, chosen)
+    if chosen == {id(nodes[0])}:  # a page without a container of its own: what holds nothing but links beside the text is a menu
+        inside -= below(nodes, {id(n) for n in nodes[1:] if n.parent is nodes[0] and n.tag != "article" and not n.good and nodes[0].good})
     return " ".join(body for body, node, _ in blocks if id(node) in inside)
 
 

@@ -11,11 +11,12 @@ manifest (one row a part). Files appear under their final names by a rename when
 task that runs again writes the same files again. Readers map the files into memory where the folder
 is a mounted one and read them through the file system's client elsewhere.
 
-A part takes about PART_BYTES of text, a range of doc_id and, where many rows share an id, of their texts;
-its ids go to the file batch by batch, so a task holds one batch.
+A part takes about PART_BYTES of text, a range of doc_id and, where many rows share an id, of their texts'
+first 32 characters, hashes and places; its ids go to the file batch by batch, so a task holds one batch, and
+readers take SLICE bytes of ids at a time.
 
 Defined results: null and empty texts have the end id alone; texts of any length are written whole. Rows
-that share an id follow each other by text, rows that are alike in any order. A null id sorts first and
+that share an id follow each other by their text's first 32 characters and then by its hash, rows that are alike in any order. A null id sorts first and
 reads back as null (stored as the least 64-bit integer). An empty table gives no part and an empty result.
 Columns other than doc_id and text are not read.
 """
@@ -33,11 +34,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, once, per_batch, texts, tune
+from .common import Scratch, once, texts, tune
 
 NULL_ID = -(2**63)
 #: Bytes of text that a part takes, about.
 PART_BYTES = 48 << 20
+#: Bytes of ids that a reader takes at a time.
+SLICE = 8 << 20
 
 
 class ByteBpe:
@@ -81,6 +84,21 @@ def _get(where: fs.FileSystem, path: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+def _slices(where: fs.FileSystem, path: str, dtype: str, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Documents i to j - 1 of a part and their ids, about SLICE bytes at a time: mapped where the folder is mounted, read from their place elsewhere."""
+    width, n = np.dtype(dtype).itemsize, len(off) - 1
+    step = SLICE // width
+    cuts = [0, *(np.flatnonzero(np.diff(off[1:] // step)) + 1).tolist(), n]
+    if isinstance(where, fs.LocalFileSystem) and where.get_file_info(path).size:
+        whole = np.memmap(path, dtype=dtype, mode="r")
+        yield from ((i, j, whole[off[i] : off[j]]) for i, j in zip(cuts, cuts[1:], strict=False) if i < j)
+        return
+    with where.open_input_file(path) as f:
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i < j:
+                yield i, j, np.frombuffer(f.read_at(int(off[j] - off[i]) * width, int(off[i]) * width), dtype)
+
+
 def write(docs: DataFrame, uri: str, bpe: dict, end: int = 0) -> DataFrame:
     """Writes docs (doc_id, text) to the folder uri. Returns the manifest: part, n_docs, n_ids, base, bits."""
     spark = docs.sparkSession
@@ -90,7 +108,10 @@ def write(docs: DataFrame, uri: str, bpe: dict, end: int = 0) -> DataFrame:
     plain = texts(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
-    sliced = plain.repartitionByRange(parts, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    # rows of one id are dealt by their text's head and hash, equal rows by their place: no part takes all of them
+    order = ["doc_id", "head", "hash", "at"]
+    plain = plain.select("doc_id", "text", F.coalesce(F.substring("text", 1, 32), F.lit("")).alias("head"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("at"))
+    sliced = plain.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -127,20 +148,22 @@ def write(docs: DataFrame, uri: str, bpe: dict, end: int = 0) -> DataFrame:
 def read(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files of the manifest's parts."""
 
-    def work(batch: pa.RecordBatch):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = folder(uri)
-        out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
-        for part, base, bits in zip(*(batch.column(c).to_pylist() for c in ("part", "base", "bits")), strict=True):
-            name = f"{path}/part-{part:05d}"
-            ids, off, doc = (_get(store, f"{name}.{x}", d) for x, d in (("ids", f"<u{bits // 8}"), ("off", "<i8"), ("doc", "<i8")))
-            out["doc_id"] += [d if d != NULL_ID else None for d in doc.tolist()]
-            out["start"] += (base + off[:-1]).tolist()
-            out["n_tokens"] += np.diff(off).tolist()
-            out["ids_crc32"] += [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        return out
+        for batch in batches:
+            for part, base, bits in zip(*(batch.column(c).to_pylist() for c in ("part", "base", "bits")), strict=True):
+                name = f"{path}/part-{part:05d}"
+                off, doc = (_get(store, f"{name}.{x}", "<i8") for x in ("off", "doc"))
+                for i, j, ids in _slices(store, f"{name}.ids", f"<u{bits // 8}", off):
+                    ends = (off[i : j + 1] - off[i]).tolist()
+                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": pa.array([d if d != NULL_ID else None for d in doc[i:j].tolist()], pa.int64()), "start": pa.array(base + off[i:j], pa.int64()),
+                        "n_tokens": pa.array(np.diff(off[i : j + 1]), pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
+                    })
 
     spread = manifest.select("part", "base", "bits").repartition(max(1, manifest.count()), "part")
-    return per_batch(spread, "doc_id long, start long, n_tokens long, ids_crc32 long", work)
+    return spread.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids(docs: DataFrame, bpe: dict, end: int = 0) -> DataFrame:

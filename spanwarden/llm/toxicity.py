@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 Many voters (seed words, words and stems that training labels point to, and patterns) vote on texts. A
-generative label model estimates their accuracies and correlations: voters that agree within a class of the
-sample beyond chance are dependent, and each set of dependent voters becomes one voter whose vote is how many
+generative label model estimates their accuracies and correlations: voters that agree within a class beyond
+chance are dependent, and each set of dependent voters becomes one voter whose vote is how many
 of them are there (none, one, more). Expectation maximisation then gives, without labels, every such voter's
 rates in either class and the posterior labels. A vote speaks for its class as its rates tell; a voter that
 is silent says nothing, for a text of another language has none of its words; that all are silent counts
@@ -10,7 +10,9 @@ once. A linear classifier over words, stems and patterns is trained on the poste
 text's score.
 
 Training takes a bounded sample, SAMPLE texts of the labelled training rows in a fixed random order;
-the labels there choose the names that may vote and fix the class balance. Every text is scored whole.
+the labels there choose the names that may vote, by cross-validation how telling a name must be and when two
+voters count as dependent, and fix the class balance. Correlations are those within the classes that the
+posteriors tell. Every text is scored whole.
 
 Defined results: null, empty and blank texts get the score of a text without any feature. A null id is in no
 training sample and not held out; of rows that repeat an id the least text trains, of its labels the
@@ -29,17 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, texts, tune
+from .common import Scratch, per_batch, texts, tune
 
 #: Labelled texts that voters and classifier are made from, at most.
 SAMPLE = 20_000
 THRESHOLD = 0.3
-#: Correlation within a class from which two voters count as dependent.
-DEPENDENT = 0.5
-#: Texts of label 1 that a voter needs in the sample: so many, and this share of them.
-SEEN, SUPPORT = 5, 0.015
-#: Texts of label 1 to one other that have a name which votes.
-PURE = 19
+#: Votes in a class from which a correlation counts, and texts of label 1 that a voter needs in the sample.
+SEEN = 5
+#: What cross-validation within the training sample chooses from: share of the texts of label 1 that a voter needs, and
+#: texts of label 1 to one other that have a name which votes; then the correlation from which two voters are dependent.
+VOTERS, DEPENDENT = [(s, p) for s in (0.005, 0.02) for p in (4, 9, 19)], (0.5, 0.3, 0.7)
+FOLDS, FOLD_ROUNDS = 4, 25
 #: G² that a name needs: chance passes 1 in 10,000.
 EVIDENCE = 15.1
 STEMS = (4, 5, 6)
@@ -132,7 +134,7 @@ def feature_matrix(rows: DataFrame, names: list[str]) -> tuple[list[np.ndarray],
     return [np.array(r["at"], np.int64) for r in got], np.array([r["toxic"] == 1 for r in got], float)
 
 
-def dependent_sets(votes: np.ndarray, classes: np.ndarray) -> list[list[int]]:
+def dependent_sets(votes: np.ndarray, classes: np.ndarray, least: float = 0.5) -> list[list[int]]:
     """The voters in sets that depend on each other within a class.
 
     votes: texts by voters, 0 or 1; classes: each text's. A pair's correlation is the greatest that a class shows in
@@ -152,9 +154,9 @@ def dependent_sets(votes: np.ndarray, classes: np.ndarray) -> list[list[int]]:
     where = {i: [i] for i in range(n)}
     for at in np.argsort(-most, axis=None, kind="stable").tolist():
         i, j = divmod(at, n)
-        if most[i, j] < DEPENDENT:
+        if most[i, j] < least:
             break
-        if i < j and where[i] is not where[j] and (most[np.ix_(where[i], where[j])] >= DEPENDENT).mean() >= 0.5:
+        if i < j and where[i] is not where[j] and (most[np.ix_(where[i], where[j])] >= least).mean() >= 0.5:
             joined = where[i] + where[j]
             for k in joined:
                 where[k] = joined
@@ -217,30 +219,66 @@ def linear(rows: list[np.ndarray], target: np.ndarray, size: int, rounds: int =
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """weights by feature name, and bias."""
     tune(docs.sparkSession)
-    rows = training_rows(docs, labels)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.keep(training_rows(docs, labels), "sample")  # one pass over documents; the sample is read again below
     chosen = candidates(rows)
     x, gold = feature_matrix(rows, [f for f, _, _ in chosen] + sorted(SEED_NAMES.difference(f for f, _, _ in chosen)))
+    scratch.drop()
     return model_from(chosen, x, gold)
 
 
+def voters_of(names: list[str], x: np.ndarray, gold: np.ndarray, support: float, pure: int) -> list[int]:
+    """Numbers of the names that vote: the seed lexicon, and names that few texts but those of label 1 have. x: texts by names, 0 or 1."""
+    yes, every = gold @ x, x.sum(axis=0)
+    return [i for i, f in enumerate(names) if every[i] and (f in SEED_NAMES or yes[i] >= max(SEEN, support * gold.sum()) and yes[i] >= pure * (every[i] - yes[i]))]
+
+
+def posteriors(votes: np.ndarray, least: float, share: float, rounds: int = 100) -> np.ndarray:
+    """Posteriors of texts by the label model: accuracies with independent voters first, then correlations within the classes that these tell, and accuracies again."""
+    prior = np.tile([[0.003], [0.05]], (1, votes.shape[1]))  # every voter's alike: a vote is rare, and rarer in class 0
+    post, _ = label_model(votes, [[i] for i in range(votes.shape[1])], prior, share, rounds=rounds)
+    return label_model(votes, dependent_sets(votes, post >= 0.5, least), prior, share, rounds=rounds)[0]
+
+
+def chosen_parameters(names: list[str], x: np.ndarray, gold: np.ndarray, share: float) -> tuple[float, float, int]:
+    """Correlation, support and purity whose label model says most about texts that chose none of its voters: least log loss over FOLDS folds of the sample.
+
+    A fold's labels choose voters for the other folds only; the label model reads no labels. Ties go to the first.
+    """
+    fold = np.arange(len(x)) % FOLDS
+    known: dict[tuple, np.ndarray] = {}
+
+    def loss(least: float, support: float, pure: int) -> float:
+        total = 0.0
+        for k in range(FOLDS):
+            voters = tuple(voters_of(names, x[fold != k], gold[fold != k], support, pure))
+            if voters:
+                key = (voters, least)
+                if key not in known:
+                    known[key] = np.clip(posteriors(x[:, voters], least, share, FOLD_ROUNDS), 1e-4, 1 - 1e-4)
+                post, want = known[key][fold == k], gold[fold == k]
+                total -= (want * np.log(post) + (1 - want) * np.log(1 - post)).sum()
+            else:
+                total = np.inf
+        return round(total, 6)
+
+    support, pure = min(VOTERS, key=lambda v: loss(DEPENDENT[0], *v))
+    return min(DEPENDENT, key=lambda d: loss(d, support, pure)), support, pure
+
+
 def model_from(chosen: list[tuple[str, int, int]], x: list[np.ndarray], gold: np.ndarray) -> dict:
     """The model from names with their counts and the sample's rows of name numbers; seeds that have no count stand last."""
     known = {f: (y, n) for f, y, n in chosen}
     names = [f for f, _, _ in chosen] + sorted(SEED_NAMES.difference(known))
-    # voters: names that few texts but those of label 1 have, and the seed lexicon; their accuracies come from votes alone
-    voters = [i for i, f in enumerate(names) if f in SEED_NAMES or known[f][0] >= max(SEEN, SUPPORT * gold.sum()) and known[f][0] >= PURE * known[f][1]]
-    votes = np.zeros((len(x), len(voters)), np.float32)
-    place = {v: k for k, v in enumerate(voters)}
+    share = min(0.5, max(0.02, float(gold.mean()) if len(gold) else 0.1))
+    dense = np.zeros((len(x), len(names)), np.float32)
     for i, r in enumerate(x):
-        for v in r.tolist():
-            if v in place:
-                votes[i, place[v]] = 1
-    kept = np.flatnonzero(votes.sum(axis=0))
-    if not len(kept):
+        dense[i, r] = 1
+    least, support, pure = chosen_parameters(names, dense, gold, share)
+    votes = dense[:, voters_of(names, dense, gold, support, pure)]
+    if not votes.size:
         return {"weights": dict.fromkeys(SEED_NAMES, 2.0), "bias": -3.0}
-    share = min(0.5, max(0.02, float(gold.mean()) if len(gold) else 0.1))
-    prior = np.tile([[0.003], [0.05]], (1, len(kept)))  # every voter's alike: a vote is rare, and rarer in class 0
-    post, _ = label_model(votes[:, kept], dependent_sets(votes[:, kept], gold), prior, share)
+    post = posteriors(votes, least, share)
     w, b = linear(x, post, len(names))
     for i, f in enumerate(names):  # seeds that no text of the sample has keep a weight of their own
         if f in SEED_NAMES and not any(known.get(f, (0, 0))):

@@ -189,6 +189,28 @@ def test_token_id_parts_split_a_frequent_id(spark, tmp_path):
     assert [r.doc_id for r in got] == [None] * 600 + list(range(0, 900, 3))
 
 
+@pytest.mark.parametrize("text", ["x" * 40 + " {}", "the same text"])
+def test_token_id_parts_split_rows_with_one_head(spark, tmp_path, text):
+    docs = spark.createDataFrame([(None, text.format(k)) for k in range(20_000)], "doc_id long, text string")
+    manifest = token_ids.write(docs, f"file://{tmp_path}/ids", queries.byte_bpe())
+    n = [r.n_docs for r in manifest.collect()]
+    assert sum(n) == 20_000 and len(n) >= 4 and max(n) < 8000
+    got = token_ids.read(spark, f"file://{tmp_path}/ids", manifest).collect()
+    assert sum(r.n_tokens for r in got) == sum(r.n_ids for r in manifest.collect()) and len(got) == 20_000
+
+
+def test_token_ids_are_read_in_slices(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, "word " * (k % 40)) for k in range(300)], "doc_id long, text string")
+    manifest = token_ids.write(docs, f"file://{tmp_path}/ids", queries.byte_bpe())
+    whole = token_ids.read(spark, f"file://{tmp_path}/ids", manifest).orderBy("doc_id").collect()
+    for r in manifest.collect():
+        off = token_ids._get(token_ids.folder(f"file://{tmp_path}")[0], f"{tmp_path}/ids/part-{r.part:05d}.off", "<i8")
+        monkeypatch.setattr(token_ids, "SLICE", 64)
+        cuts = list(token_ids._slices(token_ids.folder(f"file://{tmp_path}")[0], f"{tmp_path}/ids/part-{r.part:05d}.ids", "<u2", off))
+        assert [i for i, _, _ in cuts][0] == 0 and cuts[-1][1] == r.n_docs and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:], strict=False)) and sum(len(x) for *_, x in cuts) == r.n_ids
+    assert len(whole) == 300
+
+
 def test_byte_bpe_gives_the_library_ids():
     from tokenizers import Tokenizer
 
@@ -323,9 +345,56 @@ def test_layout_tables_and_marked_pages():
 
 def test_host_paths_need_as_much_text_as_the_page():
     page = f"<body><div class=lead><p>Short.</p></div><div class=text><p>{LONG}</p><p>{LONG}</p></div>"
-    assert one(page, ["body>div.lead"]) == one(page) == f"{BODY} {BODY}"
-    two = f"<body><div class=text><p>{LONG}</p></div><div class=other><p>Odd one out, but of some length.</p></div><div class=text><p>{LONG}</p></div>"
+    assert one(page, ["body>div.lead"]) == one(page) == f"Short. {BODY} {BODY}"  # a lead is part of the article
+    two = f"<body><div class=text><p>{LONG}</p></div><div class=other>Odd one out.</div><div class=text><p>{LONG}</p></div>"
     assert one(two, ["body>div.text"]) == f"{BODY} {BODY}"
+    assert one(two.replace("Odd one out.", "<p>Odd one out.</p>"), ["body>div.text"]) == f"{BODY} Odd one out. {BODY}"
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        (f"<p>Lead.</p><div class='story-text'><p>{LONG}</p><p>{LONG * 5}</p></div>", f"Lead. {BODY} {(LONG * 5).strip()}"),
+        (f"<h2>Title</h2><div class='story-text'><p>{LONG * 9}</p></div>", f"Title {(LONG * 9).strip()}"),
+        (f"<div class='story-text'><p>{LONG * 9}</p></div><p>Closing words.</p>", f"{(LONG * 9).strip()} Closing words."),
+        (f"<div class='story-text'><p>{LONG}</p></div><ol class='commentlist'><li><p>{LONG}</p></ol><div class='reader-responses'><p>{LONG}</p></div><div id=usercomments><p>{LONG}</p></div><div class=commentThread><p>x</p></div>", BODY),
+    ],
+)
+@pytest.mark.parametrize("around", ["<main>%s</main>", "<div class=page>%s</div>", "%s"])
+def test_text_beside_the_main_container_stays(inner, want, around):
+    assert one(f"<html><body><nav>no</nav><div class=links><a href=1>One page</a></div>{around % inner}<footer>no</footer></body></html>") == want
+
+
+def test_the_pages_table_is_read_whole(spark):
+    """Words of paragraphs, headings and list items of each article, by a reading that shares nothing with the operator."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.words, self.skip = 0, [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.skip += tag in ("script", "style", "aside", "nav", "form", "footer")
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            self.skip -= tag in ("script", "style", "aside", "nav", "form", "footer")
+
+        def handle_data(self, data):
+            if self.depth and not self.skip:
+                self.words += data.split()
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text.split() for r in html_text.main_text(pages).collect()}
+    right = wanted = given = 0
+    for r in pages.collect():
+        reader = Reader()
+        reader.feed(r.html or "")
+        a, b = Counter(got[r.page_id]), Counter(reader.words)
+        right, wanted, given = right + (a & b).total(), wanted + b.total(), given + a.total()
+    assert right >= 0.999 * wanted and right >= 0.95 * given
 
 
 @pytest.mark.parametrize("piece", ["<a ", "<div>", "<div class=x>", "<b>", "</div>", "<", "<!", "<p title='", "&", "<li>", "<script ", "<a href=\"", "<td><table>", "<x y=", "text "])
@@ -550,6 +619,14 @@ def test_dependent_voters_are_one_voter():
     assert brier[0] < 0.7 * brier[1], brier
 
 
+def test_held_out_labels_change_nothing(spark):
+    rows = [(i, text(12) + (" idiot scumbag" if i % 7 == 0 else "")) for i in range(400)]
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [toxicity.train(docs, spark.createDataFrame([(i, int(i % 7 == 0) if not h else flip) for (i, _), h in zip(rows, held, strict=True)], "doc_id long, toxic int")) for flip in (0, 1)]
+    assert models[0] == models[1]
+
+
 def test_repeated_ids_train_once(spark):
     docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")

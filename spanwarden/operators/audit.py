@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 GENESIS = "0" * 64
 #: Fields in the order that the digest reads them.
@@ -35,19 +39,26 @@ def first_break(log: DataFrame, by: list[str], own: Callable | None = digest) ->
 def sealed(events: DataFrame, by: list[str]) -> DataFrame:
     """events (v, seq, ts and FIELDS) with prev_hash and hash, each chain folded in seq order.
 
-    A chain is one log, as long as one writer's; chains are folded beside each other.
+    A chain is one log, as long as one writer's; its rows stream through one task, which holds the last hash.
     """
-    row = F.struct("seq", *[c for c in events.columns if c != "seq"])
-    groups = events.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    names = sorted(["v", "seq", "ts", "prev_hash", *FIELDS])
-
-    def step(acc: Column, r: Column) -> Column:
-        before = F.when(F.size(acc) > 0, F.try_element_at(acc, F.lit(-1))["hash"]).otherwise(F.lit(GENESIS))
-        text = F.to_json(F.struct(*(before.alias(n) if n == "prev_hash" else r[n].alias(n) for n in names)), {"ignoreNullFields": "false"})
-        return F.array_append(acc, F.struct(r.alias("row"), before.alias("prev_hash"), F.sha2(text, 256).alias("hash")))
-
-    none = F.transform(F.filter("rows", lambda _: F.lit(False)), lambda r: F.struct(r.alias("row"), F.lit("").alias("prev_hash"), F.lit("").alias("hash")))
-    return groups.select(F.explode(F.aggregate("rows", none, step)).alias("e")).select("e.row.*", "e.prev_hash", "e.hash")
+    hole = "\u0001"
+    rows = events.withColumn("__text", canonical(F.lit(hole))).withColumn("__log", F.to_json(F.struct(*by)))
+    rows = rows.repartition("__log").sortWithinPartitions("__log", "seq")
+    empty = json.dumps(hole)
+    schema = StructType([*events.schema, StructField("prev_hash", StringType()), StructField("hash", StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, last = None, GENESIS
+        for batch in batches:
+            before, own = [], []
+            for text, name in zip(batch.column("__text").to_pylist(), batch.column("__log").to_pylist(), strict=True):
+                before.append(last := last if name == log else GENESIS)
+                log, last = name, hashlib.sha256(text.replace(f'"prev_hash":{empty}', f'"prev_hash":"{last}"', 1).encode()).hexdigest()
+                own.append(last)
+            kept = batch.drop_columns(["__text", "__log"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(before), pa.array(own)], names=[*kept.schema.names, "prev_hash", "hash"])
+
+    return rows.mapInArrow(fold, schema)
 
 
 def filtered(log: DataFrame, since: str | None = None, until: str | None = None, **equal: str) -> DataFrame:

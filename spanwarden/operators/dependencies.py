@@ -132,7 +132,7 @@ def imported(rows: DataFrame, modules: DataFrame) -> DataFrame:
 
 #: Lifecycle hooks of npm manifests, and what makes their scripts suspicious: fixed values.
 HOOKS = ("preinstall", "install", "postinstall", "prepare")
-SUSPICIOUS = r"(?i)curl|wget|eval|base64|node\s+-e|powershell|https?://|\|\s*(?:ba)?sh\b|/dev/tcp|child_process"
+SUSPICIOUS = r"(?i)\b(?:curl|wget|bash|powershell|certutil|child_process)\b|\bsh\s|\bInvoke-|\b(?:eval|exec)\b|\bchmod\s|https?://|\.exe\b|/dev/tcp|/etc/passwd|~/\.ssh|\bprocess\.env\b"
 
 
 def lifecycle_scripts(manifests: DataFrame) -> DataFrame:

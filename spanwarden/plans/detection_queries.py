@@ -1,8 +1,8 @@
 """Registered queries that run the real catalogue over files made of the documents table, and findings of two
 projects whose files have the same paths.
 
-Each document makes one file whose path and text follow from its id, so what a detector must find is known by
-construction: the SQL states it, the query detects it.
+Each document makes one file: a plant that its id names, and the document's own words beside it. What a detector must
+find is known by construction: the SQL states it, the query detects it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ..operators.rules import match_rules
 from ..sources import manifests
 from ..sources.files import language, lines, spread
 from . import scan
-from .queries import DOC_RULES, FOUND, LINES, query, table
+from .queries import DOC_RULES, FOUND, LINES, found, query, table
 
 #: Planted files: path, text, and (rule, line) that must be found there; every other file is the clean twin of one.
 PLANTS = (
@@ -50,13 +50,26 @@ PLANTS = (
 )
 
 
+def with_words(planted, path, text):
+    """A planted text and a document's own: its words as comments below the plant, in JSON as one more field.
+
+    Words are runs of small letters, so nothing that rules look for is in them, but all of the document is read.
+    """
+    mark = F.when(F.rlike(path, F.lit(r"\.(?:js|go|c|php|mod)$")), "// ").when(F.rlike(path, F.lit(r"Gemfile\.lock$")), "").otherwise("# ")
+    words = F.regexp_replace(F.coalesce(text, F.lit("")), "[^a-z\n]+", " ")
+    lines_ = F.concat(mark, F.replace(words, F.lit("\n"), F.concat(F.lit("\n"), mark)), F.lit("\n"))
+    field = F.concat(F.regexp_replace(planted, r"\}\s*$", ""), F.lit(', "description": "'), F.replace(words, F.lit("\n"), F.lit(" ")), F.lit('"}'))
+    return F.when(F.startswith(planted, F.lit("{")), field).otherwise(F.concat(planted, lines_))
+
+
 def _files(spark, d, plants):
-    """One file for each document, of the plant that its id names: project, path, language, size, text."""
-    docs = table(spark, d, "documents").select(F.col("source").alias("project"), "doc_id")
+    """One file for each document, of the plant that its id names and its own words: project, path, language, size, text."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("project"), "doc_id", F.col("text").alias("own"))
     kind = (F.col("doc_id") % len(plants)).cast("int") + 1
     path = F.element_at(F.array(*(F.lit(p) for p, *_ in plants)), kind)
     text = F.element_at(F.array(*(p[1] if not isinstance(p[1], str) else F.lit(p[1]) for p in plants)), kind)
     path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), path)
+    text = with_words(text, path, F.col("own"))
     return spread(docs.select("project", path.alias("path"), language(path).alias("language"), F.length(text).cast("long").alias("size"), text.alias("text")))
 
 
@@ -101,12 +114,13 @@ def _formats():
 
 
 def _manifest_files(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("project"), "doc_id")
+    docs = table(spark, d, "documents").select(F.col("source").alias("project"), "doc_id", F.col("text").alias("own"))
     docs = docs.withColumn("__name", F.concat(F.lit("pkg"), (F.col("doc_id") % 50).cast("string"))).withColumn("__version", F.concat_ws(".", (F.col("doc_id") % 9).cast("string"), (F.col("doc_id") % 7).cast("string"), F.lit("0")))
     formats = _formats()
     kind = (F.col("doc_id") % len(formats)).cast("int") + 1
     path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), F.element_at(F.array(*(F.lit(f) for f, *_ in formats)), kind))
     text = reduce(lambda out, i: F.when(kind == i + 1, formats[i][2]).otherwise(out), range(len(formats)), F.lit(""))
+    text = with_words(text, path, F.col("own"))
     return spread(docs.select("project", path.alias("path"), language(path).alias("language"), F.length(text).cast("long").alias("size"), text.alias("text")))
 
 
@@ -182,7 +196,26 @@ def two_projects_baseline(spark, d):
     return ops.new_findings(f, f.where("project = 'p0'")).select("project", "ordinal")
 
 
-@query()
+def fold_sql(found: str, extra: str) -> str:
+    """The ordered fold over two tools' reports of one weakness in a file: each row meets the last one kept."""
+    return f"""WITH RECURSIVE base AS (SELECT *, 'tool' || (ordinal % 2) AS tool FROM ({found}) WHERE rule_id LIKE 'pii.%'),
+o AS (SELECT *, dense_rank() OVER (ORDER BY project, path, list_sort(cwe)) AS g, row_number() OVER (PARTITION BY project, path, list_sort(cwe) ORDER BY start_line, ordinal) AS n FROM base),
+r(g, n, k, k_line, k_tool, k_conf, k_sev, k_rule, closed) AS (SELECT g, n, ordinal, start_line, tool, confidence, severity, rule_id, NULL::BIGINT FROM o WHERE n = 1
+UNION ALL SELECT o.g, o.n, CASE WHEN near AND NOT better THEN r.k ELSE o.ordinal END, CASE WHEN near AND NOT better THEN r.k_line ELSE o.start_line END, CASE WHEN near AND NOT better THEN r.k_tool ELSE o.tool END, CASE WHEN near AND NOT better THEN r.k_conf ELSE o.confidence END,
+CASE WHEN near AND NOT better THEN r.k_sev ELSE o.severity END, CASE WHEN near AND NOT better THEN r.k_rule ELSE o.rule_id END, CASE WHEN NOT near THEN r.k END
+FROM r JOIN o ON o.g = r.g AND o.n = r.n + 1, LATERAL (SELECT o.tool <> r.k_tool AND o.start_line - r.k_line <= 3 AS near, (o.confidence, o.severity) > (r.k_conf, r.k_sev) OR ((o.confidence, o.severity) = (r.k_conf, r.k_sev) AND o.rule_id < r.k_rule) AS better)),
+kept AS (SELECT closed AS ordinal FROM r WHERE closed IS NOT NULL UNION ALL SELECT arg_max(k, n) FROM r GROUP BY g)
+SELECT {extra} FROM base JOIN kept USING (ordinal)"""
+
+
+@query(fold_sql(f"WITH {FOUND} SELECT * FROM found", "ordinal, path, start_line, rule_id, tool AS scanner"))
+def cross_tool_dedupe(spark, d):
+    """The ordered fold over two tools' reports; its rows depend on the last one kept."""
+    f = found(spark, d).where("rule_id LIKE 'pii.%'").withColumn("scanner", F.concat(F.lit("tool"), F.col("ordinal") % 2))
+    return ops.deduplicated(f).select("ordinal", "path", "start_line", "rule_id", "scanner")
+
+
+@query(fold_sql(f"WITH {FOUND2} SELECT * FROM found", "ordinal, project, path, start_line, tool AS scanner"))
 def two_projects_dedupe(spark, d):
     """The ordered fold over two tools' reports of two projects with the same paths."""
     f = _found(spark, d).where("rule_id LIKE 'pii.%'").withColumn("scanner", F.concat(F.lit("tool"), F.col("ordinal") % 2))

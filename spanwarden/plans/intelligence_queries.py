@@ -227,3 +227,52 @@ def scan_chains(spark, d):
 
     f = scan.scan(_chained_files(spark, d), scanners=["secrets", "patterns", "iac", "authz"], today=F.to_date(F.lit("2024-06-01")))
     return f.where("scanner = 'chains'").select("project", "path", "rule_id", "start_line", "severity", "cwe")
+
+
+# ---- behaviour of package versions, and grades by data flow
+
+
+def _npm(spark, d):
+    """Two to four versions of a package for each part name, with hooks, commands and dependencies by its numbers; some texts are no objects."""
+    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("pkg"), F.col("p_partkey").cast("string")).alias("package"), F.explode(F.sequence(F.lit(1), 2 + F.col("p_size") % 3)).alias("k"))
+    n = F.col("p_partkey") + F.col("k") * 7
+    script = F.when(n % 3 == 0, F.create_map(F.lit("postinstall"), F.when(n % 2 == 0, "curl https://x").otherwise("node ok.js"), F.lit("test"), F.lit("mocha"))).otherwise(F.create_map(F.lit("test"), F.lit("curl x")))
+    bins = F.when(n % 5 == 0, F.create_map(F.lit("tool"), F.lit("t.js"), F.lit("a"), F.lit("a.js")))
+    deps = F.map_from_entries(F.transform(F.sequence(F.lit(1), (n % 7) * 10 + 1), lambda i: F.struct(F.concat(F.lit("d"), i.cast("string")).alias("key"), F.lit("1").alias("value"))))
+    text = F.to_json(F.struct(script.alias("scripts"), bins.alias("bin"), deps.alias("dependencies")))
+    return p.select("package", F.concat(F.col("k") * 5, F.lit(".0")).alias("version"), F.when(n % 11 == 0, "[1]").otherwise(text).alias("text"))
+
+
+NPM = """v AS (SELECT 'pkg' || p_partkey AS package, k, (k * 5) || '.0' AS version, p_partkey + k * 7 AS n FROM (SELECT p_partkey, unnest(range(1, (3 + p_size % 3)::BIGINT)) AS k FROM part)),
+f AS (SELECT package, k, version, n, n % 11 <> 0 AS there, n % 3 = 0 AS hook, n % 3 = 0 AND n % 2 = 0 AS bad, n % 5 = 0 AS bins, (n % 7) * 10 + 1 AS deps FROM v),
+p AS (SELECT a.package, b.version AS old_version, a.version AS new_version, a.hook, a.bad, a.bins, a.deps, b.hook AS hook0, b.bad AS bad0, b.bins AS bins0, b.deps AS deps0, coalesce(b.there, false) AS known FROM f a LEFT JOIN f b ON a.package = b.package AND b.k = a.k - 1 WHERE a.there)"""
+
+
+@query(f"""WITH {NPM} SELECT package, old_version, new_version, 'new-suspicious' AS anomaly FROM p WHERE NOT known AND bad UNION ALL SELECT package, old_version, new_version, 'install-script' FROM p WHERE known AND hook AND NOT hook0
+UNION ALL SELECT package, old_version, new_version, 'suspicious-script' FROM p WHERE known AND bad AND NOT bad0 UNION ALL SELECT package, old_version, new_version, 'executable-bin' FROM p WHERE known AND bins AND NOT bins0 UNION ALL SELECT package, old_version, new_version, 'dependency-jump' FROM p WHERE known AND deps > deps0 + 20""")
+def npm_anomalies(spark, d):
+    """What a version of a package can do at install that the version before it, in version order, could not."""
+    from ..operators import behavior
+
+    texts = _npm(spark, d)
+    return behavior.anomalies(behavior.previous_versions(texts), behavior.fingerprints(texts)).select("package", "old_version", "new_version", "anomaly")
+
+
+#: Where a name's value comes from: literals, input, a call, other literals.
+GRADED = ("'ls -l'", "request.args['x']", "make()", "base + ' -v'")
+
+
+@query(f"""WITH f AS (SELECT source AS project, 'd' || doc_id || '.py' AS path, doc_id % {len(GRADED)} AS k, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)
+SELECT project, path, rule_id, n + line AS start_line, CASE WHEN rule_id = 'patterns.python-yaml-load' AND k IN (0, 3) THEN 1 ELSE severity END AS severity, CASE rule_id WHEN 'patterns.python-os-system' THEN 1 WHEN 'patterns.python-pickle-loads' THEN 0 ELSE CASE WHEN k IN (0, 3) THEN 0 WHEN k = 1 THEN 2 ELSE 1 END END AS confidence FROM f,
+(VALUES ('patterns.python-os-system', 5, 3), ('patterns.python-pickle-loads', 6, 3), ('patterns.python-yaml-load', 9, 3)) r(rule_id, line, severity) WHERE rule_id = 'patterns.python-yaml-load' OR k IN (1, 2)""")
+def graded_calls(spark, d):
+    """Shell calls, pickles and YAML loads below a document's text, of a name that comes from literals, input or elsewhere."""
+    from ..sources.files import spread
+    from . import scan
+
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    value = F.element_at(F.array(*(F.lit(v) for v in GRADED)), (F.col("doc_id") % len(GRADED)).cast("int") + 1)
+    body = F.concat(F.lit("# "), F.replace(F.regexp_replace("text", "[^a-z\n]+", " "), F.lit("\n"), F.lit("\n# ")), F.lit("\n"))
+    text = F.concat(body, F.lit("import os, pickle, yaml\nbase = 'a'\nbase += 'b'\nx = "), value, F.lit("\nos.system('run ' + x)\npickle.loads(\n    x\n)\nyaml.load(x)\n"))
+    f = spread(docs.select(F.col("source").alias("project"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("Python").alias("language"), F.length(text).cast("long").alias("size"), text.alias("text")))
+    return scan.detect(f, ["patterns"]).select("project", "path", "rule_id", "start_line", "severity", "confidence")

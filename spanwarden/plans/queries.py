@@ -245,13 +245,6 @@ def band_join_merge(spark, d):
     return out.select("ordinal", "severity", F.coalesce(F.size("also_reported_by"), F.lit(0)).cast("long").alias("also")).withColumn("also", F.greatest(F.col("also"), F.lit(0)))
 
 
-@query()
-def cross_tool_dedupe(spark, d):
-    """The ordered fold over two tools' reports; its rows depend on the last one kept."""
-    f = found(spark, d).where("rule_id LIKE 'pii.%'").withColumn("scanner", F.concat(F.lit("tool"), F.col("ordinal") % 2))
-    return ops.deduplicated(f).select("ordinal", "path", "start_line", "rule_id", "scanner")
-
-
 @query(f"WITH {FOUND} SELECT project, path, min(ordinal) FILTER (scanner = 'secrets') AS first_ordinal, 3 AS severity FROM found GROUP BY project, path HAVING count(*) FILTER (scanner = 'secrets') > 0 AND count(*) FILTER (list_has_any(cwe, ['CWE-78', 'CWE-89', 'CWE-95'])) + count(*) FILTER (rule_id = 'pii.email') > 0")
 def chain_secret_plus_injection(spark, d):
     """Secrets with an injection in one file; e-mail findings stand for injections here."""
@@ -451,21 +444,21 @@ def heldout_window(spark, d):
     return metrics.in_window(changed, found(spark, d), 3)
 
 
-AUDIT_SQL = """WITH e AS (SELECT user_id AS actor, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events), h AS (SELECT *, sha256(actor || ':' || seq || ':' || event_type) AS hash FROM e), t AS (SELECT *, CASE WHEN event_id % 97 = 5 THEN 'tampered' ELSE coalesce(lag(hash) OVER (PARTITION BY actor ORDER BY seq), repeat('0', 64)) END AS prev_hash FROM h),
-v AS (SELECT *, prev_hash <> coalesce(lag(hash) OVER (PARTITION BY actor ORDER BY seq), repeat('0', 64)) AS broken FROM t) SELECT actor, count(*) AS events, min(seq) FILTER (broken) AS first_broken FROM v GROUP BY actor"""
+AUDIT_SQL = """WITH e AS (SELECT user_id AS actor, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events) SELECT actor, count(*) AS events, min(seq) FILTER (event_id % 97 IN (5, 7)) AS first_broken FROM e GROUP BY actor"""
 
 
 @query(AUDIT_SQL)
 def hash_chain_verify(spark, d):
-    """Chains of event hashes by user, some links tampered with: the first broken place of each."""
+    """Sealed chains of event records by user, some records and some links tampered with: the first broken place of each."""
     from ..operators import audit
 
     w = Window.partitionBy("actor").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("actor", F.col("user_id")).withColumn("seq", (F.row_number().over(w) - 1).cast("long"))
-    e = e.withColumn("hash", F.sha2(F.concat_ws(":", F.col("actor").cast("string"), F.col("seq").cast("string"), "event_type"), 256))
-    before = F.coalesce(F.lag("hash").over(Window.partitionBy("actor").orderBy("seq")), F.lit(audit.GENESIS))
-    e = e.withColumn("prev_hash", F.when(F.col("event_id") % 97 == 5, "tampered").otherwise(before))
-    return audit.first_break(e, ["actor"], own=None)
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("actor"), "event_id", F.lit(1).alias("v"), F.col("ts").cast("string").alias("ts"), F.col("event_type").alias("action"), F.col("props").alias("details"))
+    e = e.withColumn("seq", (F.row_number().over(w) - 1).cast("long"))
+    e = e.withColumns({c: F.lit(None).cast("string") for c in audit.FIELDS if c not in ("actor", "action", "details")})
+    log = audit.sealed(e, ["actor"])
+    log = log.withColumn("details", F.when(F.col("event_id") % 97 == 5, "tampered").otherwise(F.col("details"))).withColumn("prev_hash", F.when(F.col("event_id") % 97 == 7, "tampered").otherwise(F.col("prev_hash")))
+    return audit.first_break(log, ["actor"]).select(F.col("actor").cast("long").alias("actor"), "events", "first_broken")
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

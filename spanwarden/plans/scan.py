@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.model import CRITICAL, HIGH
 from ..functions.store import keep
-from ..operators import agent_calls, agent_config, blocks, dependencies, drift, flows, probes, rules, secrets_history, taint
+from ..operators import agent_calls, agent_config, behavior, blocks, dependencies, drift, flows, grading, probes, rules, secrets_history, taint
 from ..operators import findings as ops
 from ..sources import imports, manifests, osv
 from ..sources.files import base_name, lines, spread
@@ -39,6 +39,7 @@ TABLES = {
     "malicious": "ecosystem, name",
     "popular": "ecosystem, name",
     "previous_packages": "project, ecosystem, manifest, package, version",
+    "npm_manifests": "package, version, text",
     "patches": "project, commit, seq, text",
     "commits": "target, seq, email, paths",
     "tracked": "target, path",
@@ -88,12 +89,13 @@ def interfaces(files: DataFrame) -> DataFrame:
     return blocks.openapi(files.where(F.rlike("path", F.lit(r"(?i)(?:openapi|swagger)[^/]*\.(?:json|ya?ml)$"))))
 
 
-def package_changes(files: DataFrame, previous: DataFrame) -> DataFrame:
-    """Differences between the packages of the files' manifests and those of an earlier state."""
+def package_changes(files: DataFrame, previous: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """Differences between the packages of the files' manifests and those of an earlier state; with npm manifests also what changed versions can newly do."""
     key = ["project", "ecosystem", "manifest", "package"]
     old, new = (p.withColumn("ordinal", F.col("version")) for p in (previous, manifests.packages(files)))
     changes = drift.package_diff(old, new, key)
-    return drift.diff_findings(changes)
+    found = drift.diff_findings(changes)
+    return found if registry is None else found.unionByName(behavior.anomaly_findings(changes, behavior.fingerprints(registry)), allowMissingColumns=True)
 
 
 def probed(check: Callable[..., DataFrame], scanner: str) -> Callable[..., DataFrame]:
@@ -120,7 +122,7 @@ DETECTORS: dict[str, Detector] = {
     "cloud": Detector(rules.CLOUD, (blocks.iam_wildcards,)),
     "business-logic": Detector(rules.LOGIC, (blocks.business_logic,)),
     "dependencies": Detector(with_tables=((("advisories", "signals?"), lambda files, a, s=None: vulnerable_packages(files, a, signals=s)), (("osv", "signals?"), lambda files, r, s=None: vulnerable_packages(files, records=r, signals=s)))),
-    "dependency-diff": Detector(with_tables=((("previous_packages",), package_changes),)),
+    "dependency-diff": Detector(with_tables=((("previous_packages", "npm_manifests?"), package_changes),)),
     "supply-chain": Detector(
         more=(lifecycle_scripts,),
         with_tables=(
@@ -192,6 +194,8 @@ def detect(files: DataFrame, scanners: Iterable[str] | None = None, profile: str
             flow = out.where("scanner = 'llm' AND __line_rule IS NULL").select(*on).distinct()
             covered = F.col("__line_rule") & (F.col("scanner") == "llm") & F.col("__flow").isNotNull()
             out = out.alias("f").join(flow.withColumn("__flow", F.lit(1)).alias("c"), ops.same(on, "f", "c"), "left").select("f.*", "__flow").where(~F.coalesce(covered, F.lit(False))).drop("__flow")
+        if any(r.id in (*grading.SHELL, *grading.LOADS, *grading.YAML) for r in line_rules) and "Python" in there:
+            out = grading.graded(out, grading.line_verdicts(files))
         out = out.drop("__line_rule")
     at = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), F.col("scanner")), F.lit(len(names)))
     # unique by file and rank in it, and sorted like them: no task ranks all findings, and no two files can clash

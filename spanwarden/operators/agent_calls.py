@@ -233,7 +233,7 @@ def agent_calls(files: DataFrame) -> DataFrame:
     out = out.unionByName(_found(granted, "untrusted-tool-selection", MEDIUM, ("CWE-862", "CWE-1427")))
 
     out = out.unionByName(_found(model.where("model").where(fact("prompt:secret") | _is(F.col("prompt"), SECRET)), "secret-sent-to-model", HIGH, ("CWE-200", "CWE-522")))
-    return out
+    return keep(out, "agent-findings")
 
 
 def _closed(steps: list) -> list[tuple[int, str, list[str]]]:

@@ -276,3 +276,33 @@ def graded_calls(spark, d):
     text = F.concat(body, F.lit("import os, pickle, yaml\nbase = 'a'\nbase += 'b'\nx = "), value, F.lit("\nos.system('run ' + x)\npickle.loads(\n    x\n)\nyaml.load(x)\n"))
     f = spread(docs.select(F.col("source").alias("project"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("Python").alias("language"), F.length(text).cast("long").alias("size"), text.alias("text")))
     return scan.detect(f, ["patterns"]).select("project", "path", "rule_id", "start_line", "severity", "confidence")
+
+
+# ---- patches and merged reports
+
+
+@query("""WITH l AS (SELECT source AS project, 'd' || doc_id AS path, i, string_split(text, chr(10)) AS ls, CASE WHEN text LIKE '%' || chr(10) THEN len(string_split(text, chr(10))) - 1 ELSE len(string_split(text, chr(10))) END AS n FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i) WHERE text IS NOT NULL),
+t AS (SELECT project, path, i, n, ls[i] AS line, i % 10 IN (3, 4, 6) AS changed FROM l WHERE i <= n), c AS (SELECT *, i - lag(i) OVER (PARTITION BY path ORDER BY i) > 7 AS cut FROM t WHERE changed),
+h AS (SELECT project, path, isl, greatest(min(i) - 3, 1) AS a, least(max(i) + 3, any_value(n)) AS b FROM (SELECT *, sum(coalesce(cut, false)::INT) OVER (PARTITION BY path ORDER BY i) AS isl FROM c) GROUP BY ALL),
+b AS (SELECT h.project, h.path, isl, a, b, CASE WHEN t.i % 10 = 4 THEN t.i - 1 ELSE t.i END AS run, i, changed, line FROM h JOIN t ON t.path = h.path AND t.i BETWEEN h.a AND h.b),
+o AS (SELECT project, path, isl, a, b, run, 0 AS side, i, CASE WHEN changed THEN '-' ELSE ' ' END || line AS shown FROM b UNION ALL SELECT project, path, isl, a, b, run, 1, i, '+fixed ' || i FROM b WHERE changed),
+x AS (SELECT project, path, a, b, string_agg(shown, chr(10) ORDER BY run, side, i) AS body FROM o GROUP BY ALL)
+SELECT project, path, '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || string_agg('@@ -' || s || ' +' || s || ' @@' || chr(10) || body, chr(10) ORDER BY a) || chr(10) AS patch FROM (SELECT *, CASE WHEN a = b THEN a::VARCHAR ELSE a || ',' || (b - a + 1) END AS s FROM x) GROUP BY project, path""")
+def unified_patches(spark, d):
+    """Unified diffs of documents of which the third, fourth and sixth of ten lines are replaced."""
+    from ..operators.patches import unified_diffs
+
+    docs = table(spark, d, "documents").select(F.col("source").alias("project"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "text")
+    numbers = docs.select("project", "path", F.explode(F.sequence(F.lit(1), F.size(F.split("text", "\n")))).alias("line")).where("line % 10 IN (3, 4, 6)")
+    return unified_diffs(docs, numbers.withColumn("replacement", F.concat(F.lit("fixed "), F.col("line").cast("string"))))
+
+
+@query()
+def import_merge(spark, d):
+    """Reports of two other tools in their order, with the scan's own findings and with each other; tests hold it against brute force."""
+    from ..operators.import_merge import merge_reports
+
+    f = found(spark, d).withColumn("cve", F.when(F.col("ordinal") % 50 == 0, F.concat(F.lit("CVE-2024-"), 1000 + F.col("ordinal") % 7)))
+    own = f.where("rule_id IN ('pii.phone-number', 'pii.email')")
+    other = f.where("rule_id IN ('pii.long-number', 'pii.ip-address', 'secrets.generic-credential')").withColumn("scanner", F.concat(F.lit("tool"), F.col("start_line") % 2))
+    return merge_reports(own, other).select("ordinal", "project", "path", "rule_id", "severity", F.coalesce(F.size("also_reported_by"), F.lit(0)).alias("also"))

@@ -180,22 +180,28 @@ def label_model(votes: np.ndarray, sets: list[list[int]], prior: np.ndarray, sha
     if not silence:
         levels.append((np.max(levels, axis=0) == 0).astype(int))
         expected.append(np.array([[0.1, 0.9, 1e-5], [0.9, 0.1, 1e-5]]))
-    rates = [e.copy() for e in expected]
-    post = np.full(len(votes), share)
+    # the places (text, set and level) where a level isn't 0, as most are: a round goes over these alone
+    n, sets_ = len(votes), len(levels)
+    owner = np.concatenate([np.flatnonzero(level) for level in levels])
+    place = np.concatenate([3 * k + level[level > 0] for k, level in enumerate(levels)])
+    beforehand = np.stack(expected, axis=1)  # classes by sets by levels
+    rates = beforehand.copy()
+    post = np.full(n, share)
     for _ in range(rounds):
-        odds = np.full(len(votes), np.log(share / (1 - share)))
-        for level, r in zip(levels, rates, strict=True):
-            ratio = np.log(r[1]) - np.log(r[0])
-            ratio[0] *= silence
-            odds += ratio[level]
+        ratio = np.log(rates[1]) - np.log(rates[0])
+        ratio[:, 0] *= silence
+        more = (ratio - ratio[:, :1]).ravel()
+        odds = np.log(share / (1 - share)) + ratio[:, 0].sum() + np.bincount(owner, more[place], n)
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        for level, r, e in zip(levels, rates, expected, strict=True):
-            for c, w in ((1, new), (0, 1 - new)):
-                r[c] = np.clip((np.bincount(level, w, 3) + strength * e[c]) / (w.sum() + strength * e[c].sum()), 1e-5, 1)
-        if np.abs(new - post).max() < 1e-6:
-            break
+        for c, w in ((1, new), (0, 1 - new)):
+            count = np.bincount(place, w[owner], 3 * sets_).reshape(sets_, 3)
+            count[:, 0] = w.sum() - count[:, 1:].sum(axis=1)
+            rates[c] = np.clip((count + strength * beforehand[c]) / (w.sum() + strength * beforehand[c].sum(axis=1, keepdims=True)), 1e-5, 1)
+        done = n == 0 or np.abs(new - post).max() < 1e-6
         post = new
-    return post, rates
+        if done:
+            break
+    return post, list(rates.transpose(1, 0, 2))
 
 
 def linear(rows: list[np.ndarray], target: np.ndarray, size: int, rounds: int = 300, rate: float = 0.5, decay: float = 3e-4) -> tuple[np.ndarray, float]:
@@ -227,10 +233,24 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     return model_from(chosen, x, gold)
 
 
-def voters_of(names: list[str], x: np.ndarray, gold: np.ndarray, support: float, pure: int) -> list[int]:
-    """Numbers of the names that vote: the seed lexicon, and names that few texts but those of label 1 have. x: texts by names, 0 or 1."""
-    yes, every = gold @ x, x.sum(axis=0)
-    return [i for i, f in enumerate(names) if every[i] and (f in SEED_NAMES or yes[i] >= max(SEEN, support * gold.sum()) and yes[i] >= pure * (every[i] - yes[i]))]
+def counted(x: list[np.ndarray], size: int) -> np.ndarray:
+    """How many rows have each name."""
+    return np.bincount(np.concatenate(x) if x else np.zeros(0, np.int64), minlength=size)
+
+
+def voters_of(names: list[str], yes: np.ndarray, every: np.ndarray, positive: float, support: float, pure: int) -> list[int]:
+    """Numbers of the names that vote: the seed lexicon, and names that few texts but those of label 1 have. yes, every: counts in those texts and in all."""
+    return [i for i, f in enumerate(names) if every[i] and (f in SEED_NAMES or yes[i] >= max(SEEN, support * positive) and yes[i] >= pure * (every[i] - yes[i]))]
+
+
+def vote_matrix(x: list[np.ndarray], voters: list[int] | tuple[int, ...], size: int) -> np.ndarray:
+    """Texts by voters, 0 or 1."""
+    votes = np.zeros((len(x), len(voters)), np.float32)
+    place = np.full(size, -1)
+    place[list(voters)] = np.arange(len(voters))
+    owner, at = np.repeat(np.arange(len(x)), [len(r) for r in x]), place[np.concatenate(x) if x else np.zeros(0, np.int64)]
+    votes[owner[at >= 0], at[at >= 0]] = 1
+    return votes
 
 
 def posteriors(votes: np.ndarray, least: float, share: float, rounds: int = 100) -> np.ndarray:
@@ -240,22 +260,26 @@ def posteriors(votes: np.ndarray, least: float, share: float, rounds: int = 100)
     return label_model(votes, dependent_sets(votes, post >= 0.5, least), prior, share, rounds=rounds)[0]
 
 
-def chosen_parameters(names: list[str], x: np.ndarray, gold: np.ndarray, share: float) -> tuple[float, float, int]:
+def chosen_parameters(names: list[str], x: list[np.ndarray], gold: np.ndarray, share: float) -> tuple[float, float, int]:
     """Correlation, support and purity whose label model says most about texts that chose none of its voters: least log loss over FOLDS folds of the sample.
 
     A fold's labels choose voters for the other folds only; the label model reads no labels. Ties go to the first.
     """
-    fold = np.arange(len(x)) % FOLDS
+    fold, size = np.arange(len(x)) % FOLDS, len(names)
+    counts = []  # of all folds but each
+    for k in range(FOLDS):
+        others = [i for i in range(len(x)) if fold[i] != k]
+        counts.append((counted([x[i] for i in others if gold[i]], size), counted([x[i] for i in others], size), gold[fold != k].sum()))
     known: dict[tuple, np.ndarray] = {}
 
     def loss(least: float, support: float, pure: int) -> float:
         total = 0.0
         for k in range(FOLDS):
-            voters = tuple(voters_of(names, x[fold != k], gold[fold != k], support, pure))
+            voters = tuple(voters_of(names, *counts[k], support, pure))
             if voters:
                 key = (voters, least)
                 if key not in known:
-                    known[key] = np.clip(posteriors(x[:, voters], least, share, FOLD_ROUNDS), 1e-4, 1 - 1e-4)
+                    known[key] = np.clip(posteriors(vote_matrix(x, voters, size), least, share, FOLD_ROUNDS), 1e-4, 1 - 1e-4)
                 post, want = known[key][fold == k], gold[fold == k]
                 total -= (want * np.log(post) + (1 - want) * np.log(1 - post)).sum()
             else:
@@ -271,11 +295,9 @@ def model_from(chosen: list[tuple[str, int, int]], x: list[np.ndarray], gold: np
     known = {f: (y, n) for f, y, n in chosen}
     names = [f for f, _, _ in chosen] + sorted(SEED_NAMES.difference(known))
     share = min(0.5, max(0.02, float(gold.mean()) if len(gold) else 0.1))
-    dense = np.zeros((len(x), len(names)), np.float32)
-    for i, r in enumerate(x):
-        dense[i, r] = 1
-    least, support, pure = chosen_parameters(names, dense, gold, share)
-    votes = dense[:, voters_of(names, dense, gold, support, pure)]
+    least, support, pure = chosen_parameters(names, x, gold, share)
+    every, yes = counted(x, len(names)), counted([r for r, g in zip(x, gold, strict=True) if g], len(names))
+    votes = vote_matrix(x, voters_of(names, yes, every, gold.sum(), support, pure), len(names))
     if not votes.size:
         return {"weights": dict.fromkeys(SEED_NAMES, 2.0), "bias": -3.0}
     post = posteriors(votes, least, share)

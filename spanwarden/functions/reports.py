@@ -7,7 +7,7 @@ import html as escaping
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scoring
@@ -90,58 +90,127 @@ def gitlab(findings: DataFrame) -> DataFrame:
     return findings.withColumn("__key", key).select(F.sha2("__key", 256).alias("id"), F.lit("sast").alias("category"), F.col("rule_id").alias("name"), name.alias("severity"), F.col("path").alias("file"), "start_line", "end_line")
 
 
-def _lines(findings: DataFrame, line: Callable[[Row], str], order: tuple[str, ...], *columns: str) -> DataFrame:
-    return _named(findings).select(*order, F.udf(line, "string")(F.struct(*columns)).alias("text"))
+def escaped(text: Column) -> Column:
+    """Text as content of XML and HTML."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+def md_escaped(text: Column) -> Column:
+    """Markdown's own characters, line ends and control characters made harmless."""
+    shown = F.regexp_replace(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}]", "")
+    return F.regexp_replace(shown, r"([\\`*_{}\[\]<>()#+\-.!|])", r"\\$1")
+
+
+WORST_FIRST = (("severity", False), ("risk_score", False), ("ordinal", True))
+IN_ORDER = (("ordinal", True),)
+
+
+def _sorted(rows: DataFrame, order: tuple[tuple[str, bool], ...], first: str | None = None) -> DataFrame:
+    return rows.orderBy(*([first] if first else []), *(F.asc(c) if up else F.desc(c) for c, up in order))
+
+
+def _lines(findings: DataFrame, text: Column, order: tuple[tuple[str, bool], ...]) -> DataFrame:
+    return _sorted(_named(findings).select(*(c for c, _ in order), text.alias("text")), order)
 
 
 def _joined(lines: DataFrame) -> str:
     return "".join(r.text for r in lines.select("text").toLocalIterator())
 
 
+def _place(none: str) -> Column:
+    return F.concat("path", F.lit(":"), F.coalesce(F.col("start_line").cast("string"), F.lit(none)))
+
+
+def write_text(lines: DataFrame, order: tuple[tuple[str, bool], ...], head: str, tail: str, path: str) -> None:
+    """A report as text files in the folder path: the head, all lines in order, the tail. Spark writes it; no machine holds it.
+
+    Files are in the order of their names; a line of the files is a row of text.
+    """
+    spark = lines.sparkSession
+    ends = spark.createDataFrame([(0, head), (2, tail)], "place int, text string").where("text <> ''")
+    rows = lines.withColumn("place", F.lit(1)).unionByName(ends, allowMissingColumns=True)
+    _sorted(rows.withColumn("text", F.regexp_replace("text", r"\n$", "")), order, "place").select("text").write.mode("overwrite").text(path)
+
+
 def junit_lines(findings: DataFrame) -> DataFrame:
     """A row for each finding in ordinal order: its test case as text, with the columns that order it."""
+    case = F.concat(F.lit('<testcase classname="'), escaped(F.col("scanner")), F.lit('" name="'), escaped(F.col("rule_id")), F.lit('"><failure message="'), escaped(F.col("severity_name")), F.lit('">'), escaped(_place("None")), F.lit("</failure></testcase>"))
+    return _lines(findings, case, IN_ORDER)
 
-    def case(r: Row) -> str:
-        return f'<testcase classname="{escaping.escape(r.scanner)}" name="{escaping.escape(r.rule_id)}"><failure message="{escaping.escape(r.severity_name)}">{escaping.escape(f"{r.path}:{r.start_line}")}</failure></testcase>'
 
-    return _lines(findings, case, ("ordinal",), "scanner", "rule_id", "severity_name", "path", "start_line").orderBy("ordinal")
+def _junit_ends(findings: DataFrame) -> tuple[str, str]:
+    n = findings.count()
+    return f'<?xml version="1.0" encoding="UTF-8"?><testsuite name="security" tests="{n}" failures="{n}">', "</testsuite>"
 
 
 def junit(findings: DataFrame) -> str:
-    n = findings.count()
-    return f'<?xml version="1.0" encoding="UTF-8"?><testsuite name="security" tests="{n}" failures="{n}">{_joined(junit_lines(findings))}</testsuite>'
+    """The whole report as one string, for reports of a size that the driver can hold; else write_junit."""
+    head, tail = _junit_ends(findings)
+    return head + _joined(junit_lines(findings)) + tail
 
 
-def md_escaped(text: str) -> str:
-    """Markdown's own characters, line ends and control characters made harmless."""
-    return "".join("\\" + c if c in "\\`*_{}[]<>()#+-.!|" else c for c in " ".join(text.split()) if c.isprintable())
+def write_junit(findings: DataFrame, path: str) -> None:
+    write_text(junit_lines(findings), IN_ORDER, *_junit_ends(findings), path)
 
 
 def markdown_lines(findings: DataFrame) -> DataFrame:
     """A row for each finding, the worst first: its table row as text, with the columns that order it."""
+    place = F.concat(md_escaped(F.col("path")), F.lit(":"), F.coalesce(F.col("start_line").cast("string"), F.lit("")))
+    return _lines(findings, F.concat(F.lit("| "), "severity_name", F.lit(" | "), md_escaped(F.col("rule_id")), F.lit(" | "), place, F.lit(" | "), F.col("risk_score").cast("string"), F.lit(" |\n")), WORST_FIRST)
 
-    def row(r: Row) -> str:
-        return f"| {r.severity_name} | {md_escaped(r.rule_id)} | {md_escaped(r.path)}:{r.start_line or ''} | {r.risk_score} |\n"
 
-    return _lines(findings, row, ("severity", "risk_score", "ordinal"), "severity_name", "rule_id", "path", "start_line", "risk_score").orderBy(F.desc("severity"), F.desc("risk_score"), "ordinal")
+def _markdown_head(findings: DataFrame, target: str) -> str:
+    title = findings.sparkSession.range(1).select(md_escaped(F.lit(target)).alias("t")).first().t
+    return f"# Security report {title}\n\n| severity | rule | place | risk |\n|---|---|---|---|\n"
 
 
 def markdown(findings: DataFrame, target: str = "") -> str:
-    head = f"# Security report {md_escaped(target)}\n\n| severity | rule | place | risk |\n|---|---|---|---|\n"
-    return head + _joined(markdown_lines(findings))
+    """The whole report as one string, for reports of a size that the driver can hold; else write_markdown."""
+    return _markdown_head(findings, target) + _joined(markdown_lines(findings))
+
+
+def write_markdown(findings: DataFrame, path: str, target: str = "") -> None:
+    write_text(markdown_lines(findings), WORST_FIRST, _markdown_head(findings, target), "", path)
 
 
 def html_lines(findings: DataFrame) -> DataFrame:
     """A row for each finding, the worst first: its table row as text, with the columns that order it."""
+    cells = (F.col("severity_name"), escaped(F.col("rule_id")), escaped(_place("")), F.col("risk_score").cast("string"))
+    return _lines(findings, F.concat(F.lit("<tr>"), *(x for c in cells for x in (F.lit("<td>"), c, F.lit("</td>"))), F.lit("</tr>")), WORST_FIRST)
 
-    def row(r: Row) -> str:
-        return f"<tr><td>{r.severity_name}</td><td>{escaping.escape(r.rule_id)}</td><td>{escaping.escape(r.path)}:{r.start_line or ''}</td><td>{r.risk_score}</td></tr>"
 
-    return _lines(findings, row, ("severity", "risk_score", "ordinal"), "severity_name", "rule_id", "path", "start_line", "risk_score").orderBy(F.desc("severity"), F.desc("risk_score"), "ordinal")
+def _html_ends(target: str) -> tuple[str, str]:
+    return f"<!DOCTYPE html><title>Security report</title><h1>{escaping.escape(target)}</h1><table>", "</table>"
 
 
 def html(findings: DataFrame, target: str = "") -> str:
-    return f"<!DOCTYPE html><title>Security report</title><h1>{escaping.escape(target)}</h1><table>{_joined(html_lines(findings))}</table>"
+    """The whole report as one string, for reports of a size that the driver can hold; else write_html."""
+    head, tail = _html_ends(target)
+    return head + _joined(html_lines(findings)) + tail
+
+
+def write_html(findings: DataFrame, path: str, target: str = "") -> None:
+    write_text(html_lines(findings), WORST_FIRST, *_html_ends(target), path)
+
+
+#: Report formats by name: (findings, path) to files of the folder path.
+REPORTERS: dict[str, Callable[[DataFrame, str], None]] = {"json": write_json, "csv": write_csv, "junit": write_junit, "markdown": write_markdown, "html": write_html}
+
+
+def register(name: str, write: Callable[[DataFrame, str], None]) -> None:
+    """Adds a report format of one's own; its name must be free."""
+    if name in REPORTERS:
+        raise ValueError(f"a reporter {name} is there already")
+    REPORTERS[name] = write
+
+
+def report(findings: DataFrame, name: str, path: str) -> None:
+    """Writes findings in a format by its name."""
+    if name not in REPORTERS:
+        raise ValueError(f"no such reporter: {name}")
+    REPORTERS[name](findings, path)
 
 
 def badge(findings: DataFrame) -> DataFrame:

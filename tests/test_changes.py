@@ -112,3 +112,38 @@ def test_a_failing_target_leaves_the_others(spark):
 
     got = fim.cycle(spark, ["a", "bad", "b"], step).collect()
     assert sorted((r.target, r.rule_id) for r in got) == [("a", "r.a"), ("b", "r.b"), ("bad", "cycle.target-failed")]
+
+
+def _reported(spark, n):
+    schema = "ordinal long, project string, rule_id string, scanner string, path string, start_line int, snippet string, severity int, confidence int, likelihood int, risk_score double"
+    return spark.createDataFrame([(i, None, f"a.r{i % 3}<&", "a", f"d/{i} \"x\"|_y.py", None if i % 7 == 0 else i, f"s{i}", i % 5, 1, 2, float(i % 9)) for i in range(n)], schema)
+
+
+def test_reports_are_written_in_order(spark, tmp_path):
+    from spanwarden.functions import reports
+
+    f = _reported(spark, 400).repartition(7)
+    for name, whole in (("junit", reports.junit(f)), ("html", reports.html(f)), ("markdown", reports.markdown(f))):
+        reports.report(f, name, f"file://{tmp_path}/{name}")
+        text = "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+        assert text.replace("\n", "") == whole.replace("\n", "") and len(text) > 400 * 30
+    assert "&lt;&amp;" in reports.html(f) and r"\|\_y\.py" in reports.markdown(f, "a*b") and r"a\*b" in reports.markdown(f, "a*b")
+    reports.register("own", lambda findings, path: findings.write.parquet(path))
+    reports.report(f, "own", f"file://{tmp_path}/own")
+    assert spark.read.parquet(f"file://{tmp_path}/own").count() == 400
+    with pytest.raises(ValueError):
+        reports.report(f, "none", "x")
+    with pytest.raises(ValueError):
+        reports.register("own", None)
+
+
+def test_a_json_report_is_a_baseline(spark):
+    from spanwarden.operators import findings as ops
+    from spanwarden.sources import report_json
+
+    f = ops.with_scores(_reported(spark, 30))
+    text = f.where("ordinal < 20").agg(F.to_json(F.struct(F.collect_list(F.struct("rule_id", "scanner", F.col("severity").cast("string").alias("severity"), F.struct("path", "start_line", "snippet").alias("location"))).alias("findings"))).alias("text")).withColumn("file", F.lit("old.json"))
+    raw = text.unionByName(spark.createDataFrame([("{", "bad.json"), ('{"findings": []}', "empty.json"), (None, "none.json")], "text string, file string"))
+    known = report_json.read_reports(raw)
+    assert known.count() == 20 and sorted(r.ordinal for r in ops.new_findings(f, known).collect()) == list(range(20, 30))
+    assert {r.file for r in report_json.refused(raw).collect()} == {"bad.json", "none.json"}

@@ -19,7 +19,7 @@ from ..functions import scoring
 from ..functions.model import CRITICAL, HIGH, INFO, LOW, SEVERITIES, rank
 from ..functions.prefix import with_sum_before
 from ..functions.store import keep
-from ..sources.files import suffix
+from ..sources.files import excluded, suffix
 
 #: Lines within which two scanners' reports of one weakness are one: fixed values.
 DEDUPE_LINES, MERGE_LINES = 3, 2
@@ -110,6 +110,11 @@ def with_exceptions(findings: DataFrame, exceptions: DataFrame, today: Column) -
     return joined.withColumn("verification", F.coalesce(state, old)).drop("__status")
 
 
+def not_excluded(findings: DataFrame, globs: list[str]) -> DataFrame:
+    """Imported findings without those of paths that a scan leaves out; places that are no paths, in parentheses, stay."""
+    return findings.where(F.startswith("path", F.lit("(")) | ~excluded(F.col("path"), globs))
+
+
 def prefer_ast(findings: DataFrame, ran: list[str]) -> DataFrame:
     """findings without pattern guesses of classes that a syntax tier has covered in those files."""
     covered = [s for name in ran for s in AST_SUFFIXES.get(name, ())]

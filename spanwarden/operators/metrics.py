@@ -69,3 +69,12 @@ def summary(cases: DataFrame) -> DataFrame:
 def by_advisory(cases: DataFrame, advisory: DataFrame) -> DataFrame:
     """Outcomes of advisories (case_id, ghsa_id): each is what any of its files is."""
     return cases.join(advisory, "case_id").groupBy("ghsa_id").agg(F.bool_or("detected").alias("detected"), F.bool_or("flagged_after_fix").alias("flagged_after_fix")).withColumnRenamed("ghsa_id", "case_id")
+
+
+def folded_summary(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """section, key, n, items of two summaries (section, key, n, items): counts add up, lists follow each other, what one side lacks is the other's."""
+    both = mine.withColumn("__side", F.lit(0)).unionByName(theirs.withColumn("__side", F.lit(1)))
+    part = lambda side: F.max_by("items", F.when(F.col("__side") == side, 1))
+    none = F.array().cast("array<string>")
+    listed = F.when(F.count("items") > 0, F.concat(F.coalesce(part(0), none), F.coalesce(part(1), none)))
+    return both.groupBy("section", "key").agg(F.sum("n").alias("n"), listed.alias("items"))

@@ -8,7 +8,9 @@ but a row in refused().
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,21 +26,13 @@ _DRIVER = f"struct<name:string,rules:array<{_RULE}>>"
 SCHEMA = f"struct<version:string,runs:array<struct<tool:struct<driver:{_DRIVER},extensions:array<{_DRIVER}>>,results:array<{_RESULT}>>>>"
 
 
+_STRING_OR_BRACKET = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\Z)|([\[{])|([\]}])', re.S)
+
+
 def _depth(text: str) -> int:
-    """The deepest nesting of brackets outside strings."""
-    depth = most = 0
-    quoted = escaped = False
-    for c in text:
-        if quoted:
-            escaped, quoted = c == "\\" and not escaped, not (c == '"' and not escaped)
-        elif c == '"':
-            quoted = True
-        elif c in "[{":
-            depth += 1
-            most = max(most, depth)
-        elif c in "]}":
-            depth -= 1
-    return most
+    """The deepest nesting of brackets outside strings; an unclosed string ends with the text."""
+    steps = (1 if m.lastindex == 1 else -1 for m in _STRING_OR_BRACKET.finditer(text) if m.lastindex)
+    return max(accumulate(steps, initial=0))
 
 
 def _why(text: str | None) -> str | None:

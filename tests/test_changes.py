@@ -147,3 +147,34 @@ def test_a_json_report_is_a_baseline(spark):
     known = report_json.read_reports(raw)
     assert known.count() == 20 and sorted(r.ordinal for r in ops.new_findings(f, known).collect()) == list(range(20, 30))
     assert {r.file for r in report_json.refused(raw).collect()} == {"bad.json", "none.json"}
+
+
+@pytest.mark.parametrize("listed", [2000, 0])
+def test_known_texts_of_any_length(spark, monkeypatch, listed):
+    from spanwarden.operators import matching
+
+    monkeypatch.setattr(matching, "LISTED", listed)
+    rng = random.Random(7)
+    texts = [(i, " ".join(rng.choice(["ab", "ba", "abc", "c", "é"]) for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(99, None), (98, "")]
+    known = [(i, t[a : a + n]) for i, (a, n) in enumerate((rng.randint(0, 30), rng.choice([1, 2, 5, 9, 20, 70])) for _ in range(60)) if (t := texts[rng.randrange(40)][1])[a : a + n]] + [(500, ""), (501, "zzz")]
+    got = matching.containing(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(known, "item_id long, known string")).collect()
+    assert sorted(map(tuple, got)) == sorted({(d, k) for d, t in texts for k, w in known if w and t and w in t})
+
+
+def test_nesting_is_read_outside_strings():
+    from spanwarden.sources import sarif
+
+    assert [sarif._depth(t) for t in ('{"a": [1, {"b": "]}[[[["}]}', "", '"[[', '[["\\"[", []]]', '"a\\\\" [[]]', "]]]", '["\\')] == [3, 0, 0, 3, 2, 0, 1]
+
+
+def test_imports_leave_out_excluded_paths_and_summaries_fold(spark):
+    from spanwarden.operators import findings as ops
+    from spanwarden.operators import metrics
+
+    f = spark.createDataFrame([("src/a.py",), ("vendor/x/b.py",), ("(image)",), ("c.min.js",)], "path string")
+    assert sorted(r.path for r in ops.not_excluded(f, ["vendor/**", "*.min.js"]).collect()) == ["(image)", "src/a.py"]
+    s = "section string, key string, n long, items array<string>"
+    mine = spark.createDataFrame([("audit", "allow", 2, None), ("context", "cleared", None, ["a"]), ("audit", "own", 1, None)], s)
+    theirs = spark.createDataFrame([("audit", "allow", 3, None), ("context", "cleared", None, ["b", "a"]), ("audit", "other", 4, None)], s)
+    got = {(r.section, r.key): (r.n, r["items"]) for r in metrics.folded_summary(mine, theirs).collect()}
+    assert got == {("audit", "allow"): (5, None), ("context", "cleared"): (None, ["a", "b", "a"]), ("audit", "own"): (1, None), ("audit", "other"): (4, None)}

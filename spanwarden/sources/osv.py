@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.model import SEVERITIES
 
 #: What is read of a record.
 RECORD = """id string, summary string, details string, aliases array<string>, severity array<struct<type:string,score:string>>,

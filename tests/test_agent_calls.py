@@ -5,44 +5,61 @@ import pytest
 from spanwarden.operators import agent_calls
 from spanwarden.sources import code
 
-PY_TOOLS = """import httpx, os
+PY_TOOLS = """import os
+import httpx
 from langchain_core.tools import tool
 from typing import Literal
 
 @tool
-def page(address: str) -> str:
-    return httpx.get(address).text
+def look_up(place: str) -> str:
+    return httpx.get(place).text
 
 @tool
-def wipe(name: str) -> str:
-    os.remove(name)
-    return "gone"
+def drop(item: str) -> str:
+    os.unlink(item)
+    return "dropped"
 
 @tool
-def flag(on: Literal["yes", "no"]) -> str:
-    return httpx.post("https://flags.example.org/set", json={"on": on}).text
+def lamp(state: Literal["on", "off"]) -> str:
+    return httpx.post("https://home.example.org/lamp", json={"state": state}).text
 """
+QUIET = PY_TOOLS.replace("httpx.get(place)", "httpx.get(f'https://maps.example.org/{place}')")
+#: A model call of an OpenAI client, with what stands for its messages.
+CALL = "client.chat.completions.create(model='m', messages=%s)"
+CLIENT = "from openai import OpenAI\nclient = OpenAI()\n"
 
 #: file name, text, and (rule, line, end line) that must be found.
 CASES = [
-    ("shell.py", "import requests, subprocess\nfrom openai import OpenAI\nclient = OpenAI()\ndef look(u):\n    text = requests.get(u).text\n    chat = [{'role': 'user', 'content': 'Read (this: ' + text}]\n    r = client.chat.completions.create(\n        model='m',\n        messages=chat,\n    )\n    order = r.choices[0].message.content\n    subprocess.run(order, shell=True)\n", [("indirect-prompt-injection", 7, 10)]),
-    ("calm.py", "import requests, subprocess\nfrom openai import OpenAI\nclient = OpenAI()\ndef look(u):\n    text = requests.get(u).text\n    r = client.chat.completions.create(model='m', messages=[{'role': 'user', 'content': text}])\n    return r.choices[0].message.content\ndef other(order):\n    subprocess.run(order, shell=True)\n", []),
-    ("agent.py", PY_TOOLS + "helper = create_react_agent(ChatOpenAI(), [page, wipe])\ndef go(q):\n    return helper.invoke({'messages': [('user', q)]})\n", [("indirect-prompt-injection", 19, 19), ("tool-argument-to-sink", 7, 7), ("tool-argument-to-sink", 11, 11)]),
-    ("flags.py", PY_TOOLS.replace("httpx.get(address)", "httpx.get('https://s.example.org/q', params={'a': address})").replace("os.remove(name)", "print(name)") + "helper = create_react_agent(ChatOpenAI(), [page, flag])\ndef go(q):\n    return helper.invoke({'messages': [('user', q)]})\n", []),
-    ("issue.ts", 'import { generateText, tool } from "ai";\nimport { exec } from "node:child_process";\nimport { promisify } from "node:util";\nconst sh = promisify(exec);\nexport async function fix(url) {\n  const page = await (await fetch(url)).json();\n  return generateText({\n    prompt: `Fix: ${page.body}`,\n    tools: { shell: tool({ parameters: z.object({ cmd: z.string() }),\n      execute: async ({ cmd }) => (await sh(cmd)).stdout }) },\n  });\n}\n', [("indirect-prompt-injection", 7, 11)]),
-    ("enum.ts", 'import { generateText, tool } from "ai";\nimport { execFile } from "node:child_process";\nexport async function fix(url) {\n  const page = await (await fetch(url)).json();\n  return generateText({\n    prompt: page.body,\n    tools: { run: tool({ parameters: z.object({ s: z.enum(["a", "b"]) }), execute: async ({ s }) => execFile(s, []) }) },\n  });\n}\n', []),
-    ("sql.py", "import sqlite3\nfrom mcp.server.fastmcp import FastMCP\nmcp = FastMCP('x')\n@mcp.tool()\ndef find(name: str) -> str:\n    return str(sqlite3.connect('x').execute(f\"SELECT {name}\"))\n", [("tool-argument-to-sink", 6, 6)]),
-    ("bound.py", "import sqlite3\nfrom mcp.server.fastmcp import FastMCP\nmcp = FastMCP('x')\n@mcp.tool()\ndef find(name: str) -> str:\n    return str(sqlite3.connect('x').execute('SELECT ?', (name,)))\n", []),
-    ("inside.py", "from mcp.server.fastmcp import FastMCP\nmcp = FastMCP('x')\n@mcp.tool()\ndef save(path: str, body: str) -> str:\n    p = (BASE / path).resolve()\n    if not p.is_relative_to(BASE):\n        raise ValueError('no')\n    p.write_text(body)\n", []),
-    ("mail.py", "from mcp.server.fastmcp import FastMCP\nmcp = FastMCP('x')\n@mcp.tool()\ndef post(who: str) -> str:\n    m = EmailMessage()\n    m['To'] = who\n    smtplib.SMTP('localhost').send_message(m)\n", [("tool-argument-to-sink", 6, 6)]),
-    ("dispatch.ts", 'import Anthropic from "@anthropic-ai/sdk";\nconst anthropic = new Anthropic();\nasync function send(input) {\n  await mailer.sendMail({ from: "a@example.org", to: input.to, text: input.body });\n}\nexport async function handle(messages) {\n  const res = await anthropic.messages.create({ model: "m", messages });\n  for (const block of res.content) { await send(block.input); }\n}\n', [("tool-argument-to-sink", 4, 4)]),
-    ("roles.py", "from openai import OpenAI\napp = FastAPI()\nclient = OpenAI()\n@app.post('/a')\ndef a(req: Req):\n    return client.chat.completions.create(model='m', messages=[{'role': 'system', 'content': 'Rules.'}] + req.messages)\n@app.post('/b')\ndef b(req: Req):\n    return client.chat.completions.create(\n        model='m', messages=[{'role': req.role, 'content': 'x'}])\n", [("untrusted-message-role", 6, 6), ("untrusted-message-role", 9, 10)]),
-    ("user.py", "from openai import OpenAI\napp = FastAPI()\nclient = OpenAI()\nLOG = []\n@app.post('/a')\ndef a(req: Req):\n    LOG.append({'role': 'user', 'content': req.text})\n    return client.chat.completions.create(model='m', messages=[{'role': 'system', 'content': 'Rules.'}] + LOG)\n", []),
-    ("role.js", 'import OpenAI from "openai";\nconst openai = new OpenAI();\napp.post("/c", async (req, res) => {\n  const { role, text } = req.body;\n  const r = await openai.chat.completions.create({ model: "m", messages: [\n    { role, content: text },\n  ] });\n  res.json(r);\n});\n', [("untrusted-message-role", 5, 7)]),
-    ("pick.py", PY_TOOLS.replace("httpx.get(address)", "httpx.get(f'https://s.example.org/{address}')") + "app = FastAPI()\n@app.post('/ask')\ndef ask(q: str, admin: bool = False):\n    tools = [page, wipe] if admin else [page]\n    return create_react_agent(ChatOpenAI(), tools).invoke({'messages': [('user', q)]})\n", [("untrusted-tool-selection", 21, 21), ("tool-argument-to-sink", 11, 11)]),
-    ("may.py", PY_TOOLS.replace("httpx.get(address)", "httpx.get(f'https://s.example.org/{address}')") + "app = FastAPI()\n@app.post('/ask')\ndef ask(q: str):\n    tools = [page, wipe] if is_admin() else [page]\n    return create_react_agent(ChatOpenAI(), tools).invoke({'messages': [('user', q)]})\n", [("tool-argument-to-sink", 11, 11)]),
-    ("secret.py", "import os\nfrom openai import OpenAI\nclient = OpenAI(api_key=os.environ['OPENAI_API_KEY'])\ndef draft(q):\n    key = os.getenv('SHOP_SECRET_KEY')\n    return client.chat.completions.create(model='m', messages=[{'role': 'user', 'content': f'Use {key} for {q}'}])\n", [("secret-sent-to-model", 6, 6)]),
-    ("word.py", "import os\nfrom openai import OpenAI\nclient = OpenAI(api_key=os.environ['OPENAI_API_KEY'])\nhub = Github(os.environ['HUB_TOKEN'])\ndef draft(q):\n    key = os.getenv('SHOP_SECRET_KEY')\n    sign(key)\n    issue = hub.get_repo(q)\n    return client.chat.completions.create(model='m', messages=[{'role': 'user', 'content': 'a key word ' + q + issue.body}])\n", []),
+    (
+        "shell.py",
+        CLIENT + "import requests, subprocess\ndef tidy(address):\n    news = requests.get(address).text\n    turns = [{'role': 'user', 'content': 'Read (this: ' + news}]\n    answer = client.chat.completions.create(\n        model='m',\n        messages=turns,\n    )\n    order = answer.choices[0].message.content\n    subprocess.run(order, shell=True)\n",
+        [("indirect-prompt-injection", 7, 10)],
+    ),
+    ("calm.py", CLIENT + "import requests, subprocess\ndef tidy(address):\n    news = requests.get(address).text\n    answer = " + CALL % "[{'role': 'user', 'content': news}]" + "\n    return answer\ndef apart(order):\n    subprocess.run(order, shell=True)\n", []),
+    ("agent.py", PY_TOOLS + "keeper = create_react_agent(ChatOpenAI(), [look_up, drop])\ndef ask(words):\n    return keeper.invoke({'messages': [('user', words)]})\n", [("indirect-prompt-injection", 20, 20), ("tool-argument-to-sink", 8, 8), ("tool-argument-to-sink", 12, 12)]),
+    ("lamps.py", QUIET.replace("os.unlink(item)", "print(item)") + "keeper = create_react_agent(ChatOpenAI(), [look_up, lamp])\ndef ask(words):\n    return keeper.invoke({'messages': [('user', words)]})\n", []),
+    (
+        "build.ts",
+        'import { streamText, tool } from "ai";\nimport { execFile } from "node:child_process";\nimport { promisify } from "node:util";\nconst go = promisify(execFile);\nexport async function build(log) {\n  const failed = await fetch(log);\n  const words = await failed.text();\n  return streamText({\n    model,\n    prompt: "Mend " + words,\n    tools: {\n      start: tool({ execute: async ({ line }) => go(line) }),\n    },\n  });\n}\n',
+        [("indirect-prompt-injection", 8, 14)],
+    ),
+    (
+        "menu.ts",
+        'import { streamText, tool } from "ai";\nimport { spawn } from "node:child_process";\nexport async function build(log) {\n  const words = await (await fetch(log)).text();\n  return streamText({\n    prompt: words,\n    tools: { start: tool({ parameters: z.object({ job: z.enum(["lint", "test"]) }), execute: async ({ job }) => spawn(job) }) },\n  });\n}\n',
+        [],
+    ),
+    ("table.py", "from mcp.server.fastmcp import FastMCP\nserver = FastMCP('t')\n@server.tool()\ndef rows(table: str) -> list:\n    return DB.execute(f'SELECT * FROM {table}').fetchall()\n", [("tool-argument-to-sink", 5, 5)]),
+    ("bound.py", "from mcp.server.fastmcp import FastMCP\nserver = FastMCP('t')\n@server.tool()\ndef rows(key: str) -> list:\n    return DB.execute('SELECT * FROM t WHERE k = ?', (key,)).fetchall()\n", []),
+    ("inside.py", "from mcp.server.fastmcp import FastMCP\nserver = FastMCP('t')\n@server.tool()\ndef jot(name: str, body: str) -> str:\n    spot = Path(HOME, name).absolute()\n    if spot.is_relative_to(HOME):\n        spot.write_text(body)\n    return 'done'\n", []),
+    ("mail.py", "from mcp.server.fastmcp import FastMCP\nserver = FastMCP('t')\n@server.tool()\ndef tell(whom: str) -> str:\n    letter = EmailMessage()\n    letter['Cc'] = whom\n    OUTBOX.send_message(letter)\n", [("tool-argument-to-sink", 6, 6)]),
+    ("post.ts", 'import Anthropic from "@anthropic-ai/sdk";\nconst anthropic = new Anthropic();\nasync function deliver(order) {\n  return office.sendMail({ subject: "news", to: order.address });\n}\nexport async function serve(turns) {\n  const reply = await anthropic.messages.create({ model: "m", messages: turns });\n  for (const part of reply.content) {\n    await deliver(part.input);\n  }\n}\n', [("tool-argument-to-sink", 4, 4)]),
+    ("roles.py", CLIENT + "api = FastAPI()\n@api.post('/one')\ndef one(req: Turns):\n    return " + CALL % "PREFIX + req.messages" + "\n@api.post('/two')\ndef two(req: Turns):\n    return client.chat.completions.create(\n        model='m', messages=[{'role': req.kind, 'content': 'hi'}])\n", [("untrusted-message-role", 6, 6), ("untrusted-message-role", 9, 10)]),
+    ("user.py", CLIENT + "api = FastAPI()\nPAST = []\n@api.post('/one')\ndef one(req: Words):\n    PAST.append({'role': 'user', 'content': req.words})\n    return " + CALL % "PREFIX + PAST" + "\n", []),
+    ("role.js", 'import OpenAI from "openai";\nconst openai = new OpenAI();\nrouter.post("/say", async (req, res) => {\n  const { role, words } = req.body;\n  const out = await openai.chat.completions.create({\n    messages: [{ role, content: words }],\n  });\n  res.json(out);\n});\n', [("untrusted-message-role", 5, 7)]),
+    ("pick.py", QUIET + "api = FastAPI()\n@api.post('/ask')\ndef ask(words: str, staff: bool = False):\n    kit = [look_up, drop] if staff else [look_up]\n    return create_react_agent(ChatOpenAI(), kit).invoke({'messages': [('user', words)]})\n", [("untrusted-tool-selection", 22, 22), ("tool-argument-to-sink", 12, 12)]),
+    ("may.py", QUIET + "api = FastAPI()\n@api.post('/ask')\ndef ask(words: str):\n    kit = [look_up, drop] if on_duty() else [look_up]\n    return create_react_agent(ChatOpenAI(), kit).invoke({'messages': [('user', words)]})\n", [("tool-argument-to-sink", 12, 12)]),
+    ("secret.py", "import os\n" + CLIENT + "def bill(words):\n    code = os.getenv('SHOP_SECRET_KEY')\n    return " + CALL % "[{'role': 'user', 'content': f'With {code}: {words}'}]" + "\n", [("secret-sent-to-model", 6, 6)]),
+    ("word.py", "import os\n" + CLIENT + "hub = Hub(os.environ['HUB_TOKEN'])\ndef bill(words):\n    code = os.getenv('SHOP_SECRET_KEY')\n    sign(code)\n    ticket = hub.ticket(words)\n    return " + CALL % "[{'role': 'user', 'content': 'a code word ' + words + ticket.body}]" + "\n", []),
 ]
 
 

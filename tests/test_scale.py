@@ -109,3 +109,18 @@ def test_yaml_interfaces_give_the_rows_of_json(spark, whole):
     assert rows[0] == rows[1] and len(rows[0]) == 5
     hits = [r.path for r in blocks.openapi(of).collect()]
     assert hits.count("a/openapi.json") == hits.count("b/openapi.yaml")
+
+
+def test_a_scan_reads_the_files_few_times(spark, monkeypatch):
+    from spanwarden.functions import store
+    from spanwarden.plans import detection_queries, scan
+
+    plans = {}
+
+    def keep(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return store.keep(df, name)
+
+    monkeypatch.setattr(scan, "keep", keep)
+    scan.detect(detection_queries._files(spark, "/root/testdata/sf0.001", detection_queries.PLANTS)).columns  # noqa: B018
+    assert plans["detected"].count("FileScan") <= 25 and plans["detected"].count("Exchange ") <= 35

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import scoring
 from .model import CONFIDENCES, SEVERITIES, label
+from .store import keep
 
 #: Columns of the CSV report, in order; SARIF levels and scores by severity: fixed values.
 CSV = ("id", "rule_id", "scanner", "severity", "confidence", "likelihood", "risk_score", "title", "path", "start_line", "cwe", "owasp", "tags", "fingerprint")
@@ -62,6 +63,7 @@ def sarif(findings: DataFrame, tool: str = "spanwarden", version: str = "1", by:
     has part 0 alone.
     """
     by = by or []
+    findings = keep(findings, "sarif")  # read for parts, rules and results
     if by:
         parts = findings.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(float(RESULTS))).alias("__parts"))
         findings = findings.join(parts, by)

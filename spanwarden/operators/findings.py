@@ -176,6 +176,7 @@ def merged(native: DataFrame, imported: DataFrame) -> DataFrame:
     A match between two imported findings is left to deduplicated().
     """
     wide = MERGE_LINES + 1
+    native, imported = keep(native, "native"), keep(imported, "imported")  # each is read several times below
     on = keys(native, imported)
     n = native.select(*(F.col(k).alias(f"n_{k}") for k in on if k != "path"), F.col("ordinal").alias("n_ordinal"), F.col("scanner").alias("n_scanner"), F.col("path").alias("n_path"), F.col("start_line").alias("n_line"), F.col("cwe").alias("n_cwe"), F.col("cve").alias("n_cve"))
     near = n.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("n_line") / wide) + d)))

@@ -172,15 +172,16 @@ LLM = (
     Rule("llm.prompt-injection", MEDIUM, ("CWE-74",), r"(?i)(?:prompt|messages?)\w*\s*=\s*f['\"].*\{\s*(?:request|user_input|input|query)\b", (*PYTHON, *JS), confidence=0),
 )
 
-#: Signatures of secrets: our own definitions, with the value in the first group.
+#: Signatures of secrets: our own definitions, with the value in the first group. They read whole lines of histories, so
+#: none may take more than one pass over a run of letters or recurse over the words of a line.
 SECRETS = (
     Rule("secrets.aws-access-key-id", CRITICAL, ("CWE-798",), r"(?<![A-Z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Z0-9])", confidence=2),
     Rule("secrets.aws-secret-access-key", CRITICAL, ("CWE-798",), r"(?i)aws_?secret_?(?:access_?)?key\s*[:=]\s*['\"]?([A-Za-z0-9/+]{40})\b", confidence=2),
-    Rule("secrets.private-key-block", CRITICAL, ("CWE-798",), r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)", confidence=2),
+    Rule("secrets.private-key-block", CRITICAL, ("CWE-798",), r"(-----BEGIN (?! |[A-Z ]*  )(?:[A-Z ]*[A-Z] |)PRIVATE KEY-----)", confidence=2),
     Rule("secrets.github-token", CRITICAL, ("CWE-798",), r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b", confidence=2),
     Rule("secrets.google-api-key", HIGH, ("CWE-798",), r"\b(AIza[0-9A-Za-z_-]{35})", confidence=2),
     Rule("secrets.json-web-token", MEDIUM, ("CWE-798",), r"\b(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
-    Rule("secrets.url-credentials", HIGH, ("CWE-798",), r"[a-z][a-z0-9+]*://[^\s/:@'\"]+:([^\s/@'\"]{3,})@"),
+    Rule("secrets.url-credentials", HIGH, ("CWE-798",), r"[a-z][0-9+]*://[^\s/:@'\"]+:([^\s/@'\"]{3,})@"),
     Rule("secrets.generic-credential", HIGH, ("CWE-798",), r"(?i)(?:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*['\"]?([A-Za-z0-9_/+=-]{8,})"),
 )
 PLACEHOLDER = r"(?i)example|placeholder|changeme|your[_-]|xxxx|<[^>]+>|\$\{|dummy|redacted|sample"
@@ -278,7 +279,8 @@ def match_rules(files: DataFrame, rules: Sequence[Rule] = ALL) -> DataFrame:
     # a rule that several windows of a line match counts in the first; no shuffle
     names = F.transform("hits", lambda x: F.element_at(about, x["rule"])["rule_id"])
     first = F.when(F.size("hits") < 2, F.col("hits")).otherwise(F.filter("hits", lambda x, i: F.array_position(names, F.element_at(about, x["rule"])["rule_id"]) == i + 1))
-    rows = rows.select("project", "path", "line", "content", F.explode(first).alias("f")).select("project", "path", "line", "content", F.element_at(about, F.col("f.rule")).alias("about"), "f.value", "f.offset")
+    # an outer explode: before an inner one the optimizer tests the array, and runs all rules again for that
+    rows = rows.select("project", "path", "line", "content", F.explode_outer(first).alias("f")).where(F.col("f.rule").isNotNull()).select("project", "path", "line", "content", F.element_at(about, F.col("f.rule")).alias("about"), "f.value", "f.offset")
     start = F.instr(F.substring("content", F.col("offset") + 1, F.lit(MAX_LINE)), F.col("value")) + F.col("offset")
     out = rows.select("project", "path", F.col("line").alias("start_line"), F.col("line").alias("end_line"), "about.*", start.cast("int").alias("start_column"), (start + F.length("value")).cast("int").alias("end_column"), "value", F.substring(F.trim("content"), 1, 200).alias("snippet"))
     absent = [r for r in rules if r.absent]

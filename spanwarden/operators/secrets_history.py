@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..sources.diffs import diff_lines
-from ..sources.files import pieces
 from .rules import PLACEHOLDER, SECRETS, Rule
 
 
@@ -17,19 +16,16 @@ def history_secrets(patches: DataFrame, rules: Sequence[Rule] = SECRETS) -> Data
     """Findings secrets.history.<rule> of patches (project, commit, seq, text), seq counting commits from the oldest.
 
     A secret is known by the digest of its whole value: it is reported once a project and rule, at the commit, file
-    and line that had it first. Findings have the commit, the digest and the value's first characters only. Long lines
-    are read in windows, and every secret of a line counts.
+    and line that had it first. Findings have the commit, the digest and the value's first characters only. Lines are
+    read whole, for a window would cut a secret at its end and give another digest; every secret of a line counts.
     """
     added = diff_lines(patches).where("change = '+'")
 
-    def values_of(i: int, segment: Column) -> Column:
-        values = F.array_distinct(F.regexp_extract_all(segment, F.lit(rules[i].pattern), F.lit(1)))
+    def values_of(i: int) -> Column:
+        values = F.array_distinct(F.regexp_extract_all("content", F.lit(rules[i].pattern), F.lit(1)))
         return F.transform(F.filter(values, lambda v: (v != "") & ~F.rlike(v, F.lit(PLACEHOLDER))), lambda v: F.struct(F.lit(i).alias("rule"), v.alias("value")))
 
-    def in_window(w: Column) -> Column:
-        return F.flatten(F.array(*(values_of(i, w["segment"]) for i in range(len(rules)))))
-
-    hits = F.array_distinct(F.flatten(F.transform(pieces(F.col("content")), in_window)))
+    hits = F.flatten(F.array(*(values_of(i) for i in range(len(rules)))))
     rows = added.select("project", "commit", "seq", "path", "new_line", F.explode(hits).alias("h"))
     rows = rows.select("project", F.col("h.rule").alias("rule"), F.sha2(F.col("h.value"), 256).alias("digest"), F.struct("seq", "path", F.col("new_line").alias("line"), "commit", scoring.redacted(F.col("h.value")).alias("shown")).alias("place"))
     first = rows.groupBy("project", "rule", "digest").agg(F.min("place").alias("p"))

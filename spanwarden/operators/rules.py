@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.guards import guard
 from ..functions.model import CRITICAL, HIGH, INFO, LOW, MEDIUM
 from ..sources.files import MAX_LINE, base_name, line_array, pieces, suffix, text_has
 
@@ -224,8 +225,11 @@ def _about(rules: Sequence[Rule]) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), "array<struct<rule_id:string,scanner:string,severity:int,confidence:int,likelihood:int,cwe:array<string>>>")
 
 
-def _matches(rules: Sequence[Rule], segment: Column) -> Column:
-    """An array of the numbers of the rules that match a segment and the values that they found."""
+def _matches(rules: Sequence[Rule], segment: Column, lowered: Column) -> Column:
+    """An array of the numbers of the rules that match a segment and the values that they found. lowered: the segment in lower case.
+
+    A rule looks for a literal that its matches must hold before it is tried.
+    """
     where: dict = {}
     hits = []
     for i, r in enumerate(rules, 1):
@@ -233,6 +237,8 @@ def _matches(rules: Sequence[Rule], segment: Column) -> Column:
         if place not in where:
             where[place] = _applies(r)
         hit = F.rlike(segment, F.lit(r.pattern))
+        asked = guard(r.pattern, segment, lowered)
+        hit = hit if asked is None else asked & hit
         hit = hit if where[place] is None else where[place] & hit
         if r.suppress:
             hit = hit & ~F.rlike(segment, F.lit(r.suppress))
@@ -272,9 +278,10 @@ def match_rules(files: DataFrame, rules: Sequence[Rule] = ALL) -> DataFrame:
     about = _about(found)
 
     def in_window(w: Column) -> Column:
-        return F.transform(_install_alone(found, _matches(found, w["segment"])), lambda x: F.struct(x["rule"].alias("rule"), x["value"].alias("value"), w["offset"].alias("offset")))
+        return F.transform(_install_alone(found, _matches(found, w["segment"], w["lowered"])), lambda x: F.struct(x["rule"].alias("rule"), x["value"].alias("value"), w["offset"].alias("offset")))
 
-    rows = _lines_of(there).withColumn("windows", pieces(F.col("content")))
+    cut = F.transform(pieces(F.col("content")), lambda w: F.struct(w["offset"].alias("offset"), w["segment"].alias("segment"), F.lower(w["segment"]).alias("lowered")))
+    rows = _lines_of(there).withColumn("windows", cut)
     rows = rows.select("project", "path", "line", "content", F.flatten(F.transform("windows", in_window)).alias("hits"))
     # a rule that several windows of a line match counts in the first; no shuffle
     names = F.transform("hits", lambda x: F.element_at(about, x["rule"])["rule_id"])
@@ -293,7 +300,7 @@ def match_rules(files: DataFrame, rules: Sequence[Rule] = ALL) -> DataFrame:
 
 
 def _lines_of(there: DataFrame) -> DataFrame:
-    return there.select("project", "path", "language", "suffix", "kind", F.posexplode(line_array(F.col("text"))).alias("__at", "content")).withColumn("line", F.col("__at") + 1).drop("__at")
+    return there.select("project", "path", "language", "suffix", "kind", F.posexplode_outer(line_array(F.col("text"))).alias("__at", "content")).where(F.col("__at").isNotNull()).withColumn("line", F.col("__at") + 1).drop("__at")
 
 
 def downgraded(findings: DataFrame) -> DataFrame:

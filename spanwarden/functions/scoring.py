@@ -93,14 +93,22 @@ def version_key(version: Column) -> Column:
     return F.transform(heads, lambda p: F.when(p == "", F.lit(0)).otherwise(p.cast("long")).cast("long"))
 
 
-def in_range(version: Column, clause: Column) -> Column:
-    """Does a version meet a clause: <=, <, >=, > or == and a version, or a bare version for equality?"""
-    op = F.regexp_extract(F.trim(clause), r"^(<=|>=|==|<|>)?", 1)
-    bound = version_key(F.trim(F.regexp_replace(F.trim(clause), r"^(<=|>=|==|<|>)", "")))
-    own = version_key(version)
+def clause(text: Column) -> tuple[Column, Column]:
+    """The comparison of a clause, blank for a bare version, and its version's key."""
+    op = F.regexp_extract(F.trim(text), r"^(<=|>=|==|<|>)?", 1)
+    return op, version_key(F.trim(F.regexp_replace(F.trim(text), r"^(<=|>=|==|<|>)", "")))
+
+
+def meets(own: Column, op: Column, bound: Column) -> Column:
+    """Does a version's key stand to a bound as the comparison says?"""
     return F.when(op == "<=", own <= bound).when(op == "<", own < bound).when(op == ">=", own >= bound).when(op == ">", own > bound).otherwise(own == bound)
 
 
+def in_range(version: Column, vulnerable: Column) -> Column:
+    """Does a version meet a clause: <=, <, >=, > or == and a version, or a bare version for equality?"""
+    return meets(version_key(version), *clause(vulnerable))
+
+
 def package_name(ecosystem: Column, name: Column) -> Column:
     """PyPI names with one dash for runs of dash, underscore and dot; all in lower case."""
     return F.lower(F.when(F.lower(ecosystem) == "pypi", F.regexp_replace(name, r"[-_.]+", "-")).otherwise(name))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.model import SEVERITIES, rank
+from ..functions.store import keep
 
 
 #: Distributions whose modules have other names: fixed values.
@@ -26,20 +27,52 @@ def inventory(packages: DataFrame) -> DataFrame:
     return first.select(*on, "__first.manifest")
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by the keys of a join whose sides are small and whose pairs are many: a number that is given is not coalesced by bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *by)
+
+
+def _met(packages: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Distinct (ecosystem, package, version) with __p, their name, joined to the advisories whose range holds the version.
+
+    Versions and clauses are read once a row of either side, not once a pair.
+    """
+    pk = packages.select("ecosystem", "package", "version").distinct().withColumn("__p", scoring.package_name(F.col("ecosystem"), F.col("package"))).withColumn("__v", scoring.version_key(F.col("version")))
+    op, bound = scoring.clause(F.col("vulnerable"))
+    adv = advisories.withColumn("__p", scoring.package_name(F.col("ecosystem"), F.col("package"))).drop("package").withColumn("__op", op).withColumn("__bound", bound)
+    return dealt(pk, "ecosystem", "__p").join(dealt(adv, "ecosystem", "__p").hint("shuffle_hash"), ["ecosystem", "__p"]).where(scoring.meets(F.col("__v"), F.col("__op"), F.col("__bound"))).drop("__v", "__op", "__bound")
+
+
 def vulnerable(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     """Distinct (ecosystem, package, version) joined to the advisories whose range holds the version."""
-    pk = packages.select("ecosystem", "package", "version").distinct().withColumn("__p", scoring.package_name(F.col("ecosystem"), F.col("package")))
-    adv = advisories.withColumn("__p", scoring.package_name(F.col("ecosystem"), F.col("package"))).drop("package")
-    return pk.join(adv, ["ecosystem", "__p"]).where(scoring.in_range(F.col("version"), F.col("vulnerable"))).drop("__p")
+    return _met(packages, advisories).drop("__p")
+
+
+def _level() -> Column:
+    return F.coalesce(rank(F.col("severity"), SEVERITIES), F.lit(2))
 
 
 def one_per_cve(matches: DataFrame) -> DataFrame:
     """Of a package's advisories on one CVE the most severe, then the first; those without a CVE all stay."""
-    level = F.coalesce(rank(F.col("severity"), SEVERITIES), F.lit(2))
-    w = Window.partitionBy("ecosystem", "package", "version", F.coalesce("cve", "id")).orderBy(F.desc(level), "id")
+    w = Window.partitionBy("ecosystem", "package", "version", F.coalesce("cve", "id")).orderBy(F.desc(_level()), "id")
     return matches.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
 
 
+def vulnerable_once(packages: DataFrame, advisories: DataFrame) -> DataFrame:
+    """one_per_cve of vulnerable: the advisories on a CVE of a package are put in order before they meet versions.
+
+    What is grouped is one number a pair, in the tasks of the join, so no pair is shuffled or sorted.
+    """
+    name = scoring.package_name(F.col("ecosystem"), F.col("package"))
+    first = Window.partitionBy("ecosystem", name, F.coalesce("cve", "id")).orderBy(F.desc(_level()), "id")
+    ranked = keep(advisories.withColumn("__k", F.row_number().over(first)).withColumn("__c", F.coalesce("cve", "id")), "advisories")
+    own = ["ecosystem", "__p", "package", "version", "__c"]
+    best = _met(packages, ranked.select("ecosystem", "package", "vulnerable", "__c", "__k")).groupBy(*own).agg(F.min("__k").alias("__k"))
+    about = ranked.withColumn("__p", name).drop("package")
+    return best.join(about, ["ecosystem", "__p", "__c", "__k"]).drop("__p", "__c", "__k")
+
+
 def with_signals(matches: DataFrame, signals: DataFrame, high: float = 0.5) -> DataFrame:
     """matches with epss, kev and the tags that scores read."""
     out = matches.join(signals.select("cve", "epss", "kev"), "cve", "left").withColumn("kev", F.coalesce("kev", F.lit(False)))

@@ -343,7 +343,7 @@ def advisory_match(spark, d):
 @query(f"WITH {VULNERABLE}, k AS (SELECT *, row_number() OVER (PARTITION BY ecosystem, package, version, cve ORDER BY severity DESC, id) AS k FROM vulnerable) SELECT ecosystem, package, version, cve, id FROM k WHERE k = 1")
 def cve_argmax(spark, d):
     """One advisory for each CVE of a package, the most severe."""
-    return dependencies.one_per_cve(dependencies.vulnerable(packages(spark, d), advisories(spark, d))).select("ecosystem", "package", "version", "cve", "id")
+    return dependencies.vulnerable_once(packages(spark, d), advisories(spark, d)).select("ecosystem", "package", "version", "cve", "id")
 
 
 @query(f"WITH {VULNERABLE}, s AS (SELECT 'CVE-' || n_nationkey AS cve, n_nationkey / 25e0 AS epss, n_nationkey % 4 = 0 AS kev FROM nation) SELECT package, version, id, epss, coalesce(kev, false) AS kev FROM vulnerable LEFT JOIN s USING (cve)")

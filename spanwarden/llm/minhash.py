@@ -8,8 +8,8 @@ outside the prefix are skipped: their collisions are counted from a packed copy
 a coordinate, by XOR and a bit count inside the join condition. Pairs above the match threshold are
 confirmed on full sets.
 
-Equal sets fold into their smallest id first. A list gives pairs with its few hubs only; components
-follow, and a second join takes what the hubs left: members of a list that lie in different components.
+Equal sets fold into their smallest id first. A list gives pairs with its first member only; components
+follow, pairs with its few hubs where they are in other components, and a last join takes what the hubs left: members of a list that lie in different components.
 So every pair that the threshold retains is either inside one component already or confirmed by itself,
 while a large group of near copies costs few rows a member. Long lists meet in blocks of bounded size.
 
@@ -201,18 +201,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     for done in ("sets", "counts"):
         scratch.drop(done)
 
-    # a list's hubs: its first members in a fixed random order; row_number <= HUBS is limited before the shuffle
-    order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
-    hubs = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS)
-    hubs = scratch.keep(hubs.withColumn("members", F.max("rank").over(Window.partitionBy("key"))).where("members > 1").drop("rank", "members"), "hubs")
+    # a list's first member in a fixed random order meets the others, so a group of near copies costs few pairs a member;
+    # what this leaves in different components meets the list's hubs, its first HUBS members in that order
     ends = (F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-    pairs = lists.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _alike("x", "y", percent)).select(*ends)
-    edges = confirmed(docs, scratch.keep(pairs.distinct(), "hub-pairs"), width, percent, scratch, "hub-links").union(same)
+    one = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id", "n", *PACKED)).alias("f"), F.count("*").alias("members")).where("members > 1")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _alike("x", "y", percent)
+    pairs = lists.alias("x").join(one.select("key", "f.doc_id", "f.n", *(f"f.{c}" for c in PACKED)).alias("y"), met).select(*ends)
+    met_before = scratch.keep(pairs.distinct(), "first-pairs")
+    edges = confirmed(docs, met_before, width, percent, scratch, "first-links").union(same)
     found = components(edges, scratch, "first")
 
+    def in_parts(rows: DataFrame) -> DataFrame:
+        return rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id")).drop("root")
+
+    lists = scratch.keep(in_parts(lists), "lists-in-parts")
+    scratch.drop("lists")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")  # row_number <= HUBS is limited before the shuffle
+    apart = lists.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    lists = scratch.keep(lists.join(apart, "key", "left_semi"), "lists-apart")
+    hubs = scratch.keep(lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS).drop("rank"), "hubs")
+    pairs = lists.alias("x").join(hubs.alias("y"), met & (F.col("x.part") != F.col("y.part"))).select(*ends)
+    pairs = scratch.keep(pairs.distinct().join(met_before, ["a", "b"], "left_anti"), "hub-pairs")
+    if not pairs.isEmpty():
+        edges = confirmed(docs, pairs, width, percent, scratch, "hub-links")
+        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges), scratch, "hubs")
+        lists = in_parts(lists.drop("part"))
+
     # what the hubs left: in lists that have further members, those of different components
     longer = lists.groupBy("key").count().where(F.col("count") > HUBS).select("key")
-    placed = scratch.keep(lists.join(longer, "key", "left_semi").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id")).drop("root"), "longer-lists")
+    placed = scratch.keep(lists.join(longer, "key", "left_semi"), "longer-lists")
     sizes = scratch.keep(placed.select("part", "doc_id").distinct().groupBy("part").count(), "sizes")
     tops = placed.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("largest"), F.sum("count").alias("members"), F.count("*").alias("parts")).where("parts > 1")
     tops = scratch.keep(tops.join(sizes.select(F.col("part").alias("largest"), (F.col("count") > FEW).alias("many")), "largest"), "tops")
@@ -252,7 +269,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = F.size(F.array_intersect("x.s", "y.s")) + 4 + F.pow(nx + ny, F.lit(2.0)) / 2**30
     close = 100 * shared >= percent * (nx + ny - shared)
     to_many = aims.alias("x").join(there.alias("y"), (F.col("x.slice") == F.col("y.slice")) & facing & close).select(*ends)
-    left = scratch.keep(among.union(to_many).distinct(), "left-pairs")
+    # pairs that were refused before are not tried again
+    left = scratch.keep(among.union(to_many).distinct().join(met_before.union(pairs), ["a", "b"], "left_anti"), "left-pairs")
     if not left.isEmpty():
         more = confirmed(docs, left, width, percent, scratch, "left-links")
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch, "second")

@@ -87,6 +87,23 @@ def test_large_groups_meet_in_slices_and_blocks(spark, monkeypatch):
     test_near_duplicates_brute_force(spark.createDataFrame(rows, "doc_id long, text string"), 2)
 
 
+def test_no_pair_of_a_group_is_confirmed_twice(spark, monkeypatch):
+    """A list's first member comes before its hubs, and what was refused once is not tried again."""
+    monkeypatch.setattr(minhash, "HUBS", 2)
+    tried, confirmed = [], minhash.confirmed
+
+    def noted(docs, pairs, *rest):
+        tried.extend((r.a, r.b) for r in pairs.collect())
+        return confirmed(docs, pairs, *rest)
+
+    monkeypatch.setattr(minhash, "confirmed", noted)
+    passage = [f"p{i}" for i in range(100)]
+    rows = [(k, " ".join([*passage, *(f"o{k}x{i}" for i in range(26))])) for k in range(40)]  # most of a passage, and no near copies
+    rows += near_copies(40, 100, 4, "c", 100)
+    test_near_duplicates_brute_force(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert len(tried) == len(set(tried)) and tried
+
+
 def test_one_id_with_several_texts(spark):
     """An id's texts are one document: it links where any of them does, and chains through it."""
     a, b, c = (near_copies(1, 60, 0, x)[0][1] for x in "abc")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.model import HIGH, MEDIUM
 from ..functions.store import keep
-from ..sources.code import LANGUAGES, STRINGS, calls, extents, literals, tokens
+from ..sources.code import LANGUAGES, STRINGS, calls, code_lines, extents, literals, tokens
 from ..sources.files import MAX_LINE, lines
 
 MODEL = r"(?i)(?:^|\b)(?:client|openai|anthropic|llm|model|chain|agent|completion|chat|messages)[\w.]*\.(?:create|invoke|ainvoke|generate\w*|predict|run|complete|call|stream)$|\.a?invoke$|(?:^|\.)(?:generateText|streamText|generateObject)$"
@@ -94,13 +94,6 @@ def _kinds(**tests: Column) -> Column:
     return F.filter(F.array(*(F.when(t, F.lit(k)) for k, t in tests.items())), lambda x: x.isNotNull())
 
 
-def _outside(code: DataFrame) -> DataFrame:
-    """Lines of code; those that begin inside a string or a comment are empty."""
-    starts = tokens(code).where("kind = 'line'").select(*_KEY, (F.col("line") + 1).alias("line")).withColumn("begins", F.lit(True))
-    of = _join(lines(code).select(*_KEY, "line", "content"), starts, [*_KEY, "line"], "left")
-    return of.withColumn("content", F.when((F.col("line") == 1) | F.col("begins"), F.col("content")).otherwise("")).drop("begins")
-
-
 def _scoped(of: DataFrame) -> DataFrame:
     """Lines with their scope (the line of the function they are in, 0 for the module), and of heads: function, params, tool, route."""
     order = Window.partitionBy(*_KEY).orderBy("line")
@@ -133,7 +126,7 @@ def agent_calls(files: DataFrame) -> DataFrame:
     if code.isEmpty():
         return _found(lines(code).withColumn("end_line", F.col("line")), "none", HIGH, ())
     # each table is written once, as the rules below read it many times
-    pairs, of = keep(extents(tokens(code)), "extents"), keep(_scoped(_outside(code)), "scopes")
+    pairs, of = keep(extents(tokens(code)), "extents"), keep(_scoped(code_lines(code)), "scopes")
     scopes = of.select(*_KEY, "line", "scope")
     here = [*_KEY, "line"]
     params = keep(_params(of), "parameters")

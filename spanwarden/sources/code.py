@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .files import lines
+
 _QUOTED = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 #: Tokens of Python, and of JavaScript and TypeScript.
 PYTHON = rf"(?s)\"\"\".*?\"\"\"|'''.*?'''|{_QUOTED}|#[^\n]*|[()\[\]{{}}]|\n|[^\"'#()\[\]{{}}\n]+|."
@@ -24,10 +26,28 @@ def _order() -> Window:
     return Window.partitionBy(*_KEY).orderBy("at")
 
 
+def _cut(text: Column) -> Column:
+    return F.when(F.col("language") == "Python", F.regexp_extract_all(text, F.lit(PYTHON), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(SCRIPT), F.lit(0)))
+
+
+def code_lines(files: DataFrame) -> DataFrame:
+    """project, path, line, content of the lines of code; those that begin inside a string or a comment are empty.
+
+    What is dealt by file are the texts without such lines, so windows over a file's lines shuffle nothing more.
+    """
+    inner = "\uffff"  # put behind line feeds inside tokens; texts have a blank for it
+    marked = F.transform(_cut(F.translate("text", inner, " ")), lambda t: F.when((t != "\n") & F.contains(t, F.lit("\n")), F.replace(t, F.lit("\n"), F.lit("\n" + inner))).otherwise(t))
+    bare = F.regexp_replace(F.array_join(marked, ""), inner + r"[^\n\x0B\f\r\x{85}\x{2028}\x{2029}\x1c-\x1e]*", "")
+    code = files.where(F.col("language").isin(*LANGUAGES)).select(*_KEY, "language", bare.alias("text")).repartition(*_KEY)
+    return lines(code).select(*_KEY, "line", "content")
+
+
 def tokens(files: DataFrame) -> DataFrame:
     """project, path, at, token, kind (string, comment, open, close, line or code), offset, line, depth (brackets open before it), before (the token before)."""
-    found = F.when(F.col("language") == "Python", F.regexp_extract_all("text", F.lit(PYTHON), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(SCRIPT), F.lit(0)))
-    rows = files.where(F.col("language").isin(*LANGUAGES)).select(*_KEY, F.posexplode(found).alias("at", "token"))
+    found = _cut(F.col("text"))
+    # whole texts are dealt, not tokens: every window over a file's tokens finds them in one task, in their order
+    texts = files.where(F.col("language").isin(*LANGUAGES)).select(*_KEY, "language", "text").repartition(*_KEY)
+    rows = texts.select(*_KEY, F.posexplode(found).alias("at", "token"))
     first = F.substring("token", 1, 1)
     kind = F.when(first.isin("(", "[", "{"), "open").when(first.isin(")", "]", "}"), "close").when(first == "\n", "line").when(F.rlike("token", F.lit(r"(?s)^(?:\"|'|`).*(?:\"|'|`)$")) & (F.length("token") > 1), "string").when(F.rlike("token", F.lit(r"^(?:#|//|/\*)")), "comment").otherwise("code")
     rows = rows.withColumn("kind", kind)

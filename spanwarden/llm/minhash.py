@@ -9,9 +9,11 @@ a coordinate, by XOR and a bit count inside the join condition. Pairs above the
 confirmed on full sets.
 
 Equal sets fold into their smallest id first. A list gives pairs with its first member only; components
-follow, pairs with its few hubs where they are in other components, and a last join takes what the hubs left: members of a list that lie in different components.
-So every pair that the threshold retains is either inside one component already or confirmed by itself,
-while a large group of near copies costs few rows a member. Long lists meet in blocks of bounded size.
+follow, pairs with its few hubs where they are in other components, and a last join takes what the hubs left: members of
+lists that lie in different components and share one of the rarest shingles of their full sets, as similar sets do. Both
+steps compare parities of the full sets, which tell how much two sets differ at least. So every pair that the threshold
+retains is either inside one component already, or confirmed by itself, or too different for certain; a large group of near copies
+costs few rows a member. Long lists of shingles meet in blocks of bounded size.
 
 The threshold is on signatures: a pair at a similarity of exactly 0.8 falls short of it with odds of about
 3 in 100,000, one at 0.85 with odds below 1 in 10 million. Nothing else loses a pair.
@@ -41,10 +43,12 @@ COORDINATES = 64
 MATCHES = 38
 PREFIX = COORDINATES - MATCHES + 1
 HUBS = 8
-#: Components with more documents than FEW are faced on sets, in slices of about SLICE documents; lists without such
-#: a component meet in blocks of about BLOCK documents.
+#: Where a component with more documents than FEW shares a shingle, others face it in slices of about SLICE documents;
+#: else they meet in blocks of about BLOCK documents.
 FEW, SLICE, BLOCK = 32, 1024, 256
 PACKED = ("f0", "f1", "f2", "f3")
+#: Bits of a set, each the parity of how many of its shingles fall there: two sets differ in as many shingles at least as in bits.
+PARITY = tuple(f"g{k}" for k in range(16))
 _SEEDS = np.random.default_rng(20240611).integers(1, 2**63, (3, COORDINATES), dtype=np.uint64)
 _XOR, _ODD = _SEEDS[0], _SEEDS[1] | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -134,16 +138,32 @@ def _alike(a: str, b: str, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (matches >= MATCHES)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id and s, the whole shingle set, of the documents in ids (doc_id)."""
+def _near_enough(a: str, b: str, percent: int):
+    """What the parities of two sets allow: sets that differ in d shingles have (n + n' - d) / 2 in common."""
+    both, differing = F.col(f"{a}.n") + F.col(f"{b}.n"), F.lit(0)
+    for g in PARITY:
+        differing = differing + F.bit_count(F.col(f"{a}.{g}").bitwiseXOR(F.col(f"{b}.{g}")))
+    return (100 + percent) * (both - differing) >= 2 * percent * both
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, width: int, bits: bool = False) -> DataFrame:
+    """doc_id and s, the whole shingle set, of the documents in ids (doc_id); with bits their parities, too."""
     named = texts(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def work(batch: pa.RecordBatch, hashes: Hashes):
-        sets = [shingles(t, width, hashes).view(np.int64) for t in batch.column(1).to_pylist()]
+        sets = [shingles(t, width, hashes) for t in batch.column(1).to_pylist()]
         ends = np.cumsum([0, *map(len, sets)])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["doc_id", "s"])
+        odd = np.array([parity(s) for s in sets]) if bits else np.empty((len(sets), 0), np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64))), *(pa.array(odd[:, k].copy()) for k in range(odd.shape[1]))], names=["doc_id", "s", *marks])
 
-    return per_batch(named.join(small(ids), "doc_id", "left_semi"), "doc_id long, s array<long>", work, lambda: (Hashes(),))
+    marks = PARITY if bits else ()
+    schema = ", ".join(["doc_id long, s array<long>", *(f"{g} long" for g in marks)])
+    return per_batch(named.join(small(ids), "doc_id", "left_semi"), schema, work, lambda: (Hashes(),))
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -188,6 +208,40 @@ def sets_of(sig: DataFrame, least: int, scratch: Scratch) -> tuple[DataFrame, Da
     return scratch.keep(sets, "sets"), owners, scratch.keep(links, "same-id")
 
 
+def apart_and_alike(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Distinct pairs (a, b) of members (doc_id, n, packed signature, parities, part) of different parts whose signatures agree and whose sets (doc_id, s) share a rare shingle.
+
+    Sets of n shingles that are similar enough share one of the n - ceil(n * percent / 100) + 1 rarest of either, and the first
+    that they share leaves enough of both behind it. So what a whole group has, a passage or most of a copy, brings none of
+    its documents together. A shingle's largest part stays in its place; the others face it and each other.
+    """
+    words = sets.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "s").distinct()
+    words = words.select("doc_id", F.xxhash64("s").alias("own"), F.size("s").cast("long").alias("n"), F.explode("s").alias("shingle"))
+    held = words.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    shared = words.join(held, "shingle").groupBy("doc_id", "own", "n").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("ws"))
+    alone = F.col("n") - F.size("ws")  # these come first, and no other set has them
+    rarest = F.slice("ws", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - alone).cast("int"))
+    rare = shared.select("doc_id", "n", alone.alias("alone"), F.posexplode(F.transform(rarest, lambda w: w["shingle"])).alias("at", "shingle"))
+    rare = scratch.keep(rare.join(members, ["doc_id", "n"]).withColumn("after", F.col("n") - F.col("alone") - F.col("at")).drop("alone", "at"), "rare")
+
+    parts = rare.groupBy("shingle", "part").count().groupBy("shingle").agg(F.max_by("part", F.struct("count", "part")).alias("largest"), F.max("count").alias("most"), F.sum("count").alias("all"), F.count("*").alias("parts"))
+    blocks = F.ceil(F.col("all") / F.when(F.col("most") > FEW, float(SLICE)).otherwise(float(BLOCK))).cast("int")
+    rare = scratch.keep(rare.join(parts.where("parts > 1").select("shingle", "largest", blocks.alias("blocks")), "shingle"), "rare-apart")  # both sides of the join read it
+    unit, spread = ("shingle", "block"), int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    x = rare.where("part <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition(spread, *unit).alias("x")
+    y = rare.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).repartition(spread, *unit).alias("y")
+    met = (
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.block") == F.col("y.block"))
+        & (F.col("x.part") != F.col("y.part"))
+        & ((F.col("y.part") == F.col("y.largest")) | (F.col("x.doc_id") < F.col("y.doc_id")))
+        & ((100 + percent) * F.least("x.after", "y.after") >= percent * (F.col("x.n") + F.col("y.n")))
+        & _alike("x", "y", percent)
+        & _near_enough("x", "y", percent)
+    )
+    return x.join(y, met).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
@@ -219,8 +273,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")  # row_number <= HUBS is limited before the shuffle
     apart = lists.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     lists = scratch.keep(lists.join(apart, "key", "left_semi"), "lists-apart")
+    sets = scratch.keep(full_sets(docs, lists.select("doc_id").distinct(), width, bits=True), "apart-sets")
+    lists = scratch.keep(lists.join(sets.select("doc_id", F.size("s").cast("long").alias("n"), *PARITY).distinct(), ["doc_id", "n"]), "lists-with-bits")
     hubs = scratch.keep(lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS).drop("rank"), "hubs")
-    pairs = lists.alias("x").join(hubs.alias("y"), met & (F.col("x.part") != F.col("y.part"))).select(*ends)
+    pairs = lists.alias("x").join(hubs.alias("y"), met & (F.col("x.part") != F.col("y.part")) & _near_enough("x", "y", percent)).select(*ends)
     pairs = scratch.keep(pairs.distinct().join(met_before, ["a", "b"], "left_anti"), "hub-pairs")
     if not pairs.isEmpty():
         edges = confirmed(docs, pairs, width, percent, scratch, "hub-links")
@@ -230,47 +286,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # what the hubs left: in lists that have further members, those of different components
     longer = lists.groupBy("key").count().where(F.col("count") > HUBS).select("key")
     placed = scratch.keep(lists.join(longer, "key", "left_semi"), "longer-lists")
-    sizes = scratch.keep(placed.select("part", "doc_id").distinct().groupBy("part").count(), "sizes")
-    tops = placed.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("largest"), F.sum("count").alias("members"), F.count("*").alias("parts")).where("parts > 1")
-    tops = scratch.keep(tops.join(sizes.select(F.col("part").alias("largest"), (F.col("count") > FEW).alias("many")), "largest"), "tops")
-
-    # lists without a large component: two documents meet in their first common list only, and by sizes: a bucket is
-    # a power of two, and a document whose larger partners may be in the next one looks there too; in blocks
-    near = placed.join(tops.where("NOT many").select("key", F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "key")
-    near = scratch.keep(near.join(near.groupBy("doc_id").agg(F.collect_list("key").alias("ks")), "doc_id").withColumn("bucket", F.floor(F.log2("n"))), "near")  # both sides of the join read it
-    farthest = F.floor(F.log2(F.col("n") * (100 / percent) * 1.0001))
-    unit, spread = ("key", "bucket", "block"), int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
-    among = near.withColumn("bucket", F.explode(F.sequence("bucket", farthest))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition(spread, *unit).alias("x")
-    among = among.join(
-        near.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).repartition(spread, *unit).alias("y"),
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.bucket") == F.col("y.bucket"))
-        & (F.col("x.block") == F.col("y.block"))
-        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id"))))
-        & (F.col("x.part") != F.col("y.part"))
-        & _alike("x", "y", percent)
-        & (F.array_min(F.array_intersect("x.ks", "y.ks")) == F.col("x.key")),
-    ).select(*ends)
-
-    # a large component's members, and the documents outside that face it, stay in slices and meet on their sets,
-    # cut to 31 bits, inside the join
-    slices = scratch.keep(sizes.where(F.col("count") > FEW).select("part", F.ceil(F.col("count") / F.lit(float(SLICE))).cast("int").alias("slices")), "many")
-    aims = placed.join(tops.where("many").select("key", "largest"), "key").where(F.col("part") != F.col("largest"))
-    aims = scratch.keep(aims.select("doc_id", "n", *PACKED, F.col("largest").alias("part")).distinct().join(slices, "part"), "aims")
-    members = placed.select("doc_id", "n", *PACKED, "part").distinct().join(aims.select("part").distinct(), "part", "left_semi")
-    there = scratch.keep(members.join(slices, "part").select(*aims.columns).union(aims), "members")
-    cut = F.transform("s", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    sets = scratch.keep(full_sets(docs, there.select("doc_id").distinct(), width).select("doc_id", cut.alias("s")).distinct(), "facing-sets")
-    aims = aims.join(sets, "doc_id").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    there = there.join(sets, "doc_id").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
-    facing = (F.col("x.part") == F.col("y.part")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _alike("x", "y", percent)
-    # 31-bit values of a set of n coincide n² / 2³² times; four times that and a little more keeps the cut one-sided
-    nx, ny = F.size("x.s"), F.size("y.s")
-    shared = F.size(F.array_intersect("x.s", "y.s")) + 4 + F.pow(nx + ny, F.lit(2.0)) / 2**30
-    close = 100 * shared >= percent * (nx + ny - shared)
-    to_many = aims.alias("x").join(there.alias("y"), (F.col("x.slice") == F.col("y.slice")) & facing & close).select(*ends)
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    facing = scratch.keep(placed.join(mixed, "key", "left_semi").select("doc_id", "n", *PACKED, *PARITY, "part").distinct(), "facing")
+    among = apart_and_alike(facing, sets, percent, scratch)
     # pairs that were refused before are not tried again
-    left = scratch.keep(among.union(to_many).distinct().join(met_before.union(pairs), ["a", "b"], "left_anti"), "left-pairs")
+    left = scratch.keep(among.join(met_before.union(pairs), ["a", "b"], "left_anti"), "left-pairs")
     if not left.isEmpty():
         more = confirmed(docs, left, width, percent, scratch, "left-links")
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch, "second")

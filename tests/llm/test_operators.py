@@ -104,6 +104,33 @@ def test_no_pair_of_a_group_is_confirmed_twice(spark, monkeypatch):
     assert len(tried) == len(set(tried)) and tried
 
 
+def test_documents_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
+    """Sets that differ too much for certain are not confirmed, so few pairs a document are tried in a group without near copies."""
+    monkeypatch.setattr(minhash, "HUBS", 2)
+    tried, confirmed = [], minhash.confirmed
+
+    def noted(docs, pairs, *rest):
+        tried.append(pairs.count())
+        return confirmed(docs, pairs, *rest)
+
+    monkeypatch.setattr(minhash, "confirmed", noted)
+    passage = [f"p{i}" for i in range(100)]
+    rows = [(k, " ".join([*passage, *(f"o{k}x{i}" for i in range(20))])) for k in range(60)]  # 0.71 similar
+    rows += near_copies(40, 100, 4, "c", 100)
+    test_near_duplicates_brute_force(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert sum(tried) < 6 * len(rows), tried
+
+
+@pytest.mark.parametrize("size", [1, 7, 300, 5000])
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles(size):
+    r = np.random.default_rng(size)
+    s = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+    for gone in (0, 1, size // 3, size):
+        other = np.unique(np.concatenate([s[gone:], r.integers(0, 1 << 63, gone, dtype=np.uint64)]))
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(minhash.parity(s).view(np.uint64), minhash.parity(other).view(np.uint64), strict=True))
+        assert bits <= len(np.setxor1d(s, other)) and (gone or not bits)
+
+
 def test_one_id_with_several_texts(spark):
     """An id's texts are one document: it links where any of them does, and chains through it."""
     a, b, c = (near_copies(1, 60, 0, x)[0][1] for x in "abc")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.store import keep
 from .dependencies import HOOKS, SUSPICIOUS
 
 #: Dependencies beyond which a tree is large, and more of them that a version may have than the one before: fixed values.
@@ -43,6 +44,7 @@ def anomalies(changes: DataFrame, of: DataFrame) -> DataFrame:
 
     Of a package that is new only a suspicious script is said; a new version without a fingerprint says nothing.
     """
+    of = keep(of, "fingerprints")  # texts are parsed once, not for each side
     own = F.struct(*PRINT, "capabilities")
     side = lambda name: of.select("package", F.col("version").alias(f"{name}_version"), own.alias(name))
     both = changes.select("package", "old_version", "new_version").distinct().join(side("new"), ["package", "new_version"]).join(side("old"), ["package", "old_version"], "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import drift
+from ..operators import dependencies, drift
 from ..operators import findings as ops
 from ..sources import osv
 from .queries import FOUND, PACKAGES, found, packages, query, table
@@ -16,7 +16,7 @@ def _json(**fields):
 
 def osv_texts(spark, d):
     """A record for each part: events out of order in one range or two, a commit range, single versions, all forms of severity, and texts that are none."""
-    p, n = table(spark, d, "part"), F.col("p_partkey")
+    p, n = dependencies.dealt(table(spark, d, "part"), "p_partkey"), F.col("p_partkey")  # few bytes become many texts
     text = lambda c: c.cast("string")
     event = lambda kind, v: F.create_map(F.lit(kind), v)
     low = F.concat_ws(".", text(F.col("p_size") % 4), text(n % 20))
@@ -234,7 +234,7 @@ def scan_chains(spark, d):
 
 def _npm(spark, d):
     """Two to four versions of a package for each part name, with hooks, commands and dependencies by its numbers; some texts are no objects."""
-    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("pkg"), F.col("p_partkey").cast("string")).alias("package"), F.explode(F.sequence(F.lit(1), 2 + F.col("p_size") % 3)).alias("k"))
+    p = dependencies.dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", F.concat(F.lit("pkg"), F.col("p_partkey").cast("string")).alias("package"), F.explode(F.sequence(F.lit(1), 2 + F.col("p_size") % 3)).alias("k"))
     n = F.col("p_partkey") + F.col("k") * 7
     script = F.when(n % 3 == 0, F.create_map(F.lit("postinstall"), F.when(n % 2 == 0, "curl https://x").otherwise("node ok.js"), F.lit("test"), F.lit("mocha"))).otherwise(F.create_map(F.lit("test"), F.lit("curl x")))
     bins = F.when(n % 5 == 0, F.create_map(F.lit("tool"), F.lit("t.js"), F.lit("a"), F.lit("a.js")))

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.guards import guard
+from ..functions import guards
 from ..functions.model import CRITICAL, HIGH, INFO, LOW, MEDIUM
 from ..sources.files import MAX_LINE, base_name, line_array, pieces, suffix, text_has
 
@@ -237,7 +237,7 @@ def _matches(rules: Sequence[Rule], segment: Column, lowered: Column) -> Column:
         if place not in where:
             where[place] = _applies(r)
         hit = F.rlike(segment, F.lit(r.pattern))
-        asked = guard(r.pattern, segment, lowered)
+        asked = guards.guard(r.pattern, segment, lowered)
         hit = hit if asked is None else asked & hit
         hit = hit if where[place] is None else where[place] & hit
         if r.suppress:
@@ -281,7 +281,7 @@ def match_rules(files: DataFrame, rules: Sequence[Rule] = ALL) -> DataFrame:
         return F.transform(_install_alone(found, _matches(found, w["segment"], w["lowered"])), lambda x: F.struct(x["rule"].alias("rule"), x["value"].alias("value"), w["offset"].alias("offset")))
 
     cut = F.transform(pieces(F.col("content")), lambda w: F.struct(w["offset"].alias("offset"), w["segment"].alias("segment"), F.lower(w["segment"]).alias("lowered")))
-    rows = _lines_of(there).withColumn("windows", cut)
+    rows = _lines_of(there, found).withColumn("windows", cut)
     rows = rows.select("project", "path", "line", "content", F.flatten(F.transform("windows", in_window)).alias("hits"))
     # a rule that several windows of a line match counts in the first; no shuffle
     names = F.transform("hits", lambda x: F.element_at(about, x["rule"])["rule_id"])
@@ -299,8 +299,48 @@ def match_rules(files: DataFrame, rules: Sequence[Rule] = ALL) -> DataFrame:
     return downgraded(out.withColumn("tags", F.array().cast("array<string>")))
 
 
-def _lines_of(there: DataFrame) -> DataFrame:
-    return there.select("project", "path", "language", "suffix", "kind", F.posexplode_outer(line_array(F.col("text"))).alias("__at", "content")).where(F.col("__at").isNotNull()).withColumn("line", F.col("__at") + 1).drop("__at")
+def _lines_of(there: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Lines that one of the rules may match: most lines hold none of the signs and literals that matches need, and become no row.
+
+    Literals are looked for in whole texts first; lines are asked only for those that their text holds.
+    """
+    signs, digits, exact, folded, always = set(), [], [], [], []
+    for r in rules:
+        where = _applies(r)
+        some, lower = guards.literals(r.pattern)
+        if first := guards.signs(r.pattern):
+            signs.update(first)
+        elif some:
+            (folded if lower else exact).extend((where, x) for x in some)
+        elif must := guards.digits(r.pattern):
+            digits.append(must)
+        else:
+            always.append(where)
+
+    def held(asked: list, text: Column) -> Column:
+        """The literals that the text holds, of those of rules that look in the file."""
+        tests = [(F.rlike(text, F.lit(rf"\Q{x}\E")), where, x) for where, x in asked]
+        kept = [F.when(test if where is None else where & test, F.lit(x)) for test, where, x in tests]
+        return F.array_distinct(F.filter(F.array(*kept), lambda x: x.isNotNull())) if kept else F.array().cast("array<string>")
+
+    anywhere = reduce(lambda a, b: a | b, (F.lit(True) if w is None else F.coalesce(w, F.lit(False)) for w in always), F.lit(False))
+    there = there.withColumn("__lowered", F.lower("text")) if folded else there
+    there = there.withColumns({"__exact": held(exact, F.col("text")), "__folded": held(folded, F.col("__lowered")), "__always": anywhere})
+    first = [*(["[" + "".join("\\" + c for c in sorted(signs)) + "]"] if signs else []), *dict.fromkeys(digits)]
+
+    def may(content: Column) -> Column:
+        out = F.col("__always")
+        if first:
+            out = out | (F.regexp_instr(content, F.lit("|".join(first))) > 0)
+        if exact:
+            out = out | F.exists("__exact", lambda x: F.contains(content, x))
+        if folded:
+            out = out | (F.size("__folded") > 0) & F.exists(F.array(F.lower(content)), lambda low: F.exists("__folded", lambda x: F.contains(low, x)))
+        return out
+
+    numbered = F.transform(line_array(F.col("text")), lambda c, i: F.struct((i + 1).alias("line"), c.alias("content")))
+    rows = there.select("project", "path", "language", "suffix", "kind", F.explode_outer(F.filter(numbered, lambda x: may(x["content"]))).alias("__line"))
+    return rows.where(F.col("__line").isNotNull()).select("project", "path", "language", "suffix", "kind", "__line.*")
 
 
 def downgraded(findings: DataFrame) -> DataFrame:

@@ -46,6 +46,8 @@ FAN = 16
 REMEMBERED = 100_000
 #: Bytes of text that a block takes, about.
 SLICE = 2 << 20
+#: Rows of blocks are large, and readers decode all rows of a row group at once: it is closed at so many bytes, looked at after each row.
+WIDE = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1}
 #: Units that are encoded as one text.
 LEARNT = 20_000
 MARK = "▁"
@@ -462,7 +464,7 @@ def aligned(docs: DataFrame, bpe: dict, chunk: int = CHUNK) -> DataFrame:
     """
     spark = docs.sparkSession
     tune(spark)
-    scratch = Scratch(spark, "alignment")
+    scratch = Scratch(spark, "alignment", **WIDE)
     plain = texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text")
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
     closed, keys = long_parts(plain.where(is_long), bpe, chunk, scratch)

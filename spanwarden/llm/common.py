@@ -39,17 +39,17 @@ def tune(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables written to the shared folder, to cut lineage and to be read more than once."""
+    """Tables written to the shared folder, to cut lineage and to be read more than once. options: of their writer."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, label: str, **options):
+        self.spark, self.base, self.options = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", options
         atexit.register(self.drop)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").options(**self.options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:

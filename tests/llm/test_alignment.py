@@ -116,3 +116,20 @@ def test_fragments_are_a_monoid(chunk):
 
 def test_no_rows(spark):
     assert alignment.aligned(table(spark, []), queries.byte_and_piece()).collect() == []
+
+
+def test_blocks_are_read_a_few_at_once(spark, monkeypatch):
+    """A row group holds few blocks, also where a task writes many: readers decode all rows of one at once."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setitem(alignment.WIDE, "parquet.block.size", 1024)
+    seen = []
+    keep = alignment.Scratch.keep
+    monkeypatch.setattr(alignment.Scratch, "keep", lambda self, df, name: (keep(self, df, name), seen.append((name, self.path(name))))[0])
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat('the of ', id % 7) AS text").coalesce(1)
+    assert alignment.aligned(docs, queries.byte_and_piece()).count() == 9000
+    files = [pq.ParquetFile(f).metadata for f in Path(dict(seen)["blocks"].removeprefix("file://")).glob("*.parquet")]
+    assert sum(f.num_rows for f in files) >= 5
+    assert max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) == 1

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.model import HIGH, MEDIUM
 from ..functions.store import keep
-from ..sources.code import LANGUAGES, STRINGS, calls, code_lines, extents, literals, tokens
+from ..sources.code import LANGUAGES, STRINGS, code_lines, cut_out, extents, literals, tokens
 from ..sources.files import MAX_LINE, lines
 
 MODEL = r"(?i)(?:^|\b)(?:client|openai|anthropic|llm|model|chain|agent|completion|chat|messages)[\w.]*\.(?:create|invoke|ainvoke|generate\w*|predict|run|complete|call|stream)$|\.a?invoke$|(?:^|\.)(?:generateText|streamText|generateObject)$"
@@ -95,7 +95,7 @@ def _kinds(**tests: Column) -> Column:
 
 
 def _scoped(of: DataFrame) -> DataFrame:
-    """Lines with their scope (the line of the function they are in, 0 for the module), and of heads: function, params, tool, route."""
+    """Lines (text, and over: characters behind it) with their scope (the line of the function they are in, 0 for the module), and of heads: function, params, tool, route."""
     order = Window.partitionBy(*_KEY).orderBy("line")
     text = F.substring("content", 1, MAX_LINE)
     name = F.coalesce(F.nullif(F.regexp_extract(text, FUNCTION, 1), F.lit("")), F.nullif(F.regexp_extract(text, FUNCTION, 2), F.lit("")))
@@ -103,7 +103,7 @@ def _scoped(of: DataFrame) -> DataFrame:
     module = (F.trim(text) != "") & _is(text, r"^[^\s})\]@#'\"]") & ~head
     above = F.concat_ws("\n", *(F.lag(text, k).over(order) for k in (3, 2, 1)))
     marks = F.regexp_extract(above, r"((?:^|\n)\s*@[^\n]*(?:\n\s*@[^\n]*)*)$", 1)
-    rows = of.select(*_KEY, "line", "content", text.alias("text"), name.alias("function"), head.alias("head"), module.alias("module"), marks.alias("marks"))
+    rows = of.select(*_KEY, "line", text.alias("text"), F.greatest(F.length("content") - MAX_LINE, F.lit(0)).alias("over"), name.alias("function"), head.alias("head"), module.alias("module"), marks.alias("marks"))
     scope = F.last(F.when(F.col("head"), F.col("line")).when(F.col("module"), F.lit(0)), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("scope", F.coalesce(scope, F.lit(0)))
 
@@ -120,6 +120,56 @@ def _params(heads: DataFrame) -> DataFrame:
     return each.select(*_KEY, F.col("line").alias("scope"), "function", name.alias("name"), kinds.alias("kinds"), tool.alias("tool")).where("name <> ''")
 
 
+def _of_call() -> list[Column]:
+    """What the rules ask of a call: columns of callee and cut, its arguments. Null where there is no call, most also where it is of no model, agent or sink."""
+    args, callee, none = F.col("cut"), F.col("callee"), F.array().cast("array<string>")
+    sink = F.lit(None).cast("string")
+    for kind, pattern in reversed(SINKS):
+        sink = F.when(_is(callee, pattern), kind).otherwise(sink)
+    model, agent = _is(callee, MODEL), _is(callee, AGENT)
+    bare, names = _bare(args), F.when(callee.isNotNull(), _names(args))
+    first = F.regexp_extract(args, r"(?s)^\s*((?:[fFrRbB]{0,2}(?:" + STRINGS.removeprefix("(?s)") + r")|[^,'\"`])*)", 1)
+    free = ~((sink == "ssrf") & _is(first, FIXED_HOST)) & ~((sink == "file") & (callee == "open") & ~_is(args, r"['\"][wax]"))
+    chosen = F.regexp_extract(args, r"(?s)\btools\s*[=:]\s*(\[[^\]]*\]|[\w$.]+)", 1)
+    prompt = F.regexp_replace(args, r"(?s)\btools\s*[=:]\s*(?:\[[^\]]*\]|[\w$.]+)", " ")
+    role = F.regexp_extract(bare, r"(?:\brole|''\s*)\s*:\s*([A-Za-z_$][\w$.]*)", 1)
+    execute = _is(args, r"execute\s*:")
+    listed = _is(bare, r"(?:messages\s*[=:]|\+|\.\.\.)\s*req(?:uest)?\.(?:\w+\.)?\w*(?:messages|history)\w*") | _is(role, REQUEST) | _is(role, r"^req(?:uest)?\.")
+    asked = {
+        "first_names": F.when(sink.isNotNull(), _names(first)),
+        "free": free,
+        "prompt_names": F.when(sink.isNotNull() & ~model, _names(first)).otherwise(_names(prompt)),
+        "tool_names": F.when(agent, names).otherwise(_names(chosen)),
+        "inner": F.when(model & execute, F.regexp_extract_all(bare, F.lit(r"([A-Za-z_$][\w$]*)\("), F.lit(1))).otherwise(none),
+        "roles": F.array(F.regexp_extract(role, r"^(\w+)", 1), F.regexp_extract(bare, r"\{\s*(role)\s*,", 1)),
+        "reads": _is(_bare(prompt), EXTERNAL),
+        "gives": _is(prompt, SECRET),
+        "executes": execute & ~_is(args, r"z\.enum"),
+        "runs": _is(bare, r"\b(?:exec|execSync|execFile|spawn|eval|writeFile|unlink)\("),
+        "listed": listed,
+        "to": F.regexp_extract(args, r"\bto\s*:\s*([A-Za-z_$][\w$]*)", 1),
+        "content": F.concat(callee, F.lit("("), F.substring(F.trim(args), 1, 200)),
+    }
+    every = {"sink": sink, "model": model, "agent": agent, "names": names, "root": F.regexp_extract(callee, r"^([A-Za-z_$][\w$]*)", 1), "requested": F.when(callee.isNotNull(), _is(bare, REQUEST))}
+    return [c.alias(k) for k, c in (every | {k: F.when(model | agent | sink.isNotNull(), c) for k, c in asked.items()}).items()]
+
+
+def _of_assignment() -> list[Column]:
+    """What the rules ask of an assignment: columns of left, right, over and cut, what its brackets over more lines hold. Null where there is none."""
+    right, cut = F.col("right"), F.col("cut")
+    head = F.substring_index(cut, "\n", 1)
+    # the line ends with what cut begins with; if that were read twice, a string it opens would end where it begins again, and its words would be code
+    n = F.length(right) - F.length(head) + F.col("over")
+    meets = (n >= 0) & F.startswith(head, F.substring(right, n + 1, F.length(right)))
+    value = F.when(meets, F.concat(F.substring(right, F.lit(1), n), cut)).otherwise(F.concat_ws("\n", right, cut))
+    bare = _bare(value)
+    client = _is(value, r"^\s*(?:await\s+)?(?:new\s+)?[A-Z]\w*\(|\bfetch\(|\b(?:requests|httpx|axios)\.")
+    kinds = _kinds(external=_is(bare, EXTERNAL), request=_is(bare, REQUEST), secret=_is(value, SECRET) & ~client, model=_is(bare, MODEL.replace("$", r"\(")), shell=_is(bare, r"promisify\(\s*(?:exec|execFile)\b"))
+    condition = F.coalesce(F.nullif(F.regexp_extract(value, r"\bif\s+(.+?)\s+else\b", 1), F.lit("")), F.nullif(F.regexp_extract(value, r"^\s*([^?\n]+)\?", 1), F.lit("")))
+    made = {"left": F.regexp_extract_all("left", F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1)), "kinds": kinds, "client": client, "value_names": _names(value), "condition_names": F.when(condition.isNotNull(), _names(condition))}
+    return [F.when(F.col("left").isNotNull(), c).alias(k) for k, c in made.items()]
+
+
 def agent_calls(files: DataFrame) -> DataFrame:
     """Findings llm.indirect-prompt-injection, tool-argument-to-sink, untrusted-message-role, untrusted-tool-selection and secret-sent-to-model, each on the extent of its call."""
     code = keep(files.select(*_KEY, "language", "text").where(F.col("language").isin(*LANGUAGES) & _is(F.col("text"), AGENTS)), "agent-code")
@@ -131,36 +181,27 @@ def agent_calls(files: DataFrame) -> DataFrame:
     here = [*_KEY, "line"]
     params = keep(_params(of), "parameters")
 
-    # ---- calls: of models and agents, and sinks, each with its scope and the identifiers of its arguments
-    sink = F.lit(None).cast("string")
-    for kind, pattern in reversed(SINKS):
-        sink = F.when(_is(F.col("callee"), pattern), kind).otherwise(sink)
-    local = params.where("function IS NOT NULL").select(*_KEY, F.col("function").alias("callee")).distinct()
-    wanted = calls(code, pairs, F.lit(True)).withColumn("sink", sink).withColumn("model", _is(F.col("callee"), MODEL)).withColumn("agent", _is(F.col("callee"), AGENT))
-    wanted = _join(wanted, scopes, here)
-    first = F.regexp_extract("args", r"(?s)^\s*((?:[fFrRbB]{0,2}(?:" + STRINGS.removeprefix("(?s)") + r")|[^,'\"`])*)", 1)
-    wanted = keep(wanted.withColumn("first", first).withColumn("names", _names(F.col("args"))).withColumn("root", F.regexp_extract("callee", r"^([A-Za-z_$][\w$]*)", 1)), "calls")
+    # ---- a file's text meets its calls and assignments once; what is asked of them is read there, and no text goes on
+    called = _join(pairs.where("bracket = '(' AND callee <> ''").select(*here, "callee", "end_line", "start", "stop"), scopes, here)
+    made = of.withColumn("m", F.coalesce(*(F.when(F.rlike("text", F.lit(p)), F.struct(F.regexp_extract("text", p, 1).alias("left"), F.regexp_extract("text", p, 2).alias("right"))) for p in (EACH, ADDED, ASSIGN))))
+    made = made.where("m IS NOT NULL").select(*here, "scope", "over", "m.left", "m.right")
+    open_ = pairs.where("end_line > line").groupBy(*here).agg(F.max("stop").alias("stop"), F.min("start").alias("start"))
+    spans = cut_out(code, called.unionByName(_join(made, open_, here, "left"), allowMissingColumns=True))
+    read = keep(spans.withColumn("call", F.monotonically_increasing_id()).select(*here, "call", "scope", "callee", "end_line", *_of_call(), *_of_assignment()), "agent-calls")
+    wanted, rows = read.where("callee IS NOT NULL"), read.where("left IS NOT NULL")
 
     # ---- what names are made from
-    rows = of.withColumn("m", F.coalesce(*(F.when(F.rlike("text", F.lit(p)), F.struct(F.regexp_extract("text", p, 1).alias("left"), F.regexp_extract("text", p, 2).alias("right"))) for p in (EACH, ADDED, ASSIGN))))
-    rows = rows.where("m IS NOT NULL").select(*_KEY, "line", "scope", "m.left", "m.right")
-    open_ = pairs.where("end_line > line").groupBy(*here).agg(F.max("stop").alias("stop"), F.min("start").alias("start"), F.max("end_line").alias("until"))
-    spans = calls_text(code, open_)
-    rows = _join(rows, spans, here, "left").withColumn("value", F.concat_ws("\n", "right", "span"))
-    bare = _bare(F.col("value"))
-    client = _is(F.col("value"), r"^\s*(?:await\s+)?(?:new\s+)?[A-Z]\w*\(|\bfetch\(|\b(?:requests|httpx|axios)\.")
-    kinds = _kinds(external=_is(bare, EXTERNAL), request=_is(bare, REQUEST), secret=_is(F.col("value"), SECRET) & ~client, model=_is(bare, MODEL.replace("$", r"\(")), shell=_is(bare, r"promisify\(\s*(?:exec|execFile)\b"))
-    steps = rows.select(*_KEY, "scope", F.explode(F.regexp_extract_all("left", F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1))).alias("name"), kinds.alias("kinds"), _names(F.col("value")).alias("names"), client.alias("client"))
+    steps = rows.select(*_KEY, "scope", F.explode("left").alias("name"), "kinds", F.col("value_names").alias("names"), "client")
     none, no = F.array().cast("array<string>"), F.lit(False)
     given = params.select(*_KEY, "scope", "name", "kinds", none.alias("names"), no.alias("client"))
     # what a file passes to its own functions
-    passed = _join(wanted.select(*_KEY, "callee", F.col("scope").alias("from"), "names", "args"), params.where("function IS NOT NULL AND NOT tool").select(*_KEY, F.col("function").alias("callee"), "scope", "name"), [*_KEY, "callee"])
-    passed = passed.select(*_KEY, "scope", "name", _kinds(request=_is(_bare(F.col("args")), REQUEST)).alias("kinds"), F.transform("names", lambda n: F.concat(F.col("from").cast("string"), F.lit("/"), n)).alias("names"), no.alias("client"))
+    passed = _join(wanted.select(*_KEY, "callee", F.col("scope").alias("from"), "names", "requested"), params.where("function IS NOT NULL AND NOT tool").select(*_KEY, F.col("function").alias("callee"), "scope", "name"), [*_KEY, "callee"])
+    passed = passed.select(*_KEY, "scope", "name", _kinds(request=F.col("requested")).alias("kinds"), F.transform("names", lambda n: F.concat(F.col("from").cast("string"), F.lit("/"), n)).alias("names"), no.alias("client"))
     # tools by what their bodies do: a tool with a sink that its argument reaches acts, one that reads the world brings it in
     tools = params.where("tool AND function IS NOT NULL").select(*_KEY, "scope", "function").distinct()
-    doing = _join(wanted.where("sink IS NOT NULL").withColumn("free", ~((F.col("sink") == "ssrf") & _is(F.col("first"), FIXED_HOST)) & ~((F.col("sink") == "file") & (F.col("callee") == "open") & ~_is(F.col("args"), r"['\"][wax]"))), tools, [*_KEY, "scope"])
+    doing = _join(wanted.where("sink IS NOT NULL").select(*_KEY, "scope", "sink", "free", "names", "first_names"), tools, [*_KEY, "scope"])
     writes = F.col("sink") == "api-write"
-    asked = _join(doing.where("free").select(*_KEY, "scope", "function", "sink", F.explode(F.when(writes, F.col("names")).otherwise(_names(F.col("first")))).alias("name")), params.where("tool").select(*_KEY, "scope", "name", F.array_contains("kinds", "argument").alias("any")), [*_KEY, "scope", "name"])
+    asked = _join(doing.where("free").select(*_KEY, "scope", "function", "sink", F.explode(F.when(writes, F.col("names")).otherwise(F.col("first_names"))).alias("name")), params.where("tool").select(*_KEY, "scope", "name", F.array_contains("kinds", "argument").alias("any")), [*_KEY, "scope", "name"])
     acting = asked.where("any OR sink = 'api-write' AND name <> ''").select(*_KEY, F.col("function").alias("name")).distinct()
     constant = _join(asked.where("sink = 'api-write' AND NOT any"), of.where("head").select(*_KEY, "scope", F.col("text").alias("head_text")).distinct(), [*_KEY, "scope"])
     literal = constant.where(F.expr("head_text rlike concat('\\\\b', name, '\\\\s*:\\\\s*Literal')")).select(*_KEY, F.col("function").alias("name")).distinct()
@@ -173,28 +214,19 @@ def agent_calls(files: DataFrame) -> DataFrame:
     known = keep(found.select(*_KEY, F.explode(closed("steps")).alias("k")).select(*_KEY, "k.*"), "names")
 
     # ---- rules
-    asked = wanted.where("model OR agent OR sink IS NOT NULL").withColumn("call", F.monotonically_increasing_id())
-    tool_text = F.regexp_extract("args", r"(?s)\btools\s*[=:]\s*(\[[^\]]*\]|[\w$.]+)", 1)
-    prompt = F.regexp_replace("args", r"(?s)\btools\s*[=:]\s*(?:\[[^\]]*\]|[\w$.]+)", " ")
-    role_at = F.regexp_extract(_bare(F.col("args")), r"(?:\brole|''\s*)\s*:\s*([A-Za-z_$][\w$.]*)", 1)
-    asked = asked.withColumns({"prompt": prompt, "chosen": tool_text})
+    asked = wanted.where("model OR agent OR sink IS NOT NULL")
     keep_ = [*_KEY, "call", "scope"]
-    uses = [
-        ("prompt", F.when(F.col("sink").isNotNull() & ~F.col("model"), _names(F.col("first"))).otherwise(_names(F.col("prompt")))), ("tools", F.when(F.col("agent"), F.col("names")).otherwise(_names(F.col("chosen")))), ("root", F.array("root")), ("inner", F.when(F.col("model") & _is(F.col("args"), r"execute\s*:"), F.regexp_extract_all(_bare(F.col("args")), F.lit(r"([A-Za-z_$][\w$]*)\("), F.lit(1))).otherwise(none)),
-        ("role", F.array(F.regexp_extract(role_at, r"^(\w+)", 1), F.regexp_extract(_bare(F.col("args")), r"\{\s*(role)\s*,", 1))),
-        ("all", F.col("names")),
-    ]
+    uses = [(u, F.col(c)) for u, c in (("prompt", "prompt_names"), ("tools", "tool_names"), ("inner", "inner"), ("role", "roles"), ("all", "names"))] + [("root", F.array("root"))]
     used = asked.select(*keep_, F.explode(F.array(*(F.struct(F.lit(u).alias("use"), n.alias("n")) for u, n in uses))).alias("u")).select(*keep_, "u.use", F.explode("u.n").alias("name"))
     met = _join(used, known.withColumnRenamed("scope", "of"), [*_KEY, "name"]).where("of = scope OR of = 0").select(*keep_, "use", "name", F.explode("kinds").alias("kind"))
     about = met.groupBy("call").agg(F.collect_set(F.concat_ws(":", "use", "kind")).alias("facts"))
     asked = asked.join(about, "call", "left").withColumn("facts", F.coalesce("facts", none))
     fact = lambda *names: F.arrays_overlap("facts", F.array(*map(F.lit, names)))
-    content = F.substring(F.trim("args"), 1, 200)
-    asked = keep(asked.withColumn("content", F.concat("callee", F.lit("("), content)), "asked")
+    asked = keep(asked, "asked")
 
     model = asked.where("model OR agent")
-    outside = fact("prompt:external", "root:external") | _is(_bare(F.col("prompt")), EXTERNAL)
-    inline = _is(F.col("args"), r"execute\s*:") & (fact("inner:shell") | _is(_bare(F.col("args")), r"\b(?:exec|execSync|execFile|spawn|eval|writeFile|unlink)\(")) & ~_is(F.col("args"), r"z\.enum")
+    outside = fact("prompt:external", "root:external") | F.col("reads")
+    inline = F.col("executes") & (fact("inner:shell") | F.col("runs"))
     acts = fact("tools:acts", "root:acts") | inline
     dangerous = asked.where("sink IS NOT NULL AND NOT model").where(fact("prompt:model")).select(*_KEY, "scope", F.lit(True).alias("obeyed")).distinct()
     injected = _join(model.where("model").where(outside), dangerous, [*_KEY, "scope"], "left").where(acts | F.coalesce("obeyed", F.lit(False)))
@@ -203,29 +235,25 @@ def agent_calls(files: DataFrame) -> DataFrame:
     guarded = of.where(_is(F.col("text"), GUARD)).select(*_KEY, "scope").distinct()
     mail = of.where(_is(F.col("text"), r"\[['\"](?:To|Cc|Bcc)['\"]\][^=\n]*=")).select(*_KEY, "scope", "line", F.col("line").alias("end_line"), F.lit("recipient").alias("sink"), F.col("text").alias("content"), F.explode(F.regexp_extract_all(F.regexp_replace(F.regexp_extract("text", r"(?<![=!<>])=(?!=)(.*)$", 1), STRINGS, " "), F.lit(NAME), F.lit(1))).alias("name"))
     mail = _join(mail, known.where(F.array_contains("kinds", "argument")).select(*_KEY, "scope", "name"), [*_KEY, "scope", "name"]).drop("name").distinct()
-    to = F.regexp_extract("args", r"\bto\s*:\s*([A-Za-z_$][\w$]*)", 1)
-    sent = asked.where("sink = 'recipient'").select(*_KEY, "scope", "line", "end_line", "sink", "content", to.alias("name"))
+    sent = asked.where("sink = 'recipient'").select(*_KEY, "scope", "line", "end_line", "sink", "content", F.col("to").alias("name"))
     sent = _join(sent, known.where(F.arrays_overlap("kinds", F.array(F.lit("argument"), F.lit("model")))).select(*_KEY, "scope", "name"), [*_KEY, "scope", "name"]).drop("name").distinct()
-    taken = asked.where("sink IN ('file', 'ssrf', 'sql')").where(fact("prompt:argument") & ~((F.col("sink") == "ssrf") & _is(F.col("first"), FIXED_HOST)) & ~((F.col("sink") == "file") & (F.col("callee") == "open") & ~_is(F.col("args"), r"['\"][wax]")))
+    taken = asked.where("sink IN ('file', 'ssrf', 'sql')").where(fact("prompt:argument") & F.col("free"))
     taken = taken.select(*_KEY, "scope", "line", "end_line", "sink", "content").unionByName(mail).unionByName(sent)
     taken = _join(taken, guarded, [*_KEY, "scope"], "left_anti")
     for kind, (severity, cwe) in ARGUMENTS.items():
         out = out.unionByName(_found(taken.where(F.col("sink") == kind), "tool-argument-to-sink", severity, cwe, 2))
 
-    bare = _bare(F.col("args"))
-    listed = _is(bare, r"(?:messages\s*[=:]|\+|\.\.\.)\s*req(?:uest)?\.(?:\w+\.)?\w*(?:messages|history)\w*")
-    whole = listed | fact("role:request") | _is(role_at, REQUEST) | _is(role_at, r"^req(?:uest)?\.")
+    whole = F.col("listed") | fact("role:request")
     out = out.unionByName(_found(model.where("model").where(whole), "untrusted-message-role", MEDIUM, ("CWE-1427", "CWE-74")))
 
-    condition = F.coalesce(F.nullif(F.regexp_extract("value", r"\bif\s+(.+?)\s+else\b", 1), F.lit("")), F.nullif(F.regexp_extract("value", r"^\s*([^?\n]+)\?", 1), F.lit("")))
-    picks = rows.withColumn("condition", condition).where("condition IS NOT NULL").withColumn("pick", F.monotonically_increasing_id())
-    both = picks.select(*_KEY, "scope", "pick", F.explode(F.array(F.struct(F.lit("condition").alias("use"), _names(F.col("condition")).alias("n")), F.struct(F.lit("value").alias("use"), _names(F.col("value")).alias("n")))).alias("u")).select(*_KEY, "scope", "pick", "u.use", F.explode("u.n").alias("name"))
-    both = _join(both, known.withColumnRenamed("scope", "of"), [*_KEY, "name"]).where("of = scope OR of = 0").groupBy("pick").agg(F.bool_or((F.col("use") == "condition") & F.array_contains("kinds", "request")).alias("asked"), F.bool_or((F.col("use") == "value") & F.array_contains("kinds", "acts")).alias("acts"))
-    selected = picks.join(both.where("asked AND acts"), "pick").select(*_KEY, "scope", F.explode(F.regexp_extract_all("left", F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1))).alias("name")).distinct()
-    granted = _join(model.select("*", F.explode(F.when(F.col("agent"), F.col("names")).otherwise(_names(F.col("chosen")))).alias("name")), selected, [*_KEY, "scope", "name"]).drop("name").dropDuplicates(["call"])
+    picks = rows.where("condition_names IS NOT NULL")
+    both = picks.select(*_KEY, "scope", "call", F.explode(F.array(*(F.struct(F.lit(u).alias("use"), F.col(f"{u}_names").alias("n")) for u in ("condition", "value")))).alias("u")).select(*_KEY, "scope", "call", "u.use", F.explode("u.n").alias("name"))
+    both = _join(both, known.withColumnRenamed("scope", "of"), [*_KEY, "name"]).where("of = scope OR of = 0").groupBy("call").agg(F.bool_or((F.col("use") == "condition") & F.array_contains("kinds", "request")).alias("asked"), F.bool_or((F.col("use") == "value") & F.array_contains("kinds", "acts")).alias("acts"))
+    selected = picks.join(both.where("asked AND acts"), "call").select(*_KEY, "scope", F.explode("left").alias("name")).distinct()
+    granted = _join(model.select("*", F.explode("tool_names").alias("name")), selected, [*_KEY, "scope", "name"]).drop("name").dropDuplicates(["call"])
     out = out.unionByName(_found(granted, "untrusted-tool-selection", MEDIUM, ("CWE-862", "CWE-1427")))
 
-    out = out.unionByName(_found(model.where("model").where(fact("prompt:secret") | _is(F.col("prompt"), SECRET)), "secret-sent-to-model", HIGH, ("CWE-200", "CWE-522")))
+    out = out.unionByName(_found(model.where("model").where(fact("prompt:secret") | F.col("gives")), "secret-sent-to-model", HIGH, ("CWE-200", "CWE-522")))
     return keep(out, "agent-findings")
 
 
@@ -259,14 +287,6 @@ def _closed(steps: list) -> list[tuple[int, str, list[str]]]:
     return [(scope, name, list(kinds)) for (scope, name), kinds in have.items() if "/" not in name]
 
 
-def calls_text(files: DataFrame, spans: DataFrame) -> DataFrame:
-    """project, path, line, span: the text of files from each span's start to its stop."""
-    listed = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("line", "start", "stop")).alias("s"))
-    same = F.col("f.project").eqNullSafe(F.col("c.project")) & (F.col("f.path") == F.col("c.path"))
-    cut = F.transform("c.s", lambda x: F.struct(x["line"].alias("line"), F.substring(F.col("f.text"), x["start"] + 1, x["stop"] - x["start"]).alias("span")))
-    return files.alias("f").join(listed.alias("c"), same).select("f.project", "f.path", F.explode(cut).alias("s")).select(*_KEY, "s.*")
-
-
 def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """An equi join that takes null projects as equal, with the left side's keys."""
     same = F.lit(True)

@@ -43,20 +43,21 @@ def code_lines(files: DataFrame) -> DataFrame:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """project, path, at, token, kind (string, comment, open, close, line or code), offset, line, depth (brackets open before it), before (the token before)."""
+    """project, path, at, token, first (its first character), kind (string, comment, open, close, line or code), offset, line, depth (brackets open before it), before (the dotted name that ends the token before it)."""
     found = _cut(F.col("text"))
     # whole texts are dealt, not tokens: every window over a file's tokens finds them in one task, in their order
     texts = files.where(F.col("language").isin(*LANGUAGES)).select(*_KEY, "language", "text").repartition(*_KEY)
     rows = texts.select(*_KEY, F.posexplode(found).alias("at", "token"))
     first = F.substring("token", 1, 1)
     kind = F.when(first.isin("(", "[", "{"), "open").when(first.isin(")", "]", "}"), "close").when(first == "\n", "line").when(F.rlike("token", F.lit(r"(?s)^(?:\"|'|`).*(?:\"|'|`)$")) & (F.length("token") > 1), "string").when(F.rlike("token", F.lit(r"^(?:#|//|/\*)")), "comment").otherwise("code")
-    rows = rows.withColumn("kind", kind)
+    # made before rows are ordered: where the token itself isn't asked for, no text is sorted
+    rows = rows.withColumns({"kind": kind, "first": first, "name": F.when(kind != "string", F.regexp_extract("token", r"(?<![\w$.])([\w$.]++)\s*+$", 1))})
     before = _order().rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     breaks = F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))
     sums = {"offset": F.length("token"), "line": breaks, "depth": step}
-    rows = rows.select("*", *(F.coalesce(F.sum(v).over(before), F.lit(0)).cast("int").alias(c) for c, v in sums.items()), F.coalesce(F.lag("token").over(_order()), F.lit("")).alias("before"))
-    return rows.withColumn("line", F.col("line") + 1)
+    rows = rows.select("*", *(F.coalesce(F.sum(v).over(before), F.lit(0)).cast("int").alias(c) for c, v in sums.items()), F.coalesce(F.lag("name").over(_order()), F.lit("")).alias("before"))
+    return rows.withColumn("line", F.col("line") + 1).drop("name")
 
 
 def extents(of: DataFrame) -> DataFrame:
@@ -69,20 +70,26 @@ def extents(of: DataFrame) -> DataFrame:
     rows = of.where("kind IN ('open', 'close')").withColumn("level", level)
     order = Window.partitionBy(*_KEY, "level").orderBy("at")
     rows = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("kind", "offset", "line"))).where("kind = 'open' AND next_kind = 'close'")
-    return rows.select(*_KEY, F.col("token").alias("bracket"), F.when(F.col("token") == "(", F.regexp_extract("before", r"([\w$.]+)\s*$", 1)).otherwise("").alias("callee"), (F.col("offset") + 1).alias("start"), F.col("next_offset").alias("stop"), "line", F.col("next_line").alias("end_line"))
+    return rows.select(*_KEY, F.col("first").alias("bracket"), F.when(F.col("first") == "(", F.col("before")).otherwise("").alias("callee"), (F.col("offset") + 1).alias("start"), F.col("next_offset").alias("stop"), "line", F.col("next_line").alias("end_line"))
 
 
 def between(text: Column, start: Column, stop: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(stop - start, F.lit(0)))
 
 
-def calls(files: DataFrame, pairs: DataFrame, callee: Column) -> DataFrame:
-    """Calls whose callee is wanted: project, path, callee, line, end_line, args. A file's text meets its calls once, not once a call."""
-    wanted = pairs.where((F.col("bracket") == "(") & (F.col("callee") != "") & callee)
-    listed = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("callee", "line", "end_line", "start", "stop")).alias("calls"))
+def cut_out(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """spans (project, path, start, stop and more) with cut, what a file's text has between start and stop, null where they are. A text meets its spans once, not once a span."""
+    own = [c for c in spans.columns if c not in _KEY]
+    listed = spans.groupBy(*_KEY).agg(F.collect_list(F.struct(*own)).alias("spans"))
     same = F.col("f.project").eqNullSafe(F.col("c.project")) & (F.col("f.path") == F.col("c.path"))
-    met = files.alias("f").join(listed.alias("c"), same).select("f.project", "f.path", F.explode(F.transform("c.calls", lambda c: F.struct(c["callee"].alias("callee"), c["line"].alias("line"), c["end_line"].alias("end_line"), between(F.col("f.text"), c["start"], c["stop"]).alias("args")))).alias("c"))
-    return met.select(*_KEY, "c.*")
+    cut = F.transform("c.spans", lambda s: F.struct(*(s[c].alias(c) for c in own), between(F.col("f.text"), s["start"], s["stop"]).alias("cut")))
+    return files.alias("f").join(listed.alias("c"), same).select("f.project", "f.path", F.explode(cut).alias("s")).select(*_KEY, "s.*")
+
+
+def calls(files: DataFrame, pairs: DataFrame, callee: Column) -> DataFrame:
+    """Calls whose callee is wanted: project, path, callee, line, end_line, args."""
+    wanted = pairs.where((F.col("bracket") == "(") & (F.col("callee") != "") & callee).select(*_KEY, "callee", "line", "end_line", "start", "stop")
+    return cut_out(files, wanted).select(*_KEY, "callee", "line", "end_line", F.col("cut").alias("args"))
 
 
 def literals(of: DataFrame) -> DataFrame:

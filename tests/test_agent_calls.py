@@ -102,3 +102,20 @@ def test_system_prompts(spark):
     ]
     got = agent_calls.prompt_literals(files(spark, rows)).collect()
     assert sorted((r.path, r.rule_id, r.start_line) for r in got) == [("a.py", "llm.internal-address-in-prompt", 1), ("a.py", "llm.secret-in-system-prompt", 1), ("c.js", "llm.internal-address-in-prompt", 1)]
+
+
+def test_words_of_a_string_over_lines_are_no_names(spark):
+    """A string that an assignment's line opens and another line closes is one: its words name nothing, also behind a long first line."""
+    head = CLIENT + "import requests, subprocess\ndef tidy(address):\n    news = requests.get(address).text\n    turns = [{'role': 'user', 'content': \"\"\"%s the\nnews of today\"\"\" + %s}]\n    answer = " + CALL % "turns" + "\n    subprocess.run(answer, shell=True)\n"
+    rows = [(f"{w}{n}.py", head % ("so " * n, w)) for w in ("news", "calm") for n in (1, 1500)]
+    got = agent_calls.agent_calls(files(spark, rows)).where("rule_id = 'llm.indirect-prompt-injection'").collect()
+    assert sorted((r.path, r.start_line) for r in got) == [("news1.py", 8), ("news1500.py", 8)]
+
+
+def test_texts_meet_calls_and_assignments_once(spark, monkeypatch):
+    """No table but that of the files holds a text: what is asked of calls and assignments is read where a text meets them."""
+    kept, keep = {}, agent_calls.keep
+    monkeypatch.setattr(agent_calls, "keep", lambda df, name: kept.setdefault(name, keep(df, name)))
+    said = "[{'role': 'user', 'content': '''\n" + "word " * 20_000 + "'''}]"
+    agent_calls.agent_calls(files(spark, [("a.py", CLIENT + "def ask(u):\n    turns = " + said + "\n    return " + CALL % said + "\n")]))
+    assert [name for name, df in kept.items() if any(len(str(r)) > 10_000 for r in df.collect())] == ["agent-code"]
